@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "custlens.plans.q_features",
+    "custlens.plans.q_reports",
 ]
 
 
