@@ -7,6 +7,8 @@ import importlib
 MODULES = [
     "custlens.plans.q_features",
     "custlens.plans.q_reports",
+    "custlens.plans.q_predicates",
+    "custlens.plans.q_evaluation",
 ]
 
 
