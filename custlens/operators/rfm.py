@@ -1,8 +1,8 @@
 """Recency / frequency / monetary features.
 
 One shuffle aggregation per customer produces every input the seven features need.  The
-global reference date (latest purchase + 1 day) is a scalar subquery over that aggregate,
-which is checkpointed once so the join-heavy input is not read a second time for it.
+global reference date (latest purchase + 1 day) is a scalar subquery over the per-customer
+feature table, which is checkpointed once so the join-heavy input is read only once.
 
 Plan at scale: the only distinct count (transaction ids) makes Spark aggregate first on
 (customer, transaction_id) and then on customer, so a customer holding a third of all rows
@@ -44,22 +44,29 @@ def customer_aggregates(hist: DataFrame) -> DataFrame:
     return hist.groupBy("customer_id").agg(*aggs)
 
 
-def features_from_aggregates(agg: DataFrame, n_categories: int = K.N_CATEGORIES) -> DataFrame:
-    ref_last = agg.select(F.max("last_purchase")).scalar()
+def features_from_aggregates(agg: DataFrame, n_categories: int = K.N_CATEGORIES,
+                            checkpoint: bool = True) -> DataFrame:
+    """Every feature but recency is computed per row first; that table is checkpointed (so the
+    large exact-rounding expressions are evaluated once and never inlined downstream), then
+    the reference date is a scalar subquery over the checkpoint and recency a small projection."""
     lifetime = whole_days("last_purchase", "first_purchase") + 1
-    return (
-        agg.where(F.col("customer_id").isNotNull())
-        .withColumn("customer_lifetime_days", lifetime)
-        .select(
-            "customer_id",
-            (whole_days(ref_last, F.col("last_purchase")) + 1).alias("recency"),
-            F.col("frequency").cast("long").alias("frequency"),
-            F.coalesce(F.col("monetary_dec"), F.lit(0)).cast("double").alias("monetary"),
-            half_even_ratio("amount_cents", "n_amounts * 100", 2).alias("avg_order_value"),
-            "customer_lifetime_days",
-            purchase_frequency_col("frequency", "customer_lifetime_days").alias("purchase_frequency"),
-            half_even_ratio("unique_categories", str(int(n_categories)), 3).alias("product_diversity"),
-        )
+    pre = agg.withColumn("customer_lifetime_days", lifetime).select(
+        "customer_id", "last_purchase",
+        F.col("frequency").cast("long").alias("frequency"),
+        F.coalesce(F.col("monetary_dec"), F.lit(0)).cast("double").alias("monetary"),
+        half_even_ratio("amount_cents", "n_amounts * 100", 2).alias("avg_order_value"),
+        "customer_lifetime_days",
+        purchase_frequency_col("frequency", "customer_lifetime_days").alias("purchase_frequency"),
+        half_even_ratio("unique_categories", str(int(n_categories)), 3).alias("product_diversity"),
+    )
+    if checkpoint:
+        pre = materialize(pre)
+    ref_last = pre.select(F.max("last_purchase")).scalar()
+    return pre.where(F.col("customer_id").isNotNull()).select(
+        "customer_id",
+        (whole_days(ref_last, F.col("last_purchase")) + 1).alias("recency"),
+        "frequency", "monetary", "avg_order_value", "customer_lifetime_days",
+        "purchase_frequency", "product_diversity",
     )
 
 
@@ -75,10 +82,7 @@ def purchase_frequency_col(freq: str, lifetime: str) -> F.Column:
 
 def rfm_table(hist: DataFrame, n_categories: int = K.N_CATEGORIES, checkpoint: bool = True) -> DataFrame:
     """The full feature row per customer."""
-    agg = customer_aggregates(hist)
-    if checkpoint:
-        agg = materialize(agg)
-    return features_from_aggregates(agg, n_categories)
+    return features_from_aggregates(customer_aggregates(hist), n_categories, checkpoint)
 
 
 def rfm_feature(hist: DataFrame, feature: str, n_categories: int = K.N_CATEGORIES) -> DataFrame:

@@ -9,6 +9,7 @@ MODULES = [
     "custlens.plans.q_reports",
     "custlens.plans.q_predicates",
     "custlens.plans.q_evaluation",
+    "custlens.plans.q_segments",
 ]
 
 
