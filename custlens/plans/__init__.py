@@ -10,6 +10,8 @@ MODULES = [
     "custlens.plans.q_predicates",
     "custlens.plans.q_evaluation",
     "custlens.plans.q_segments",
+    "custlens.plans.q_models",
+    "custlens.plans.q_sinks",
 ]
 
 
