@@ -12,6 +12,7 @@ MODULES = [
     "custlens.plans.q_segments",
     "custlens.plans.q_models",
     "custlens.plans.q_sinks",
+    "custlens.plans.q_streaming",
 ]
 
 

@@ -272,11 +272,13 @@ def classification_run(named: DataFrame, names: list[str] = K.MODEL_NAMES, cv_fo
 
 # ---------------------------------------------------------------- scoring
 
-def score_customers(customers: DataFrame, seg: Segmentation, model: TrainedModel, model_label: str) -> DataFrame:
+def score_customers(customers: DataFrame, seg: Segmentation, model: TrainedModel, model_label: str,
+                    keep: list[str] | None = None) -> DataFrame:
     """Table of customers -> segment, confidence, will_purchase, probability, model_used,
     recommendation.  Segment assignment applies the K-Means centres as literal expressions;
     a single request is a one-row table through the same plan."""
-    feats = P.default_features_scoring(customers.select("customer_id", *K.FEATURES))
+    keep = keep or ["customer_id"]
+    feats = P.default_features_scoring(customers.select(*keep, *K.FEATURES))
     z = G.standardize(feats, seg.scaler)
     assigned = G.assign_segments(z, kmeans_centres(seg))
     named = P.segment_name_lookup(assigned, seg.mapping, fallback=True)
@@ -284,7 +286,7 @@ def score_customers(customers: DataFrame, seg: Segmentation, model: TrainedModel
     prob = vector_to_array("probability")[1]
     will, p4 = P.purchase_decision(prob)
     return scored.select(
-        "customer_id",
+        *keep,
         F.col("segment").cast("int").alias("segment_id"), "segment_name", "confidence",
         will.alias("will_purchase"), p4.alias("probability"), F.lit(model_label).alias("model_used"),
         P.recommendation_for("segment_name").alias("recommendation"))
