@@ -1,8 +1,10 @@
 """Cutting lineage safely.
 
-``materialize`` writes a reliable checkpoint into the shared folder named by
-``spark.checkpoint.dir`` (never a local checkpoint: an executor loss must not lose it).
-Use it where one intermediate result feeds several consumers (scalar subquery + main plan,
+``materialize`` writes the frame as a Parquet table into the shared folder named by
+``spark.checkpoint.dir`` and reads it back: one job computes it (an eager RDD checkpoint would
+compute an uncached plan twice), the copy survives executor loss, and later reads get column
+pruning and filter pushdown.  Never a local checkpoint or a machine-local folder.
+Use it where one intermediate result feeds several consumers (scalar subqueries + main plan,
 iterative ML) and recomputing its input would repeat large joins.
 """
 
@@ -10,9 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from custlens.session import ensure_checkpoint_dir
+from custlens.session import scratch_path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "mat") -> DataFrame:
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -9,6 +9,7 @@ from custlens.operators import evaluation as E
 from custlens.operators import labels as L
 from custlens.operators import rfm
 from custlens.plans.registry import register
+from custlens.sources.feature_store import rfm_features
 from custlens.sources import tables as S
 
 H = S.HISTORY_SQL
@@ -18,7 +19,7 @@ SCORED = L.scored_customers_sql(RFM)
 
 
 def _rfm(spark, sf_dir):
-    return rfm.rfm_table(S.history(spark, sf_dir))
+    return rfm_features(spark, sf_dir, "history")
 
 
 def _scored(spark, sf_dir):

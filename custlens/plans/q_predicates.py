@@ -11,6 +11,7 @@ from custlens.operators import labels as L
 from custlens.operators import predicates as P
 from custlens.operators import rfm
 from custlens.plans.registry import register
+from custlens.sources.feature_store import rfm_features
 from custlens.sources import tables as S
 
 H = S.HISTORY_SQL
@@ -20,7 +21,7 @@ FEATS = ", ".join(K.FEATURES)
 
 
 def _rfm(spark, sf_dir):
-    return rfm.rfm_table(S.history(spark, sf_dir))
+    return rfm_features(spark, sf_dir, "history")
 
 
 def _tx_rows(df):
@@ -94,7 +95,7 @@ _ENRICH_SQL = f"""SELECT l.transaction_id, l.customer_id, l.amount, {', '.join('
 
 def _enriched(spark, sf_dir):
     live = S.live_purchases(spark, sf_dir).select("transaction_id", "customer_id", "amount")
-    return P.enrich_live(live, rfm.rfm_table(S.transactions(spark, sf_dir)))
+    return P.enrich_live(live, rfm_features(spark, sf_dir, "stored"))
 
 
 @register("enrich_live", _ENRICH_SQL)

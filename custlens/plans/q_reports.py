@@ -6,6 +6,7 @@ from custlens.operators import affinity as A
 from custlens.operators import reports as R
 from custlens.operators import rfm
 from custlens.plans.registry import register
+from custlens.sources.feature_store import rfm_features
 from custlens.sources import tables as S
 
 H = S.HISTORY_SQL
@@ -16,7 +17,7 @@ PAGE_LIMIT, PAGE_OFFSET = 100, 100
 
 
 def _rfm(spark, sf_dir):
-    return rfm.rfm_table(S.history(spark, sf_dir))
+    return rfm_features(spark, sf_dir, "history")
 
 
 @register("dataset_summary", R.dataset_summary_sql(H, RFM))

@@ -13,6 +13,7 @@ from custlens.operators import predicates as P
 from custlens.operators import rfm
 from custlens.operators import segments as G
 from custlens.plans.registry import register
+from custlens.sources.feature_store import rfm_features
 from custlens.sources import tables as S
 
 H = S.HISTORY_SQL
@@ -24,7 +25,7 @@ Z = G.Z
 
 
 def _rfm(spark, sf_dir):
-    return rfm.rfm_table(S.history(spark, sf_dir))
+    return rfm_features(spark, sf_dir, "history")
 
 
 def _named(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from custlens.functions.text import ts_text, ts_text_sql
 from custlens.operators import rfm
 from custlens.plans.registry import register
+from custlens.sources.feature_store import rfm_features
 from custlens.session import scratch_path
 from custlens.sources import files
 from custlens.sources import tables as S
@@ -40,7 +41,7 @@ def q_scan_csv(spark, sf_dir):
 
 @register("write_table", RFM)
 def q_write_table(spark, sf_dir):
-    path = files.write_table(rfm.rfm_table(S.history(spark, sf_dir)), scratch_path(spark, "rfm-table"))
+    path = files.write_table(rfm_features(spark, sf_dir, "history"), scratch_path(spark, "rfm-table"))
     return spark.read.parquet(path)
 
 
@@ -48,7 +49,7 @@ def q_write_table(spark, sf_dir):
                          f"UNION ALL SELECT 'rfm_features', COUNT(*) FROM ({RFM})")
 def q_migrate_csv(spark, sf_dir):
     tx_csv = files.write_csv(S.transactions(spark, sf_dir), scratch_path(spark, "tx-csv"))
-    rfm_csv = files.write_csv(rfm.rfm_table(S.history(spark, sf_dir)), scratch_path(spark, "rfm-csv"))
+    rfm_csv = files.write_csv(rfm_features(spark, sf_dir, "history"), scratch_path(spark, "rfm-csv"))
     counts = files.migrate_csv(spark, tx_csv, rfm_csv, S.TRANSACTION_SCHEMA,
                                scratch_path(spark, "tx-table"), scratch_path(spark, "rfm-table"))
     return spark.createDataFrame(list(counts.items()), "table_name string, rows long")
@@ -57,6 +58,6 @@ def q_migrate_csv(spark, sf_dir):
 @register("layout_by_customer", RFM)
 def q_layout_by_customer(spark, sf_dir):
     name = "rfm_by_customer"
-    files.layout_by_customer(rfm.rfm_table(S.history(spark, sf_dir)), name,
+    files.layout_by_customer(rfm_features(spark, sf_dir, "history"), name,
                              scratch_path(spark, "rfm-bucketed"), LAYOUT_BUCKETS)
     return spark.table(name)

@@ -15,6 +15,7 @@ from custlens.functions.text import ts_text, ts_text_sql
 from custlens.operators import rfm
 from custlens.plans import models as M
 from custlens.plans.registry import register
+from custlens.sources.feature_store import rfm_features
 from custlens.plans.training import training
 from custlens.session import scratch_path
 from custlens.sources import tables as S
@@ -39,7 +40,7 @@ def live_run(spark, sf_dir):
     with _LOCK:
         if key not in _LIVE:
             r, seg, cls = training(spark, sf_dir)
-            stored = rfm.rfm_table(S.transactions(spark, sf_dir))
+            stored = rfm_features(spark, sf_dir, "stored")
             model = cls.models[cls.best]
             keep = ["transaction_id", "event_id", "customer_id", "amount", "transaction_date"]
 
@@ -73,7 +74,7 @@ FROM r LEFT JOIN s ON r.customer_id = s.customer_id""")
 def q_stream_customer_state(spark, sf_dir):
     out = scratch_path(spark, "customer-state")
     V.run_customer_state(V.purchase_stream(spark, V.source_path(sf_dir)), out, scratch_path(spark, "state-ckpt"))
-    return V.updated_rfm(rfm.rfm_table(S.transactions(spark, sf_dir)), V.current_state(spark, out))
+    return V.updated_rfm(rfm_features(spark, sf_dir, "stored"), V.current_state(spark, out))
 
 
 @register("stream_score")

@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from custlens.operators import rfm
 from custlens.plans import models as M
+from custlens.sources.feature_store import rfm_features
 from custlens.sources import tables as S
 
 REGISTERED_CV_MODELS = ["LogisticRegression"]
@@ -26,7 +27,7 @@ def training(spark: SparkSession, sf_dir: str):
     key = (id(spark), sf_dir)
     with _LOCK:
         if key not in _RUNS:
-            r = rfm.rfm_table(S.history(spark, sf_dir))
+            r = rfm_features(spark, sf_dir, "history")
             seg = M.segmentation_run(r)
             cls = M.classification_run(seg.named, cv_models=REGISTERED_CV_MODELS)
             _RUNS[key] = (r, seg, cls)
