@@ -10,6 +10,9 @@ buffer, which does not survive a global group of 10^9+ rows.  Here, per group g:
    grouped by value (heavy ties collapse to one row);
 3. a running count over each bracket (window partitioned by (g, p); each partition has at
    most about 4n/accuracy distinct values) locates ranks floor(h) and ceil(h), h = (n-1)p.
+   A needed rank can sit one step outside a bracket (the sketch's ranks are p*n, the
+   interpolation's (n-1)p); the nearest values just below and just above each bracket are
+   taken in the counting pass for that case.
 
 ``method="linear"`` interpolates like numpy's percentile (from the nearer end, as pandas'
 ``quantile``/``describe``); ``method="midpoint"`` averages the two order statistics (numpy's
@@ -34,12 +37,12 @@ def _combine(v0: Column, v1: Column, frac: Column, method: str) -> Column:
 def grouped_quantiles(df: DataFrame, group: str | None, value: str | Column, probs: list[float],
                       names: list[str], method: str = "linear",
                       accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row per group (column ``g``) with one column per probability (``names``)."""
+    """One row per group (column ``group_key``) with one column per probability (``names``)."""
     v = F.col(value) if isinstance(value, str) else value
     g = F.col(group) if group else F.lit(0)
     vals = df.select(g.alias("g"), v.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     k = len(probs)
-    eps = 2.0 / accuracy
+    eps = 3.0 / accuracy
     lows = [max(p - eps, 0.0) for p in probs]
     highs = [min(p + eps, 1.0) for p in probs]
     stats = vals.groupBy("g").agg(
@@ -52,7 +55,10 @@ def grouped_quantiles(df: DataFrame, group: str | None, value: str | Column, pro
     )
     # stats has one row per group; Spark broadcasts it while it is small and shuffles otherwise
     tagged = vals.join(stats, "g")
-    below = tagged.groupBy("g").agg(*[F.count_if(F.col("v") < F.col(f"lo{i}")).alias(f"c{i}") for i in range(k)])
+    below = tagged.groupBy("g").agg(
+        *[F.count_if(F.col("v") < F.col(f"lo{i}")).alias(f"c{i}") for i in range(k)],
+        *[F.max(F.when(F.col("v") < F.col(f"lo{i}"), F.col("v"))).alias(f"prev{i}") for i in range(k)],
+        *[F.min(F.when(F.col("v") > F.col(f"hi{i}"), F.col("v"))).alias(f"next{i}") for i in range(k)])
     inside = tagged.select(
         "g",
         F.explode(F.array(*[
@@ -66,6 +72,7 @@ def grouped_quantiles(df: DataFrame, group: str | None, value: str | Column, pro
     pos = (below.join(stats.select("g", "n"), "g")
                 .select("g", F.explode(F.array(*[
                     F.struct(F.lit(i).alias("p_idx"), F.col(f"c{i}").alias("c"),
+                             F.col(f"prev{i}").alias("prev"), F.col(f"next{i}").alias("next"),
                              ((F.col("n") - 1).cast("double") * F.lit(float(probs[i]))).alias("h"))
                     for i in range(k)])).alias("s"))
                 .select("g", "s.*")
@@ -78,16 +85,20 @@ def grouped_quantiles(df: DataFrame, group: str | None, value: str | Column, pro
     picked = j.groupBy("g", "p_idx").agg(
         F.max(F.when((F.col("k0") >= start) & (F.col("k0") < end), F.col("v"))).alias("v0"),
         F.max(F.when((F.col("k1") >= start) & (F.col("k1") < end), F.col("v"))).alias("v1"),
-        F.max("frac").alias("frac"),
-    ).select("g", "p_idx", _combine(F.col("v0"), F.col("v1"), F.col("frac"), method).alias("q"))
-    return picked.groupBy("g").agg(*[F.max(F.when(F.col("p_idx") == i, F.col("q"))).alias(n)
-                                     for i, n in enumerate(names)])
+        F.max("cum_end").alias("inside"),
+        *[F.max(c).alias(c) for c in ("frac", "k0", "k1", "c", "prev", "next")],
+    )
+    v0 = F.coalesce(F.col("v0"), F.when(F.col("k0") == F.col("c") - 1, F.col("prev")))
+    v1 = F.coalesce(F.col("v1"), F.when(F.col("k1") == F.col("c") + F.col("inside"), F.col("next")))
+    picked = picked.select("g", "p_idx", _combine(v0, v1, F.col("frac"), method).alias("q"))
+    return picked.groupBy(F.col("g").alias("group_key")).agg(
+        *[F.max(F.when(F.col("p_idx") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
 
 
 def exact_quantile_row(df: DataFrame, value: str | Column, probs: list[float], names: list[str],
                        accuracy: int = DEFAULT_ACCURACY, method: str = "linear") -> DataFrame:
     """Whole-table quantiles as one row (no rows when there are no values)."""
-    return grouped_quantiles(df, None, value, probs, names, method, accuracy).drop("g")
+    return grouped_quantiles(df, None, value, probs, names, method, accuracy).drop("group_key")
 
 
 def exact_median_row(df: DataFrame, value: str | Column, name: str = "median") -> DataFrame:

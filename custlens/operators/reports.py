@@ -83,7 +83,7 @@ def rfm_statistics(rfm: DataFrame, columns: list[str] = STAT_COLUMNS) -> DataFra
     One pass for all metrics: unpivot, then a grouped aggregate and a grouped exact median."""
     lv, prof = _profile(rfm, columns, 2, with_std=False)
     med = grouped_quantiles(lv, "metric", "v", [0.5], ["median"], method="midpoint")
-    return (prof.join(med.withColumnRenamed("g", "metric"), "metric", "left")
+    return (prof.join(med.withColumnRenamed("group_key", "metric"), "metric", "left")
                 .select("metric", "mean", "median", "min", "max"))
 
 
@@ -164,7 +164,7 @@ def describe_columns(df: DataFrame, columns: list[str], exact_scale: dict[str, i
     scale = max(exact_scale.values()) if exact_scale else 6
     lv, prof = _profile(df, columns, scale, with_std=True)
     qs = grouped_quantiles(lv, "metric", "v", DESCRIBE_PROBS, ["q25", "q50", "q75"])
-    return (prof.join(qs.withColumnRenamed("g", "metric"), "metric", "left")
+    return (prof.join(qs.withColumnRenamed("group_key", "metric"), "metric", "left")
                 .select(F.col("metric").alias("column"), F.col("n").alias("count"), "mean", "std", "min",
                         "q25", "q50", "q75", "max"))
 
