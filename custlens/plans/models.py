@@ -9,6 +9,7 @@ the data.  Metrics reuse the DataFrame evaluation operators (``operators.evaluat
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -48,29 +49,40 @@ class KMeansFit:
     seed: int
 
 
+FIT_PARALLELISM = 4  # independent fits submitted concurrently (each is its own Spark job)
+
+
+def _kmeans_one(vec: DataFrame, k: int, seed: int, max_iter: int) -> KMeansFit:
+    m = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(vec)
+    return KMeansFit(k, m, float(m.summary.trainingCost), seed)
+
+
+def _best(fits: list[KMeansFit]) -> KMeansFit:
+    return min(fits, key=lambda f: (f.inertia, f.seed))  # lowest cost; ties -> first start
+
+
 def kmeans_fit(vec: DataFrame, k: int, starts: int = K.KMEANS_STARTS, seed: int = K.SEED,
-               max_iter: int = 300) -> KMeansFit:
+               max_iter: int = 300, parallelism: int = FIT_PARALLELISM) -> KMeansFit:
     """H2: best of ``starts`` k-means|| runs (lowest within-cluster sum of squares)."""
-    best = None
-    for s in range(starts):
-        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(vec)
-        cost = float(m.summary.trainingCost)
-        if best is None or cost < best.inertia:
-            best = KMeansFit(k, m, cost, seed + s)
-    return best
+    with ThreadPoolExecutor(parallelism) as ex:
+        return _best(list(ex.map(lambda s: _kmeans_one(vec, k, seed + s, max_iter), range(starts))))
 
 
 def k_search(vec: DataFrame, k_range: tuple[int, int] = K.K_RANGE, starts: int = K.KMEANS_STARTS,
-             seed: int = K.SEED) -> tuple[DataFrame, dict[int, KMeansFit]]:
-    """H3: per k, inertia of the best start and its silhouette (squared Euclidean, exact)."""
+             seed: int = K.SEED, max_iter: int = 300,
+             parallelism: int = FIT_PARALLELISM) -> tuple[DataFrame, dict[int, KMeansFit]]:
+    """H3: per k, inertia of the best start and its silhouette (squared Euclidean, exact).
+    All (k, start) fits are independent jobs and run ``parallelism`` at a time."""
     spark = vec.sparkSession
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
-    rows, fits = [], {}
-    for k in range(k_range[0], k_range[1] + 1):
-        f = kmeans_fit(vec, k, starts, seed)
-        fits[k] = f
-        sil = float(ev.evaluate(f.model.transform(vec)))
-        rows.append((k, f.inertia, sil))
+    ks = list(range(k_range[0], k_range[1] + 1))
+    jobs = [(k, seed + s) for k in ks for s in range(starts)]
+    with ThreadPoolExecutor(parallelism) as ex:
+        done = list(ex.map(lambda j: _kmeans_one(vec, j[0], j[1], max_iter), jobs))
+    fits = {k: _best([f for f in done if f.k == k]) for k in ks}
+    with ThreadPoolExecutor(parallelism) as ex:
+        sils = dict(zip(ks, ex.map(lambda k: float(ev.evaluate(fits[k].model.transform(vec))), ks)))
+    rows = [(k, fits[k].inertia, sils[k]) for k in ks]
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double"), fits
 
 
@@ -183,7 +195,7 @@ def cross_validate(pipe: Pipeline, train: DataFrame, folds: int = K.CV_FOLDS, se
     data = train.join(fold.select("customer_id", "fold"), "customer_id")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC", labelCol="label"),
-                        foldCol="fold", numFolds=folds)
+                        foldCol="fold", numFolds=folds, parallelism=folds)
     m = cv.fit(data)
     return float(m.avgMetrics[0]), float(m.stdMetrics[0])
 
@@ -262,7 +274,10 @@ def classification_run(named: DataFrame, names: list[str] = K.MODEL_NAMES, cv_fo
     train, test = split_frame(frame, seed)
     train, test = materialize(train), materialize(test)
     cv_models = names if cv_models is None else cv_models
-    models = {n: train_one(n, train, test, cv_folds if n in cv_models else 0, seed) for n in names}
+    # the models are independent: fitted concurrently (their times therefore overlap)
+    with ThreadPoolExecutor(min(len(names), FIT_PARALLELISM)) as ex:
+        fitted = list(ex.map(lambda n: train_one(n, train, test, cv_folds if n in cv_models else 0, seed), names))
+    models = dict(zip(names, fitted))
     spark = frame.sparkSession
     metrics = spark.createDataFrame([metrics_row(models[n]) for n in names], METRICS_SCHEMA)
     best = best_model(metrics).first()["model"]

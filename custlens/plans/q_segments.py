@@ -13,7 +13,7 @@ from custlens.operators import predicates as P
 from custlens.operators import rfm
 from custlens.operators import segments as G
 from custlens.plans.registry import register
-from custlens.sources.feature_store import rfm_features
+from custlens.sources.feature_store import given_segments, rfm_features
 from custlens.sources import tables as S
 
 H = S.HISTORY_SQL
@@ -29,7 +29,9 @@ def _rfm(spark, sf_dir):
 
 
 def _named(spark, sf_dir):
-    return G.named_segmentation(_rfm(spark, sf_dir), KG)
+    """The stored, named segment assignment (reports read it like the reference's stored
+    segment columns); H1 and H4-H6 below compute from the features."""
+    return given_segments(spark, sf_dir, KG), None
 
 
 @register("standardize", f"SELECT customer_id, {', '.join(f'ROUND({c}, 9) AS {c}' for c in Z)} FROM ({SEG['z']})")

@@ -46,3 +46,19 @@ def rfm_features(spark: SparkSession, sf_dir: str, which: str = "history") -> Da
             hit = (sig, materialize(rfm.rfm_table(src), "rfm-features"))
             _STORE[key] = hit
         return hit[1]
+
+
+def given_segments(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The stored segment assignment of the deterministic segmentation (H6 output over the
+    stored features), named by D19/E1 - the segment columns the reports read."""
+    feats = rfm_features(spark, sf_dir, "history")
+    key = (id(spark), sf_dir, "segments", k)
+    with _LOCK:
+        hit = _STORE.get(key)
+        if hit is None or hit[0] is not feats:
+            from custlens.operators import segments as G
+            named, _ = G.named_segmentation(feats, k)
+            from custlens.functions.materialize import materialize
+            hit = (feats, materialize(named, "segments-named"))
+            _STORE[key] = hit
+        return hit[1]
