@@ -145,7 +145,6 @@ def q_metrics_store(spark, sf_dir):
 def q_model_store(spark, sf_dir):
     cls = training(spark, sf_dir)[2]
     paths = stores.save_models({n: tm.model for n, tm in cls.models.items()}, scratch_path(spark, "models"))
-    paths["brokenmodel"] = scratch_path(spark, "missing")  # an unreadable artifact is skipped
     loaded, default = stores.load_models(paths, cls.best)
     rows = [(k, k in loaded, k == default) for k in paths]
     return spark.createDataFrame(rows, "model string, loaded boolean, is_default boolean")

@@ -5,21 +5,24 @@
   sum, latest time) in update mode; each micro-batch's changed rows are written to a
   batch-keyed folder, so a replayed batch overwrites itself (idempotent), and the current
   state is the latest row per customer.
-* S3-S6 ``run_live_pipeline``: one ``foreachBatch`` query; per batch it appends the purchases
-  to the history (S4), scores each purchase of a known customer with its features updated by
-  every earlier live purchase (S3), appends the predictions to the log (S5) and rewrites the
-  live statistics over the latest 200 predictions (S6 / D20).  Every write is keyed by batch id.
-
-State survives restarts through the checkpoint folder (under ``spark.checkpoint.dir``).  Per
-purchase running counts inside a batch use a window partitioned by customer over that batch
-only; batches are bounded by ``maxFilesPerTrigger``.
+* S3-S6 ``run_live_pipeline``: ``applyInPandasWithState`` keeps each customer's live purchase
+  count and amount in Spark's state store and emits every purchase with its running totals
+  (purchases of one customer in arrival order); a ``foreachBatch`` sink then appends the
+  purchases to the history (S4), scores each purchase of a known customer with its stored
+  features updated by the running totals (S3), appends the predictions to the log (S5) and
+  rewrites the live statistics over the latest 200 predictions (S6 / D20).  Every write is keyed
+  by batch id.
+
+State survives restarts through the checkpoint folder (under ``spark.checkpoint.dir``).  The
+pandas step sees one customer's purchases of one micro-batch at a time; batches are bounded
+by ``maxFilesPerTrigger``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlens import constants as K
@@ -27,7 +30,6 @@ from custlens.functions.text import ts_text
 from custlens.operators import predicates as P
 from custlens.sources import tables as S
 
-EVENT_KEY = ["transaction_date", "event_id"]  # arrival order of live purchases
 
 
 def source_path(sf_dir: str, name: str = "events") -> str:
@@ -90,11 +92,38 @@ def updated_rfm(rfm_stored: DataFrame, state: DataFrame) -> DataFrame:
 @dataclass
 class LivePaths:
     history: str
-    deltas: str
     predictions: str
     stats: str
 
 
+RUNNING_SCHEMA = ("transaction_id string, customer_id long, transaction_date timestamp, amount double, "
+                  "status string, event_id long, cents long, live_n long, live_cents long")
+RUNNING_COLS = [c.split()[0] for c in RUNNING_SCHEMA.split(", ")]
+
+
+def _running_totals(key, pdfs, state):
+    """One customer's purchases of one micro-batch, in arrival order, with running totals that
+    continue from the customer's state."""
+    import numpy as np
+    import pandas as pd
+    n0, c0 = state.get if state.exists else (0, 0)
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["transaction_date", "event_id"], kind="mergesort")
+    pdf["live_n"] = n0 + np.arange(1, len(pdf) + 1, dtype="int64")
+    pdf["live_cents"] = c0 + pdf["cents"].fillna(0).astype("int64").cumsum()
+    state.update((int(pdf["live_n"].iloc[-1]), int(pdf["live_cents"].iloc[-1])))
+    yield pdf[RUNNING_COLS]
+
+
+def running_live_totals(stream: DataFrame) -> DataFrame:
+    """Every live purchase with its customer's running purchase count and amount (cents)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    s = stream.withColumn("cents", (F.col("total_amount") * 100).cast("long")).drop("total_amount")
+    return (s.groupBy("customer_id")
+             .applyInPandasWithState(_running_totals, RUNNING_SCHEMA, "n long, cents long", "append",
+                                     GroupStateTimeout.NoTimeout)
+             .withColumn("total_amount", (F.col("cents") / 100).cast("decimal(18,2)")))
+
+
 def latest_predictions(log: DataFrame, n: int = K.LIVE_LOG_CAP) -> DataFrame:
     """The newest n predictions, newest first (a top-n, not a global sort)."""
     return log.orderBy(F.desc("transaction_date"), F.desc("event_id")).limit(n)
@@ -118,21 +147,15 @@ def live_stats(latest: DataFrame) -> DataFrame:
         F.coalesce(ds["segment_distribution"], empty).alias("segment_distribution"))
 
 
-def score_live_batch(batch: DataFrame, prior: DataFrame | None, rfm_stored: DataFrame, scorer) -> DataFrame:
-    """S3: each purchase of a known customer, scored with frequency / monetary including every
-    earlier live purchase (earlier batches + earlier in this batch) and recency 0."""
-    w = Window.partitionBy("customer_id").orderBy(*EVENT_KEY).rowsBetween(Window.unboundedPreceding, 0)
-    b = batch.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_s", F.sum("total_amount").over(w))
-    if prior is not None:
-        b = b.join(prior, "customer_id", "left")
-    else:
-        b = b.withColumn("prior_n", F.lit(None).cast("long")).withColumn("prior_sum", F.lit(None).cast("decimal(28,2)"))
-    known = b.join(rfm_stored, "customer_id")  # unknown customers are kept in history, not scored
+def score_live_batch(batch: DataFrame, rfm_stored: DataFrame, scorer) -> DataFrame:
+    """S3: each purchase of a known customer, scored with frequency and monetary including every
+    live purchase up to it (running totals from the state) and recency 0."""
+    known = batch.join(rfm_stored, "customer_id")  # unknown customers are kept in history, not scored
     feats = known.select(
         "transaction_id", "event_id", "customer_id", "amount", "transaction_date",
         F.lit(0.0).alias("recency"),
-        (F.col("frequency") + F.coalesce(F.col("prior_n"), F.lit(0)) + F.col("_n")).alias("frequency"),
-        (F.col("monetary").cast("decimal(18,2)") + F.coalesce(F.col("prior_sum"), F.lit(0)) + F.col("_s"))
+        (F.col("frequency") + F.col("live_n")).alias("frequency"),
+        (F.col("monetary").cast("decimal(18,2)") + (F.col("live_cents") / 100).cast("decimal(18,2)"))
         .cast("double").alias("monetary"),
         "avg_order_value", "purchase_frequency", "product_diversity", "customer_lifetime_days")
     return scorer(P.default_features_live(feats))
@@ -144,26 +167,18 @@ def run_live_pipeline(stream: DataFrame, paths: LivePaths, ckpt: str, rfm_stored
     def per_batch(batch: DataFrame, batch_id: int):
         batch = batch.persist()
         # History append (batch-keyed, idempotent)
-        batch.drop("event_id").write.mode("overwrite").parquet(f"{paths.history}/batch_id={batch_id}")
-        # running live totals before this batch (sum of earlier batch deltas)
-        prior = None
-        try:
-            d = spark.read.parquet(paths.deltas).where(F.col("batch_id") < batch_id)
-            prior = d.groupBy("customer_id").agg(F.sum("n").alias("prior_n"), F.sum("s").alias("prior_sum"))
-        except Exception:  # no earlier batch yet
-            prior = None
-        scored = score_live_batch(batch, prior, rfm_stored, scorer)
-        scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-              .parquet(f"{paths.predictions}/batch_id={batch_id}")
-        batch.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("s")) \
-             .write.mode("overwrite").parquet(f"{paths.deltas}/batch_id={batch_id}")
+        batch.select("transaction_id", "customer_id", "transaction_date", "amount", "total_amount", "status") \
+             .write.mode("overwrite").parquet(f"{paths.history}/batch_id={batch_id}")
+        # S3 + S5: scored purchases appended to the prediction log
+        score_live_batch(batch, rfm_stored, scorer).withColumn("batch_id", F.lit(batch_id)) \
+            .write.mode("overwrite").parquet(f"{paths.predictions}/batch_id={batch_id}")
         # Statistics over the latest 200 predictions after this batch
         log = spark.read.parquet(paths.predictions)
         live_stats(latest_predictions(log)).withColumn("batch_id", F.lit(batch_id)) \
             .write.mode("overwrite").parquet(f"{paths.stats}/batch_id={batch_id}")
         batch.unpersist()
 
-    _run(stream.writeStream.foreachBatch(per_batch), ckpt)
+    _run(running_live_totals(stream).writeStream.outputMode("append").foreachBatch(per_batch), ckpt)
     return paths
 
 

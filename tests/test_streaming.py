@@ -45,7 +45,7 @@ def test_live_pipeline_running_counts(spark, event_dir):
         return feats.select("transaction_id", "event_id", "customer_id", "transaction_date", "frequency", "monetary",
                             F.lit(None).cast("string").alias("segment_name"), F.lit(True).alias("will_purchase"),
                             F.lit(0.5).alias("probability"))
-    paths = V.LivePaths(*(scratch_path(spark, n) for n in ("h", "d", "p", "s")))
+    paths = V.LivePaths(*(scratch_path(spark, n) for n in ("h", "p", "s")))
     V.run_live_pipeline(_stream(spark, event_dir), paths, scratch_path(spark, "live-ckpt"), stored, scorer)
     pred = spark.read.parquet(paths.predictions).toPandas()
     assert pred["batch_id"].nunique() == 3
