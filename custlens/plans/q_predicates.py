@@ -11,7 +11,7 @@ from custlens.operators import labels as L
 from custlens.operators import predicates as P
 from custlens.operators import rfm
 from custlens.plans.registry import register
-from custlens.sources.feature_store import rfm_features
+from custlens.sources.feature_store import history_table, rfm_features
 from custlens.sources import tables as S
 
 H = S.HISTORY_SQL
@@ -53,7 +53,7 @@ _MIXED_SQL = ("CASE WHEN status IS NULL THEN strftime(transaction_date, '%Y-%m-%
     epoch_us(COALESCE(try_strptime(date_text, '%Y-%m-%d %H:%M:%S'), try_strptime(date_text, '%Y-%m-%d'))) AS parsed_us
     FROM (SELECT transaction_id, {_MIXED_SQL} AS date_text FROM ({H}))""")
 def q_parse_mixed_dates(spark, sf_dir):
-    h = S.history(spark, sf_dir).select("transaction_id", P.mixed_date_text(None).alias("date_text"))
+    h = history_table(spark, sf_dir).select("transaction_id", P.mixed_date_text(None).alias("date_text"))
     return h.select("transaction_id", "date_text", F.unix_micros(P.parse_mixed_dates("date_text")).alias("parsed_us"))
 
 

@@ -6,7 +6,7 @@ from custlens.operators import affinity as A
 from custlens.operators import reports as R
 from custlens.operators import rfm
 from custlens.plans.registry import register
-from custlens.sources.feature_store import rfm_features
+from custlens.sources.feature_store import history_table, rfm_features
 from custlens.sources import tables as S
 
 H = S.HISTORY_SQL
@@ -22,7 +22,7 @@ def _rfm(spark, sf_dir):
 
 @register("dataset_summary", R.dataset_summary_sql(H, RFM))
 def q_dataset_summary(spark, sf_dir):
-    return R.dataset_summary(S.history(spark, sf_dir), _rfm(spark, sf_dir))
+    return R.dataset_summary(history_table(spark, sf_dir), _rfm(spark, sf_dir))
 
 
 @register("rfm_statistics", R.rfm_statistics_sql(RFM))
@@ -32,17 +32,17 @@ def q_rfm_statistics(spark, sf_dir):
 
 @register("category_distribution", R.value_distribution_sql(H, "product_category", "product_category"))
 def q_category_distribution(spark, sf_dir):
-    return R.value_distribution(S.history(spark, sf_dir), "product_category", "product_category")
+    return R.value_distribution(history_table(spark, sf_dir), "product_category", "product_category")
 
 
 @register("payment_distribution", R.value_distribution_sql(H, "payment_method", "payment_method"))
 def q_payment_distribution(spark, sf_dir):
-    return R.value_distribution(S.history(spark, sf_dir), "payment_method", "payment_method")
+    return R.value_distribution(history_table(spark, sf_dir), "payment_method", "payment_method")
 
 
 @register("monthly_revenue", R.monthly_revenue_sql(H))
 def q_monthly_revenue(spark, sf_dir):
-    return R.monthly_revenue(S.history(spark, sf_dir))
+    return R.monthly_revenue(history_table(spark, sf_dir))
 
 
 @register("describe_rfm", R.describe_columns_sql(RFM, list(RFM_SCALES), RFM_SCALES))
@@ -57,12 +57,12 @@ def q_rfm_histogram(spark, sf_dir):
 
 @register("max_transaction_number", R.max_transaction_number_sql(H))
 def q_max_transaction_number(spark, sf_dir):
-    return R.max_transaction_number(S.history(spark, sf_dir))
+    return R.max_transaction_number(history_table(spark, sf_dir))
 
 
 @register("distinct_values", R.distinct_values_sql(H))
 def q_distinct_values(spark, sf_dir):
-    return R.distinct_values(S.history(spark, sf_dir))
+    return R.distinct_values(history_table(spark, sf_dir))
 
 
 @register("page_rfm", R.page_sql(RFM, "customer_id", PAGE_LIMIT, PAGE_OFFSET))
@@ -72,24 +72,24 @@ def q_page_rfm(spark, sf_dir):
 
 @register("page_transactions", R.page_transactions_sql(H, PAGE_LIMIT, 0))
 def q_page_transactions(spark, sf_dir):
-    return R.page_transactions(S.history(spark, sf_dir), PAGE_LIMIT, 0)
+    return R.page_transactions(history_table(spark, sf_dir), PAGE_LIMIT, 0)
 
 
 @register("category_affinity", A.category_affinity_sql(H))
 def q_category_affinity(spark, sf_dir):
-    return A.category_affinity(S.history(spark, sf_dir))
+    return A.category_affinity(history_table(spark, sf_dir))
 
 
 @register("affinity_top20", A.affinity_top_sql(H))
 def q_affinity_top20(spark, sf_dir):
-    return A.affinity_top(S.history(spark, sf_dir))
+    return A.affinity_top(history_table(spark, sf_dir))
 
 
 @register("category_axis", A.category_axis_sql(H))
 def q_category_axis(spark, sf_dir):
-    return A.category_axis(A.affinity_top(S.history(spark, sf_dir)))
+    return A.category_axis(A.affinity_top(history_table(spark, sf_dir)))
 
 
 @register("affinity_matrix", A.affinity_matrix_sql(H))
 def q_affinity_matrix(spark, sf_dir):
-    return A.affinity_matrix(A.affinity_top(S.history(spark, sf_dir)))
+    return A.affinity_matrix(A.affinity_top(history_table(spark, sf_dir)))

@@ -1,14 +1,17 @@
-"""The stored RFM feature table (the reference's ``rfm_features``), shared by the reports.
+"""Stored tables the reports read: the transaction history (the reference's ``transactions``)
+and the RFM feature table (its ``rfm_features``).
 
-Built once per session and source snapshot by D8 and written under the shared checkpoint folder;
-rebuilt whenever a source file changes (size or modification time), so a report never reads
-stale features.  The D1-D8 queries themselves always compute from the transactions."""
+Each is built once per session and source snapshot and written under the shared checkpoint
+folder; it is rebuilt whenever a source file changes (size or modification time), so a report
+never reads stale data.  The D1-D8 and A8 queries themselves always compute from the source
+tables."""
 
 from __future__ import annotations
 
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from custlens.operators import rfm
 from custlens.sources import tables as S
@@ -34,16 +37,29 @@ def _signature(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
     return tuple(sig)
 
 
+def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history: transactions (status null) and live purchases (status set)."""
+    sig = _signature(spark, sf_dir, SOURCES["history"])
+    key = (id(spark), sf_dir, "history-table")
+    with _LOCK:
+        hit = _STORE.get(key)
+        if hit is None or hit[0] != sig:
+            from custlens.functions.materialize import materialize
+            hit = (sig, materialize(S.history(spark, sf_dir), "history"))
+            _STORE[key] = hit
+        return hit[1]
+
+
 def rfm_features(spark: SparkSession, sf_dir: str, which: str = "history") -> DataFrame:
     """The feature table over ``history`` (transactions + live) or ``stored`` (transactions)."""
-    sig = _signature(spark, sf_dir, SOURCES[which])
+    hist = history_table(spark, sf_dir)
     key = (id(spark), sf_dir, which)
     with _LOCK:
         hit = _STORE.get(key)
-        if hit is None or hit[0] != sig:
-            src = S.history(spark, sf_dir) if which == "history" else S.transactions(spark, sf_dir)
+        if hit is None or hit[0] is not hist:
+            src = hist if which == "history" else hist.where(F.col("status").isNull()).drop("amount", "status")
             from custlens.functions.materialize import materialize
-            hit = (sig, materialize(rfm.rfm_table(src), "rfm-features"))
+            hit = (hist, materialize(rfm.rfm_table(src), "rfm-features"))
             _STORE[key] = hit
         return hit[1]
 
