@@ -36,7 +36,7 @@ def _live_rows(df):
 
 
 def live_run(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _LIVE:
             r, seg, cls = training(spark, sf_dir)

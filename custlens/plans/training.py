@@ -24,7 +24,7 @@ _RUNS: dict = {}
 
 
 def training(spark: SparkSession, sf_dir: str):
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _RUNS:
             r = rfm_features(spark, sf_dir, "history")

@@ -40,7 +40,7 @@ def _signature(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
 def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored history: transactions (status null) and live purchases (status set)."""
     sig = _signature(spark, sf_dir, SOURCES["history"])
-    key = (id(spark), sf_dir, "history-table")
+    key = (spark.sparkContext.applicationId, sf_dir, "history-table")
     with _LOCK:
         hit = _STORE.get(key)
         if hit is None or hit[0] != sig:
@@ -53,7 +53,7 @@ def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rfm_features(spark: SparkSession, sf_dir: str, which: str = "history") -> DataFrame:
     """The feature table over ``history`` (transactions + live) or ``stored`` (transactions)."""
     hist = history_table(spark, sf_dir)
-    key = (id(spark), sf_dir, which)
+    key = (spark.sparkContext.applicationId, sf_dir, which)
     with _LOCK:
         hit = _STORE.get(key)
         if hit is None or hit[0] is not hist:
@@ -68,7 +68,7 @@ def given_segments(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The stored segment assignment of the deterministic segmentation (H6 output over the
     stored features), named by D19/E1 - the segment columns the reports read."""
     feats = rfm_features(spark, sf_dir, "history")
-    key = (id(spark), sf_dir, "segments", k)
+    key = (spark.sparkContext.applicationId, sf_dir, "segments", k)
     with _LOCK:
         hit = _STORE.get(key)
         if hit is None or hit[0] is not feats:
