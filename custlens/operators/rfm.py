@@ -87,8 +87,12 @@ def rfm_table(hist: DataFrame, n_categories: int = K.N_CATEGORIES, checkpoint: b
 
 
 def rfm_feature(hist: DataFrame, feature: str, n_categories: int = K.N_CATEGORIES) -> DataFrame:
-    """One feature per customer (same aggregate, projected)."""
-    return rfm_table(hist, n_categories).select("customer_id", feature)
+    """One feature per customer.  Only recency needs the global reference date (and so
+    the materialized per-customer table); for the others Catalyst prunes the aggregation to the
+    inputs that one feature uses (e.g. monetary is a single sum of cents per customer)."""
+    if feature == "recency":
+        return rfm_table(hist, n_categories).select("customer_id", feature)
+    return rfm_table(hist, n_categories, checkpoint=False).select("customer_id", feature)
 
 
 # ---------------------------------------------------------------- oracle SQL

@@ -57,29 +57,31 @@ def q_cluster_inertia(spark, sf_dir):
     return G.inertia(binned, cents).select(F.round("inertia", 6).alias("inertia"))
 
 
+def _assigned(spark, sf_dir):
+    """The stored assignment (H6 output); H4, D19, E1 and B8 are operators on an assignment."""
+    return given_segments(spark, sf_dir, KG).drop("segment_name")
+
+
 @register("silhouette", G.silhouette_sql(SEG["assigned"]))
 def q_silhouette(spark, sf_dir):
-    a, _ = G.given_segmentation(_rfm(spark, sf_dir), KG)
-    return G.silhouette(a).select(F.round("silhouette", 9).alias("silhouette"))
+    return G.silhouette(_assigned(spark, sf_dir)).select(F.round("silhouette", 9).alias("silhouette"))
 
 
 @register("segment_score", SEG["scores"])
 def q_segment_score(spark, sf_dir):
-    a, _ = G.given_segmentation(_rfm(spark, sf_dir), KG)
-    return G.segment_scores(a)
+    return G.segment_scores(_assigned(spark, sf_dir))
 
 
 @register("segment_ranking", SEG["ranked"])
 def q_segment_ranking(spark, sf_dir):
-    a, _ = G.given_segmentation(_rfm(spark, sf_dir), KG)
-    return G.segment_ranking(G.segment_scores(a), KG)
+    return G.segment_ranking(G.segment_scores(_assigned(spark, sf_dir)), KG)
 
 
 @register("segment_name_lookup", f"""SELECT a.customer_id, a.segment,
     COALESCE(r.segment_name, 'Segment ' || CAST(a.segment AS VARCHAR)) AS segment_name
     FROM ({SEG['assigned']}) a LEFT JOIN ({SEG['ranked']}) r USING (segment)""")
 def q_segment_name_lookup(spark, sf_dir):
-    a, _ = G.given_segmentation(_rfm(spark, sf_dir), KG)
+    a = _assigned(spark, sf_dir)
     mapping = G.segment_ranking(G.segment_scores(a), KG)
     return P.segment_name_lookup(a.select("customer_id", "segment"), mapping, fallback=True)
 
