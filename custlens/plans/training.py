@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
@@ -33,9 +34,21 @@ _LOCK = threading.Lock()
 _RUNS: dict = {}
 
 
+def _code_version() -> str:
+    """A saved run is only reused by the code that produced it."""
+    import pathlib
+    import custlens
+    root = pathlib.Path(custlens.__file__).parent
+    h = hashlib.sha256()
+    for f in sorted(root.rglob("*.py")):
+        h.update(f.read_bytes())
+    return h.hexdigest()[:16]
+
+
 def _run_dir(spark: SparkSession, sf_dir: str) -> str:
     sig = FS._signature(spark, sf_dir, FS.SOURCES["history"])
-    h = hashlib.sha256(json.dumps([sf_dir, sig, SETTINGS], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    key = [sf_dir, sig, SETTINGS, _code_version()]
+    h = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:16]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/training-runs/{h}"
 
 
@@ -48,18 +61,23 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 
 
 def save_run(spark: SparkSession, base: str, seg: M.Segmentation, cls: M.ClassificationRun) -> None:
-    seg.kmeans.write().overwrite().save(f"{base}/kmeans")
-    seg.search.write.mode("overwrite").parquet(f"{base}/search")
-    seg.mapping.write.mode("overwrite").parquet(f"{base}/mapping")
-    seg.named.write.mode("overwrite").parquet(f"{base}/named")
-    cls.metrics.write.mode("overwrite").parquet(f"{base}/metrics")
-    cls.target_distribution.write.mode("overwrite").parquet(f"{base}/target_distribution")
+    writes = [
+        lambda: seg.kmeans.write().overwrite().save(f"{base}/kmeans"),
+        lambda: seg.search.write.mode("overwrite").parquet(f"{base}/search"),
+        lambda: seg.mapping.write.mode("overwrite").parquet(f"{base}/mapping"),
+        lambda: seg.named.write.mode("overwrite").parquet(f"{base}/named"),
+        lambda: cls.metrics.write.mode("overwrite").parquet(f"{base}/metrics"),
+        lambda: cls.target_distribution.write.mode("overwrite").parquet(f"{base}/target_distribution"),
+    ]
     models = {}
     for name, tm in cls.models.items():
-        tm.model.write().overwrite().save(f"{base}/models/{name}")
-        tm.metrics["roc"].write.mode("overwrite").parquet(f"{base}/roc/{name}")
+        writes.append(lambda tm=tm, name=name: tm.model.write().overwrite().save(f"{base}/models/{name}"))
+        writes.append(lambda tm=tm, name=name: tm.metrics["roc"].write.mode("overwrite").parquet(f"{base}/roc/{name}"))
         models[name] = {"train_seconds": tm.train_seconds, "cv_mean": tm.cv_mean, "cv_std": tm.cv_std,
                         "metrics": {k: v for k, v in tm.metrics.items() if k != "roc"}}
+    with ThreadPoolExecutor(M.FIT_PARALLELISM) as ex:  # independent writes
+        for f in [ex.submit(w) for w in writes]:
+            f.result()
     meta = {"k": seg.k, "silhouette": seg.silhouette, "inertia": seg.inertia, "scaler": seg.scaler,
             "best": cls.best, "train_size": cls.train_size, "test_size": cls.test_size, "models": models}
     _write_json(spark, meta, f"{base}/_run")  # written last: its presence marks a complete run
