@@ -19,8 +19,8 @@ NORMALIZED = ["frequency", "purchase_frequency", "monetary"]
 def max_normalize(df: DataFrame, columns: list[str] = NORMALIZED) -> DataFrame:
     """Each column divided by its whole-table maximum (null when the maximum is 0)."""
     mx = df.select(F.struct(*[F.max(c).alias(c) for c in columns])).scalar()
-    return df.select("customer_id", *[F.try_divide(F.col(c).cast("double"), mx[c]).alias(f"{c}_norm")
-                                      for c in columns])
+    return df.withColumn("_mx", mx).select(
+        "customer_id", *[F.try_divide(F.col(c).cast("double"), F.col(f"_mx.{c}")).alias(f"{c}_norm") for c in columns])
 
 
 def max_normalize_sql(src: str, columns: list[str] = NORMALIZED) -> str:
@@ -42,10 +42,10 @@ def purchase_target(rfm: DataFrame) -> DataFrame:
 
     Returns (customer_id, purchase_score = p / max p, will_purchase int)."""
     mx = rfm.select(F.struct(F.max("frequency").alias("f"), F.max("purchase_frequency").alias("pf"))).scalar()
-    with_p = rfm.withColumn("_p", _raw_propensity(mx["f"], mx["pf"]))
+    with_p = rfm.withColumn("_mx", mx).withColumn("_p", _raw_propensity(F.col("_mx.f"), F.col("_mx.pf")))
     mp = with_p.select(F.max("_p")).scalar()
-    score = F.try_divide(F.col("_p"), mp)
-    return with_p.select("customer_id", score.alias("purchase_score"),
+    score = F.try_divide(F.col("_p"), F.col("_mp"))
+    return with_p.withColumn("_mp", mp).select("customer_id", score.alias("purchase_score"),
                          (score > K.TARGET_THRESHOLD).cast("int").alias("will_purchase"))
 
 
@@ -65,11 +65,12 @@ def scored_customers(rfm: DataFrame, decision: float = K.DECISION_THRESHOLD) ->
     """(customer_id, label, score, prediction): the E3 label against a closed-form score
     (frequency / max frequency, E2) thresholded at ``decision`` - one projection, no join."""
     mx = rfm.select(F.struct(F.max("frequency").alias("f"), F.max("purchase_frequency").alias("pf"))).scalar()
-    with_p = rfm.withColumn("_p", _raw_propensity(mx["f"], mx["pf"]))
+    with_p = rfm.withColumn("_mx", mx).withColumn("_p", _raw_propensity(F.col("_mx.f"), F.col("_mx.pf")))
     mp = with_p.select(F.max("_p")).scalar()
-    score = F.try_divide(F.col("frequency").cast("double"), mx["f"])
-    return with_p.select("customer_id", (F.try_divide(F.col("_p"), mp) > K.TARGET_THRESHOLD).cast("int").alias("label"),
-                         score.alias("score"), (score > decision).cast("int").alias("prediction"))
+    with_p = with_p.withColumn("_mp", mp).withColumn("_score", F.try_divide(F.col("frequency").cast("double"), F.col("_mx.f")))
+    return with_p.select("customer_id",
+                         (F.try_divide(F.col("_p"), F.col("_mp")) > K.TARGET_THRESHOLD).cast("int").alias("label"),
+                         F.col("_score").alias("score"), (F.col("_score") > decision).cast("int").alias("prediction"))
 
 
 def scored_customers_sql(rfm_sql: str, decision: float = K.DECISION_THRESHOLD) -> str:

@@ -224,4 +224,4 @@ def with_table_max(df: DataFrame, columns: list[str]) -> DataFrame:
     """Whole-table maxima attached to every row via one scalar subquery (no shuffle of
     ``df``, no single-partition window)."""
     mx = df.select(F.struct(*[F.max(c).alias(c) for c in columns])).scalar()
-    return df.select("*", *[mx[c].alias(f"max_{c}") for c in columns])
+    return df.withColumn("_mx", mx).select(*df.columns, *[F.col(f"_mx.{c}").alias(f"max_{c}") for c in columns])

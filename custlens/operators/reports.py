@@ -33,14 +33,14 @@ def dataset_summary(hist: DataFrame, rfm: DataFrame) -> DataFrame:
     med = exact_median_row(rfm, "monetary", "revenue_median")
     hs = h.select(F.struct("*")).scalar()
     ms = med.select(F.struct("*")).scalar()
-    return r.select(
+    return r.withColumn("_h", hs).withColumn("_m", ms).select(
         F.col("total_customers"),
-        hs["total_transactions"].alias("total_transactions"),
-        ts_text(hs["d0"]).alias("date_start"),
-        ts_text(hs["d1"]).alias("date_end"),
+        F.col("_h.total_transactions").alias("total_transactions"),
+        ts_text(F.col("_h.d0")).alias("date_start"),
+        ts_text(F.col("_h.d1")).alias("date_end"),
         F.coalesce(F.col("rev"), F.lit(0)).cast("double").alias("revenue_total"),
         F.try_divide(F.col("rev").cast("double"), F.col("total_customers")).alias("revenue_average"),
-        ms["revenue_median"].alias("revenue_median"),
+        F.col("_m.revenue_median").alias("revenue_median"),
     )
 
 
@@ -194,14 +194,15 @@ def histogram(df: DataFrame, columns: list[str], bins: int = K.HISTOGRAM_BINS) -
         mm = df.agg(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")) \
                .select(F.struct("lo", "hi")).scalar()
         x = F.col(c).cast("double")
-        width = mm["hi"] - mm["lo"]
+        width = F.col("_mm.hi") - F.col("_mm.lo")
         b = F.when(width == 0, F.lit(1)).otherwise(
-            F.least(F.floor((x - mm["lo"]) / width * bins) + 1, F.lit(bins)))
-        counted = df.where(F.col(c).isNotNull()).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            F.least(F.floor((x - F.col("_mm.lo")) / width * bins) + 1, F.lit(bins)))
+        counted = (df.where(F.col(c).isNotNull()).withColumn("_mm", mm)
+                     .groupBy(b.cast("int").alias("bin"), F.col("_mm")).agg(F.count(F.lit(1)).alias("n")))
         parts.append(counted.select(
             F.lit(c).alias("metric"), "bin",
-            (mm["lo"] + width * (F.col("bin") - 1) / bins).alias("bin_start"),
-            (mm["lo"] + width * F.col("bin") / bins).alias("bin_end"),
+            (F.col("_mm.lo") + width * (F.col("bin") - 1) / bins).alias("bin_start"),
+            (F.col("_mm.lo") + width * F.col("bin") / bins).alias("bin_end"),
             "n"))
     out = parts[0]
     for p in parts[1:]:

@@ -63,9 +63,9 @@ def features_from_aggregates(agg: DataFrame, n_categories: int = K.N_CATEGORIES,
     if checkpoint:
         pre = materialize(pre)
     ref_last = pre.select(F.max("last_purchase")).scalar()
-    return pre.where(F.col("customer_id").isNotNull()).select(
+    return pre.where(F.col("customer_id").isNotNull()).withColumn("_ref", ref_last).select(
         "customer_id",
-        (whole_days(ref_last, F.col("last_purchase")) + 1).alias("recency"),
+        (whole_days("_ref", "last_purchase") + 1).alias("recency"),
         "frequency", "monetary", "avg_order_value", "customer_lifetime_days",
         "purchase_frequency", "product_diversity",
     )
