@@ -53,7 +53,13 @@ def _run(writer, ckpt: str):
 
 # ---------------------------------------------------------------- S2
 
-def run_customer_state(stream: DataFrame, out_path: str, ckpt: str) -> str:
+COMPACT_EVERY = 10  # batches between snapshots of the customer state change log
+
+
+def run_customer_state(stream: DataFrame, out_path: str, ckpt: str, compact_every: int = COMPACT_EVERY) -> str:
+    """Per-customer live totals; each batch's changed rows go to ``batch_id=<id>`` and every
+    ``compact_every`` batches the log is folded into a latest-per-customer snapshot, so reading
+    the state costs one snapshot plus fewer than ``compact_every`` batches."""
     agg = stream.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("n_live"),
         F.sum("total_amount").alias("live_sum"),
@@ -61,16 +67,42 @@ def run_customer_state(stream: DataFrame, out_path: str, ckpt: str) -> str:
 
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            spark = batch.sparkSession
+            snap = current_state(spark, out_path, upto=batch_id)
+            snap.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+                .parquet(f"{out_path}_snapshots/upto={batch_id}")
 
     _run(agg.writeStream.outputMode("update").foreachBatch(write), ckpt)
     return out_path
 
 
-def current_state(spark: SparkSession, out_path: str) -> DataFrame:
-    """Latest state row per customer (update mode emits the running totals)."""
-    st = spark.read.parquet(out_path)
+def _latest_snapshot(spark: SparkSession, out_path: str, upto: int | None) -> int | None:
+    from custlens.sources.files import path_exists
+    base = f"{out_path}_snapshots"
+    if not path_exists(spark, base):
+        return None
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    ids = [int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(p)
+           if st.getPath().getName().startswith("upto=")]
+    ids = [i for i in ids if upto is None or i < upto]
+    return max(ids) if ids else None
+
+
+def current_state(spark: SparkSession, out_path: str, upto: int | None = None) -> DataFrame:
+    """Latest state row per customer (update mode emits running totals): the newest snapshot
+    plus the batches after it (up to and including ``upto`` when given)."""
+    snap = _latest_snapshot(spark, out_path, upto)
+    log = spark.read.parquet(out_path)
+    if snap is not None:
+        log = log.where(F.col("batch_id") > snap).unionByName(
+            spark.read.parquet(f"{out_path}_snapshots/upto={snap}").drop("upto"))
+    if upto is not None:
+        log = log.where(F.col("batch_id") <= upto)
     latest = F.max_by(F.struct("n_live", "live_sum", "last_live"), F.col("batch_id"))
-    return st.groupBy("customer_id").agg(latest.alias("s")).select("customer_id", "s.*")
+    return log.groupBy("customer_id").agg(latest.alias("s")).select("customer_id", "s.*")
 
 
 def updated_rfm(rfm_stored: DataFrame, state: DataFrame) -> DataFrame:

@@ -30,8 +30,9 @@ def _stream(spark, event_dir):
 
 def test_customer_state_stream_equals_batch(spark, event_dir):
     out = scratch_path(spark, "state")
-    V.run_customer_state(_stream(spark, event_dir), out, scratch_path(spark, "state-ckpt"))
+    V.run_customer_state(_stream(spark, event_dir), out, scratch_path(spark, "state-ckpt"), compact_every=2)
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 3
+    assert spark.read.parquet(f"{out}_snapshots").select("upto").distinct().count() == 1  # after batch 1
     got = V.updated_rfm(rfm.rfm_table(S.transactions(spark, SF_SMALL)), V.current_state(spark, out)).toPandas()
     from custlens.plans.registry import ORACLES as O
     want = duck(SF_SMALL).sql(O["stream_customer_state"]).df()
