@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from custlens import constants as K
 
-FLOAT_FEATURES = ["monetary", "avg_order_value", "purchase_frequency", "product_diversity", "recency"]
-
-
 # ---------------------------------------------------------------- B1 / B2 / B3
 
 def feature_projection(rfm: DataFrame, with_segment: bool = False, keep_id: bool = True) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from custlens.operators import rfm
 from custlens.plans.registry import register
 from custlens.sources import tables as S

@@ -10,8 +10,6 @@ import logging
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens import constants as K
-from custlens.operators.predicates import normalize_model_name
 
 log = logging.getLogger(__name__)
 
@@ -53,6 +51,3 @@ def load_models(paths: dict[str, str], best: str | None) -> tuple[dict[str, Pipe
     default = best_key if best_key in loaded else next(iter(loaded), None)
     return loaded, default
 
-
-MODEL_KEYS = [n.lower() for n in K.MODEL_NAMES]
-__all__ = ["write_metrics", "read_metrics", "save_models", "load_models", "normalize_model_name", "MODEL_KEYS"]
