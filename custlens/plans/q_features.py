@@ -1,4 +1,4 @@
-"""Registered queries: sources and the RFM features."""
+"""Registered queries: the RFM features."""
 
 from __future__ import annotations
 
