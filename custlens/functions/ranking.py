@@ -16,11 +16,15 @@ HASH_BUCKET_BITS = 12  # 4096 ranges; at 10^10 rows that is ~2.5 * 10^6 rows per
 
 
 def hash_rank_within(df: DataFrame, group: str, key: Column, bits: int = HASH_BUCKET_BITS,
-                     tiebreak: str | None = None) -> DataFrame:
-    """Adds ``_h`` (the 64-bit ordering hash) and ``rank`` (0-based) of each row within
-    ``group`` in (hash, tiebreak) order, plus ``group_n`` (rows in the group)."""
-    h = df.withColumn("_h", key).withColumn(
-        "_b", F.shiftright(F.col("_h"), 64 - bits) + F.lit(1 << (bits - 1)))  # monotone in _h
+                     tiebreak: str | None = None, hash_bits: int = 64) -> DataFrame:
+    """Adds ``_h`` (the ordering hash) and ``rank`` (0-based) of each row within ``group`` in
+    (hash, tiebreak) order, plus ``group_n`` (rows in the group).  ``key`` is a signed 64-bit
+    hash, or a non-negative one of ``hash_bits`` bits; its top ``bits`` bits pick the range."""
+    if hash_bits >= 64:
+        b = F.shiftright(F.col("_h"), 64 - bits) + F.lit(1 << (bits - 1))
+    else:
+        b = F.shiftright(F.col("_h"), max(hash_bits - bits, 0))
+    h = df.withColumn("_h", key).withColumn("_b", b)  # _b is monotone in _h
     counts = h.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_nb"))
     wb = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "_b",

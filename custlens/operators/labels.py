@@ -1,8 +1,9 @@
 """The purchase label and the train/test split.
 
 Whole-table maxima are scalar subqueries (C3), never single-partition windows.  The split
-ranks customers inside their class by a seeded 64-bit hash; ranks are exact and computed
-over 4096 hash ranges, so even a class holding most rows is spread over many tasks.
+ranks customers inside their class by a seeded 31-bit integer hash (SQL reproduces it bit for
+bit); ranks are exact and computed over 4096 hash ranges, so even a class holding most rows
+is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -90,8 +91,32 @@ def target_distribution_sql(labels_sql: str) -> str:
     return f"SELECT will_purchase, COUNT(*) AS customers FROM ({labels_sql}) GROUP BY will_purchase"
 
 
+# Fixed values of the split hash, an integer mix that Spark and SQL engines compute bit for bit
+# (every intermediate stays below 2^48, so ANSI overflow checks never fire):
+# modulus 2^31 - 1; per round multiply by 48271 then 69621, xor with itself shifted right by
+# 13 then 17 bits.
+SPLIT_MOD = 2147483647
+SPLIT_MULTIPLIERS = (48271, 69621)
+SPLIT_SHIFTS = (13, 17)
+SPLIT_HASH_BITS = 31
+
+
 def _split_key(seed: int) -> Column:
-    return F.xxhash64(F.col("customer_id"), F.lit(seed))
+    """Seeded 31-bit hash of ``customer_id``: modular multiply + xor-shift, twice."""
+    x = F.pmod(F.col("customer_id").cast("long"), F.lit(SPLIT_MOD))
+    for m, s in zip(SPLIT_MULTIPLIERS, SPLIT_SHIFTS):
+        x = F.pmod(x * F.lit(m) + F.lit(seed), F.lit(SPLIT_MOD))
+        x = x.bitwiseXOR(F.shiftright(x, s))
+    return x
+
+
+def split_hash_sql(src_sql: str, seed: int) -> str:
+    """SQL twin of ``_split_key``: ``src_sql`` with an added column ``_h``."""
+    q = f"SELECT *, ((CAST(customer_id AS BIGINT) % {SPLIT_MOD}) + {SPLIT_MOD}) % {SPLIT_MOD} AS _h FROM ({src_sql})"
+    for m, s in zip(SPLIT_MULTIPLIERS, SPLIT_SHIFTS):
+        q = f"SELECT * REPLACE ((_h * {m} + {seed}) % {SPLIT_MOD} AS _h) FROM ({q})"
+        q = f"SELECT * REPLACE (xor(_h, _h // {1 << s}) AS _h) FROM ({q})"
+    return q
 
 
 def split_quotas(labels: DataFrame, label: str = "will_purchase", test_fraction: float = K.TEST_FRACTION) -> DataFrame:
@@ -113,7 +138,8 @@ def split_quotas(labels: DataFrame, label: str = "will_purchase", test_fraction:
 def stratified_split(labels: DataFrame, label: str = "will_purchase", seed: int = K.SEED,
                      test_fraction: float = K.TEST_FRACTION) -> DataFrame:
     """(customer_id, label, is_test) with exact per-class test quotas."""
-    ranked = hash_rank_within(labels.select("customer_id", label), label, _split_key(seed), tiebreak="customer_id")
+    ranked = hash_rank_within(labels.select("customer_id", label), label, _split_key(seed), tiebreak="customer_id",
+                              hash_bits=SPLIT_HASH_BITS)
     q = split_quotas(labels, label, test_fraction)
     return (ranked.join(F.broadcast(q.select(label, "n_test")), label)  # one row per class
                   .select("customer_id", label, (F.col("rank") < F.col("n_test")).alias("is_test")))
@@ -123,5 +149,31 @@ def stratified_folds(labels: DataFrame, label: str = "will_purchase", folds: int
                      seed: int = K.SEED) -> DataFrame:
     """E5: fold 0..folds-1 per customer; each class is dealt round-robin in hash order, so
     fold sizes per class differ by at most one."""
-    ranked = hash_rank_within(labels.select("customer_id", label), label, _split_key(seed + 1), tiebreak="customer_id")
+    ranked = hash_rank_within(labels.select("customer_id", label), label, _split_key(seed + 1),
+                              tiebreak="customer_id", hash_bits=SPLIT_HASH_BITS)
     return ranked.select("customer_id", label, F.pmod(F.col("rank"), F.lit(folds)).cast("int").alias("fold"))
+
+
+def stratified_split_sql(labels_sql: str, label: str = "will_purchase", seed: int = K.SEED,
+                         test_fraction: float = K.TEST_FRACTION) -> str:
+    return f"""
+WITH t AS ({labels_sql}),
+c AS (SELECT {label}, COUNT(*) AS n_c FROM t GROUP BY {label}),
+a AS (SELECT {label}, n_c, SUM(n_c) OVER () AS n,
+             CAST(CEIL(CAST(SUM(n_c) OVER () AS DOUBLE) * CAST({test_fraction} AS DOUBLE)) AS BIGINT) AS total_test
+      FROM c),
+b AS (SELECT {label}, total_test, CAST(FLOOR(total_test * n_c / n) AS BIGINT) AS base,
+             total_test * n_c / n - CAST(FLOOR(total_test * n_c / n) AS BIGINT) AS rem FROM a),
+q AS (SELECT {label}, base + CASE WHEN ROW_NUMBER() OVER (ORDER BY rem DESC, {label})
+                                       <= total_test - SUM(base) OVER () THEN 1 ELSE 0 END AS n_test FROM b),
+r AS (SELECT customer_id, {label}, ROW_NUMBER() OVER (PARTITION BY {label} ORDER BY _h, customer_id) - 1 AS rnk
+      FROM ({split_hash_sql(f"SELECT customer_id, {label} FROM t", seed)}))
+SELECT r.customer_id, r.{label}, r.rnk < q.n_test AS is_test FROM r JOIN q USING ({label})"""
+
+
+def stratified_folds_sql(labels_sql: str, label: str = "will_purchase", folds: int = K.CV_FOLDS,
+                         seed: int = K.SEED) -> str:
+    return f"""
+SELECT customer_id, {label},
+       CAST((ROW_NUMBER() OVER (PARTITION BY {label} ORDER BY _h, customer_id) - 1) % {folds} AS INTEGER) AS fold
+FROM ({split_hash_sql(f"SELECT customer_id, {label} FROM ({labels_sql})", seed + 1)})"""

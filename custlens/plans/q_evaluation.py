@@ -41,12 +41,12 @@ def q_target_distribution(spark, sf_dir):
     return L.target_distribution(L.purchase_target(_rfm(spark, sf_dir)))
 
 
-@register("stratified_split")
+@register("stratified_split", L.stratified_split_sql(TARGET))
 def q_stratified_split(spark, sf_dir):
     return L.stratified_split(L.purchase_target(_rfm(spark, sf_dir)))
 
 
-@register("stratified_folds")
+@register("stratified_folds", L.stratified_folds_sql(TARGET))
 def q_stratified_folds(spark, sf_dir):
     return L.stratified_folds(L.purchase_target(_rfm(spark, sf_dir)))
 

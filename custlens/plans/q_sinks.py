@@ -27,7 +27,7 @@ def _tx_rows(df):
                      F.col("total_amount").cast("double").alias("total_amount"), "payment_method")
 
 
-@register("write_csv")
+@register("write_csv", f"SELECT COUNT(*) AS rows_written FROM ({S.TX_SQL})")
 def q_write_csv(spark, sf_dir):
     path = files.write_csv(S.transactions(spark, sf_dir), scratch_path(spark, "tx-csv"))
     return spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("rows_written"))
