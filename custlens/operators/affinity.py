@@ -2,38 +2,102 @@
 
 The literal form joins every transaction of a customer with every other one and then
 counts distinct customers per category pair: O(rows per customer ^ 2), which a customer
-holding a third of all rows makes impossible.  Here the same numbers come from:
-
-1. ``distinct(customer, category)`` - map-side de-duplication, at most |categories| rows
-   per customer leave this stage;
-2. per customer, the sorted set of its categories (its basket signature, bounded by the
-   category dimension);
-3. customers counted per distinct signature (partial aggregation; a signature shared by a
-   third of all customers is one row per map task);
-4. the pairs a < b of each *distinct signature*, weighted by its customer count, summed
-   per pair.
-
-Pairs are therefore generated once per distinct signature, not per customer or per row.
+holding a third of all rows makes impossible.  Here no pair row is ever emitted per customer.
+
+The count for a pair (a, b) is the entry (a, b) of X^T X, where X is the customer x category
+0/1 matrix.  So:
+
+1. the category dimension is indexed (its size K is checked first: at most
+   ``MATRIX_MAX_CATEGORIES`` names, the only data that reaches the driver or is broadcast);
+2. per customer, the set of its category indices (``collect_set``; partial aggregation, so a
+   customer holding a third of all rows is pre-merged map-side, at most K values per customer);
+3. each task sums x x^T over its customers into one K x K matrix (NumPy, Arrow batches via
+   ``mapInPandas``) and emits only the non-zero upper-triangle entries: at most K(K-1)/2 rows
+   per task, whatever the number of customers;
+4. the partial counts are summed per pair (one small shuffle) and named.
+
+With few categories (K <= ``SIGNATURE_MAX_CATEGORIES``) there are at most 2^K - 1 distinct
+baskets whatever the data size, so customers are counted per distinct basket signature
+(partial aggregation, JVM only) and the pairs of each distinct signature are expanded once:
+at most 2^K * K(K-1)/2 pair rows in total.  Above ``MATRIX_MAX_CATEGORIES`` the matrix would
+not fit a task and the same signature form is the fallback.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens import constants as K
 
+SIGNATURE_MAX_CATEGORIES = 12  # at most 4,095 distinct baskets, bounded by the dimension alone
+MATRIX_MAX_CATEGORIES = 512  # K x K int64 partial per task: 2 MiB, at most 130,816 rows out
+_CHUNK_ROWS = 4096  # customers per dense block inside a task
+
+
+def _known(hist: DataFrame) -> DataFrame:
+    return hist.where(F.col("customer_id").isNotNull() & F.col("product_category").isNotNull())
+
+
+def category_index(hist: DataFrame, limit: int = MATRIX_MAX_CATEGORIES) -> list[str] | None:
+    """The sorted distinct categories, or None when there are more than ``limit``."""
+    rows = (_known(hist).select("product_category").distinct()
+                        .orderBy("product_category").limit(limit + 1).collect())  # <= limit + 1 names
+    return None if len(rows) > limit else [r[0] for r in rows]
+
+
+def _gram_partials(k: int):
+    """mapInPandas body: one task's sum of x x^T as (a, b, n) rows with a < b, n > 0."""
+    def run(batches):
+        g = np.zeros((k, k), dtype=np.int64)
+        for pdf in batches:
+            sets = pdf["cats"].to_numpy()
+            for lo in range(0, len(sets), _CHUNK_ROWS):
+                chunk = sets[lo:lo + _CHUNK_ROWS]
+                lens = np.fromiter((len(c) for c in chunk), dtype=np.int64, count=len(chunk))
+                x = np.zeros((len(chunk), k), dtype=np.float32)
+                x[np.repeat(np.arange(len(chunk)), lens), np.concatenate(chunk).astype(np.int64)] = 1.0
+                g += (x.T @ x).astype(np.int64)  # exact: block counts are below 2^24
+        a, b = np.triu_indices(k, 1)
+        n = g[a, b]
+        nz = n > 0
+        yield pd.DataFrame({"a": a[nz].astype(np.int32), "b": b[nz].astype(np.int32), "n": n[nz]})
+    return run
+
+
+def category_affinity(hist: DataFrame, max_categories: int = MATRIX_MAX_CATEGORIES,
+                      signature_max: int = SIGNATURE_MAX_CATEGORIES) -> DataFrame:
+    """(category_a, category_b, co_occurrence) for every pair with a < b seen together."""
+    names = category_index(hist, max_categories)
+    if names is None or len(names) <= signature_max:
+        return category_affinity_signatures(hist)
+    spark = hist.sparkSession
+    idx = spark.createDataFrame(list(enumerate(names)), "ci int, product_category string")  # <= K rows
+    baskets = (_known(hist).select("customer_id", "product_category")
+                           .join(F.broadcast(idx), "product_category")
+                           .groupBy("customer_id").agg(F.collect_set("ci").alias("cats"))
+                           .where(F.size("cats") >= 2))
+    partial = baskets.select("cats").mapInPandas(_gram_partials(len(names)), "a int, b int, n long")
+    counts = partial.groupBy("a", "b").agg(F.sum("n").alias("co_occurrence"))
+    ia = idx.select(F.col("ci").alias("a"), F.col("product_category").alias("category_a"))
+    ib = idx.select(F.col("ci").alias("b"), F.col("product_category").alias("category_b"))
+    return (counts.join(F.broadcast(ia), "a").join(F.broadcast(ib), "b")
+                  .select("category_a", "category_b", "co_occurrence"))
+
 
 def basket_signatures(hist: DataFrame) -> DataFrame:
-    cust_cat = (hist.where(F.col("customer_id").isNotNull() & F.col("product_category").isNotNull())
-                    .select("customer_id", "product_category").distinct())
+    cust_cat = _known(hist).select("customer_id", "product_category").distinct()
     baskets = cust_cat.groupBy("customer_id").agg(
         F.array_sort(F.collect_list("product_category")).alias("cats"))
     return baskets.groupBy("cats").agg(F.count(F.lit(1)).alias("n_customers"))
 
 
-def category_affinity(hist: DataFrame) -> DataFrame:
-    """(category_a, category_b, co_occurrence) for every pair with a < b seen together."""
+def category_affinity_signatures(hist: DataFrame) -> DataFrame:
+    """C1 for a category dimension too large for a per-task matrix: customers are counted per
+    distinct basket signature and the pairs a < b of each distinct signature are weighted by
+    its customer count."""
     sig = basket_signatures(hist).where(F.size("cats") >= 2)
     pairs = sig.select(
         F.explode(F.flatten(F.transform(

@@ -163,13 +163,26 @@ def test_empty_prediction_log(spark):
                  "avg_probability": 0.0, "segment_distribution": {}}
 
 
-def test_affinity_reduced_equals_literal(spark):
+# per-task matrix / signatures (few categories) / signatures (too many categories for a matrix)
+@pytest.mark.parametrize("max_categories,signature_max", [(A.MATRIX_MAX_CATEGORIES, 0),
+                                                          (A.MATRIX_MAX_CATEGORIES, A.SIGNATURE_MAX_CATEGORIES),
+                                                          (2, 0)])
+def test_affinity_reduced_equals_literal(spark, max_categories, signature_max):
     data = [T(f"{i}", c, D(2024, 1, 1), cat) for i, (c, cat) in enumerate(
-        [(1, "A"), (1, "B"), (1, "B"), (1, "C"), (2, "A"), (2, "B"), (3, "C"), (4, "A"), (4, "C"), (4, "A")])]
-    got = {(r["category_a"], r["category_b"]): r["co_occurrence"] for r in rows(A.category_affinity(tx(spark, data)))}
+        [(1, "A"), (1, "B"), (1, "B"), (1, "C"), (2, "A"), (2, "B"), (3, "C"), (4, "A"), (4, "C"), (4, "A"),
+         (None, "A"), (5, None), (6, "C")])]
+    got = {(r["category_a"], r["category_b"]): r["co_occurrence"]
+           for r in rows(A.category_affinity(tx(spark, data), max_categories, signature_max))}
     assert got == {("A", "B"): 2, ("A", "C"): 2, ("B", "C"): 1}
 
 
+def test_affinity_matrix_equals_signatures_on_fixture(spark):
+    from custlens.sources import tables as S
+    h = S.history(spark, "/root/testdata/sf0.001")
+    m = {tuple(r) for r in A.category_affinity(h, signature_max=0).collect()}
+    assert m and m == {tuple(r) for r in A.category_affinity_signatures(h).collect()}
+
+
 def test_hot_customer_split_quota(spark):
     # one customer class holds most rows: quotas stay exact, ranks are spread over hash ranges
     n = 5000
