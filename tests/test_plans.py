@@ -27,6 +27,11 @@ def test_affinity_has_no_cartesian(spark):
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
 
 
+def test_affinity_matrix_path_emits_no_pairs(spark):
+    p = plan(A.category_affinity(S.history(spark, SF_SMALL), signature_max=0))
+    assert "MapInPandas" in p and "Generate" not in p and "CartesianProduct" not in p
+
+
 def test_rfm_no_global_window(spark):
     p = plan(rfm.rfm_table(S.history(spark, SF_SMALL), checkpoint=False))
     assert "Window" not in p and "CartesianProduct" not in p
