@@ -47,7 +47,7 @@ def live_run(spark, sf_dir):
             def scorer(feats):
                 return M.score_customers(feats, seg, model, cls.best, keep=keep)
             paths = V.LivePaths(*(scratch_path(spark, n) for n in ("live-history", "live-predictions",
-                                                                   "live-stats")))
+                                                                   "live-stats", "live-latest")))
             V.run_live_pipeline(V.purchase_stream(spark, V.source_path(sf_dir)), paths,
                                 scratch_path(spark, "live-ckpt"), stored, scorer)
             _LIVE[key] = paths

@@ -29,6 +29,7 @@ from custlens import constants as K
 from custlens.functions.text import ts_text
 from custlens.operators import predicates as P
 from custlens.sources import tables as S
+from custlens.sources.files import path_exists
 
 
 
@@ -78,7 +79,6 @@ def run_customer_state(stream: DataFrame, out_path: str, ckpt: str, compact_ever
 
 
 def _latest_snapshot(spark: SparkSession, out_path: str, upto: int | None) -> int | None:
-    from custlens.sources.files import path_exists
     base = f"{out_path}_snapshots"
     if not path_exists(spark, base):
         return None
@@ -126,6 +126,7 @@ class LivePaths:
     history: str
     predictions: str
     stats: str
+    latest: str  # batch-keyed snapshots of the newest 200 predictions (the live log)
 
 
 RUNNING_SCHEMA = ("transaction_id string, customer_id long, transaction_date timestamp, amount double, "
@@ -201,12 +202,23 @@ def run_live_pipeline(stream: DataFrame, paths: LivePaths, ckpt: str, rfm_stored
         # History append (batch-keyed, idempotent)
         batch.select("transaction_id", "customer_id", "transaction_date", "amount", "total_amount", "status") \
              .write.mode("overwrite").parquet(f"{paths.history}/batch_id={batch_id}")
-        # S3 + S5: scored purchases appended to the prediction log
+        # S3: scored purchases appended to the prediction log
+        scored_path = f"{paths.predictions}/batch_id={batch_id}"
         score_live_batch(batch, rfm_stored, scorer).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{paths.predictions}/batch_id={batch_id}")
-        # Statistics over the latest 200 predictions after this batch
-        log = spark.read.parquet(paths.predictions)
-        live_stats(latest_predictions(log)).withColumn("batch_id", F.lit(batch_id)) \
+            .write.mode("overwrite").parquet(scored_path)
+        # The live log after this batch = newest 200 of (the log after the previous batch +
+        # this batch's predictions): each batch reads at most 200 old rows, not the whole log
+        prev = f"{paths.latest}/batch_id={batch_id - 1}"
+        if batch_id == 0 or path_exists(spark, prev):
+            log = spark.read.parquet(scored_path)
+            if batch_id > 0:
+                log = log.unionByName(spark.read.parquet(prev))
+        else:  # snapshot missing (e.g. a new output folder on an old checkpoint): rebuild once
+            log = spark.read.parquet(paths.predictions).where(F.col("batch_id") <= batch_id)
+        latest_path = f"{paths.latest}/batch_id={batch_id}"
+        latest_predictions(log).write.mode("overwrite").parquet(latest_path)
+        # Statistics over that log
+        live_stats(spark.read.parquet(latest_path)).withColumn("batch_id", F.lit(batch_id)) \
             .write.mode("overwrite").parquet(f"{paths.stats}/batch_id={batch_id}")
         batch.unpersist()
 

@@ -46,7 +46,7 @@ def test_live_pipeline_running_counts(spark, event_dir):
         return feats.select("transaction_id", "event_id", "customer_id", "transaction_date", "frequency", "monetary",
                             F.lit(None).cast("string").alias("segment_name"), F.lit(True).alias("will_purchase"),
                             F.lit(0.5).alias("probability"))
-    paths = V.LivePaths(*(scratch_path(spark, n) for n in ("h", "p", "s")))
+    paths = V.LivePaths(*(scratch_path(spark, n) for n in ("h", "p", "s", "l")))
     V.run_live_pipeline(_stream(spark, event_dir), paths, scratch_path(spark, "live-ckpt"), stored, scorer)
     pred = spark.read.parquet(paths.predictions).toPandas()
     assert pred["batch_id"].nunique() == 3
@@ -62,3 +62,7 @@ def test_live_pipeline_running_counts(spark, event_dir):
     assert hist.count() == len(ev)
     stats = spark.read.parquet(paths.stats).orderBy(F.desc("batch_id")).first()
     assert stats["total_predictions"] == min(200, len(known))
+    # the incremental live log after the last batch = the newest 200 of the whole prediction log
+    last = spark.read.parquet(f"{paths.latest}/batch_id={stats['batch_id']}").select("event_id").toPandas()
+    full = V.latest_predictions(spark.read.parquet(paths.predictions)).select("event_id").toPandas()
+    assert sorted(last["event_id"]) == sorted(full["event_id"])
