@@ -86,12 +86,23 @@ def rfm_table(hist: DataFrame, n_categories: int = K.N_CATEGORIES, checkpoint: b
     return features_from_aggregates(customer_aggregates(hist), n_categories, checkpoint)
 
 
+def recency_only(hist: DataFrame) -> DataFrame:
+    """D1 alone: one max per customer, written once (two narrow columns, so the join-heavy
+    input is read once); the reference date is a scalar subquery over that table (the null
+    customer key included)."""
+    agg = materialize(hist.groupBy("customer_id").agg(F.max("transaction_date").alias("last_purchase")),
+                      "recency-agg")
+    ref_last = agg.select(F.max("last_purchase")).scalar()
+    return agg.where(F.col("customer_id").isNotNull()).withColumn("_ref", ref_last).select(
+        "customer_id", (whole_days("_ref", "last_purchase") + 1).alias("recency"))
+
+
 def rfm_feature(hist: DataFrame, feature: str, n_categories: int = K.N_CATEGORIES) -> DataFrame:
-    """One feature per customer.  Only recency needs the global reference date (and so
-    the materialized per-customer table); for the others Catalyst prunes the aggregation to the
-    inputs that one feature uses (e.g. monetary is a single sum of cents per customer)."""
+    """One feature per customer.  Recency is one max per customer plus the reference
+    date; for the others Catalyst prunes the aggregation to the inputs that one feature uses
+    (e.g. monetary is a single sum of cents per customer)."""
     if feature == "recency":
-        return rfm_table(hist, n_categories).select("customer_id", feature)
+        return recency_only(hist)
     return rfm_table(hist, n_categories, checkpoint=False).select("customer_id", feature)
 
 
