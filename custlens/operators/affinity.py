@@ -19,8 +19,13 @@ The count for a pair (a, b) is the entry (a, b) of X^T X, where X is the custome
 With few categories (K <= ``SIGNATURE_MAX_CATEGORIES``) there are at most 2^K - 1 distinct
 baskets whatever the data size, so customers are counted per distinct basket signature
 (partial aggregation, JVM only) and the pairs of each distinct signature are expanded once:
-at most 2^K * K(K-1)/2 pair rows in total.  Above ``MATRIX_MAX_CATEGORIES`` the matrix would
-not fit a task and the same signature form is the fallback.
+at most 2^K * K(K-1)/2 pair rows in total.
+
+Above ``MATRIX_MAX_CATEGORIES`` the matrix is computed in blocks: categories get an exact
+dense index without the driver (hash ranks), the index is cut into blocks of B, each customer
+becomes one row per *block pair* it touches (at most (K/B)^2 rows, never category pairs), the
+rows are shuffled by (block pair, salt) so a hot block pair is spread over many tasks, and
+each task sorts its rows by block pair and holds one B x B matrix at a time.
 """
 
 from __future__ import annotations
@@ -48,6 +53,18 @@ def category_index(hist: DataFrame, limit: int = MATRIX_MAX_CATEGORIES) -> list[
     return None if len(rows) > limit else [r[0] for r in rows]
 
 
+BLOCK_SALTS = 32  # tasks a single block pair is spread over
+
+
+def _indicator(sets, k: int) -> np.ndarray:
+    """0/1 matrix (rows = customers) of index sets in [0, k)."""
+    lens = np.fromiter((len(c) for c in sets), dtype=np.int64, count=len(sets))
+    x = np.zeros((len(sets), k), dtype=np.float32)
+    if lens.sum():
+        x[np.repeat(np.arange(len(sets)), lens), np.concatenate(list(sets)).astype(np.int64)] = 1.0
+    return x
+
+
 def _gram_partials(k: int):
     """mapInPandas body: one task's sum of x x^T as (a, b, n) rows with a < b, n > 0."""
     def run(batches):
@@ -55,10 +72,7 @@ def _gram_partials(k: int):
         for pdf in batches:
             sets = pdf["cats"].to_numpy()
             for lo in range(0, len(sets), _CHUNK_ROWS):
-                chunk = sets[lo:lo + _CHUNK_ROWS]
-                lens = np.fromiter((len(c) for c in chunk), dtype=np.int64, count=len(chunk))
-                x = np.zeros((len(chunk), k), dtype=np.float32)
-                x[np.repeat(np.arange(len(chunk)), lens), np.concatenate(chunk).astype(np.int64)] = 1.0
+                x = _indicator(sets[lo:lo + _CHUNK_ROWS], k)
                 g += (x.T @ x).astype(np.int64)  # exact: block counts are below 2^24
         a, b = np.triu_indices(k, 1)
         n = g[a, b]
@@ -67,11 +81,79 @@ def _gram_partials(k: int):
     return run
 
 
+def _block_gram_partials(block: int):
+    """mapInPandas body over rows (I, J, li, lj) sorted by (I, J): per run of one block pair,
+    the sum of x_I x_J^T, emitted as global (a, b, n) rows with a < b, n > 0."""
+    def flush(key, g):
+        i, j = key
+        a, b = np.triu_indices(block, 1) if i == j else np.indices((block, block)).reshape(2, -1)
+        n = g[a, b]
+        nz = n > 0
+        return pd.DataFrame({"a": (i * block + a[nz]).astype(np.int32),
+                             "b": (j * block + b[nz]).astype(np.int32), "n": n[nz]})
+
+    def run(batches):
+        key, g = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            bi, bj = pdf["I"].to_numpy(), pdf["J"].to_numpy()
+            cut = np.flatnonzero((bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
+            li, lj = pdf["li"].to_numpy(), pdf["lj"].to_numpy()
+            for s, e in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(pdf)]])):
+                k = (int(bi[s]), int(bj[s]))
+                if k != key:
+                    if key is not None:
+                        yield flush(key, g)
+                    key, g = k, np.zeros((block, block), dtype=np.int64)
+                for lo in range(s, e, _CHUNK_ROWS):
+                    hi = min(lo + _CHUNK_ROWS, e)
+                    g += (_indicator(li[lo:hi], block).T @ _indicator(lj[lo:hi], block)).astype(np.int64)
+        if key is not None:
+            yield flush(key, g)
+    return run
+
+
+def category_affinity_blocked(hist: DataFrame, block: int = MATRIX_MAX_CATEGORIES,
+                              salts: int = BLOCK_SALTS) -> DataFrame:
+    """C1 for any number of categories: the Gram matrix in B x B blocks (see module notes)."""
+    from custlens.functions.ranking import hash_rank_within
+    cats = _known(hist).select("product_category").distinct().withColumn("_g", F.lit(0))
+    idx = hash_rank_within(cats, "_g", F.xxhash64("product_category"), tiebreak="product_category") \
+        .select(F.col("rank").cast("int").alias("ci"), "product_category")
+    baskets = (_known(hist).select("customer_id", "product_category").join(idx, "product_category")
+                           .groupBy("customer_id").agg(F.collect_set("ci").alias("cats"))
+                           .where(F.size("cats") >= 2))
+    blk = lambda c: F.floor(c / F.lit(block)).cast("int")
+    blocks = F.array_sort(F.array_distinct(F.transform("cats", blk)))
+    pairs = F.flatten(F.transform(blocks, lambda i: F.transform(
+        F.filter(blocks, lambda j: j >= i), lambda j: F.struct(i.alias("I"), j.alias("J")))))
+    local = lambda b: F.transform(F.filter("cats", lambda c: blk(c) == b),
+                                  lambda c: F.pmod(c, F.lit(block)))
+    rows = (baskets.select("customer_id", "cats", F.explode(pairs).alias("p"))
+                   .select("customer_id", F.col("p.I").alias("I"), F.col("p.J").alias("J"),
+                           local(F.col("p.I")).alias("li"), local(F.col("p.J")).alias("lj"))
+                   .where((F.col("I") != F.col("J")) | (F.size("li") >= 2)))
+    salted = (rows.withColumn("_s", F.pmod(F.xxhash64("customer_id"), F.lit(salts)))
+                  .repartition("I", "J", "_s").sortWithinPartitions("I", "J"))
+    partial = salted.select("I", "J", "li", "lj").mapInPandas(_block_gram_partials(block), "a int, b int, n long")
+    counts = partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    na = idx.select(F.col("ci").alias("a"), F.col("product_category").alias("name_a"))
+    nb = idx.select(F.col("ci").alias("b"), F.col("product_category").alias("name_b"))
+    # the index is in hash order: name each pair in category order
+    return (counts.join(na, "a").join(nb, "b")
+                  .select(F.least("name_a", "name_b").alias("category_a"),
+                          F.greatest("name_a", "name_b").alias("category_b"),
+                          F.col("n").alias("co_occurrence")))
+
+
 def category_affinity(hist: DataFrame, max_categories: int = MATRIX_MAX_CATEGORIES,
                       signature_max: int = SIGNATURE_MAX_CATEGORIES) -> DataFrame:
     """(category_a, category_b, co_occurrence) for every pair with a < b seen together."""
     names = category_index(hist, max_categories)
-    if names is None or len(names) <= signature_max:
+    if names is None:
+        return category_affinity_blocked(hist, max_categories)
+    if len(names) <= signature_max:
         return category_affinity_signatures(hist)
     spark = hist.sparkSession
     idx = spark.createDataFrame(list(enumerate(names)), "ci int, product_category string")  # <= K rows
@@ -95,9 +177,8 @@ def basket_signatures(hist: DataFrame) -> DataFrame:
 
 
 def category_affinity_signatures(hist: DataFrame) -> DataFrame:
-    """C1 for a category dimension too large for a per-task matrix: customers are counted per
-    distinct basket signature and the pairs a < b of each distinct signature are weighted by
-    its customer count."""
+    """C1 for a small category dimension: customers are counted per distinct basket signature
+    and the pairs a < b of each distinct signature are weighted by its customer count."""
     sig = basket_signatures(hist).where(F.size("cats") >= 2)
     pairs = sig.select(
         F.explode(F.flatten(F.transform(

@@ -163,10 +163,11 @@ def test_empty_prediction_log(spark):
                  "avg_probability": 0.0, "segment_distribution": {}}
 
 
-# per-task matrix / signatures (few categories) / signatures (too many categories for a matrix)
+# per-task matrix / signatures (few categories) / blocked matrix (too many for one matrix)
+# (2 categories max: the blocked matrix in blocks of 2)
 @pytest.mark.parametrize("max_categories,signature_max", [(A.MATRIX_MAX_CATEGORIES, 0),
                                                           (A.MATRIX_MAX_CATEGORIES, A.SIGNATURE_MAX_CATEGORIES),
-                                                          (2, 0)])
+                                                          (2, 0), (1, 0)])
 def test_affinity_reduced_equals_literal(spark, max_categories, signature_max):
     data = [T(f"{i}", c, D(2024, 1, 1), cat) for i, (c, cat) in enumerate(
         [(1, "A"), (1, "B"), (1, "B"), (1, "C"), (2, "A"), (2, "B"), (3, "C"), (4, "A"), (4, "C"), (4, "A"),
@@ -181,6 +182,8 @@ def test_affinity_matrix_equals_signatures_on_fixture(spark):
     h = S.history(spark, "/root/testdata/sf0.001")
     m = {tuple(r) for r in A.category_affinity(h, signature_max=0).collect()}
     assert m and m == {tuple(r) for r in A.category_affinity_signatures(h).collect()}
+    for block in (1, 2, 4):
+        assert m == {tuple(r) for r in A.category_affinity_blocked(h, block, salts=3).collect()}
 
 
 def test_hot_customer_split_quota(spark):
