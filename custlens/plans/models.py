@@ -270,7 +270,8 @@ class ClassificationRun:
 
 
 def classification_run(named: DataFrame, names: list[str] = K.MODEL_NAMES, cv_folds: int = K.CV_FOLDS,
-                       seed: int = K.SEED, cv_models: list[str] | None = None) -> ClassificationRun:
+                       seed: int = K.SEED, cv_models: list[str] | None = None,
+                       parallelism: int = FIT_PARALLELISM) -> ClassificationRun:
     """Split -> (scale) -> fit each model -> metrics (+ CV for ``cv_models``, default
     all) -> best model by AUC.  Inputs of the iterative fits are checkpointed."""
     frame = materialize(classification_frame(named))
@@ -278,7 +279,7 @@ def classification_run(named: DataFrame, names: list[str] = K.MODEL_NAMES, cv_fo
     train, test = materialize(train), materialize(test)
     cv_models = names if cv_models is None else cv_models
     # the models are independent: fitted concurrently (their times therefore overlap)
-    with ThreadPoolExecutor(min(len(names), FIT_PARALLELISM)) as ex:
+    with ThreadPoolExecutor(max(1, min(len(names), parallelism))) as ex:
         fitted = list(ex.map(lambda n: train_one(n, train, test, cv_folds if n in cv_models else 0, seed), names))
     models = dict(zip(names, fitted))
     spark = frame.sparkSession
