@@ -32,6 +32,12 @@ def test_affinity_matrix_path_emits_no_pairs(spark):
     assert "MapInPandas" in p and "Generate" not in p and "CartesianProduct" not in p
 
 
+def test_affinity_blocked_path_shuffles_by_salted_block_pair(spark):
+    p = plan(A.category_affinity_blocked(S.history(spark, SF_SMALL), 2, salts=4))
+    assert "hashpartitioning(I#" in p and "MapInPandas" in p
+    assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
+
+
 def test_rfm_no_global_window(spark):
     p = plan(rfm.rfm_table(S.history(spark, SF_SMALL), checkpoint=False))
     assert "Window" not in p and "CartesianProduct" not in p
