@@ -41,13 +41,16 @@ def test_hot_customer_rfm_and_affinity(spark):
         assert r["customer_lifetime_days"] == (g["transaction_date"].max() - g["transaction_date"].min()).days + 1
     assert got[1]["frequency"] == pdf[pdf.customer_id == 1]["transaction_id"].nunique()
 
-    aff = {(r["category_a"], r["category_b"]): r["co_occurrence"] for r in A.category_affinity(df).collect()}
     sets = pdf.groupby("customer_id")["product_category"].apply(set)
     want = {}
     for s in sets:
         for a, b in itertools.combinations(sorted(s), 2):
             want[(a, b)] = want.get((a, b), 0) + 1
-    assert aff == want
+    # every affinity path: distinct baskets (default here), per-task matrix, blocked matrix
+    for aff_df in (A.category_affinity(df), A.category_affinity(df, signature_max=0),
+                   A.category_affinity_blocked(df, 2, salts=4)):
+        aff = {(r["category_a"], r["category_b"]): r["co_occurrence"] for r in aff_df.collect()}
+        assert aff == want
 
 
 def test_hot_customer_monthly_revenue(spark):
