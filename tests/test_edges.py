@@ -54,6 +54,10 @@ def test_rfm_edges(spark):
     assert c4["customer_lifetime_days"] == 1 and c4["recency"] == 1  # 1 minute before the latest date
     assert c4["purchase_frequency"] == 30.0                           # 1 / (1 / 30), inside the clip range
     assert out[1]["purchase_frequency"] == round(2 / (11 / 30), 3)
+    # the single-feature keys agree with the full table (recency has its own plan)
+    for feat in ("recency", "frequency", "monetary"):
+        one = {r["customer_id"]: r[feat] for r in rows(rfm.rfm_feature(tx(spark, data), feat))}
+        assert one == {c: out[c][feat] for c in out}
 
 
 def test_clip_bounds_exact(spark):
