@@ -234,3 +234,17 @@ def test_grouped_quantiles_small_groups_match_numpy(spark):
     for g, want in expect.items():
         assert lin[g] == want[:-1], g
         assert med[g] == want[-1], g
+
+
+def test_block_gram_run_spanning_batches():
+    # rows sorted by block pair; the (0, 1) run is split across two Arrow batches
+    import numpy as np
+    import pandas as pd
+    rows = [(0, 0, [0, 1], [0, 1]), (0, 1, [0], [1]), (0, 1, [1], [0, 1]), (0, 1, [0, 1], [1]), (1, 1, [0, 1], [0, 1])]
+    pdf = pd.DataFrame(rows, columns=["I", "J", "li", "lj"])
+    pdf["li"] = pdf["li"].map(np.array)
+    pdf["lj"] = pdf["lj"].map(np.array)
+    out = pd.concat(A._block_gram_partials(2)([pdf.iloc[:2], pdf.iloc[2:]]))
+    got = out.groupby(["a", "b"])["n"].sum().to_dict()
+    # global index = block * 2 + local: (0,1) from block (0,0); (0,3) (1,2) (1,3) from (0,1); (2,3) from (1,1)
+    assert got == {(0, 1): 1, (0, 3): 2, (1, 2): 1, (1, 3): 2, (2, 3): 1}
