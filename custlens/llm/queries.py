@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from custlens.llm.bpe import op3
+from custlens.llm.licenses import op9
 from custlens.llm.packing import op6
 from custlens.llm.quality_rules import op4
 from custlens.llm.registry import register
@@ -12,3 +13,4 @@ register("op3_bpe")(op3)
 register("op4_quality_rules")(op4)
 register("op5_winnowing")(op5)
 register("op6_packing")(op6)
+register("op9_licenses")(op9)
