@@ -7,8 +7,10 @@ from custlens.llm.licenses import op9
 from custlens.llm.packing import op6
 from custlens.llm.quality_rules import op4
 from custlens.llm.registry import register
+from custlens.llm.warc import op1
 from custlens.llm.winnow import op5
 
+register("op1_warc")(op1)
 register("op3_bpe")(op3)
 register("op4_quality_rules")(op4)
 register("op5_winnowing")(op5)
