@@ -7,6 +7,7 @@ from custlens.llm.licenses import op9
 from custlens.llm.packing import op6
 from custlens.llm.quality_rules import op4
 from custlens.llm.registry import register
+from custlens.llm.substring import op8
 from custlens.llm.warc import op1
 from custlens.llm.winnow import op5
 
@@ -15,4 +16,5 @@ register("op3_bpe")(op3)
 register("op4_quality_rules")(op4)
 register("op5_winnowing")(op5)
 register("op6_packing")(op6)
+register("op8_substring_dedup")(op8)
 register("op9_licenses")(op9)
