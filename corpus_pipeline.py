@@ -12,15 +12,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from custlens.llm.packing import pack_documents
-from custlens.llm.tables import stored, table
+from custlens.llm.probminhash import keep_one
+from custlens.llm.quality_cnn import keep_good
+from custlens.llm.quality_rules import filter_documents
+from custlens.llm.substring import remove_repeats
+from custlens.llm.tables import importable, stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return filter_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without words that repeat an earlier passage."""
+    return remove_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of at most 2048 ids."""
+    importable(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [
+    ("quality", quality),
+    ("rules", rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
     ("packing", packing),
 ]
 ORACLE_SQL = None

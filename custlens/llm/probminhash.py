@@ -12,9 +12,9 @@ are the connected components of links.
 
 Within a bucket (documents with an equal band) the member with the smallest key leads: it is
 verified against every member that is not yet in its class.  Then it leaves the bucket, and the
-next member leads, until all that are left belong to one class.  So a bucket of near copies takes
-one round and as many pairs as members, no pair that could join two classes is left out, and there
-is no cap on a bucket.  Equal texts are one node from the start.
+next ones lead (more each round), until all that are left belong to one class.  So a bucket of
+near copies takes one round and as many pairs as members, no pair that could join two classes is
+left out, and there is no cap on a bucket.  Equal texts are one node from the start.
 
 Verification streams: members come sorted behind their leader, at most ``FOLLOWERS`` behind each
 copy of it, and a task holds one leader's shingles and one batch.
@@ -30,10 +30,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from custlens.llm.tables import importable, stored, table
+from custlens.llm.tables import importable, set_aside, stored, table
 from custlens.llm.textscan import GRAM, Words, grams, mix, scan, slices
 
 SHINGLE = 5
@@ -42,6 +42,7 @@ BANDS = 24
 ROWS = 4
 REGISTERS = BANDS * ROWS
 FOLLOWERS = 64
+LEADERS_GROWTH = 4   # leaders of an open bucket: 1, 4, 16, ... by round
 SLICE_BYTES = 4 << 20
 
 
@@ -72,7 +73,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs:
     turn = 0
     while len(doc):
         turn += 1
-        x = mix(shingle + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15))
+        x = mix(shingle + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         t = t - np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
         register = ((mix(x) >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
         cell = doc * registers + register
@@ -165,9 +166,9 @@ def components(edges: DataFrame) -> DataFrame:
     return members.unionByName(members.select(F.col("class").alias("node"), "class").distinct())
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame) -> DataFrame | None:
     """(node, class) of every text that is linked with another one; ``docs`` has ``node`` and
-    ``text``."""
+    ``text``; None if no text is."""
     keys = stored(docs.mapInArrow(_bands, "node bigint, keys array<bigint>"), "near-bands")
     members = keys.select(F.explode("keys").alias("key"), "node").distinct()
     shared = keys.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
@@ -175,22 +176,26 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = buckets.select("node").distinct()
     texts = docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts, "near-texts")
-    found = None
-    links = None
+    found = links = None
+    leaders = 1
     while True:
-        at = buckets.withColumn("class", F.col("node"))
+        at = buckets.select("key", "node", F.col("node").alias("class"))
         if found is not None:
-            at = buckets.join(found.withColumnRenamed("class", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("class"))
-        open_ = at.groupBy("key").agg(F.min(F.struct("node", "class")).alias("lead"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key", "lead.node", "lead.class").toDF("key", "leader", "leader_class")
+            at = buckets.join(found, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
+        open_ = at.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
         left = stored(at.join(open_, "key"), "near-open")
         if left.isEmpty():
-            break
-        pairs = left.where("class != leader_class").select("leader", "node").distinct()
+            return found
+        lead = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("turn") <= leaders)
+        lead = stored(lead.select("key", F.col("node").alias("leader"), F.col("class").alias("leader_class")), "near-leaders")
+        pairs = left.join(lead, "key").where("node > leader and class != leader_class").select("leader", "node").distinct()
         new = stored(_verify(pairs, texts), "near-links")
-        links = new if links is None else links.unionByName(new)
-        found = stored(components(links), "near-classes")
-        buckets = left.where("node != leader").select("key", "node")
-    return found
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            found = stored(components(links), "near-classes")
+        last = lead.groupBy("key").agg(F.max("leader").alias("last"))
+        buckets = left.join(last, "key").where("node > last").select("key", "node")
+        leaders *= LEADERS_GROWTH
 
 
 def with_nodes(docs: DataFrame) -> DataFrame:
@@ -210,5 +215,30 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return own.join(names, "node").select("doc_id", "class_id", "class_size")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each class, the one with the smallest doc_id, with its columns.
+
+    Of repeated rows of that document one stays; a document without an id stays only if no other
+    of its class has one."""
+    importable(docs.sparkSession)
+    rows, back = set_aside(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = rows.withColumn("_node", F.xxhash64(text, F.octet_length(text)))
+    nodes = with_nodes(docs)
+    found = classes(nodes.select("node", "text"))
+    # of equal texts one row, then of a class's texts one
+    own = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    if found is not None:
+        own = own.join(found, "node", "left").select("node", "doc_id", F.coalesce("class", "node").alias("class"))
+        best = own.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+        own = best.select("best.node", "best.doc_id")
+    own = stored(own.select(F.col("node").alias("_kept"), F.col("doc_id").alias("_id")), "near-kept")
+    kept = rows.join(own, (F.col("_node") == F.col("_kept")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    repeated = rows.groupBy("doc_id", "_node").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_node"])
+    return back(kept)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))

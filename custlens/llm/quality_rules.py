@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custlens.llm.tables import stored, table
+from custlens.llm.tables import set_aside, stored, table
 
 SPACES = r"[ \t\n\x0B\f\r]+"
 #: Share and the least step of its threshold above the median.
@@ -126,8 +126,9 @@ def judge(counted: DataFrame, counts: str, kept: str) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns."""
-    counted = stored(with_counts(docs, "text", "_rule_counts"), "rule-documents")
-    return judge(counted, "_rule_counts", "_rule_kept").where("_rule_kept").select(*docs.columns)
+    rows, back = set_aside(docs)
+    counted = stored(with_counts(rows, "text", "_rule_counts"), "rule-documents")
+    return back(judge(counted, "_rule_counts", "_rule_kept").where("_rule_kept"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -253,7 +253,7 @@ def mark_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
             for t in _spread(_anchor_entries(*_docs(b)), buckets, False):
                 yield from t.to_batches()
 
-    def windows(_, d: pa.Table, r: pa.Table) -> pa.Table:
+    def windows(_, d, r):
         found = []
         if d.num_rows and r.num_rows:
             words, ids, ties = _docs(d)
@@ -263,7 +263,7 @@ def mark_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     kept_names = [f.name for f in rows.schema if f.name not in ("_text", "_id", "_tie", "_bucket")]
 
-    def cut(_, d: pa.Table, r: pa.Table) -> pa.Table:
+    def cut(_, d, r):
         words, ids, ties = _docs(d)
         gone = _covered(words, _marked(words, ids, ties, r))
         texts, removed = _keep(words, gone)

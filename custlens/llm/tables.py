@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from custlens.session import scratch_path
 
 
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -25,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every column but those of ``documents`` under a neutral name, so that an
+    operator's own columns never clash with them; and what gives a result its columns back."""
+    names = docs.columns
+    safe = [c if c in DOCUMENT_COLUMNS else f"extra{i}" for i, c in enumerate(names)]
+    return docs.toDF(*safe), lambda out: out.select(*safe).toDF(*names)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared folder (``spark.checkpoint.dir``) and read it back:
     several consumers share one computation and a lost executor re-reads the files."""
