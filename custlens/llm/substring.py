@@ -14,7 +14,7 @@ removed.  Two steps find those windows exactly:
 Hashes travel as packed arrays, one row per task's slice and hash bucket.  A slice sends one
 entry per distinct hash, so a passage that a third of all documents hold is as many entries as
 there are slices; further occurrences in the slice are settled there.  Buckets of hashes and of
-documents grow in number with the input (``LEAST_BUCKET_BYTES``), so no task gathers more than a
+documents grow in number with the input (``BUCKET_BYTES`` of text), so no task gathers more than a
 bounded part.  Texts are shuffled once, by document bucket; both steps reuse that exchange.
 
 Defined cases: a null text has no words; documents shorter than a window lose nothing; null ids
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from custlens.llm.tables import importable, table
+from custlens.llm.tables import importable, set_aside, table
 from custlens.llm.textscan import GRAM, Words, grams, scan, slices
 
 WINDOW = 20
@@ -44,7 +44,7 @@ ANCHOR = 8
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 SLICE_BYTES = 8 << 20
-LEAST_BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 _LAST_ID = np.int64(2**63 - 1)
 
 _ENTRIES = "bucket bigint, settled boolean, h binary, h2 binary, id binary, tie binary, pos binary"
@@ -79,8 +79,9 @@ class Entries:
 
 
 def _packed(e: Entries, bucket: np.ndarray, settled: bool, wide: bool) -> pa.Table:
-    """One row per bucket.  Narrow entries keep 40 bits of the hash (the bucket has others)."""
-    order = np.argsort(bucket, kind="stable")
+    """One row per bucket.  Narrow entries keep 40 bits of the hash (the bucket has others).
+    Values lie in document order and by byte planes, which compresses well."""
+    order = np.lexsort((e.pos, e.tie, e.id, bucket))
     e, bucket = e.take(order), bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(bucket)]))
@@ -92,7 +93,7 @@ def _packed(e: Entries, bucket: np.ndarray, settled: bool, wide: bool) -> pa.Tab
         h = np.ascontiguousarray(e.h.view(np.uint8).reshape(-1, 8)[:, :8 if wide else 5])
         h2 = e.h2 if wide else h2
     return _table([bucket[lo].tolist(), [settled] * len(lo), [h[a:b].tobytes() for a, b in zip(lo, hi)], [h2[a:b].tobytes() for a, b in zip(lo, hi)],
-                   *[[x[a:b].tobytes() for a, b in zip(lo, hi)] for x in (e.id, e.tie, e.pos)]], _ENTRIES, _ENTRY_TYPES)
+                   *[[_planes(x[a:b]) for a, b in zip(lo, hi)] for x in (e.id, e.tie, e.pos)]], _ENTRIES, _ENTRY_TYPES)
 
 
 def _replies(id_, tie, pos, buckets: int) -> pa.Table:
@@ -103,13 +104,24 @@ def _replies(id_, tie, pos, buckets: int) -> pa.Table:
     lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(bucket)]))
     if not len(bucket):
         lo = hi = np.zeros(0, dtype=np.int64)
-    return _table([bucket[lo].tolist(), *[[x[a:b].tobytes() for a, b in zip(lo, hi)] for x in (id_, tie, pos)]], _REPLIES, _REPLY_TYPES)
+    return _table([bucket[lo].tolist(), *[[_planes(x[a:b]) for a, b in zip(lo, hi)] for x in (id_, tie, pos)]], _REPLIES, _REPLY_TYPES)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as byte planes: all first bytes, all second bytes, and so on."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
 def _joined(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), dtype=dtype)
 
 
+def _unplaned(column, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    parts = [np.frombuffer(x.as_py(), np.uint8).reshape(width, -1).T for x in column]
+    return np.ascontiguousarray(np.concatenate(parts)).reshape(-1).view(dtype) if parts else np.zeros(0, dtype=dtype)
+
+
 def _docs(batch) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words of the texts, and the documents' ids and ties."""
     ids = batch.column("_id").to_numpy() if isinstance(batch, pa.Table) else batch.column("_id").to_numpy(zero_copy_only=False)
@@ -126,7 +138,7 @@ def _second(h: np.ndarray, k: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def _spread(e: Entries, buckets: int, least: bool) -> Iterator[pa.Table]:
+def _spread(e: Entries, hash_buckets: int, least: bool) -> Iterator[pa.Table]:
     """A slice's entries, one per distinct hash, and those that need no other slice: with
     ``least`` all but the earliest of a hash, else all of a hash that occurs again."""
     e, new = e.ordered()
@@ -140,9 +152,9 @@ def _spread(e: Entries, buckets: int, least: bool) -> Iterator[pa.Table]:
     else:
         done = np.bincount(group)[group] > 1
     one = e.take(first)
-    yield _packed(one, ((one.h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), False, least)
+    yield _packed(one, ((one.h >> np.uint64(40)) % np.uint64(hash_buckets)).astype(np.int64), False, least)
     done = e.take(done)
-    yield _packed(done, (done.tie.astype(np.int64) % buckets), True, least)
+    yield _packed(done, np.full(len(done.tie), int(e.tie[0]) % hash_buckets), True, least)
 
 
 def _gathered(t: pa.Table, buckets: int, least: bool) -> pa.Table:
@@ -155,7 +167,7 @@ def _gathered(t: pa.Table, buckets: int, least: bool) -> pa.Table:
     h[:, :width] = raw
     h = h.reshape(-1).view(np.uint64)
     h2 = _joined(open_.column("h2"), np.uint32) if least else np.zeros(len(h), dtype=np.uint32)
-    place = [(_joined(x.column("id"), np.int64), _joined(x.column("tie"), np.uint32), _joined(x.column("pos"), np.uint32)) for x in (open_, settled)]
+    place = [(_unplaned(x.column("id"), np.int64), _unplaned(x.column("tie"), np.uint32), _unplaned(x.column("pos"), np.uint32)) for x in (open_, settled)]
     e, new = Entries(h, h2, *place[0]).ordered()
     if len(new):
         group = np.cumsum(new) - 1
@@ -179,7 +191,7 @@ def _anchor_entries(words: Words, ids, ties) -> Entries:
 
 def _marked(words: Words, ids, ties, replies: pa.Table) -> np.ndarray:
     """Word indexes (in the whole table) of the places sent back to these documents."""
-    id_, tie, pos = _joined(replies.column("id"), np.int64), _joined(replies.column("tie"), np.uint32), _joined(replies.column("pos"), np.uint32)
+    id_, tie, pos = _unplaned(replies.column("id"), np.int64), _unplaned(replies.column("tie"), np.uint32), _unplaned(replies.column("pos"), np.uint32)
     if not len(pos):
         return np.zeros(0, dtype=np.int64)
     order = np.lexsort((tie, id_))
@@ -242,7 +254,9 @@ def mark_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     spark = docs.sparkSession
     importable(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BUCKET_BYTES)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hash_buckets = max(partitions, size // BUCKET_BYTES)
+    buckets = 2 * hash_buckets
     hashed = F.xxhash64(F.coalesce("text", F.lit("")), "doc_id").bitwiseAND(F.lit(0xFFFFFFFF))
     rows = docs.withColumns({"_text": F.coalesce(F.col("text"), F.lit("")), "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(_LAST_ID))), "_tie": hashed}).drop("text")
     rows = rows.withColumn("_bucket", F.col("_tie") % F.lit(buckets))
@@ -250,7 +264,7 @@ def mark_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     def anchors(batches):
         for b in slices(batches, "_text", SLICE_BYTES):
-            for t in _spread(_anchor_entries(*_docs(b)), buckets, False):
+            for t in _spread(_anchor_entries(*_docs(b)), hash_buckets, False):
                 yield from t.to_batches()
 
     def windows(_, d, r):
@@ -258,7 +272,7 @@ def mark_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
         if d.num_rows and r.num_rows:
             words, ids, ties = _docs(d)
             at = np.unique(_marked(words, ids, ties, r))
-            found = list(_spread(_window_entries(words, ids, ties, at), buckets, True))
+            found = list(_spread(_window_entries(words, ids, ties, at), hash_buckets, True))
         return pa.concat_tables(found) if found else _table([[]] * 7, _ENTRIES, _ENTRY_TYPES)
 
     kept_names = [f.name for f in rows.schema if f.name not in ("_text", "_id", "_tie", "_bucket")]
@@ -287,10 +301,11 @@ def mark_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated words removed from ``text`` (and ``n_chars`` as it then is)."""
-    out = mark_repeats(docs)
+    rows, back = set_aside(docs)
+    out = mark_repeats(rows)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return back(out)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
