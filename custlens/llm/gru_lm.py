@@ -40,7 +40,7 @@ BPTT, STREAMS, EPOCHS, RATE = 24, 32, 3, 0.006
 TRAIN_DOCS, TRAIN_MOST_BYTES = 1200, 32_000
 SCORE_STEPS = 64
 SLICE_BYTES = 8 << 20
-LEAST_BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20   # of text for each bucket of hashes
 CLASSES = HEAD_CLASSES + SHAPES + 1
 END_CLASS = CLASSES - 1
 TYPES = HEAD + SHAPES + 1
@@ -209,11 +209,12 @@ def new_network(v: Vocabulary, seed: int = 11) -> Network:
     rng = np.random.default_rng(seed)
     f32 = lambda a: np.ascontiguousarray(a, dtype=np.float32)
     mass = np.bincount(v.head_class, v.head_count, HEAD_CLASSES) if len(v.head) else np.zeros(HEAD_CLASSES)
+    empty = np.concatenate((mass == 0, np.zeros(SHAPES + 1, dtype=bool)))   # no word can fall into these
     mass = np.concatenate((mass, v.shape_tokens, [v.docs])) + 1.0
     word_bias = np.zeros(HEAD)
     word_bias[:len(v.head)] = np.log(v.head_count)
     return Network(f32(rng.normal(0, 0.15, (TYPES, 3 * STATE))), f32(rng.normal(0, STATE ** -0.5, (STATE, 3 * STATE))), f32(rng.normal(0, 0.05, (STATE, CLASSES))),
-                   f32(np.log(mass / mass.sum())), f32(rng.normal(0, 0.05, (HEAD, STATE))), f32(word_bias))
+                   f32(np.where(empty, -30.0, np.log(mass / mass.sum()))), f32(rng.normal(0, 0.05, (HEAD, STATE))), f32(word_bias))
 
 
 def train(v: Vocabulary, streams: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
@@ -348,7 +349,7 @@ def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_most_by
     importable(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BUCKET_BYTES)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     learned = training_documents(docs)
     counts = stored(count_words(learned, buckets), "lm-counts")
     v = vocabulary(counts, learned.count())
@@ -356,7 +357,7 @@ def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_most_by
     net = train(v, _streams(v, pa.array([r["text"] for r in sample], pa.string()))) if v.tokens else new_network(v)
     model = spark.sparkContext.broadcast((net, v))   # fixed size: HEAD words and the network
 
-    rows = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    rows = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * buckets)))
     keyed = rows.groupBy("_bucket")
     asked_types, answer_types = [pa.int64(), pa.int64(), pa.binary()], [pa.int64(), pa.binary(), pa.binary()]
 

@@ -166,7 +166,11 @@ def _gradients(net: Network, laid: Laid, y: np.ndarray, w: np.ndarray) -> list[n
     n = np.diff(begin)
     up = lambda a: np.repeat(a, n, axis=0)
     mean, most, least = d_f[:, :FILTERS], d_f[:, FILTERS:2 * FILTERS], d_f[:, 2 * FILTERS:3 * FILTERS]
-    d_live = up(mean / n[:, None]) + (live == up(top)) * up(most) + (live == up(low)) * up(least)
+    def tied(best: np.ndarray, g: np.ndarray) -> np.ndarray:   # chunks that tie share the gradient
+        same = live == up(best)
+        return same * up(g / np.add.reduceat(same, begin[:-1], dtype=np.float32))
+
+    d_live = up(mean / n[:, None]) + tied(top, most) + tied(low, least)
     d_live *= live > 0
     d_block = np.zeros_like(pooled)
     second = pooled[two] > pooled[one]
