@@ -21,24 +21,12 @@ def money(c: Column | str) -> Column:
     return c.cast(MONEY)
 
 
-def money_sql(expr: str) -> str:
-    return f"CAST({expr} AS DECIMAL(18,2))"
-
-
-def as_double(c: Column) -> Column:
-    return c.cast("double")
-
-
 def cents(c: Column | str) -> Column:
     """decimal(18,2) money -> exact integer cents."""
     c = F.col(c) if isinstance(c, str) else c
     return (c * 100).cast("long")
 
 
-def cents_sql(expr: str) -> str:
-    return f"CAST({expr} * 100 AS BIGINT)"
-
-
 def whole_days(later: Column | str, earlier: Column | str) -> Column:
     """Floor of elapsed days between two timestamps (a time-delta's ``.days``)."""
     later = F.col(later) if isinstance(later, str) else later
@@ -53,11 +41,13 @@ def whole_days_sql(later: str, earlier: str) -> str:
     return f"CAST(({d} - ((({d} % {DAY_MICROS}) + {DAY_MICROS}) % {DAY_MICROS})) // {DAY_MICROS} AS BIGINT)"
 
 
-def half_even_ratio(num: str, den: str, scale: int) -> Column:
-    """round_half_even(num / den, scale) for integer columns ``num`` and ``den`` > 0, as double."""
+def half_even_ratio(num: str, den: str, scale: int, wide: bool = False) -> Column:
+    """round_half_even(num / den, scale) for integer columns ``num`` and ``den`` > 0, as double;
+    ``wide`` for numerators that a long cannot hold."""
     m = 10 ** scale
-    n = f"(CAST({num} AS BIGINT) * {m})"
-    d = f"CAST({den} AS BIGINT)"
+    kind = "DECIMAL(38,0)" if wide else "BIGINT"
+    n = f"(CAST({num} AS {kind}) * {m})"
+    d = f"CAST({den} AS {kind})"
     r = f"pmod({n}, {d})"
     q = f"(({n} - {r}) div {d})"
     return F.expr(

@@ -7,7 +7,8 @@ buffer, which does not survive a global group of 10^9+ rows.  Here, per group g:
    probability p, a value bracket [lo, hi] that must contain the order statistics needed
    for p (two error bounds of margin on each side);
 2. one pass: count the values below each lo, and keep only the values inside each bracket,
-   grouped by value (heavy ties collapse to one row);
+   grouped by value (heavy ties collapse to one row).  The brackets are one small row (a map by
+   group, bound as a scalar subquery), so no value is shuffled on its group and there is no join;
 3. a running count over each bracket (window partitioned by (g, p); each partition has at
    most about 4n/accuracy distinct values) locates ranks floor(h) and ceil(h), h = (n-1)p.
    A needed rank can sit one step outside a bracket (the sketch's ranks are p*n, the
@@ -34,6 +35,12 @@ def _combine(v0: Column, v1: Column, frac: Column, method: str) -> Column:
     return F.when(frac >= 0.5, v1 - diff * (F.lit(1.0) - frac)).otherwise(v0 + diff * frac)
 
 
+def _scalar_map(df: DataFrame, key: str, columns: list[str]) -> Column:
+    """A small table (a row per group, or per group and probability) as a map bound to a plan."""
+    entries = F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*columns).alias("value")))
+    return df.agg(F.map_from_entries(entries).alias("m")).select("m").scalar()
+
+
 def grouped_quantiles(df: DataFrame, group: str | None, value: str | Column, probs: list[float],
                       names: list[str], method: str = "linear",
                       accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
@@ -53,9 +60,10 @@ def grouped_quantiles(df: DataFrame, group: str | None, value: str | Column, pro
         *[(F.col("vmin") if lows[i] <= 0.0 else F.col("b")[i]).alias(f"lo{i}") for i in range(k)],
         *[(F.col("vmax") if highs[i] >= 1.0 else F.col("b")[k + i]).alias(f"hi{i}") for i in range(k)],
     )
-    # stats has one row per group; Spark broadcasts it while it is small and shuffles otherwise
-    tagged = vals.join(stats, "g")
+    brackets = _scalar_map(stats, "g", [c for c in stats.columns if c != "g"])
+    tagged = vals.withColumn("_s", F.element_at(brackets, F.col("g"))).select("g", "v", "_s.*")
     below = tagged.groupBy("g").agg(
+        F.max("n").alias("n"),
         *[F.count_if(F.col("v") < F.col(f"lo{i}")).alias(f"c{i}") for i in range(k)],
         *[F.max(F.when(F.col("v") < F.col(f"lo{i}"), F.col("v"))).alias(f"prev{i}") for i in range(k)],
         *[F.min(F.when(F.col("v") > F.col(f"hi{i}"), F.col("v"))).alias(f"next{i}") for i in range(k)])
@@ -69,8 +77,7 @@ def grouped_quantiles(df: DataFrame, group: str | None, value: str | Column, pro
     counted = inside.groupBy("g", "p_idx", "v").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("g", "p_idx").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = counted.withColumn("cum_end", F.sum("cnt").over(w))
-    pos = (below.join(stats.select("g", "n"), "g")
-                .select("g", F.explode(F.array(*[
+    pos = (below.select("g", F.explode(F.array(*[
                     F.struct(F.lit(i).alias("p_idx"), F.col(f"c{i}").alias("c"),
                              F.col(f"prev{i}").alias("prev"), F.col(f"next{i}").alias("next"),
                              ((F.col("n") - 1).cast("double") * F.lit(float(probs[i]))).alias("h"))
@@ -79,7 +86,9 @@ def grouped_quantiles(df: DataFrame, group: str | None, value: str | Column, pro
                 .withColumn("k0", F.floor("h").cast("long"))
                 .withColumn("k1", F.ceil("h").cast("long"))
                 .withColumn("frac", F.col("h") - F.floor("h")))
-    j = cum.join(pos, ["g", "p_idx"])
+    pos = pos.withColumn("at", F.struct("g", "p_idx"))
+    ranks = _scalar_map(pos, "at", ["c", "prev", "next", "k0", "k1", "frac"])
+    j = cum.withColumn("_p", F.element_at(ranks, F.struct("g", "p_idx"))).select("g", "p_idx", "v", "cnt", "cum_end", "_p.*")
     start = F.col("c") + F.col("cum_end") - F.col("cnt")
     end = F.col("c") + F.col("cum_end")
     picked = j.groupBy("g", "p_idx").agg(

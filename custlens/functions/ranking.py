@@ -47,7 +47,8 @@ def ordered_prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], desc
     # at most n_ranges - 1 numbers reach the driver, whatever the size of df
     row = df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * n_ranges)).first()
     inner = sorted({float(b) for b in (row[0] or [])})
-    splits = [float("-inf")] + [b for b in inner if b not in (float("-inf"), float("inf"))] + [float("inf")]
+    inner = [b for b in inner if b == b and abs(b) != float("inf")] or [0.0]  # no rows, or only NaN
+    splits = [float("-inf"), *inner, float("inf")]
     # range index by binary search on the JVM; equal values always share a range
     r = (Bucketizer(splits=splits, inputCol="_ov", outputCol="_rb", handleInvalid="keep")
          .transform(df.withColumn("_ov", F.col(order_col).cast("double")))

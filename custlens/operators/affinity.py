@@ -221,13 +221,6 @@ def affinity_matrix(top: DataFrame) -> DataFrame:
                          F.coalesce(F.col("co_occurrence"), F.lit(0).cast("long")).alias("value")))
 
 
-def affinity_matrix_wide(top: DataFrame) -> DataFrame:
-    """The same matrix pivoted (one column per category) for display."""
-    m = affinity_matrix(top)
-    cats = [r[0] for r in category_axis(top).orderBy("category").select("category").collect()]  # <= 2n names
-    return m.groupBy("row_category").pivot("col_category", cats).agg(F.first("value")).orderBy("row_category")
-
-
 # ---------------------------------------------------------------- oracle SQL (the literal self-join)
 
 def category_affinity_sql(hist_sql: str) -> str:

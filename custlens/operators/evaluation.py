@@ -69,13 +69,14 @@ FROM pts, t"""
 def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve with ties counted half (the Mann-Whitney form).
 
-    sum over distinct scores of pos * (neg strictly below + neg / 2), divided by P * N; the
-    numerator is a sum of half-integers, so it is exact in double and order-independent."""
+    sum over distinct scores of pos * (2 * neg strictly below + neg), divided by 2 * P * N, in
+    decimals: exact and order-independent for any counts; null without both classes."""
     sc = score_counts(scored, label, score)
     cum = ordered_prefix_sums(sc, "score", ["neg"], descending=False, inclusive=False)
+    wide = lambda c: c.cast("decimal(19,0)")
     return cum.agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") * 0.5)),
-                     (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+        F.try_divide(F.sum(wide(F.col("pos")) * wide(2 * F.col("cum_neg") + F.col("neg"))).cast("double"),
+                     (2 * wide(F.sum("pos")) * wide(F.sum("neg"))).cast("double")).alias("auc"))
 
 
 def auc_sql(scored_sql: str, label: str = "label", score: str = "score") -> str:

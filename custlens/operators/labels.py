@@ -127,8 +127,9 @@ def split_quotas(labels: DataFrame, label: str = "will_purchase", test_fraction:
     w_all = Window.partitionBy()
     c = counts.withColumn("n", F.sum("n_c").over(w_all))
     c = c.withColumn("total_test", F.ceil(F.col("n") * F.lit(test_fraction)).cast("long"))
-    c = c.withColumn("exact", F.col("total_test") * F.col("n_c") / F.col("n"))
-    c = c.withColumn("base", F.floor("exact").cast("long")).withColumn("rem", F.col("exact") - F.col("base"))
+    product = F.col("total_test").cast("decimal(19,0)") * F.col("n_c").cast("decimal(19,0)")  # beyond a long at 4e9 rows
+    c = c.withColumn("rem", product % F.col("n"))
+    c = c.withColumn("base", ((product - F.col("rem")) / F.col("n")).cast("long"))
     c = c.withColumn("left", F.col("total_test") - F.sum("base").over(w_all))
     c = c.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("rem"), F.asc(label))))
     return c.select(label, "n_c", (F.col("base") + F.when(F.col("ord") <= F.col("left"), 1).otherwise(0))

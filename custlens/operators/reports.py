@@ -249,19 +249,11 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
-def page_after(df: DataFrame, key: str, after, limit: int) -> DataFrame:
-    """Key-range page for deep paging: the filter reaches the scan, no offset rows are sorted."""
-    return df.where(F.col(key) > F.lit(after)).orderBy(key).limit(limit)
-
-
 def page_rfm(rfm: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """RFM rows in stored (customer id) order."""
     return page(rfm, [F.col("customer_id")], limit, offset)
 
 
-TX_PAGE_ORDER = ["transaction_date", "transaction_id", "total_amount", "product_category", "payment_method"]
-
-
 def page_transactions(hist: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """newest transactions first (arrival order = time, then id; full tie-break)."""
     rows = hist.select(

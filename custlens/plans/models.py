@@ -15,10 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,11 +79,15 @@ def k_search(vec: DataFrame, k_range: tuple[int, int] = K.K_RANGE, starts: int =
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
     ks = list(range(k_range[0], k_range[1] + 1))
     jobs = [(k, seed + s) for k in ks for s in range(starts)]
-    with ThreadPoolExecutor(parallelism) as ex:
-        done = list(ex.map(lambda j: _kmeans_one(vec, j[0], j[1], max_iter), jobs))
-    fits = {k: _best([f for f in done if f.k == k]) for k in ks}
-    with ThreadPoolExecutor(parallelism) as ex:
-        sils = dict(zip(ks, ex.map(lambda k: float(ev.evaluate(fits[k].model.transform(vec))), ks)))
+    vec = vec.persist()  # one copy for all fits (each would keep its own); recomputable from its table
+    try:
+        with ThreadPoolExecutor(parallelism) as ex:
+            done = list(ex.map(lambda j: _kmeans_one(vec, j[0], j[1], max_iter), jobs))
+        fits = {k: _best([f for f in done if f.k == k]) for k in ks}
+        with ThreadPoolExecutor(parallelism) as ex:
+            sils = dict(zip(ks, ex.map(lambda k: float(ev.evaluate(fits[k].model.transform(vec))), ks)))
+    finally:
+        vec.unpersist()
     rows = [(k, fits[k].inertia, sils[k]) for k in ks]
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double"), fits
 
@@ -131,18 +134,42 @@ def classifier_specs(seed: int = K.SEED) -> dict[str, tuple[object, bool]]:
     return {
         "RandomForest": (RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed), False),
         # a boosted-tree model with the settings of the reference's XGBoost entry (log-loss)
-        "XGBoost": (GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed, lossType="logistic"), False),
+        "XGBoost": (_boosted(6, seed), False),
         "LogisticRegression": (LogisticRegression(maxIter=1000, elasticNetParam=0.0, standardization=False), True),
-        "GradientBoosting": (GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, seed=seed), False),
+        "GradientBoosting": (_boosted(5, seed), False),
     }
 
 
+#: What is run under each model name (the boosted entry of a library that is not here is Spark's).
+ALGORITHMS = {"RandomForest": "Spark RandomForestClassifier", "XGBoost": "Spark GBTClassifier, depth 6",
+              "LogisticRegression": "Spark LogisticRegression", "GradientBoosting": "Spark GBTClassifier, depth 5"}
+
+
+def _boosted(depth: int, seed: int) -> GBTClassifier:
+    """100 rounds, rate 0.1, log-loss.  Node ids are not checkpointed every ten rounds, and the
+    memory for statistics lets a tree level be one job."""
+    return GBTClassifier(maxIter=100, maxDepth=depth, stepSize=0.1, seed=seed, lossType="logistic",
+                         checkpointInterval=-1, maxMemoryInMB=512)
+
+
+ROWS_PER_TASK = 50_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """A training table in as many partitions as its rows call for: an iterative fit runs hundreds
+    of jobs, and on a small table their cost is the number of tasks."""
+    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
+
+
 def classifier_pipeline(est, scaled: bool, n_train: int | None = None) -> Pipeline:
     stages = [VectorAssembler(inputCols=K.CLASSIFIER_FEATURES, outputCol="raw", handleInvalid="keep")]
     if scaled:
         stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
-        if n_train:  # L2 with C = 1 over n rows is regParam 1/n in Spark's averaged objective
-            est = est.copy().setRegParam(1.0 / n_train)
+        if n_train:
+            # L2 with C = 1 over n rows is regParam 1/n in Spark's averaged objective.  Spark scales
+            # by the sample deviation; (n - 1)/n makes the penalty that of population scaling, so
+            # predictions and coefficient shares are those of population-scaled inputs.
+            est = est.copy().setRegParam((n_train - 1.0) / n_train / n_train)
     else:
         stages[0].setOutputCol("features")
     stages.append(est.copy().setFeaturesCol("features").setLabelCol("label"))
@@ -191,16 +218,25 @@ def split_frame(frame: DataFrame, seed: int = K.SEED) -> tuple[DataFrame, DataFr
     return j.where(~F.col("is_test")).drop("is_test"), j.where(F.col("is_test")).drop("is_test")
 
 
-def cross_validate(pipe: Pipeline, train: DataFrame, folds: int = K.CV_FOLDS, seed: int = K.SEED) -> tuple[float, float]:
-    """K-fold AUC on the training part: mean and population std (folds from E5)."""
+def cross_validate(name: str, train: DataFrame, folds: int = K.CV_FOLDS, seed: int = K.SEED) -> tuple[float, float]:
+    """K-fold AUC on the training part: mean and population std (folds from E5).  Each fold
+    has its own scaler and regularisation; the folds are independent and run concurrently."""
     fold = L.stratified_folds(train.select("customer_id", F.col("label").cast("int").alias("will_purchase")),
                               folds=folds, seed=seed)
-    data = train.join(fold.select("customer_id", "fold"), "customer_id")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC", labelCol="label"),
-                        foldCol="fold", numFolds=folds, parallelism=folds)
-    m = cv.fit(data)
-    return float(m.avgMetrics[0]), float(m.stdMetrics[0])
+    data = packed(materialize(train.join(fold.select("customer_id", "fold"), "customer_id"), "cv-folds"))
+
+    def one(f: int) -> float:
+        part = packed(data.where(F.col("fold") != f))
+        est, scaled = classifier_specs(seed)[name]
+        model = classifier_pipeline(est, scaled, part.count() if scaled else None).fit(part)
+        return E.auc(scored_test(model, data.where(F.col("fold") == f))).first()["auc"]
+
+    with ThreadPoolExecutor(folds) as ex:
+        aucs = [a for a in ex.map(one, range(folds)) if a is not None]  # a fold with one class has none
+    if not aucs:
+        return None, None
+    mean = sum(aucs) / len(aucs)
+    return mean, (sum((a - mean) ** 2 for a in aucs) / len(aucs)) ** 0.5
 
 
 def train_one(name: str, train: DataFrame, test: DataFrame, cv_folds: int = 0, seed: int = K.SEED) -> TrainedModel:
@@ -211,20 +247,19 @@ def train_one(name: str, train: DataFrame, test: DataFrame, cv_folds: int = 0, s
     model = pipe.fit(train)
     sc = materialize(scored_test(model, test))
     elapsed = time.time() - t0  # fit + predict, as the reference times it
-    metrics = evaluate(sc)
-    tm = TrainedModel(name, model, metrics, elapsed)
+    tm = TrainedModel(name, model, evaluate(sc), elapsed)
     if cv_folds:
-        tm.cv_mean, tm.cv_std = cross_validate(pipe, train, cv_folds, seed)
+        tm.cv_mean, tm.cv_std = cross_validate(name, train, cv_folds, seed)
     return tm
 
 
 def metrics_row(tm: TrainedModel) -> tuple:
     m = tm.metrics
-    return (tm.name, m["accuracy"], m["precision"], m["recall"], m["f1"], m["auc"],
+    return (tm.name, ALGORITHMS[tm.name], m["accuracy"], m["precision"], m["recall"], m["f1"], m["auc"],
             tm.cv_mean, tm.cv_std, round(tm.train_seconds, 2))
 
 
-METRICS_SCHEMA = ("model string, accuracy double, precision double, recall double, f1 double, auc double, "
+METRICS_SCHEMA = ("model string, algorithm string, accuracy double, precision double, recall double, f1 double, auc double, "
                   "cv_auc_mean double, cv_auc_std double, train_time_seconds double")
 
 
@@ -270,17 +305,14 @@ class ClassificationRun:
 
 
 def classification_run(named: DataFrame, names: list[str] = K.MODEL_NAMES, cv_folds: int = K.CV_FOLDS,
-                       seed: int = K.SEED, cv_models: list[str] | None = None,
-                       parallelism: int = FIT_PARALLELISM) -> ClassificationRun:
-    """Split -> (scale) -> fit each model -> metrics (+ CV for ``cv_models``, default
-    all) -> best model by AUC.  Inputs of the iterative fits are checkpointed."""
+                       seed: int = K.SEED, parallelism: int = FIT_PARALLELISM) -> ClassificationRun:
+    """Split -> (scale) -> fit each model -> metrics and CV -> best model by AUC.  Inputs of the iterative fits are checkpointed."""
     frame = materialize(classification_frame(named))
     train, test = split_frame(frame, seed)
-    train, test = materialize(train), materialize(test)
-    cv_models = names if cv_models is None else cv_models
+    train, test = packed(materialize(train)), materialize(test)
     # the models are independent: fitted concurrently (their times therefore overlap)
     with ThreadPoolExecutor(max(1, min(len(names), parallelism))) as ex:
-        fitted = list(ex.map(lambda n: train_one(n, train, test, cv_folds if n in cv_models else 0, seed), names))
+        fitted = list(ex.map(lambda n: train_one(n, train, test, cv_folds, seed), names))
     models = dict(zip(names, fitted))
     spark = frame.sparkSession
     metrics = spark.createDataFrame([metrics_row(models[n]) for n in names], METRICS_SCHEMA)
@@ -311,5 +343,41 @@ def score_customers(customers: DataFrame, seg: Segmentation, model: TrainedModel
         P.recommendation_for("segment_name").alias("recommendation"))
 
 
+class UnknownModel(ValueError):
+    """A request names a model that is not loaded."""
+
+
+def choose_model(models: dict[str, TrainedModel], best: str | None, requested: str | None) -> TrainedModel:
+    """The requested model by its normalised name (B6); without a request the best one, else the
+    first that is loaded."""
+    loaded = {name.lower().replace(" ", ""): tm for name, tm in models.items()}
+    if requested is not None and requested.strip():
+        key = requested.lower().replace(" ", "")
+        if key not in loaded:
+            raise UnknownModel(f"Model {requested} not found")
+        return loaded[key]
+    return loaded.get((best or "").lower().replace(" ", "")) or next(iter(loaded.values()))
+
+
+def score_requests(requests: DataFrame, seg: Segmentation, models: dict[str, TrainedModel], best: str | None,
+                   validate: list[str] = K.FEATURES) -> DataFrame:
+    """Scoring requests (feature values as text, optional ``model_name``) -> one row each: the H19
+    result, or ``error`` for a request that fails validation (B4) or names an unknown model."""
+    checks = P.validate_requests(requests, validate).select("customer_id", F.col("reason").alias("invalid"))
+    rows = requests.join(checks, "customer_id").withColumn("model_key", P.normalize_model_name("model_name"))
+    default = choose_model(models, best, None).name.lower().replace(" ", "")
+    rows = rows.withColumn("model_key", F.when(F.col("model_key") == "", default).otherwise(F.col("model_key")))
+    known = {name.lower().replace(" ", ""): tm for name, tm in models.items()}
+    rows = rows.withColumn("error", F.coalesce("invalid", F.when(~F.col("model_key").isin(*known), F.concat(F.lit("Model "), "model_name", F.lit(" not found")))))
+    rows = materialize(rows, "score-requests")
+    out = rows.where("error is not null").select("customer_id", "model_key", "error")
+    for key, tm in known.items():   # a handful of models, each applied to its own requests
+        mine = rows.where(F.col("error").isNull() & (F.col("model_key") == key))
+        mine = mine.select("customer_id", "model_key", *[F.col(c).try_cast("double").alias(c) for c in K.FEATURES])
+        scored = score_customers(mine, seg, tm, tm.name, keep=["customer_id", "model_key"])
+        out = out.unionByName(scored, allowMissingColumns=True)
+    return out
+
+
 def kmeans_centres(seg: Segmentation) -> list[tuple[int, list[float]]]:
     return [(i, [float(x) for x in c]) for i, c in enumerate(seg.kmeans.clusterCenters())]

@@ -45,15 +45,18 @@ def q_append_live(spark, sf_dir):
                     "product_category", F.col("total_amount").cast("double").alias("total_amount"), "amount", "status")
 
 
-_MIXED_SQL = ("CASE WHEN status IS NULL THEN strftime(transaction_date, '%Y-%m-%d') "
-              "ELSE strftime(transaction_date, '%Y-%m-%d %H:%M:%S') END")
+_TURN = "CAST(regexp_extract(transaction_id, '([0-9]+)', 1) AS BIGINT) % 3"
+_MIXED_SQL = f"""CASE WHEN status IS NULL THEN strftime(transaction_date, '%Y-%m-%d')
+    WHEN {_TURN} = 0 THEN strftime(transaction_date, '%Y-%m-%d %H:%M:%S')
+    WHEN {_TURN} = 1 THEN strftime(transaction_date, '%Y-%m-%dT%H:%M:%S')
+    ELSE strftime(transaction_date, '%Y-%m-%d %H:%M') END"""
 
 
 @register("parse_mixed_dates", f"""SELECT transaction_id, date_text,
-    epoch_us(COALESCE(try_strptime(date_text, '%Y-%m-%d %H:%M:%S'), try_strptime(date_text, '%Y-%m-%d'))) AS parsed_us
+    epoch_us(try_strptime(date_text, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d'])) AS parsed_us
     FROM (SELECT transaction_id, {_MIXED_SQL} AS date_text FROM ({H}))""")
 def q_parse_mixed_dates(spark, sf_dir):
-    h = history_table(spark, sf_dir).select("transaction_id", P.mixed_date_text(None).alias("date_text"))
+    h = history_table(spark, sf_dir).select("transaction_id", P.mixed_date_text().alias("date_text"))
     return h.select("transaction_id", "date_text", F.unix_micros(P.parse_mixed_dates("date_text")).alias("parsed_us"))
 
 
@@ -62,23 +65,43 @@ def q_feature_projection(spark, sf_dir):
     return P.feature_projection(_rfm(spark, sf_dir))
 
 
-@register("clean_features", P.clean_features_sql(f"SELECT customer_id, {FEATS} FROM ({RFM})", K.FEATURES, ["customer_id"]))
-def q_clean_features(spark, sf_dir):
-    return P.clean_features(P.feature_projection(_rfm(spark, sf_dir)))
+#: Every feature in turn is null, NaN, Infinity or -Infinity for some customers.
+_BAD = ["NULL", "CAST('NaN' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)", "CAST('-Infinity' AS DOUBLE)"]
+_DIRTY = "SELECT customer_id, " + ", ".join(
+    f"CASE customer_id % 31 " + " ".join(f"WHEN {4 * i + j} THEN {bad}" for j, bad in enumerate(_BAD)) + f" ELSE CAST({c} AS DOUBLE) END AS {c}"
+    for i, c in enumerate(K.FEATURES))
+
 
+def _dirty(spark, sf_dir):
+    return _rfm(spark, sf_dir).selectExpr(*_DIRTY.removeprefix("SELECT ").split(", "))
 
-_FLOATS = ["monetary", "avg_order_value", "purchase_frequency", "product_diversity"]
+
+@register("clean_features", P.clean_features_sql(f"{_DIRTY} FROM ({RFM})", K.FEATURES, ["customer_id"]))
+def q_clean_features(spark, sf_dir):
+    return P.clean_features(_dirty(spark, sf_dir))
 
 
-@register("nan_to_null", "SELECT customer_id, recency, frequency, customer_lifetime_days, " + ", ".join(
-    f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in _FLOATS) + f" FROM ({RFM})")
+@register("nan_to_null", "SELECT customer_id, " + ", ".join(
+    f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in K.FEATURES) + f" FROM ({_DIRTY} FROM ({RFM}))")
 def q_nan_to_null(spark, sf_dir):
-    return P.nan_to_null(_rfm(spark, sf_dir))
+    return P.nan_to_null(_dirty(spark, sf_dir))
 
 
-@register("validate_requests", P.validate_requests_sql(P.scoring_requests_sql(RFM)))
+#: Requests that miss a field or hold text, a negative number or NaN; diversity is above 1 for some.
+_ASKED = ["NULL", "'many'", "'-1'", "'NaN'", "''"]
+_REQUESTS = "SELECT customer_id, model_name, " + ", ".join(
+    f"CASE customer_id % 41 " + " ".join(f"WHEN {5 * i + j} THEN {bad}" for j, bad in enumerate(_ASKED))
+    + (" WHEN 40 THEN '1.5'" if c == "product_diversity" else "") + f" ELSE {c} END AS {c}" for i, c in enumerate(K.FEATURES))
+
+
+@register("validate_requests", P.validate_requests_sql(f"{_REQUESTS} FROM ({P.scoring_requests_sql(RFM)})"))
 def q_validate_requests(spark, sf_dir):
-    return P.validate_requests(P.scoring_requests(_rfm(spark, sf_dir)))
+    return P.validate_requests(P.scoring_requests(_rfm(spark, sf_dir)).selectExpr(*_REQUESTS.removeprefix("SELECT ").split(", ")))
+
+
+@register("default_features_scoring", "SELECT customer_id, " + ", ".join(f"COALESCE({c}, 0.0) AS {c}" for c in K.FEATURES) + f" FROM ({_DIRTY} FROM ({RFM}))")
+def q_default_features_scoring(spark, sf_dir):
+    return P.default_features_scoring(_dirty(spark, sf_dir))
 
 
 @register("normalize_model_name", f"""SELECT customer_id, model_name, {P.normalize_model_name_sql('model_name')} AS model_key

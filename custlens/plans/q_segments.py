@@ -79,10 +79,11 @@ def q_segment_ranking(spark, sf_dir):
 
 @register("segment_name_lookup", f"""SELECT a.customer_id, a.segment,
     COALESCE(r.segment_name, 'Segment ' || CAST(a.segment AS VARCHAR)) AS segment_name
-    FROM ({SEG['assigned']}) a LEFT JOIN ({SEG['ranked']}) r USING (segment)""")
+    FROM ({SEG['assigned']}) a LEFT JOIN (SELECT * FROM ({SEG['ranked']}) WHERE rank > 0) r USING (segment)""")
 def q_segment_name_lookup(spark, sf_dir):
+    """The mapping lacks the first segment, whose customers get the fallback name."""
     a = _assigned(spark, sf_dir)
-    mapping = G.segment_ranking(G.segment_scores(a), KG)
+    mapping = G.segment_ranking(G.segment_scores(a), KG).where("rank > 0")
     return P.segment_name_lookup(a.select("customer_id", "segment"), mapping, fallback=True)
 
 

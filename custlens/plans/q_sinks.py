@@ -3,12 +3,15 @@ layout (A2-A6).  Everything is written under the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custlens.functions.text import ts_text, ts_text_sql
 from custlens.operators import rfm
 from custlens.plans.registry import register
-from custlens.sources.feature_store import rfm_features
+from custlens.sources.feature_store import history_table, rfm_features
 from custlens.session import scratch_path
 from custlens.sources import files
 from custlens.sources import tables as S
@@ -18,7 +21,6 @@ RFM = rfm.rfm_sql(H)
 TX_ROWS_SQL = f"""SELECT transaction_id, customer_id, {ts_text_sql('transaction_date')} AS transaction_date,
     product_category, quantity, unit_price, CAST(total_amount AS DOUBLE) AS total_amount, payment_method
     FROM ({S.TX_SQL})"""
-LAYOUT_BUCKETS = 8
 
 
 def _tx_rows(df):
@@ -27,10 +29,17 @@ def _tx_rows(df):
                      F.col("total_amount").cast("double").alias("total_amount"), "payment_method")
 
 
-@register("write_csv", f"SELECT COUNT(*) AS rows_written FROM ({S.TX_SQL})")
+HISTORY_SCHEMA = T.StructType([*S.TRANSACTION_SCHEMA.fields, T.StructField("amount", T.DoubleType()), T.StructField("status", T.StringType())])
+
+
+@register("write_csv", f"""SELECT transaction_id, customer_id, {ts_text_sql('transaction_date')} AS transaction_date,
+    product_category, CAST(total_amount AS DOUBLE) AS total_amount, payment_method, amount, status FROM ({H})""")
 def q_write_csv(spark, sf_dir):
-    path = files.write_csv(S.transactions(spark, sf_dir), scratch_path(spark, "tx-csv"))
-    return spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("rows_written"))
+    """The history, live rows with their microseconds included, written and read back."""
+    path = files.write_csv(history_table(spark, sf_dir), scratch_path(spark, "history-csv"))
+    back = files.scan_csv(spark, path, HISTORY_SCHEMA)
+    return back.select("transaction_id", "customer_id", ts_text("transaction_date").alias("transaction_date"), "product_category",
+                       F.col("total_amount").cast("double").alias("total_amount"), "payment_method", "amount", "status")
 
 
 @register("scan_csv", TX_ROWS_SQL)
@@ -45,19 +54,34 @@ def q_write_table(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("migrate_csv", f"SELECT 'transactions' AS table_name, COUNT(*) AS rows FROM ({S.TX_SQL}) "
-                         f"UNION ALL SELECT 'rfm_features', COUNT(*) FROM ({RFM})")
+_CONTENT = "COUNT(*) AS rows, COUNT(DISTINCT customer_id) AS customers, CAST(SUM(CAST({} AS DECIMAL(18,2)) * 100) AS BIGINT) AS cents"
+
+
+@register("migrate_csv", f"""SELECT 'transactions' AS table_name, {_CONTENT.format('total_amount')}, MAX(epoch_us(transaction_date)) AS last_us FROM ({H})
+    UNION ALL SELECT 'rfm_features', {_CONTENT.format('monetary')}, CAST(SUM(recency) AS BIGINT) FROM ({RFM})""")
 def q_migrate_csv(spark, sf_dir):
-    tx_csv = files.write_csv(S.transactions(spark, sf_dir), scratch_path(spark, "tx-csv"))
+    """Both tables through CSV; what the written tables hold."""
+    tx_csv = files.write_csv(history_table(spark, sf_dir), scratch_path(spark, "tx-csv"))
     rfm_csv = files.write_csv(rfm_features(spark, sf_dir, "history"), scratch_path(spark, "rfm-csv"))
-    counts = files.migrate_csv(spark, tx_csv, rfm_csv, S.TRANSACTION_SCHEMA,
-                               scratch_path(spark, "tx-table"), scratch_path(spark, "rfm-table"))
-    return spark.createDataFrame(list(counts.items()), "table_name string, rows long")
+    tx, features = scratch_path(spark, "tx-table"), scratch_path(spark, "rfm-table")
+    files.migrate_csv(spark, tx_csv, rfm_csv, HISTORY_SCHEMA, tx, features)
+
+    def content(name, path, amount, last):
+        return spark.read.parquet(path).agg(
+            F.count(F.lit(1)).alias("rows"), F.countDistinct("customer_id").alias("customers"),
+            F.sum(F.col(amount).cast("decimal(18,2)") * 100).cast("long").alias("cents"), last.alias("last_us")).select(F.lit(name).alias("table_name"), "*")
+    return content("transactions", tx, "total_amount", F.max(F.unix_micros("transaction_date"))) \
+        .unionByName(content("rfm_features", features, "monetary", F.sum("recency")))
 
 
-@register("layout_by_customer", RFM)
+@register("layout_by_customer", f"""SELECT r.*, t.n_transactions FROM ({RFM}) r
+    JOIN (SELECT customer_id, COUNT(*) AS n_transactions FROM ({H}) GROUP BY customer_id) t USING (customer_id)""")
 def q_layout_by_customer(spark, sf_dir):
-    name = "rfm_by_customer"
-    files.layout_by_customer(rfm_features(spark, sf_dir, "history"), name,
-                             scratch_path(spark, "rfm-bucketed"), LAYOUT_BUCKETS)
-    return spark.table(name)
+    """Both tables laid out by customer and joined on it: neither side is shuffled."""
+    tag = uuid.uuid4().hex[:12]   # runs do not overwrite each other's tables
+    history, features = history_table(spark, sf_dir), rfm_features(spark, sf_dir, "history")
+    buckets = files.bucket_count(history.count())
+    files.layout_by_customer(features, f"rfm_by_customer_{tag}", scratch_path(spark, "rfm-bucketed"), buckets)
+    files.layout_by_customer(history, f"tx_by_customer_{tag}", scratch_path(spark, "tx-bucketed"), buckets)
+    counts = spark.table(f"tx_by_customer_{tag}").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_transactions"))
+    return spark.table(f"rfm_by_customer_{tag}").join(counts, "customer_id")

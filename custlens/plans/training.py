@@ -5,8 +5,7 @@ use the same fitted segmentation and classifiers, as the reference's endpoints s
 saved artifacts.  The run is saved under the shared checkpoint folder, keyed by the source files
 (sizes, modification times) and the training settings; any later session on the same data
 loads it instead of training again.  Registered settings: reference hyperparameters
-throughout; 5-fold cross-validation for the logistic model only (the two 100-round boosted
-models would add about six minutes of CV at sf0.01; the library default validates every model).
+throughout, 5-fold cross-validation of every model.
 """
 
 from __future__ import annotations
@@ -26,9 +25,8 @@ from custlens.session import ensure_checkpoint_dir
 from custlens.sources import feature_store as FS
 from custlens.sources.files import path_exists
 
-REGISTERED_CV_MODELS = ["LogisticRegression"]
-SETTINGS = {"version": 1, "k_range": K.K_RANGE, "starts": K.KMEANS_STARTS, "seed": K.SEED,
-            "cv_folds": K.CV_FOLDS, "cv_models": REGISTERED_CV_MODELS, "models": K.MODEL_NAMES}
+SETTINGS = {"version": 2, "k_range": K.K_RANGE, "starts": K.KMEANS_STARTS, "seed": K.SEED,
+            "cv_folds": K.CV_FOLDS, "models": K.MODEL_NAMES}
 
 _LOCK = threading.Lock()
 _RUNS: dict = {}
@@ -105,7 +103,7 @@ def load_run(spark: SparkSession, base: str) -> tuple[M.Segmentation, M.Classifi
 
 def training(spark: SparkSession, sf_dir: str, reuse: bool = True):
     """The shared run; ``reuse=False`` trains (and saves) even if a saved run exists."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, FS._signature(spark, sf_dir, FS.SOURCES["history"]))
     with _LOCK:
         if key not in _RUNS or not reuse:
             r = FS.rfm_features(spark, sf_dir, "history")
@@ -114,7 +112,7 @@ def training(spark: SparkSession, sf_dir: str, reuse: bool = True):
                 seg, cls = load_run(spark, base)
             else:
                 seg = M.segmentation_run(r)
-                cls = M.classification_run(seg.named, cv_models=REGISTERED_CV_MODELS)
+                cls = M.classification_run(seg.named)
                 save_run(spark, base, seg, cls)
             _RUNS[key] = (r, seg, cls)
         return _RUNS[key]

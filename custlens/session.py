@@ -8,6 +8,7 @@ setting is absent (local tests and the bench).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,7 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="custlens-ckpt-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        configured = tempfile.mkdtemp(prefix="custlens-ckpt-")  # one machine: tests and the bench
         spark.conf.set("spark.checkpoint.dir", configured)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)

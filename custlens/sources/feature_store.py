@@ -8,6 +8,7 @@ tables."""
 
 from __future__ import annotations
 
+import hashlib
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +29,12 @@ def _signature(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
     sig = []
     for n in names:
         p = jvm.org.apache.hadoop.fs.Path(S.table_path(sf_dir, n))
-        fs = p.getFileSystem(conf)
-        total, latest = 0, 0
-        for st in fs.listStatus(p):  # a table is a file or a folder of files
-            total += st.getLen()
-            latest = max(latest, st.getModificationTime())
-        sig.append((n, total, latest))
+        leaves = p.getFileSystem(conf).listFiles(p, True)  # a table is a file or a tree of files
+        found = []
+        while leaves.hasNext():
+            st = leaves.next()
+            found.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+        sig.append((n, hashlib.sha256(repr(sorted(found)).encode()).hexdigest()))
     return tuple(sig)
 
 

@@ -22,15 +22,21 @@ RFM_SCHEMA = T.StructType([
 ])
 
 
+#: Timestamps to the microsecond, quotes doubled inside quotes.
+CSV_OPTIONS = {"header": True, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "escape": '"'}
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """A4: CSV with a header row, no index column; one file per partition (no single writer)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A2: CSV with a header -> table, with an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """A2: CSV with a header -> table, with an explicit schema (no inference pass).  Quoted text
+    may hold line breaks, so a file is read by one task: keep files of a bounded size, as
+    ``write_csv`` does."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True, mode="FAILFAST").csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
@@ -65,6 +71,14 @@ def migrate_csv(spark: SparkSession, tx_csv: str, rfm_csv: str, tx_schema: T.Str
     return out
 
 
+ROWS_PER_BUCKET = 2_000_000
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets for a table of ``rows`` rows: about ``ROWS_PER_BUCKET`` each, 8 at least."""
+    return max(8, -(-rows // ROWS_PER_BUCKET))
+
+
 def layout_by_customer(df: DataFrame, name: str, path: str, buckets: int) -> str:
     """The reference's customer_id index re-aimed as data layout: a bucketed, sorted table,
     so later joins and aggregations on customer_id read co-partitioned data without a shuffle."""

@@ -9,12 +9,52 @@ import logging
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 log = logging.getLogger(__name__)
 
-METRICS_DDL = ("model string, accuracy double, precision double, recall double, f1 double, auc double, "
-               "cv_auc_mean double, cv_auc_std double, train_time_seconds double")
+DOCUMENT_DDL = "section string, model string, key string, position long, value double, text string"
+
+
+def results_document(spark: SparkSession, seg, cls) -> DataFrame:
+    """Everything a training run reports, one row per value: metrics, cross-validation,
+    confusion cells, ROC points and importances of each model; inertia and silhouette of each k;
+    the segment mapping and distribution; sizes and the best model.  Only the ROC points grow
+    with the data (one per distinct score); they stay a distributed frame."""
+    from custlens.plans.models import importance
+    rows = []
+
+    def put(section, model, key, value=None, text=None, position=0):
+        rows.append((section, model, key, position, None if value is None else float(value), text))
+
+    for name, tm in cls.models.items():
+        for key in ("accuracy", "precision", "recall", "f1", "auc"):
+            put("metrics", name, key, tm.metrics[key])
+        put("metrics", name, "cv_auc_mean", tm.cv_mean)
+        put("metrics", name, "cv_auc_std", tm.cv_std)
+        put("metrics", name, "train_time_seconds", tm.train_seconds)
+        for i, actual in enumerate(tm.metrics["confusion_matrix"]):
+            for j, n in enumerate(actual):
+                put("confusion", name, f"{i},{j}", n)
+        for i, (feature, v) in enumerate(importance(tm)):
+            put("importance", name, feature, v, position=i)
+    for r in seg.search.collect():  # a row per k
+        put("k_search", "KMeans", f"inertia {r['k']}", r["inertia"], position=r["k"])
+        put("k_search", "KMeans", f"silhouette {r['k']}", r["silhouette"], position=r["k"])
+    for r in seg.mapping.collect():  # a row per segment
+        put("mapping", "KMeans", str(r["segment"]), text=r["segment_name"], position=r["rank"])
+    for r in seg.named.groupBy("segment_name").count().collect():  # a row per segment
+        put("distribution", "KMeans", r["segment_name"], r["count"])
+    for key, value in (("k", seg.k), ("silhouette", seg.silhouette), ("inertia", seg.inertia), ("train_size", cls.train_size), ("test_size", cls.test_size)):
+        put("metadata", "run", key, value)
+    put("metadata", "run", "best_model", text=cls.best)
+    out = spark.createDataFrame(rows, DOCUMENT_DDL)
+    for name, tm in cls.models.items():
+        points = tm.metrics["roc"].select(F.explode(F.array(F.struct(F.lit("fpr").alias("key"), F.col("fpr").alias("value")),
+                                                            F.struct(F.lit("tpr").alias("key"), F.col("tpr").alias("value")))).alias("p"), F.col("order_key").alias("position"))
+        out = out.unionByName(points.select(F.lit("roc").alias("section"), F.lit(name).alias("model"), "p.key", "position", "p.value", F.lit(None).cast("string").alias("text")))
+    return out
 
 
 def write_metrics(df: DataFrame, path: str) -> str:
@@ -23,7 +63,7 @@ def write_metrics(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_metrics(spark: SparkSession, path: str, ddl: str = METRICS_DDL) -> DataFrame:
+def read_metrics(spark: SparkSession, path: str, ddl: str = DOCUMENT_DDL) -> DataFrame:
     return spark.read.schema(ddl).json(path)
 
 

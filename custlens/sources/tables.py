@@ -13,11 +13,6 @@ from pyspark.sql import types as T
 
 from custlens.functions.exact import money
 
-TABLE_NAMES = [
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-]
-
 TRANSACTION_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
     T.StructField("customer_id", T.LongType()),
@@ -29,15 +24,6 @@ TRANSACTION_SCHEMA = T.StructType([
     T.StructField("payment_method", T.StringType()),
 ])
 
-LIVE_SCHEMA = T.StructType([
-    T.StructField("transaction_id", T.StringType()),
-    T.StructField("customer_id", T.LongType()),
-    T.StructField("transaction_date", T.TimestampType()),
-    T.StructField("amount", T.DoubleType()),
-    T.StructField("total_amount", T.DecimalType(18, 2)),
-    T.StructField("status", T.StringType()),
-])
-
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampType()),

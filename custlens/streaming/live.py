@@ -86,7 +86,8 @@ def _latest_snapshot(spark: SparkSession, out_path: str, upto: int | None) -> in
     p = jvm.org.apache.hadoop.fs.Path(base)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     ids = [int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(p)
-           if st.getPath().getName().startswith("upto=")]
+           if st.getPath().getName().startswith("upto=")
+           and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]  # complete ones only
     ids = [i for i in ids if upto is None or i < upto]
     return max(ids) if ids else None
 
