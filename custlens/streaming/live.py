@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlens import constants as K
+from custlens.functions.exact import half_even_ratio
 from custlens.functions.text import ts_text
 from custlens.operators import predicates as P
 from custlens.sources import tables as S
@@ -141,7 +142,7 @@ def _running_totals(key, pdfs, state):
     import numpy as np
     import pandas as pd
     n0, c0 = state.get if state.exists else (0, 0)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["transaction_date", "event_id"], kind="mergesort")
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("event_id", kind="mergesort")
     pdf["live_n"] = n0 + np.arange(1, len(pdf) + 1, dtype="int64")
     pdf["live_cents"] = c0 + pdf["cents"].fillna(0).astype("int64").cumsum()
     state.update((int(pdf["live_n"].iloc[-1]), int(pdf["live_cents"].iloc[-1])))
@@ -159,8 +160,16 @@ def running_live_totals(stream: DataFrame) -> DataFrame:
 
 
 def latest_predictions(log: DataFrame, n: int = K.LIVE_LOG_CAP) -> DataFrame:
-    """The newest n predictions, newest first (a top-n, not a global sort)."""
-    return log.orderBy(F.desc("transaction_date"), F.desc("event_id")).limit(n)
+    """The n predictions that arrived last, newest first (by batch, then event; a late
+    event is new when it arrives).  A top-n, not a global sort."""
+    return log.orderBy(F.desc("batch_id"), F.desc("event_id")).limit(n)
+
+
+def kept_log(spark: SparkSession, latest: str) -> DataFrame:
+    """The live log as the last batch left it: at most the kept predictions are read."""
+    batches = spark.read.parquet(latest)
+    last = batches.select(F.max("snapshot")).scalar()
+    return batches.where(F.col("snapshot") == last).drop("snapshot")
 
 
 def live_stats(latest: DataFrame) -> DataFrame:
@@ -171,7 +180,9 @@ def live_stats(latest: DataFrame) -> DataFrame:
     tot = latest.agg(
         F.count(F.lit(1)).alias("total_predictions"),
         F.count_if(F.col("will_purchase")).alias("will_purchase_count"),
-        F.coalesce(F.round(F.avg("probability"), 4), F.lit(0.0)).alias("avg_probability"))
+        F.sum(F.round(F.col("probability") * 10_000).cast("long")).alias("_s"))
+    # the mean of 4-digit probabilities, rounded half-even on integers
+    tot = tot.withColumn("avg_probability", F.when(F.col("total_predictions") == 0, F.lit(0.0)).otherwise(half_even_ratio("_s", "total_predictions * 10000", 4)))
     empty = F.create_map().cast("map<string,bigint>")
     ds = dist.select(F.struct("segment_distribution")).scalar()
     return tot.select(
@@ -205,18 +216,17 @@ def run_live_pipeline(stream: DataFrame, paths: LivePaths, ckpt: str, rfm_stored
              .write.mode("overwrite").parquet(f"{paths.history}/batch_id={batch_id}")
         # S3: scored purchases appended to the prediction log
         scored_path = f"{paths.predictions}/batch_id={batch_id}"
-        score_live_batch(batch, rfm_stored, scorer).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(scored_path)
-        # The live log after this batch = newest 200 of (the log after the previous batch +
+        score_live_batch(batch, rfm_stored, scorer).write.mode("overwrite").parquet(scored_path)
+        # The live log after this batch = last 200 of (the log after the previous batch +
         # this batch's predictions): each batch reads at most 200 old rows, not the whole log
-        prev = f"{paths.latest}/batch_id={batch_id - 1}"
-        if batch_id == 0 or path_exists(spark, prev):
-            log = spark.read.parquet(scored_path)
+        prev = f"{paths.latest}/snapshot={batch_id - 1}"
+        if batch_id == 0 or path_exists(spark, f"{prev}/_SUCCESS"):
+            log = spark.read.parquet(scored_path).withColumn("batch_id", F.lit(batch_id))
             if batch_id > 0:
                 log = log.unionByName(spark.read.parquet(prev))
         else:  # snapshot missing (e.g. a new output folder on an old checkpoint): rebuild once
             log = spark.read.parquet(paths.predictions).where(F.col("batch_id") <= batch_id)
-        latest_path = f"{paths.latest}/batch_id={batch_id}"
+        latest_path = f"{paths.latest}/snapshot={batch_id}"
         latest_predictions(log).write.mode("overwrite").parquet(latest_path)
         # Statistics over that log
         live_stats(spark.read.parquet(latest_path)).withColumn("batch_id", F.lit(batch_id)) \
@@ -231,6 +241,8 @@ def prediction_log_view(log: DataFrame) -> DataFrame:
     """The prediction record with nested segment / prediction structs (as the reference's log)."""
     return log.select(
         "transaction_id", "customer_id", "amount", ts_text("transaction_date").alias("timestamp"),
+        # live purchases name neither; the record has the fields all the same
+        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("payment_method"),
         F.struct(F.col("segment_id"), F.col("segment_name"), F.col("confidence")).alias("segment"),
         F.struct(F.col("will_purchase"), F.col("probability"), F.col("model_used")).alias("prediction"),
         "recommendation")

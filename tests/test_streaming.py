@@ -63,6 +63,6 @@ def test_live_pipeline_running_counts(spark, event_dir):
     stats = spark.read.parquet(paths.stats).orderBy(F.desc("batch_id")).first()
     assert stats["total_predictions"] == min(200, len(known))
     # the incremental live log after the last batch = the newest 200 of the whole prediction log
-    last = spark.read.parquet(f"{paths.latest}/batch_id={stats['batch_id']}").select("event_id").toPandas()
+    last = spark.read.parquet(f"{paths.latest}/snapshot={stats['batch_id']}").select("event_id").toPandas()
     full = V.latest_predictions(spark.read.parquet(paths.predictions)).select("event_id").toPandas()
     assert sorted(last["event_id"]) == sorted(full["event_id"])
