@@ -5,27 +5,19 @@ counts distinct customers per category pair: O(rows per customer ^ 2), which a c
 holding a third of all rows makes impossible.  Here no pair row is ever emitted per customer.
 
 The count for a pair (a, b) is the entry (a, b) of X^T X, where X is the customer x category
-0/1 matrix.  So:
-
-1. the category dimension is indexed (its size K is checked first: at most
-   ``MATRIX_MAX_CATEGORIES`` names, the only data that reaches the driver or is broadcast);
-2. per customer, the set of its category indices (``collect_set``; partial aggregation, so a
-   customer holding a third of all rows is pre-merged map-side, at most K values per customer);
-3. each task sums x x^T over its customers into one K x K matrix (NumPy, Arrow batches via
-   ``mapInPandas``) and emits only the non-zero upper-triangle entries: at most K(K-1)/2 rows
-   per task, whatever the number of customers;
-4. the partial counts are summed per pair (one small shuffle) and named.
-
-With few categories (K <= ``SIGNATURE_MAX_CATEGORIES``) there are at most 2^K - 1 distinct
-baskets whatever the data size, so customers are counted per distinct basket signature
-(partial aggregation, JVM only) and the pairs of each distinct signature are expanded once:
-at most 2^K * K(K-1)/2 pair rows in total.
-
-Above ``MATRIX_MAX_CATEGORIES`` the matrix is computed in blocks: categories get an exact
-dense index without the driver (hash ranks), the index is cut into blocks of B, each customer
-becomes one row per *block pair* it touches (at most (K/B)^2 rows, never category pairs), the
-rows are shuffled by (block pair, salt) so a hot block pair is spread over many tasks, and
-each task sorts its rows by block pair and holds one B x B matrix at a time.
+0/1 matrix.  It is built in blocks, by one path for any number of categories:
+
+1. categories get an exact dense index without the driver (hash ranks), cut into blocks of
+   ``BLOCK`` indices;
+2. each customer has one set of local indices per block it touches (``collect_set`` with partial
+   aggregation: at most ``BLOCK`` small integers, so a customer holding a third of all rows is
+   pre-merged map-side and no set grows with the number of categories);
+3. a customer's blocks are paired with each other (an equi-join on the customer; with up to
+   ``BLOCK`` categories that is one row per customer), never its categories;
+4. rows are shuffled by (block pair, salt), so a hot block pair is spread over many tasks; a task
+   sorts them by block pair, holds one B x B matrix at a time (NumPy, Arrow batches) and emits its
+   non-zero counts;
+5. the partial counts are summed per pair and named.
 """
 
 from __future__ import annotations
@@ -37,8 +29,8 @@ from pyspark.sql import functions as F
 
 from custlens import constants as K
 
-SIGNATURE_MAX_CATEGORIES = 12  # at most 4,095 distinct baskets, bounded by the dimension alone
-MATRIX_MAX_CATEGORIES = 512  # K x K int64 partial per task: 2 MiB, at most 130,816 rows out
+BLOCK = 512        # a B x B int64 matrix per task: 2 MiB
+BLOCK_SALTS = 32   # tasks a single block pair is spread over
 _CHUNK_ROWS = 4096  # customers per dense block inside a task
 
 
@@ -46,16 +38,6 @@ def _known(hist: DataFrame) -> DataFrame:
     return hist.where(F.col("customer_id").isNotNull() & F.col("product_category").isNotNull())
 
 
-def category_index(hist: DataFrame, limit: int = MATRIX_MAX_CATEGORIES) -> list[str] | None:
-    """The sorted distinct categories, or None when there are more than ``limit``."""
-    rows = (_known(hist).select("product_category").distinct()
-                        .orderBy("product_category").limit(limit + 1).collect())  # <= limit + 1 names
-    return None if len(rows) > limit else [r[0] for r in rows]
-
-
-BLOCK_SALTS = 32  # tasks a single block pair is spread over
-
-
 def _indicator(sets, k: int) -> np.ndarray:
     """0/1 matrix (rows = customers) of index sets in [0, k)."""
     lens = np.fromiter((len(c) for c in sets), dtype=np.int64, count=len(sets))
@@ -65,22 +47,6 @@ def _indicator(sets, k: int) -> np.ndarray:
     return x
 
 
-def _gram_partials(k: int):
-    """mapInPandas body: one task's sum of x x^T as (a, b, n) rows with a < b, n > 0."""
-    def run(batches):
-        g = np.zeros((k, k), dtype=np.int64)
-        for pdf in batches:
-            sets = pdf["cats"].to_numpy()
-            for lo in range(0, len(sets), _CHUNK_ROWS):
-                x = _indicator(sets[lo:lo + _CHUNK_ROWS], k)
-                g += (x.T @ x).astype(np.int64)  # exact: block counts are below 2^24
-        a, b = np.triu_indices(k, 1)
-        n = g[a, b]
-        nz = n > 0
-        yield pd.DataFrame({"a": a[nz].astype(np.int32), "b": b[nz].astype(np.int32), "n": n[nz]})
-    return run
-
-
 def _block_gram_partials(block: int):
     """mapInPandas body over rows (I, J, li, lj) sorted by (I, J): per run of one block pair,
     the sum of x_I x_J^T, emitted as global (a, b, n) rows with a < b, n > 0."""
@@ -114,26 +80,17 @@ def _block_gram_partials(block: int):
     return run
 
 
-def category_affinity_blocked(hist: DataFrame, block: int = MATRIX_MAX_CATEGORIES,
-                              salts: int = BLOCK_SALTS) -> DataFrame:
-    """C1 for any number of categories: the Gram matrix in B x B blocks (see module notes)."""
+def category_affinity(hist: DataFrame, block: int = BLOCK, salts: int = BLOCK_SALTS) -> DataFrame:
+    """(category_a, category_b, co_occurrence) for every pair with a < b seen together."""
     from custlens.functions.ranking import hash_rank_within
     cats = _known(hist).select("product_category").distinct().withColumn("_g", F.lit(0))
     idx = hash_rank_within(cats, "_g", F.xxhash64("product_category"), tiebreak="product_category") \
         .select(F.col("rank").cast("int").alias("ci"), "product_category")
-    baskets = (_known(hist).select("customer_id", "product_category").join(idx, "product_category")
-                           .groupBy("customer_id").agg(F.collect_set("ci").alias("cats"))
-                           .where(F.size("cats") >= 2))
-    blk = lambda c: F.floor(c / F.lit(block)).cast("int")
-    blocks = F.array_sort(F.array_distinct(F.transform("cats", blk)))
-    pairs = F.flatten(F.transform(blocks, lambda i: F.transform(
-        F.filter(blocks, lambda j: j >= i), lambda j: F.struct(i.alias("I"), j.alias("J")))))
-    local = lambda b: F.transform(F.filter("cats", lambda c: blk(c) == b),
-                                  lambda c: F.pmod(c, F.lit(block)))
-    rows = (baskets.select("customer_id", "cats", F.explode(pairs).alias("p"))
-                   .select("customer_id", F.col("p.I").alias("I"), F.col("p.J").alias("J"),
-                           local(F.col("p.I")).alias("li"), local(F.col("p.J")).alias("lj"))
-                   .where((F.col("I") != F.col("J")) | (F.size("li") >= 2)))
+    sets = (_known(hist).select("customer_id", "product_category").join(idx, "product_category")
+                        .select("customer_id", F.floor(F.col("ci") / F.lit(block)).cast("int").alias("I"), F.pmod("ci", F.lit(block)).alias("l"))
+                        .groupBy("customer_id", "I").agg(F.collect_set("l").alias("li")))
+    other = sets.select("customer_id", F.col("I").alias("J"), F.col("li").alias("lj"))
+    rows = sets.join(other, "customer_id").where("I < J or (I = J and size(li) >= 2)")
     salted = (rows.withColumn("_s", F.pmod(F.xxhash64("customer_id"), F.lit(salts)))
                   .repartition("I", "J", "_s").sortWithinPartitions("I", "J"))
     partial = salted.select("I", "J", "li", "lj").mapInPandas(_block_gram_partials(block), "a int, b int, n long")
@@ -147,52 +104,6 @@ def category_affinity_blocked(hist: DataFrame, block: int = MATRIX_MAX_CATEGORIE
                           F.col("n").alias("co_occurrence")))
 
 
-def category_affinity(hist: DataFrame, max_categories: int = MATRIX_MAX_CATEGORIES,
-                      signature_max: int = SIGNATURE_MAX_CATEGORIES) -> DataFrame:
-    """(category_a, category_b, co_occurrence) for every pair with a < b seen together."""
-    names = category_index(hist, max_categories)
-    if names is None:
-        return category_affinity_blocked(hist, max_categories)
-    if len(names) <= signature_max:
-        return category_affinity_signatures(hist)
-    spark = hist.sparkSession
-    idx = spark.createDataFrame(list(enumerate(names)), "ci int, product_category string")  # <= K rows
-    baskets = (_known(hist).select("customer_id", "product_category")
-                           .join(F.broadcast(idx), "product_category")
-                           .groupBy("customer_id").agg(F.collect_set("ci").alias("cats"))
-                           .where(F.size("cats") >= 2))
-    partial = baskets.select("cats").mapInPandas(_gram_partials(len(names)), "a int, b int, n long")
-    counts = partial.groupBy("a", "b").agg(F.sum("n").alias("co_occurrence"))
-    ia = idx.select(F.col("ci").alias("a"), F.col("product_category").alias("category_a"))
-    ib = idx.select(F.col("ci").alias("b"), F.col("product_category").alias("category_b"))
-    return (counts.join(F.broadcast(ia), "a").join(F.broadcast(ib), "b")
-                  .select("category_a", "category_b", "co_occurrence"))
-
-
-def basket_signatures(hist: DataFrame) -> DataFrame:
-    cust_cat = _known(hist).select("customer_id", "product_category").distinct()
-    baskets = cust_cat.groupBy("customer_id").agg(
-        F.array_sort(F.collect_list("product_category")).alias("cats"))
-    return baskets.groupBy("cats").agg(F.count(F.lit(1)).alias("n_customers"))
-
-
-def category_affinity_signatures(hist: DataFrame) -> DataFrame:
-    """C1 for a small category dimension: customers are counted per distinct basket signature
-    and the pairs a < b of each distinct signature are weighted by its customer count."""
-    sig = basket_signatures(hist).where(F.size("cats") >= 2)
-    pairs = sig.select(
-        F.explode(F.flatten(F.transform(
-            F.sequence(F.lit(0), F.size("cats") - 2),
-            lambda i: F.transform(
-                F.sequence(i + 1, F.size("cats") - 1),
-                lambda j: F.struct(F.element_at("cats", i + 1).alias("a"), F.element_at("cats", j + 1).alias("b")))
-        ))).alias("p"),
-        "n_customers",
-    )
-    return (pairs.groupBy(F.col("p.a").alias("category_a"), F.col("p.b").alias("category_b"))
-                 .agg(F.sum("n_customers").alias("co_occurrence")))
-
-
 def affinity_top(hist: DataFrame, n: int = K.AFFINITY_TOP) -> DataFrame:
     """the n most frequent pairs (ties broken by the pair names)."""
     return category_affinity(hist).orderBy(F.desc("co_occurrence"), "category_a", "category_b").limit(n)

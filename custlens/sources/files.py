@@ -22,8 +22,8 @@ RFM_SCHEMA = T.StructType([
 ])
 
 
-#: Timestamps to the microsecond, quotes doubled inside quotes.
-CSV_OPTIONS = {"header": True, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "escape": '"'}
+#: Timestamps to the microsecond, quotes doubled inside quotes, null apart from the empty text.
+CSV_OPTIONS = {"header": True, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "escape": '"', "nullValue": "\\N"}
 
 
 def write_csv(df: DataFrame, path: str) -> str:

@@ -167,27 +167,53 @@ def test_empty_prediction_log(spark):
                  "avg_probability": 0.0, "segment_distribution": {}}
 
 
-# per-task matrix / signatures (few categories) / blocked matrix (too many for one matrix)
-# (2 categories max: the blocked matrix in blocks of 2)
-@pytest.mark.parametrize("max_categories,signature_max", [(A.MATRIX_MAX_CATEGORIES, 0),
-                                                          (A.MATRIX_MAX_CATEGORIES, A.SIGNATURE_MAX_CATEGORIES),
-                                                          (2, 0), (1, 0)])
-def test_affinity_reduced_equals_literal(spark, max_categories, signature_max):
+@pytest.mark.parametrize("block", [A.BLOCK, 2, 1])
+def test_affinity_equals_literal(spark, block):
     data = [T(f"{i}", c, D(2024, 1, 1), cat) for i, (c, cat) in enumerate(
         [(1, "A"), (1, "B"), (1, "B"), (1, "C"), (2, "A"), (2, "B"), (3, "C"), (4, "A"), (4, "C"), (4, "A"),
          (None, "A"), (5, None), (6, "C")])]
     got = {(r["category_a"], r["category_b"]): r["co_occurrence"]
-           for r in rows(A.category_affinity(tx(spark, data), max_categories, signature_max))}
+           for r in rows(A.category_affinity(tx(spark, data), block))}
     assert got == {("A", "B"): 2, ("A", "C"): 2, ("B", "C"): 1}
 
 
-def test_affinity_matrix_equals_signatures_on_fixture(spark):
-    from custlens.sources import tables as S
-    h = S.history(spark, "/root/testdata/sf0.001")
-    m = {tuple(r) for r in A.category_affinity(h, signature_max=0).collect()}
-    assert m and m == {tuple(r) for r in A.category_affinity_signatures(h).collect()}
-    for block in (1, 2, 4):
-        assert m == {tuple(r) for r in A.category_affinity_blocked(h, block, salts=3).collect()}
+@pytest.mark.parametrize("categories", [6, 600, 5000])
+def test_affinity_at_any_number_of_categories(spark, categories):
+    import collections
+    import itertools
+    import random
+    rng = random.Random(categories)
+    baskets = {c: {f"c{rng.randrange(categories):04d}" for _ in range(rng.randint(1, 9))} for c in range(400)}
+    df = spark.createDataFrame([(c, x) for c, s in baskets.items() for x in s], "customer_id long, product_category string")
+    want = collections.Counter(p for s in baskets.values() for p in itertools.combinations(sorted(s), 2))
+    assert {(r[0], r[1]): r[2] for r in A.category_affinity(df).collect()} == want
+
+
+def test_auc_of_counts_beyond_a_long(spark):
+    """4e9 of each class: the product of the counts needs a decimal."""
+    from custlens.operators import evaluation as E
+    n = 4_000_000_000
+    sc = spark.createDataFrame([(0.2, n // 4, n // 2), (0.8, n - n // 4, n - n // 2)], "score double, pos long, neg long")
+    old, E.score_counts = E.score_counts, lambda *a: sc
+    try:
+        assert E.auc(sc).first()["auc"] == 0.625
+    finally:
+        E.score_counts = old
+
+
+def test_auc_and_roc_without_scores(spark):
+    from custlens.operators import evaluation as E
+    empty = spark.createDataFrame([], "label int, score double")
+    assert E.auc(empty).first()["auc"] is None
+    assert E.roc_curve(empty).count() == 1
+    nan = spark.createDataFrame([(1, float("nan")), (0, float("nan"))], "label int, score double")
+    assert E.auc(nan).first()["auc"] == 0.5
+
+
+def test_brief_of_large_revenue(spark):
+    from custlens.operators import segments as G
+    df = spark.createDataFrame([("Loyal", 1, 2, 9e14)] * 3, "segment_name string, recency long, frequency long, monetary double")
+    assert "Average Spend: $900000000000000.00" in G.segment_brief(df).first()["brief"]
 
 
 def test_hot_customer_split_quota(spark):

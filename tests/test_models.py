@@ -56,3 +56,18 @@ def test_scoring(spark, seg, cls):
                                 "customer_lifetime_days long")
     r = M.score_customers(one, seg, cls.models[cls.best], cls.best).first()
     assert r["segment_name"] and r["recommendation"]
+
+
+def test_requested_models(spark, seg, cls):
+    assert M.choose_model(cls.models, cls.best, "random forest").name == "RandomForest"
+    assert M.choose_model(cls.models, cls.best, None).name == cls.best
+    assert M.choose_model(cls.models, "gone", " ").name == "RandomForest"
+    with pytest.raises(M.UnknownModel, match="Model Nope not found"):
+        M.choose_model(cls.models, cls.best, "Nope")
+    names = ["Random Forest", "logisticregression", None, "Nope", "xgboost"]
+    asked = [(i, *["1"] * 5, "0.5", "3", n) for i, n in enumerate(names)] + [(9, "x", *["1"] * 4, "0.5", "3", None)]
+    cols = K.FEATURES[:5] + ["product_diversity", "customer_lifetime_days"]
+    out = {r["customer_id"]: r for r in M.score_requests(spark.createDataFrame(asked, "customer_id long, " + ", ".join(f"{c} string" for c in cols) + ", model_name string"), seg, cls.models, cls.best).collect()}
+    assert [out[i]["model_used"] for i in range(5)] == ["RandomForest", "LogisticRegression", cls.best, None, None]
+    assert out[3]["error"] == "Model Nope not found" and out[4]["error"] == "Model xgboost not found"
+    assert out[9]["error"].startswith("Invalid value for recency") and out[9]["probability"] is None

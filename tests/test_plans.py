@@ -27,15 +27,26 @@ def test_affinity_has_no_cartesian(spark):
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
 
 
-def test_affinity_matrix_path_emits_no_pairs(spark):
-    p = plan(A.category_affinity(S.history(spark, SF_SMALL), signature_max=0))
-    assert "MapInPandas" in p and "Generate" not in p and "CartesianProduct" not in p
+def test_affinity_shuffles_by_salted_block_pair(spark):
+    p = plan(A.category_affinity(S.history(spark, SF_SMALL), 2, salts=4))
+    assert "hashpartitioning(I#" in p and "MapInPandas" in p and "Generate" not in p
+    assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
 
 
-def test_affinity_blocked_path_shuffles_by_salted_block_pair(spark):
-    p = plan(A.category_affinity_blocked(S.history(spark, SF_SMALL), 2, salts=4))
-    assert "hashpartitioning(I#" in p and "MapInPandas" in p
-    assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
+def test_quantiles_neither_join_nor_shuffle_values_by_group(spark):
+    from pyspark.sql import functions as F
+
+    from custlens.functions.quantiles import exact_quantile_row, grouped_quantiles
+    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 1.5).alias("v"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for q in (exact_quantile_row(df, "v", [0.25, 0.5], ["a", "b"]), grouped_quantiles(df, "g", "v", [0.25, 0.5], ["a", "b"])):
+            p = plan(q)
+            assert "CartesianProduct" not in p and "NestedLoopJoin" not in p and "SortMergeJoin" not in p
+            assert q.count() in (1, 3)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_rfm_no_global_window(spark):

@@ -62,3 +62,48 @@ def test_metrics_round_trip(spark):
     df = spark.createDataFrame([("metrics", "RandomForest", "auc", 0, 0.9, None), ("mapping", "KMeans", "0", 1, None, "Loyal")], stores.DOCUMENT_DDL)
     path = stores.write_metrics(df, scratch_path(spark, "metrics"))
     assert sorted(stores.read_metrics(spark, path).collect(), key=repr) == sorted(df.collect(), key=repr)
+
+
+def test_csv_keeps_microseconds_breaks_and_quotes(spark):
+    import datetime as dt
+
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("t", T.TimestampType()), T.StructField("s", T.StringType())])
+    data = [(dt.datetime(2024, 1, 2, 3, 4, 5, 678901), 'a "quoted", text\nof two lines'), (dt.datetime(2024, 1, 2), ""), (None, None), (dt.datetime(1999, 12, 31, 23, 59, 59, 1), "back\\slash\\")]
+    path = files.write_csv(spark.createDataFrame(data, schema), scratch_path(spark, "csv"))
+    assert sorted(map(tuple, files.scan_csv(spark, path, schema).collect()), key=repr) == sorted(data, key=repr)
+
+
+def test_signature_sees_a_leaf_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from custlens.sources import feature_store as FS
+    path = f"{tmp_path}/events.parquet"
+    df = spark.range(6).withColumn("p", F.col("id") % 2)
+    df.write.partitionBy("p").parquet(path)
+    before = FS._signature(spark, str(tmp_path), ["events"])
+    assert before == FS._signature(spark, str(tmp_path), ["events"])
+    df.where("p = 1").drop("p").coalesce(1).write.mode("overwrite").parquet(f"{path}/p=1")
+    assert before != FS._signature(spark, str(tmp_path), ["events"])
+
+
+def test_a_cluster_must_name_the_shared_folder(monkeypatch):
+    import pytest
+
+    from custlens import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())

@@ -46,9 +46,7 @@ def test_hot_customer_rfm_and_affinity(spark):
     for s in sets:
         for a, b in itertools.combinations(sorted(s), 2):
             want[(a, b)] = want.get((a, b), 0) + 1
-    # every affinity path: distinct baskets (default here), per-task matrix, blocked matrix
-    for aff_df in (A.category_affinity(df), A.category_affinity(df, signature_max=0),
-                   A.category_affinity_blocked(df, 2, salts=4)):
+    for aff_df in (A.category_affinity(df), A.category_affinity(df, 2, salts=4)):
         aff = {(r["category_a"], r["category_b"]): r["co_occurrence"] for r in aff_df.collect()}
         assert aff == want
 
