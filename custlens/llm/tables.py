@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.session import scratch_path
+from custlens.session import delete_at_exit, scratch_path
 
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,8 +37,10 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFra
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared folder (``spark.checkpoint.dir``) and read it back:
-    several consumers share one computation and a lost executor re-reads the files."""
+    several consumers share one computation and a lost executor re-reads the files.  It goes when
+    the session ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

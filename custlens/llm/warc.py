@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlens.llm.tables import stored, table
-from custlens.session import scratch_path
+from custlens.session import delete_at_exit, scratch_path
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -223,5 +223,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    folder = delete_at_exit(spark, scratch_path(spark, "warc"))   # the query keeps no archives
+    manifest = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
