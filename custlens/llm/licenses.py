@@ -111,9 +111,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
 
     # blocks against the index
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(stride))
-    blocks = df.where("w is not null and size(w) > 0").select("doc_id", "text_hash", F.explode(starts).alias("start"), "w")
-    blocks = blocks.select("doc_id", "text_hash", "start", F.array_distinct(F.slice("w", F.col("start") + 1, 2 * stride)).alias("b"))
-    blocks = blocks.withColumn("ordered", F.filter(_texts(order), lambda v: F.array_contains(F.col("b"), v)))
+    block = F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_distinct(F.slice(F.col("w"), i + 1, 2 * stride)).alias("b")))
+    blocks = df.where("w is not null and size(w) > 0").select("doc_id", "text_hash", F.explode(block).alias("block"))
+    blocks = blocks.select("doc_id", "text_hash", "block.start", "block.b")
+    blocks = blocks.withColumn("ordered", F.array_intersect(_texts(order), F.col("b")))
     prefix = spark.createDataFrame(index, "word string, template int, place int")
     hits = blocks.select("doc_id", "text_hash", "start", F.size("b").alias("b_size"), "ordered", F.posexplode("ordered").alias("b_place", "word"))
     hits = hits.join(F.broadcast(prefix), "word")   # as many rows as the constants have words
