@@ -11,6 +11,7 @@ from custlens.session import delete_at_exit, scratch_path
 
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+NARROW = 8
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -35,12 +36,15 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFra
     return docs.toDF(*safe), lambda out: out.select(*safe).toDF(*names)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once under the shared folder (``spark.checkpoint.dir``) and read it back:
     several consumers share one computation and a lost executor re-reads the files.  It goes when
-    the session ends."""
-    spark = df.sparkSession
+    the session ends.  ``narrow``: rows of a few numbers, made from such rows, go to an eighth of
+    the usual files."""
+    spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW))
     df.write.parquet(path)
     delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
