@@ -35,7 +35,7 @@ from custlens.llm.tables import importable, set_aside, table
 from custlens.llm.textscan import slices
 
 SPAN, STEP, BLOCK, FILTERS, HIDDEN = 8, 2, 128, 32, 24
-TILE_BLOCKS = 2048
+TILE_BLOCKS = 512
 TRAIN_PER_LABEL = 1200
 TRAIN_MOST_BYTES = 32_000
 EPOCHS, BATCH, RATE = 14, 32, 0.004
