@@ -143,12 +143,27 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     """From stored counts; the driver gets ``HEAD`` words and sums."""
     spark = counts.sparkSession
 
+    def sizes(batches):   # words by the power of two below their count
+        total = np.zeros(64, dtype=np.int64)
+        for b in batches:
+            for n in b.column("n"):
+                total += np.bincount(np.log2(np.frombuffer(n.as_py(), np.int64)).astype(np.int64), minlength=64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(total)], names=["power", "words"])
+
+    by_power = {r["power"]: r["words"] for r in counts.select("n").mapInArrow(sizes, "power bigint, words bigint").groupBy("power").agg(F.sum("words").alias("words")).collect()}
+    least, enough = 0, 0
+    for power in sorted(by_power, reverse=True):
+        enough += by_power[power]
+        if enough >= HEAD:   # so the head lies among the words of this count or more
+            least = 1 << power
+            break
+
     def top(batches):
         for b in batches:
             for h, n in zip(b.column("h"), b.column("n")):
                 h, n = np.frombuffer(h.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
-                best = np.lexsort((h, -n))[:HEAD]
-                yield pa.RecordBatch.from_arrays([pa.array(h[best]), pa.array(n[best])], names=["h", "n"])
+                often = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often])], names=["h", "n"])
 
     rows = counts.select("h", "n").mapInArrow(top, "h bigint, n bigint").orderBy(F.desc("n"), "h").limit(HEAD).collect()
     head = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64)
@@ -343,6 +358,20 @@ def training_documents(docs: DataFrame) -> DataFrame:
     return docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != HELD_OUT)
 
 
+def training_sample(learned: DataFrame, n_docs: int, most: int, most_bytes: int) -> list[str]:
+    """Texts of at most ``most`` documents, those whose ids hash lowest (of an id's texts one).
+
+    Only ids whose hash lies in a share that holds about four times as many are sorted, so what
+    the driver gets does not grow with the input."""
+    share = min(1.0, 4.0 * most / max(n_docs, 1))
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007))
+    fit = learned.where(F.octet_length("text") <= most_bytes)
+    ids = fit.select("doc_id", turn.alias("turn")).where(F.col("turn") <= int(share * 1_000_000_007)).distinct().orderBy("turn", "doc_id").limit(most)
+    ids = learned.sparkSession.createDataFrame(ids.select("doc_id").collect(), "doc_id bigint")
+    rows = fit.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
 def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_most_bytes: int = TRAIN_MOST_BYTES) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
@@ -352,9 +381,10 @@ def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_most_by
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     learned = training_documents(docs)
     counts = stored(count_words(learned, buckets), "lm-counts")
-    v = vocabulary(counts, learned.count())
-    sample = learned.where(F.octet_length("text") <= train_most_bytes).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()
-    net = train(v, _streams(v, pa.array([r["text"] for r in sample], pa.string()))) if v.tokens else new_network(v)
+    n_docs = learned.count()
+    v = vocabulary(counts, n_docs)
+    sample = training_sample(learned, n_docs, train_docs, train_most_bytes)
+    net = train(v, _streams(v, pa.array(sample, pa.string()))) if v.tokens else new_network(v)
     model = spark.sparkContext.broadcast((net, v))   # fixed size: HEAD words and the network
 
     rows = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * buckets)))
