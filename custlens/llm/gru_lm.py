@@ -8,10 +8,12 @@ The model: a GRU reads the tokens so far; its state gives a softmax over word cl
 a class a softmax over its words.  The ``HEAD`` most frequent words fall into ``HEAD_CLASSES``
 classes of equal mass; all other words fall into ``SHAPES`` classes by length, ASCII and final
 punctuation, where a word's share is (c + 1) / (N + V + 1) from the counts of the whole corpus;
-the end token is a class of its own.  The network is trained on the driver by truncated
-backpropagation (windows of ``BPTT`` steps, state carried over) on at most ``TRAIN_DOCS`` training
-documents of at most ``TRAIN_MOST_BYTES`` bytes (parameters).  Scoring runs over whole texts in
-windows and carries the state across them.
+the end token is a class of its own.  The network is trained on Spark on every token of every
+training document, ``EPOCHS`` times: in a round each partition starts from the shared network, runs
+truncated backpropagation (windows of ``BPTT`` steps, state carried over) over its documents of any
+length, and gives its change of the weights times its tokens, of fixed size; these are summed in a
+tree and their mean is the next round's network.  Scoring runs over whole texts in windows and
+carries the state across them.
 
 Counts come to the texts by two shuffles: texts lie in buckets by document, each bucket asks for
 its distinct words that are not in the head, and the answers return to it.  Texts are shuffled
@@ -28,6 +30,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,9 @@ from custlens.llm.textscan import Words, scan, slices
 HELD_OUT = 2
 HEAD, HEAD_CLASSES, SHAPES, STATE = 4096, 60, 32, 32
 BPTT, STREAMS, EPOCHS, RATE = 24, 32, 3, 0.006
-TRAIN_DOCS, TRAIN_MOST_BYTES = 1200, 32_000
+MOST_STREAMS, SLICE_STEPS = 256, 256   # more streams for a slice that fills so many windows
+FAN = 32                    # networks summed by a task
+CHUNK_FLOATS = 1 << 16      # of a network's change in a row
 SCORE_STEPS = 64
 SLICE_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20   # of text for each bucket of hashes
@@ -54,6 +59,8 @@ _PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _COUNTS = "bucket bigint, h binary, n binary, shape binary"
 _ASKED = "bucket bigint, asker bigint, h binary"
 _ANSWERS = "asker bigint, h binary, n binary"
+_CHANGES = "part bigint, chunk bigint, sums binary"
+_CHANGES_ARROW = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("sums", pa.binary())])
 
 
 def lowered(texts) -> Words:
@@ -232,75 +239,106 @@ def new_network(v: Vocabulary, seed: int = 11) -> Network:
                    f32(np.where(empty, -30.0, np.log(mass / mass.sum()))), f32(rng.normal(0, 0.05, (HEAD, STATE))), f32(word_bias))
 
 
+class Adam:
+    """Moments of a network's weights, and its steps."""
+
+    def __init__(self, net: Network):
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
+        self.steps = 0
+
+    def step(self, net: Network, grads: list[np.ndarray], rate: float) -> None:
+        norm = np.sqrt(sum(float((x * x).sum()) for x in grads))
+        scale = min(1.0, 1.0 / (norm + 1e-9))
+        self.steps += 1
+        rate *= (1 - 0.999**self.steps) ** 0.5 / (1 - 0.9**self.steps)
+        for w, x, (m1, m2) in zip(net.parts(), grads, self.moments):
+            x = x * np.float32(scale)
+            m1 += 0.1 * (x - m1)
+            m2 += 0.001 * (x * x - m2)
+            w -= (rate * m1 / (np.sqrt(m2) + 1e-8)).astype(np.float32)
+
+
+def _places(members: list[np.ndarray]) -> np.ndarray:
+    place = np.zeros(HEAD, dtype=np.int64)   # of a head word within its class
+    for m in members:
+        place[m] = np.arange(len(m))
+    return place
+
+
+def _window(net: Network, v: Vocabulary, members: list[np.ndarray], place: np.ndarray, window: np.ndarray, before: np.ndarray, h: np.ndarray):
+    """Gradients of the mean loss over a window (streams x steps; -1 where a stream is over), the
+    tokens read, and the last tokens and states."""
+    b = len(window)
+    trace, states = [], []
+    for t in range(window.shape[1]):
+        fresh = before == END_TYPE   # a document begins: no state
+        h_in = np.where(fresh[:, None], np.float32(0), h)
+        r, z, n, g, h = _gates(net, h_in, net.inputs[before])
+        trace.append((before, fresh, h_in, r, z, n, g))
+        states.append(h)
+        before = np.where(window[:, t] < 0, END_TYPE, window[:, t])
+    hs, target = np.concatenate(states), window.T.reshape(-1)
+    live = target >= 0
+    target = np.where(live, target, END_TYPE)
+    grads = [np.zeros_like(p) for p in net.parts()]
+    count = int(live.sum())
+    share = (live / max(count, 1)).astype(np.float32)
+    # classes
+    cls = v.classes(target.copy())
+    logits = hs @ net.to_class + net.class_bias
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(target)), cls] -= 1
+    p *= share[:, None]
+    grads[2], grads[3] = hs.T @ p, p.sum(axis=0)
+    d_hs = p @ net.to_class.T
+    # words within the head's classes (a stream that is over has the end's class)
+    by = np.argsort(cls, kind="stable")
+    edge = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
+    for c in range(HEAD_CLASSES):
+        m, at = members[c], by[edge[c]:edge[c + 1]]
+        if len(m) < 2 or not len(at):
+            continue
+        of, words = hs[at], net.to_word[m]
+        logits = of @ words.T + net.word_bias[m]
+        q = np.exp(logits - logits.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+        q[np.arange(len(at)), place[target[at]]] -= 1
+        q *= share[at][:, None]
+        grads[4][m], grads[5][m] = q.T @ of, q.sum(axis=0)
+        d_hs[at] += q @ words
+    # back through the window
+    d_h = np.zeros((b, STATE), dtype=np.float32)
+    d_inputs = []
+    for t in reversed(range(len(trace))):
+        _, fresh, h_in, r, z, n, g = trace[t]
+        d = d_hs[t * b:(t + 1) * b] + d_h
+        d_n = d * (1 - z) * (1 - n * n)
+        d_z = d * (h_in - n) * z * (1 - z)
+        d_r = d_n * g * r * (1 - r)
+        d_inputs.append(np.concatenate((d_r, d_z, d_n), axis=1))
+        d_g = np.concatenate((d_r, d_z, d_n * r), axis=1)
+        grads[1] += h_in.T @ d_g
+        d_h = np.where(fresh[:, None], np.float32(0), d * z + d_g @ net.recur.T)
+    read = np.concatenate([x[0] for x in trace])
+    d_inputs = np.concatenate(d_inputs[::-1])
+    order = np.argsort(read, kind="stable")
+    first = np.flatnonzero(np.diff(read[order], prepend=-1))
+    grads[0][read[order][first]] = np.add.reduceat(d_inputs[order], first, axis=0)
+    return grads, read[live], before, h
+
+
 def train(v: Vocabulary, streams: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
     """``streams`` (streams x time): token types, each document ending with ``END_TYPE``."""
     net = new_network(v, seed)
     members = _members(v)
-    place = np.zeros(HEAD, dtype=np.int64)   # of a head word within its class
-    for m in members:
-        place[m] = np.arange(len(m))
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
-    b, length = streams.shape
-    step, total = 0, epochs * max(1, -(-length // BPTT))
+    place, adam = _places(members), Adam(net)
+    total = epochs * max(1, -(-streams.shape[1] // BPTT))
     for _ in range(epochs):
-        h = np.zeros((b, STATE), dtype=np.float32)
-        before = np.full(b, END_TYPE)
-        for lo in range(0, length, BPTT):
-            window = streams[:, lo:lo + BPTT]
-            trace, states = [], []
-            for t in range(window.shape[1]):
-                fresh = before == END_TYPE   # a document begins: no state
-                h_in = np.where(fresh[:, None], 0, h).astype(np.float32)
-                r, z, n, g, h = _gates(net, h_in, net.inputs[before])
-                trace.append((before, fresh, h_in, r, z, n, g))
-                states.append(h)
-                before = window[:, t]
-            hs, target = np.concatenate(states), window.T.reshape(-1)
-            grads = [np.zeros_like(p) for p in net.parts()]
-            count = len(target)
-            # classes
-            cls = v.classes(target.copy())
-            logits = hs @ net.to_class + net.class_bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(count), cls] -= 1
-            p /= count
-            grads[2], grads[3] = hs.T @ p, p.sum(axis=0)
-            d_hs = p @ net.to_class.T
-            # words within the head's classes
-            for c in np.unique(cls[cls < HEAD_CLASSES]):
-                m, at = members[c], np.flatnonzero(cls == c)
-                if len(m) < 2:
-                    continue
-                logits = hs[at] @ net.to_word[m].T + net.word_bias[m]
-                q = np.exp(logits - logits.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(at)), place[target[at]]] -= 1
-                q /= count
-                grads[4][m], grads[5][m] = q.T @ hs[at], q.sum(axis=0)
-                d_hs[at] += q @ net.to_word[m]
-            # back through the window
-            d_h = np.zeros((b, STATE), dtype=np.float32)
-            for t in reversed(range(len(trace))):
-                typ, fresh, h_in, r, z, n, g = trace[t]
-                d = d_hs[t * b:(t + 1) * b] + d_h
-                d_n = d * (1 - z) * (1 - n * n)
-                d_z = d * (h_in - n) * z * (1 - z)
-                d_r = d_n * g * r * (1 - r)
-                d_x = np.concatenate((d_r, d_z, d_n), axis=1)
-                d_g = np.concatenate((d_r, d_z, d_n * r), axis=1)
-                np.add.at(grads[0], typ, d_x)
-                grads[1] += h_in.T @ d_g
-                d_h = np.where(fresh[:, None], 0, d * z + d_g @ net.recur.T).astype(np.float32)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in grads))
-            scale = min(1.0, 1.0 / (norm + 1e-9))
-            step += 1
-            rate = RATE * (1 - step / (total + 1)) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-            for w, x, (m1, m2) in zip(net.parts(), grads, moments):
-                x = x * scale
-                m1 += 0.1 * (x - m1)
-                m2 += 0.001 * (x * x - m2)
-                w -= (rate * m1 / (np.sqrt(m2) + 1e-8)).astype(np.float32)
+        h, before = np.zeros((len(streams), STATE), dtype=np.float32), np.full(len(streams), END_TYPE)
+        for lo in range(0, streams.shape[1], BPTT):
+            grads, _, before, h = _window(net, v, members, place, streams[:, lo:lo + BPTT], before, h)
+            adam.step(net, grads, RATE * (1 - (adam.steps + 1) / (total + 1)))
     return net
 
 
@@ -308,9 +346,7 @@ def network_log10(net: Network, v: Vocabulary, types: np.ndarray, first: np.ndar
     """Per document log10 of the classes' and the head words' probabilities; ``types`` holds the
     documents' tokens one after the other, document i at first[i]:first[i + 1]."""
     members = _members(v)
-    place = np.zeros(HEAD, dtype=np.int64)
-    for m in members:
-        place[m] = np.arange(len(m))
+    place = _places(members)
     words_of = [(np.ascontiguousarray(net.to_word[m].T), net.word_bias[m]) for m in members]
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")   # documents that still run are the first ones
@@ -345,34 +381,97 @@ def network_log10(net: Network, v: Vocabulary, types: np.ndarray, first: np.ndar
     return result
 
 
-def _streams(v: Vocabulary, texts: pa.Array) -> np.ndarray:
-    """Documents one after the other, each ended, cut into equal streams."""
-    words = lowered(texts)
-    types = v.types(words.hashes(), shapes(words))
-    flat = np.insert(types, words.first[1:], END_TYPE)
-    width = len(flat) // STREAMS
-    return flat[:width * STREAMS].reshape(STREAMS, width) if width else flat[None, :]
+def _streams(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All of the tokens cut into equal streams (-1 after the last), and the token before each."""
+    b = int(np.clip(len(flat) // (BPTT * SLICE_STEPS), STREAMS, MOST_STREAMS))
+    width = -(-len(flat) // b)
+    padded = np.full(b * width, -1, dtype=np.int64)
+    padded[:len(flat)] = flat
+    streams = padded.reshape(b, width)
+    before = np.concatenate(([END_TYPE], streams[:-1, -1]))
+    return streams, np.where(before < 0, END_TYPE, before)
 
 
-def training_documents(docs: DataFrame) -> DataFrame:
-    return docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != HELD_OUT)
+def token_types(docs: DataFrame, vocabulary_of) -> DataFrame:
+    """The types of all tokens of ``docs``, documents one after the other, each ended: a row per slice."""
+
+    def local(batches):
+        v = vocabulary_of.value
+        for b in slices(batches, "text", SLICE_BYTES):
+            words = lowered(b.column("text"))
+            types = np.insert(v.types(words.hashes(), shapes(words)), words.first[1:], END_TYPE).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([types.tobytes()], pa.binary())], names=["types"])
+
+    return docs.select("text").mapInArrow(local, "types binary")
 
 
-def training_sample(learned: DataFrame, n_docs: int, most: int, most_bytes: int) -> list[str]:
-    """Texts of at most ``most`` documents, those whose ids hash lowest (of an id's texts one).
+def _summed(parts: DataFrame, partitions: int) -> np.ndarray:
+    """The sum of the partitions' vectors (part, chunk, sums), at most ``FAN`` of a chunk by a task."""
 
-    Only ids whose hash lies in a share that holds about four times as many are sorted, so what
-    the driver gets does not grow with the input."""
-    share = min(1.0, 4.0 * most / max(n_docs, 1))
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007))
-    fit = learned.where(F.octet_length("text") <= most_bytes)
-    ids = fit.select("doc_id", turn.alias("turn")).where(F.col("turn") <= int(share * 1_000_000_007)).distinct().orderBy("turn", "doc_id").limit(most)
-    ids = learned.sparkSession.createDataFrame(ids.select("doc_id").collect(), "doc_id bigint")
-    rows = fit.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    def add(key, t):
+        total = np.sum([np.frombuffer(x.as_py(), np.float32) for x in t.column("sums")], axis=0, dtype=np.float64).astype(np.float32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "chunk": pa.array([key[1].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    while True:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "chunk").applyInArrow(add, _CHANGES)
+        if partitions <= FAN:
+            break
+        partitions = -(-partitions // FAN)
+    rows = parts.collect()   # one network's chunks
+    return np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(0, np.float32)
+
+
+def learn(types: DataFrame, v: Vocabulary, epochs: int = EPOCHS, seed: int = 11) -> tuple[Network, int]:
+    """The network after ``epochs`` rounds over all of ``types``, and the tokens of a round.
+
+    A type's input weights change by the mean over the tokens of that type, all others by the mean
+    over all tokens."""
+    spark = types.sparkSession
+    net, tokens = new_network(v, seed), 0
+    partitions = types.rdd.getNumPartitions()
+    for turn in range(epochs):
+        shared = spark.sparkContext.broadcast((net, v))   # fixed size
+        rate = RATE * (1 - turn / epochs)
+
+        def local(batches):
+            old, v = shared.value
+            net = Network(*[p.copy() for p in old.parts()])
+            members = _members(v)
+            place, adam, seen = _places(members), Adam(net), np.zeros(TYPES)
+            for batch in batches:
+                for x in batch.column("types"):
+                    streams, before = _streams(np.frombuffer(x.as_py(), np.uint16))
+                    h = np.zeros((len(streams), STATE), dtype=np.float32)
+                    for lo in range(0, streams.shape[1], BPTT):
+                        grads, read, before, h = _window(net, v, members, place, streams[:, lo:lo + BPTT], before, h)
+                        adam.step(net, grads, rate)
+                        seen += np.bincount(read, minlength=TYPES)
+            if not seen.any():
+                return
+            change = [(new - was) * (seen[:, None] if i == 0 else seen.sum()) for i, (new, was) in enumerate(zip(net.parts(), old.parts()))]
+            flat = np.concatenate([c.reshape(-1) for c in [*change, seen]]).astype(np.float32)
+            for i, lo in enumerate(range(0, len(flat), CHUNK_FLOATS)):
+                yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "chunk": i, "sums": flat[lo:lo + CHUNK_FLOATS].tobytes()}], schema=_CHANGES_ARROW)
+
+        flat = _summed(types.mapInArrow(local, _CHANGES), partitions)
+        shared.unpersist()
+        if not len(flat):
+            return net, 0
+        seen = flat[-TYPES:].astype(np.float64)
+        tokens, lo, parts = int(round(seen.sum())), 0, []
+        for i, p in enumerate(net.parts()):
+            change = flat[lo:lo + p.size].reshape(p.shape)
+            parts.append((p + change / (np.maximum(seen, 1)[:, None] if i == 0 else seen.sum())).astype(np.float32))
+            lo += p.size
+        net = Network(*parts)
+    return net, tokens
+
+
+def training_documents(docs: DataFrame) -> DataFrame:
+    return docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != HELD_OUT)
 
 
-def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_most_bytes: int = TRAIN_MOST_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     importable(spark)
@@ -383,8 +482,7 @@ def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_most_by
     counts = stored(count_words(learned, buckets), "lm-counts")
     n_docs = learned.count()
     v = vocabulary(counts, n_docs)
-    sample = training_sample(learned, n_docs, train_docs, train_most_bytes)
-    net = train(v, _streams(v, pa.array(sample, pa.string()))) if v.tokens else new_network(v)
+    net = learn(stored(token_types(learned, spark.sparkContext.broadcast(v)), "lm-types"), v)[0] if v.tokens else new_network(v)
     model = spark.sparkContext.broadcast((net, v))   # fixed size: HEAD words and the network
 
     rows = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * buckets)))

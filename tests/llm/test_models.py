@@ -136,3 +136,19 @@ def test_language_model_cases(spark):
     alone = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     nothing = G.score_documents(frame(spark, [(i, "a b", "", "", 0) for i in alone])).collect()
     assert all(r.train_tokens == 0 and r.score == r.base_score == 0 for r in nothing)
+
+
+def test_network_learns_from_every_document(spark):
+    """More than 1200 documents, short and long ones in many partitions: each token is learned from."""
+    rows = [(i, f"w{i % 50} x{i % 7} y", "", "", 0) for i in range(1500)] + [(5000 + i, "a b c d " * 10_000, "", "", 0) for i in range(8)]
+    docs = G.training_documents(frame(spark, rows).repartition(40)).select("doc_id", "text")
+    v = G.vocabulary(G.count_words(docs, 8), docs.count())
+    net, tokens = G.learn(G.token_types(docs, spark.sparkContext.broadcast(v)), v, epochs=1)
+    assert tokens == v.tokens > 200_000
+    assert all(np.isfinite(p).all() for p in net.parts())
+
+
+def test_network_learns_from_long_documents_alone(spark):
+    rows = [(i, "one two three four five six seven eight " * 1000, "", "", 0) for i in range(40)]   # 40 kB each
+    out = G.score_documents(frame(spark, rows)).collect()
+    assert sum(r.score for r in out) > 0.2 * sum(r.base_score for r in out)   # a word tells the next one
