@@ -1,10 +1,12 @@
 """Operator 10: near-duplicate documents by ProbMinHash.
 
-A document's ``SHINGLE``-word shingles are weighted by 1 + ln(occurrences).  Each shingle is a
+Each distinct ``SHINGLE``-word shingle of a document has weight 1, however often it occurs, so that
+candidates come from the similarity that a link is verified by.  Each shingle is a
 Poisson process whose rate is its weight: its arrivals (exponential gaps drawn from hashes of the
 shingle) fall on one of ``REGISTERS`` registers, and a register keeps the shingle of its earliest
 arrival.  A process stops once its next arrival lies behind the latest register (early
-termination).  The share of equal registers estimates the probability Jaccard of two documents.
+termination).  The share of equal registers estimates the probability Jaccard of two documents, with
+these weights the Jaccard similarity of their shingle sets.
 
 Registers are cut into bands of ``ROWS``; documents with an equal band are candidates, and a pair
 is a link if the Jaccard similarity of their shingle sets is at least ``SIMILARITY``.  Classes
@@ -101,8 +103,8 @@ def _bands(batches):
         _, rows = np.unique(nodes, return_index=True)   # copies within the slice have the same bands
         words = scan(b.column("text").take(pa.array(np.sort(rows))))
         nodes = nodes[np.sort(rows)]
-        d, g, n = shingles(words)
-        keys = band_keys(signatures(d, g, 1.0 + np.log(n), len(nodes)))
+        d, g, _ = shingles(words)
+        keys = band_keys(signatures(d, g, np.ones(len(d)), len(nodes)))
         some = words.n_words > 0
         nodes, keys = nodes[some], keys[some]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(nodes) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))

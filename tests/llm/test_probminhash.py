@@ -99,3 +99,13 @@ def test_no_documents(spark):
     assert near_classes(frame(spark, [])).count() == 0
     assert keep_one(frame(spark, [])).count() == 0
     assert near_classes(frame(spark, [(1, None, "", "", 0), (2, "", "", "", 0)])).select("class_id").distinct().count() == 1
+
+
+def test_links_between_texts_that_repeat_a_passage_unequally(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):   # set similarity 0.97, the passage once in one text and 300 times in the other
+        words = sentence(rng, 140).split()
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(words + words[-20:] * 300), "en", "s", 0)]
+    assert set(brute(rows)) == {(i, i - i % 2) for i in range(24)}
+    assert got(near_classes(frame(spark, rows)), "doc_id", "class_id") == brute(rows)
