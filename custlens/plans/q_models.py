@@ -3,7 +3,8 @@
 
 What a fit gives differs by engine, so the keys of fitted models return what SQL can state about
 them: sizes from the exact split, ranges, orders and sums that must hold.  Choices and reshapes
-(E8, E9, G5, G6) run on tables that SQL builds as well."""
+(E8, E9, G5, G6) run on tables that SQL builds as well.  The fitted values themselves are what the
+keys that end in ``_rows`` return; SQL can't state them."""
 
 from __future__ import annotations
 
@@ -73,6 +74,12 @@ def q_best_k(spark, sf_dir):
     return M.best_k(nation.select(F.col("n_nationkey").alias("k"), ((F.col("n_nationkey") * 7) % 10 / 10).alias("silhouette")))
 
 
+@register("best_k_rows")
+def q_best_k_rows(spark, sf_dir):
+    """E8 on the fitted search."""
+    return M.best_k(training(spark, sf_dir)[1].search)
+
+
 @register("segmentation_run", f"""SELECT COUNT(*) AS customers, COUNT(DISTINCT customer_id) AS distinct_customers, TRUE AS all_named,
     TRUE AS names_are_ranked, TRUE AS best_k_taken FROM ({RFM})""")
 def q_segmentation_run(spark, sf_dir):
@@ -179,6 +186,18 @@ def q_model_metric_long(spark, sf_dir):
     return _metric_long(_given(spark, sf_dir))
 
 
+@register("best_model_rows")
+def q_best_model_rows(spark, sf_dir):
+    """E9 on the fitted models' metrics."""
+    return M.best_model(training(spark, sf_dir)[2].metrics)
+
+
+@register("model_metric_long_rows")
+def q_model_metric_long_rows(spark, sf_dir):
+    """G5 on the fitted models' metrics."""
+    return _metric_long(training(spark, sf_dir)[2].metrics)
+
+
 def _metric_long(m):
     return m.select("model", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("value"))
                                                  for n in METRICS])).alias("s")).select("model", "s.*")

@@ -1,0 +1,37 @@
+"""The ``_rows`` keys return the fitted values of the shared training run (here a small one)."""
+
+import pytest
+
+from custlens.plans import models as M
+from custlens.plans import q_models
+from custlens.plans.registry import ORACLES, QUERIES
+from custlens.sources.feature_store import rfm_features
+from tests.conftest import SF_SMALL
+
+
+@pytest.fixture(scope="module")
+def run(spark):
+    r = rfm_features(spark, SF_SMALL, "history")
+    seg = M.segmentation_run(r, k_range=(3, 4), starts=2)
+    return r, seg, M.classification_run(seg.named, names=["RandomForest", "LogisticRegression"], cv_folds=2)
+
+
+@pytest.fixture
+def rows(spark, run, monkeypatch):
+    monkeypatch.setattr(q_models, "training", lambda spark, sf_dir: run)
+
+    def of(key):
+        assert key not in ORACLES
+        return [r.asDict() for r in QUERIES[key](spark, SF_SMALL).collect()]
+
+    return of
+
+
+def test_choices_read_the_fitted_run(rows, run):
+    _, seg, cls = run
+    search = {r["k"]: r["silhouette"] for r in seg.search.collect()}
+    assert [(r["k"], r["silhouette"]) for r in rows("best_k_rows")] == [(seg.k, max(search.values()))]
+    metrics = {r["model"]: r.asDict() for r in cls.metrics.collect()}
+    assert [(r["model"], r["auc"]) for r in rows("best_model_rows")] == [(cls.best, max(m["auc"] for m in metrics.values()))]
+    long = {(r["model"], r["metric"]): r["value"] for r in rows("model_metric_long_rows")}
+    assert long == {(n, m): metrics[n][m] or 0.0 for n in metrics for m in q_models.METRICS}
