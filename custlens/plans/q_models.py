@@ -296,3 +296,104 @@ def q_model_store(spark, sf_dir):
     paths = stores.save_models({n: tm.model for n, tm in cls.models.items()}, scratch_path(spark, "models"))
     loaded, default = stores.load_models(paths, cls.best)
     return spark.createDataFrame([(k, k in loaded, default in paths) for k in paths], "model string, loaded boolean, one_default boolean")
+
+
+# ---------------------------------------------------------------- fitted values
+
+@register("kmeans_fit_rows")
+def q_kmeans_fit_rows(spark, sf_dir):
+    _, seg, _ = training(spark, sf_dir)
+    rows = [(i, *c, seg.inertia) for i, c in M.kmeans_centres(seg)]
+    return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{z} double" for z in G.Z) + ", inertia double")
+
+
+@register("k_search_rows")
+def q_k_search_rows(spark, sf_dir):
+    return training(spark, sf_dir)[1].search
+
+
+@register("segmentation_run_rows")
+def q_segmentation_run_rows(spark, sf_dir):
+    return training(spark, sf_dir)[1].named.select("customer_id", "segment", "segment_name")
+
+
+def _trained_rows(name):
+    return lambda spark, sf_dir: training(spark, sf_dir)[2].metrics.where(F.col("model") == name)
+
+
+for _key, _name in [("train_random_forest", "RandomForest"), ("train_boosted_d6", "XGBoost"),
+                    ("train_logistic", "LogisticRegression"), ("train_boosted_d5", "GradientBoosting")]:
+    register(f"{_key}_rows")(_trained_rows(_name))
+
+
+@register("cross_validate_auc_rows")
+def q_cross_validate_auc_rows(spark, sf_dir):
+    return training(spark, sf_dir)[2].metrics.select("model", "cv_auc_mean", "cv_auc_std")
+
+
+def _importance_rows(trees):
+    def q(spark, sf_dir):
+        cls = training(spark, sf_dir)[2]
+        rows = [(n, f, v) for n, tm in cls.models.items() if trees == hasattr(tm.model.stages[-1], "featureImportances") for f, v in M.importance(tm)]
+        return spark.createDataFrame(rows, "model string, feature string, importance double")
+    return q
+
+
+register("tree_importance_rows")(_importance_rows(True))
+register("linear_importance_rows")(_importance_rows(False))
+
+
+@register("importance_ranked_rows")
+def q_importance_ranked_rows(spark, sf_dir):
+    out = None
+    for tm in training(spark, sf_dir)[2].models.values():
+        ranked = M.importance_ranked(spark, tm)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
+@register("classification_run_rows")
+def q_classification_run_rows(spark, sf_dir):
+    return training(spark, sf_dir)[2].metrics
+
+
+@register("training_run_rows")
+def q_training_run_rows(spark, sf_dir):
+    _, seg, cls = training(spark, sf_dir)
+    td = {int(r["will_purchase"]): int(r["customers"]) for r in cls.target_distribution.collect()}  # 2 rows
+    row = (seg.k, round(seg.silhouette, 4), cls.best, cls.train_size, cls.test_size, td.get(0, 0), td.get(1, 0))
+    return spark.createDataFrame([row], "k_optimal int, silhouette_score double, best_model string, train_size long, test_size long, target_0 long, target_1 long")
+
+
+@register("score_customers_rows")
+def q_score_customers_rows(spark, sf_dir):
+    r, seg, cls = training(spark, sf_dir)
+    best = M.choose_model(cls.models, cls.best, None)
+    return M.score_customers(r, seg, best, best.name)
+
+
+@register("model_inventory_rows")
+def q_model_inventory_rows(spark, sf_dir):
+    _, seg, cls = training(spark, sf_dir)
+    names = [r["segment_name"] for r in seg.mapping.orderBy("rank").collect()]  # at most 10 rows
+    row = ([n.lower() for n in cls.models], cls.best, K.CLASSIFIER_FEATURES, names)
+    return spark.createDataFrame([row], "models_available array<string>, best_model string, feature_columns array<string>, segments array<string>")
+
+
+@register("roc_points_rows")
+def q_roc_points_rows(spark, sf_dir):
+    return _roc_points(spark, {n: tm.metrics["roc"] for n, tm in training(spark, sf_dir)[2].models.items()})
+
+
+@register("metrics_store_rows")
+def q_metrics_store_rows(spark, sf_dir):
+    _, seg, cls = training(spark, sf_dir)
+    return stores.read_metrics(spark, stores.write_metrics(stores.results_document(spark, seg, cls), scratch_path(spark, "results")))
+
+
+@register("model_store_rows")
+def q_model_store_rows(spark, sf_dir):
+    cls = training(spark, sf_dir)[2]
+    paths = stores.save_models({n: tm.model for n, tm in cls.models.items()}, scratch_path(spark, "models"))
+    loaded, default = stores.load_models(paths, cls.best)
+    return spark.createDataFrame([(k, k in loaded, k == default) for k in paths], "model string, loaded boolean, is_default boolean")

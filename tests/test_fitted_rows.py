@@ -35,3 +35,31 @@ def test_choices_read_the_fitted_run(rows, run):
     assert [(r["model"], r["auc"]) for r in rows("best_model_rows")] == [(cls.best, max(m["auc"] for m in metrics.values()))]
     long = {(r["model"], r["metric"]): r["value"] for r in rows("model_metric_long_rows")}
     assert long == {(n, m): metrics[n][m] or 0.0 for n in metrics for m in q_models.METRICS}
+
+
+def test_fitted_values_are_returned(rows, run):
+    r, seg, cls = run
+    centres = rows("kmeans_fit_rows")
+    assert len(centres) == seg.k and {c["inertia"] for c in centres} == {seg.inertia}
+    assert rows("k_search_rows") == [x.asDict() for x in seg.search.collect()]
+    customers = r.count()
+    segments = rows("segmentation_run_rows")
+    assert len(segments) == customers and all(s["segment_name"] for s in segments)
+    metrics = {m["model"]: m for m in rows("classification_run_rows")}
+    assert set(metrics) == set(cls.models)
+    assert rows("train_random_forest_rows") == [metrics["RandomForest"]] and rows("train_logistic_rows") == [metrics["LogisticRegression"]]
+    assert {m["model"]: m["cv_auc_mean"] for m in rows("cross_validate_auc_rows")} == {n: tm.cv_mean for n, tm in cls.models.items()}
+    for key, name in [("tree_importance_rows", "RandomForest"), ("linear_importance_rows", "LogisticRegression")]:
+        assert [(x["model"], x["feature"], x["importance"]) for x in rows(key)] == [(name, f, v) for f, v in M.importance(cls.models[name])]
+    assert len(rows("importance_ranked_rows")) == 8 * len(cls.models)
+    run_row, = rows("training_run_rows")
+    assert (run_row["k_optimal"], run_row["best_model"], run_row["train_size"]) == (seg.k, cls.best, cls.train_size)
+    scored = rows("score_customers_rows")
+    assert len(scored) == customers and all(0 <= s["probability"] <= 1 and s["segment_name"] for s in scored)
+    inventory, = rows("model_inventory_rows")
+    assert inventory["best_model"] == cls.best and all(inventory["segments"])
+    points = rows("roc_points_rows")
+    for n, tm in cls.models.items():
+        assert sum(p["model"] == n for p in points) == tm.metrics["roc"].count()
+    assert {s["section"] for s in rows("metrics_store_rows")} >= {"metrics", "confusion", "roc", "importance", "k_search"}
+    assert sum(s["is_default"] for s in rows("model_store_rows")) == 1
