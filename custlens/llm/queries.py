@@ -10,6 +10,7 @@ from custlens.llm.probminhash import op10
 from custlens.llm.quality_cnn import op2
 from custlens.llm.quality_rules import op4
 from custlens.llm.registry import register
+from custlens.llm.rns_mining import op13
 from custlens.llm.substring import op8
 from custlens.llm.warc import op1
 from custlens.llm.winnow import op5
@@ -24,3 +25,4 @@ register("op7_gru_lm")(op7)
 register("op8_substring_dedup")(op8)
 register("op9_licenses")(op9)
 register("op10_probminhash")(op10)
+register("op13_rns_mining")(op13)
