@@ -1,95 +1,58 @@
-"""Spark ML jobs: K-Means segmentation and the purchase classifiers.
+"""Training: K-Means segmentation and the purchase classifiers.
 
-Every fit is a distributed Spark ML job over the customer table (one row per customer,
-assembled once and checkpointed, so iterative fits read a lineage-free table).  The driver only loops over model
-configurations and holds models (centres, trees, coefficients) whose size does not grow with
-the data.  Metrics reuse the DataFrame evaluation operators (``operators.evaluation``).
+K-Means, logistic regression and boosting fit many models in one pass over a blocked table
+(``kmeans``, ``logistic``, ``boosting``); the random forest is Spark ML's.  The driver holds models
+(centres, trees, coefficients) whose size does not grow with the data.  Metrics reuse the DataFrame
+evaluation operators (``operators.evaluation``).  ``training`` keeps the same steps as artifacts.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlens import constants as K
+from custlens.functions.materialize import materialize
 from custlens.operators import evaluation as E
 from custlens.operators import labels as L
 from custlens.operators import predicates as P
 from custlens.operators import segments as G
-from custlens.functions.materialize import materialize
+from custlens.plans import boosting, kmeans, logistic
+from custlens.plans.blocks import pack
+from custlens.plans.fitted import PipelineClassifier
 
 
 # ---------------------------------------------------------------- segmentation (H2, H3, H7)
 
-def segment_matrix(rfm: DataFrame, scaler: dict | None = None) -> tuple[DataFrame, dict]:
-    """Cleaned (B2), standardized (H1, population std) feature vectors per customer, and the
+def standardized(rfm: DataFrame, scaler: dict | None = None) -> tuple[DataFrame, dict]:
+    """Cleaned (B2), standardized (H1, population std) features per customer, and the
     scaler (14 numbers) so new customers can be scored with the same scaling."""
     clean = P.clean_features(rfm.select("customer_id", *K.FEATURES))
     scaler = scaler or G.fit_scaler(clean)
-    z = G.standardize(clean, scaler)
-    return VectorAssembler(inputCols=G.Z, outputCol="features").transform(z), scaler
-
-
-@dataclass
-class KMeansFit:
-    k: int
-    model: object
-    inertia: float
-    seed: int
-
-
-# independent fits submitted concurrently (each is its own Spark job); measured at sf0.1 on
-# 8 cores: 8 concurrent K-Means fits take 23 s for the k search against 37 s with 4.
-# Repartitioning the small training tables over all cores was slower (task overhead).
-FIT_PARALLELISM = 8
-
-
-def _kmeans_one(vec: DataFrame, k: int, seed: int, max_iter: int) -> KMeansFit:
-    m = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(vec)
-    return KMeansFit(k, m, float(m.summary.trainingCost), seed)
-
-
-def _best(fits: list[KMeansFit]) -> KMeansFit:
-    return min(fits, key=lambda f: (f.inertia, f.seed))  # lowest cost; ties -> first start
+    return G.standardize(clean, scaler), scaler
 
 
-def kmeans_fit(vec: DataFrame, k: int, starts: int = K.KMEANS_STARTS, seed: int = K.SEED,
-               max_iter: int = 300, parallelism: int = FIT_PARALLELISM) -> KMeansFit:
-    """H2: best of ``starts`` k-means|| runs (lowest within-cluster sum of squares)."""
-    with ThreadPoolExecutor(parallelism) as ex:
-        return _best(list(ex.map(lambda s: _kmeans_one(vec, k, seed + s, max_iter), range(starts))))
+def k_search(z: DataFrame, k_range: tuple[int, int] = K.K_RANGE, starts: int = K.KMEANS_STARTS, seed: int = K.SEED,
+             max_iter: int = 300) -> dict[int, tuple[kmeans.KMeansFit, float]]:
+    """H2, H3: per k the best of ``starts`` k-means++ runs (lowest within-cluster sum of squares) and
+    its silhouette (squared Euclidean, exact), all in the same passes."""
+    blocks = pack(z, "customer_id", G.Z, name="kmeans-blocks")
+    ks = list(range(k_range[0], k_range[1] + 1))
+    fits = kmeans.fit_all(blocks, len(G.Z), ks, [seed + s for s in range(starts)], max_iter)
+    best = [kmeans.best_of([f for f in fits if f.k == k]) for k in ks]
+    return {f.k: (f, s) for f, s in zip(best, kmeans.squared_silhouettes(blocks, len(G.Z), best))}
 
 
-def k_search(vec: DataFrame, k_range: tuple[int, int] = K.K_RANGE, starts: int = K.KMEANS_STARTS,
-             seed: int = K.SEED, max_iter: int = 300,
-             parallelism: int = FIT_PARALLELISM) -> tuple[DataFrame, dict[int, KMeansFit]]:
-    """H3: per k, inertia of the best start and its silhouette (squared Euclidean, exact).
-    All (k, start) fits are independent jobs and run ``parallelism`` at a time."""
-    spark = vec.sparkSession
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
-    ks = list(range(k_range[0], k_range[1] + 1))
-    jobs = [(k, seed + s) for k in ks for s in range(starts)]
-    vec = vec.persist()  # one copy for all fits (each would keep its own); recomputable from its table
-    try:
-        with ThreadPoolExecutor(parallelism) as ex:
-            done = list(ex.map(lambda j: _kmeans_one(vec, j[0], j[1], max_iter), jobs))
-        fits = {k: _best([f for f in done if f.k == k]) for k in ks}
-        with ThreadPoolExecutor(parallelism) as ex:
-            sils = dict(zip(ks, ex.map(lambda k: float(ev.evaluate(fits[k].model.transform(vec))), ks)))
-    finally:
-        vec.unpersist()
-    rows = [(k, fits[k].inertia, sils[k]) for k in ks]
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double"), fits
+def search_table(spark: SparkSession, found: dict[int, tuple[kmeans.KMeansFit, float]]) -> DataFrame:
+    return spark.createDataFrame([(k, f.inertia, s) for k, (f, s) in found.items()], "k int, inertia double, silhouette double")
 
 
 def best_k(search: DataFrame) -> DataFrame:
@@ -100,7 +63,7 @@ def best_k(search: DataFrame) -> DataFrame:
 @dataclass
 class Segmentation:
     k: int
-    kmeans: object
+    kmeans: kmeans.KMeansFit
     search: DataFrame
     mapping: DataFrame
     named: DataFrame
@@ -110,70 +73,34 @@ class Segmentation:
     extras: dict = field(default_factory=dict)
 
 
+def segmentation_of(z: DataFrame, scaler: dict, found: dict[int, tuple[kmeans.KMeansFit, float]],
+                    keep: Callable[[DataFrame, str], DataFrame] = materialize) -> Segmentation:
+    """H7 after the search: best k -> D19 scores -> E1 names -> labelled customers."""
+    search = search_table(z.sparkSession, found)
+    kbest = int(best_k(search).first()["k"])
+    fit, sil = found[kbest]
+    assigned = keep(G.assign_segments(z, [(i, c.tolist()) for i, c in enumerate(fit.centres)]).select("customer_id", *K.FEATURES, "segment"), "segments")
+    mapping = keep(G.segment_ranking(G.segment_scores(assigned), kbest), "mapping")
+    return Segmentation(kbest, fit, search, mapping, G.name_segments(assigned, mapping), sil, fit.inertia, scaler)
+
+
 def segmentation_run(rfm: DataFrame, k_range: tuple[int, int] = K.K_RANGE, starts: int = K.KMEANS_STARTS,
                      seed: int = K.SEED) -> Segmentation:
     """H7: scale -> k search -> best k -> D19 scores -> E1 names -> labelled customers."""
-    vec, scaler = segment_matrix(rfm)
-    vec = materialize(vec)  # iterative fits read a lineage-free table
-    search, fits = k_search(vec, k_range, starts, seed)
-    search = search.persist()
-    kbest = int(best_k(search).first()["k"])
-    fit = fits[kbest]
-    sil = float(search.where(F.col("k") == kbest).first()["silhouette"])
-    assigned = materialize(fit.model.transform(vec).select(
-        "customer_id", *K.FEATURES, F.col("prediction").cast("int").alias("segment")))
-    mapping = G.segment_ranking(G.segment_scores(assigned), kbest).persist()
-    named = G.name_segments(assigned, mapping)
-    return Segmentation(kbest, fit.model, search, mapping, named, sil, fit.inertia, scaler)
+    z, scaler = standardized(rfm)
+    z = materialize(z)
+    return segmentation_of(z, scaler, k_search(z, k_range, starts, seed))
 
 
 # ---------------------------------------------------------------- classifiers
 
-def classifier_specs(seed: int = K.SEED) -> dict[str, tuple[object, bool]]:
-    """The four models in list order; the flag marks the one fitted on scaled inputs."""
-    return {
-        "RandomForest": (RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed), False),
-        # a boosted-tree model with the settings of the reference's XGBoost entry (log-loss)
-        "XGBoost": (_boosted(6, seed), False),
-        "LogisticRegression": (LogisticRegression(maxIter=1000, elasticNetParam=0.0, standardization=False), True),
-        "GradientBoosting": (_boosted(5, seed), False),
-    }
-
-
-#: What is run under each model name (the boosted entry of a library that is not here is Spark's).
-ALGORITHMS = {"RandomForest": "Spark RandomForestClassifier", "XGBoost": "Spark GBTClassifier, depth 6",
-              "LogisticRegression": "Spark LogisticRegression", "GradientBoosting": "Spark GBTClassifier, depth 5"}
-
-
-def _boosted(depth: int, seed: int) -> GBTClassifier:
-    """100 rounds, rate 0.1, log-loss.  Node ids are not checkpointed every ten rounds, and the
-    memory for statistics lets a tree level be one job."""
-    return GBTClassifier(maxIter=100, maxDepth=depth, stepSize=0.1, seed=seed, lossType="logistic",
-                         checkpointInterval=-1, maxMemoryInMB=512)
-
-
-ROWS_PER_TASK = 50_000
-
-
-def packed(df: DataFrame) -> DataFrame:
-    """A training table in as many partitions as its rows call for: an iterative fit runs hundreds
-    of jobs, and on a small table their cost is the number of tasks."""
-    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
-
-
-def classifier_pipeline(est, scaled: bool, n_train: int | None = None) -> Pipeline:
-    stages = [VectorAssembler(inputCols=K.CLASSIFIER_FEATURES, outputCol="raw", handleInvalid="keep")]
-    if scaled:
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
-        if n_train:
-            # L2 with C = 1 over n rows is regParam 1/n in Spark's averaged objective.  Spark scales
-            # by the sample deviation; (n - 1)/n makes the penalty that of population scaling, so
-            # predictions and coefficient shares are those of population-scaled inputs.
-            est = est.copy().setRegParam((n_train - 1.0) / n_train / n_train)
-    else:
-        stages[0].setOutputCol("features")
-    stages.append(est.copy().setFeaturesCol("features").setLabelCol("label"))
-    return Pipeline(stages=stages)
+#: What runs under each model name.
+ALGORITHMS = {"RandomForest": "Spark RandomForestClassifier", "XGBoost": "second-order histogram boosting, depth 6",
+              "LogisticRegression": "L2 logistic regression, Newton", "GradientBoosting": "first-order histogram boosting, depth 5"}
+BOOSTED = {"XGBoost": (6, True), "GradientBoosting": (5, False)}
+ROUNDS, RATE = 100, 0.1
+#: Models that are fitted together, with their folds.
+GROUPS = {"forest": ["RandomForest"], "logistic": ["LogisticRegression"], "boosted": list(BOOSTED)}
 
 
 def classification_frame(named: DataFrame) -> DataFrame:
@@ -184,73 +111,85 @@ def classification_frame(named: DataFrame) -> DataFrame:
     return base.join(labels.select("customer_id", F.col("will_purchase").cast("double").alias("label")), "customer_id")
 
 
-def scored_test(model: PipelineModel, test: DataFrame) -> DataFrame:
-    return model.transform(test).select(
-        "customer_id", F.col("label").cast("int").alias("label"),
-        vector_to_array("probability")[1].alias("score"),
-        F.col("prediction").cast("int").alias("prediction"))
+def training_table(named: DataFrame, folds: int = K.CV_FOLDS, seed: int = K.SEED,
+                   keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+    """Every customer with inputs, label, ``is_test`` (E4) and, of the training part, ``fold`` (E5; -1: none)."""
+    frame = classification_frame(named)
+    split = L.stratified_split(frame.select("customer_id", F.col("label").cast("int").alias("will_purchase")), seed=seed)
+    table = keep(frame.join(split.select("customer_id", "is_test"), "customer_id"), "split")
+    if not folds:
+        return table.withColumn("fold", F.lit(-1))
+    fold = L.stratified_folds(table.where("not is_test").select("customer_id", F.col("label").cast("int").alias("will_purchase")), folds=folds, seed=seed)
+    return keep(table.join(fold.select("customer_id", "fold"), "customer_id", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)).cast("int")), "training")
 
 
-def evaluate(scored: DataFrame) -> dict:
-    m = E.classification_metrics(scored).first().asDict()
-    m["auc"] = E.auc(scored).first()["auc"]
-    cm = E.confusion_matrix(scored).orderBy("actual", "predicted").collect()  # 4 cells
-    m["confusion_matrix"] = [[cm[0]["n"], cm[1]["n"]], [cm[2]["n"], cm[3]["n"]]]
-    roc = E.roc_curve(scored).orderBy("order_key")
-    m["roc"] = roc  # a DataFrame (one row per distinct score); not collected here
-    return m
+def _blocks(table: DataFrame) -> DataFrame:
+    return pack(table.where("not is_test"), "customer_id", K.CLASSIFIER_FEATURES, ["label", "fold"], "training-blocks")
 
 
-@dataclass
-class TrainedModel:
-    name: str
-    model: PipelineModel
-    metrics: dict
-    train_seconds: float
-    cv_mean: float | None = None
-    cv_std: float | None = None
+ROWS_PER_TASK = 50_000
 
 
-def split_frame(frame: DataFrame, seed: int = K.SEED) -> tuple[DataFrame, DataFrame]:
-    split = L.stratified_split(frame.select("customer_id", F.col("label").cast("int").alias("will_purchase")),
-                               seed=seed)
-    j = frame.join(split.select("customer_id", "is_test"), "customer_id")
-    return j.where(~F.col("is_test")).drop("is_test"), j.where(F.col("is_test")).drop("is_test")
+def fit_forest(table: DataFrame, fold: int | None = None, seed: int = K.SEED) -> PipelineClassifier:
+    """H8: 100 trees of depth 10, on the training part or what is outside a fold."""
+    part = table.where("not is_test")
+    part = part if fold is None else part.where(F.col("fold") != fold)
+    part = part.coalesce(max(1, -(-part.count() // ROWS_PER_TASK)))
+    stages = [VectorAssembler(inputCols=K.CLASSIFIER_FEATURES, outputCol="features", handleInvalid="keep"),
+              RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, featuresCol="features", labelCol="label")]
+    return PipelineClassifier(Pipeline(stages=stages).fit(part), K.CLASSIFIER_FEATURES)
+
+
+def fit_group(group: str, table: DataFrame, folds: list[int | None], seed: int = K.SEED, names: list[str] | None = None,
+              done: dict | None = None, progress: Callable[[dict], None] | None = None) -> dict[tuple[str, int | None], object]:
+    """Models of a group, for all training rows (None) and without each fold."""
+    names = names or GROUPS[group]
+    if group == "forest":
+        with ThreadPoolExecutor(len(folds)) as ex:
+            return dict(zip([(names[0], f) for f in folds], ex.map(lambda f: fit_forest(table, f, seed), folds)))
+    if group == "logistic":
+        return {(names[0], f): m for f, m in zip(folds, logistic.fit_all(_blocks(table), K.CLASSIFIER_FEATURES, folds))}
+    jobs = [(n, f) for n in names for f in folds]
+    specs = [boosting.Spec(*BOOSTED[n], f) for n, f in jobs]
+    models = boosting.fit_all(_blocks(table), table.where("not is_test"), K.CLASSIFIER_FEATURES, specs, ROUNDS, RATE, done, progress)
+    return dict(zip(jobs, models))
+
+
+def scored(model, rows: DataFrame) -> DataFrame:
+    """Label, probability and decision of every row."""
+    out = model.score(rows.select("customer_id", "label", *K.CLASSIFIER_FEATURES))
+    return out.select("customer_id", F.col("label").cast("int").alias("label"), "score", (F.col("score") > 0.5).cast("int").alias("prediction"))
+
+
+def evaluate(scored_rows: DataFrame) -> dict:
+    m = E.classification_metrics(scored_rows).first().asDict()
+    m["auc"] = E.auc(scored_rows).first()["auc"]
+    cm = E.confusion_matrix(scored_rows).orderBy("actual", "predicted").collect()  # 4 cells
+    m["confusion_matrix"] = [[cm[0]["n"], cm[1]["n"]], [cm[2]["n"], cm[3]["n"]]]
+    return m
 
 
-def cross_validate(name: str, train: DataFrame, folds: int = K.CV_FOLDS, seed: int = K.SEED) -> tuple[float, float]:
-    """K-fold AUC on the training part: mean and population std (folds from E5).  Each fold
-    has its own scaler and regularisation; the folds are independent and run concurrently."""
-    fold = L.stratified_folds(train.select("customer_id", F.col("label").cast("int").alias("will_purchase")),
-                              folds=folds, seed=seed)
-    data = packed(materialize(train.join(fold.select("customer_id", "fold"), "customer_id"), "cv-folds"))
+def fold_auc(model, table: DataFrame, fold: int) -> float | None:
+    """AUC on the rows that the model has not seen; null without both classes."""
+    return E.auc(scored(model, table.where((F.col("fold") == fold) & ~F.col("is_test")))).first()["auc"]
 
-    def one(f: int) -> float:
-        part = packed(data.where(F.col("fold") != f))
-        est, scaled = classifier_specs(seed)[name]
-        model = classifier_pipeline(est, scaled, part.count() if scaled else None).fit(part)
-        return E.auc(scored_test(model, data.where(F.col("fold") == f))).first()["auc"]
 
-    with ThreadPoolExecutor(folds) as ex:
-        aucs = [a for a in ex.map(one, range(folds)) if a is not None]  # a fold with one class has none
-    if not aucs:
+def mean_and_std(aucs: list[float | None]) -> tuple[float | None, float | None]:
+    known = [a for a in aucs if a is not None]  # a fold with one class has none
+    if not known:
         return None, None
-    mean = sum(aucs) / len(aucs)
-    return mean, (sum((a - mean) ** 2 for a in aucs) / len(aucs)) ** 0.5
+    mean = sum(known) / len(known)
+    return mean, (sum((a - mean) ** 2 for a in known) / len(known)) ** 0.5
 
 
-def train_one(name: str, train: DataFrame, test: DataFrame, cv_folds: int = 0, seed: int = K.SEED) -> TrainedModel:
-    """Fit one model on the training part and evaluate it on the test part."""
-    est, scaled = classifier_specs(seed)[name]
-    pipe = classifier_pipeline(est, scaled, train.count() if scaled else None)
-    t0 = time.time()
-    model = pipe.fit(train)
-    sc = materialize(scored_test(model, test))
-    elapsed = time.time() - t0  # fit + predict, as the reference times it
-    tm = TrainedModel(name, model, evaluate(sc), elapsed)
-    if cv_folds:
-        tm.cv_mean, tm.cv_std = cross_validate(name, train, cv_folds, seed)
-    return tm
+@dataclass
+class TrainedModel:
+    name: str
+    model: object
+    metrics: dict
+    train_seconds: float
+    cv_mean: float | None = None
+    cv_std: float | None = None
 
 
 def metrics_row(tm: TrainedModel) -> tuple:
@@ -269,22 +208,13 @@ def best_model(metrics: DataFrame) -> DataFrame:
     return E.best_by(metrics.withColumn("_pos", order), "auc", [F.asc("_pos")]).drop("_pos")
 
 
-def tree_importance(tm: TrainedModel) -> list[tuple[str, float]]:
-    """Normalised importance per feature (tree models)."""
-    imp = tm.model.stages[-1].featureImportances.toArray()
-    return list(zip(K.CLASSIFIER_FEATURES, [float(x) for x in imp]))
-
-
-def linear_importance(tm: TrainedModel) -> list[tuple[str, float]]:
-    """|coefficient| / sum |coefficient|."""
-    coef = [abs(float(x)) for x in tm.model.stages[-1].coefficients.toArray()]
-    s = sum(coef)
-    return list(zip(K.CLASSIFIER_FEATURES, [c / s if s else 0.0 for c in coef]))
+def importance(tm: TrainedModel) -> list[tuple[str, float]]:
+    """H15 (trees: normalised gain per feature) or H16 (|coefficient| / sum |coefficient|)."""
+    return tm.model.importance()
 
 
-def importance(tm: TrainedModel) -> list[tuple[str, float]]:
-    last = tm.model.stages[-1]
-    return tree_importance(tm) if hasattr(last, "featureImportances") else linear_importance(tm)
+def is_linear(tm: TrainedModel) -> bool:
+    return isinstance(tm.model, logistic.LogisticModel)
 
 
 def importance_ranked(spark: SparkSession, tm: TrainedModel) -> DataFrame:
@@ -304,21 +234,40 @@ class ClassificationRun:
     test_size: int
 
 
-def classification_run(named: DataFrame, names: list[str] = K.MODEL_NAMES, cv_folds: int = K.CV_FOLDS,
-                       seed: int = K.SEED, parallelism: int = FIT_PARALLELISM) -> ClassificationRun:
-    """Split -> (scale) -> fit each model -> metrics and CV -> best model by AUC.  Inputs of the iterative fits are checkpointed."""
-    frame = materialize(classification_frame(named))
-    train, test = split_frame(frame, seed)
-    train, test = packed(materialize(train)), materialize(test)
-    # the models are independent: fitted concurrently (their times therefore overlap)
-    with ThreadPoolExecutor(max(1, min(len(names), parallelism))) as ex:
-        fitted = list(ex.map(lambda n: train_one(n, train, test, cv_folds, seed), names))
-    models = dict(zip(names, fitted))
-    spark = frame.sparkSession
-    metrics = spark.createDataFrame([metrics_row(models[n]) for n in names], METRICS_SCHEMA)
-    best = best_model(metrics).first()["model"]
-    td = L.target_distribution(frame.select(F.col("label").cast("int").alias("will_purchase")))
-    return ClassificationRun(models, metrics, best, td, train.count(), test.count())
+def run_of(spark: SparkSession, models: dict[str, TrainedModel], table: DataFrame) -> ClassificationRun:
+    metrics = spark.createDataFrame([metrics_row(tm) for tm in models.values()], METRICS_SCHEMA)
+    sizes = table.agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test")).first()
+    td = L.target_distribution(table.select(F.col("label").cast("int").alias("will_purchase")))
+    return ClassificationRun(models, metrics, best_model(metrics).first()["model"], td, sizes["train"], sizes["test"])
+
+
+def classification_run(named: DataFrame, names: list[str] = K.MODEL_NAMES, cv_folds: int = K.CV_FOLDS, seed: int = K.SEED,
+                       apart: bool = False) -> ClassificationRun:
+    """Split -> (scale) -> fit each model -> metrics and CV -> best model by AUC.  ``apart`` fits
+    one model at a time, so that each has its own time; otherwise a group's time counts for each of its models."""
+    table = training_table(named, cv_folds, seed)
+    test = table.where("is_test")
+    folds = [None, *range(cv_folds)]
+    parts = [(g, [n]) for g, all_ in GROUPS.items() for n in all_ if n in names] if apart else \
+        [(g, mine) for g, all_ in GROUPS.items() if (mine := [n for n in all_ if n in names])]
+
+    def fitted(part):
+        t0 = time.time()
+        models = fit_group(part[0], table, folds, seed, part[1])
+        tests = {n: materialize(scored(models[n, None], test), "scored") for n in part[1]}
+        seconds = time.time() - t0  # fit + predict, as the reference times it
+        out = {}
+        for n in part[1]:
+            metrics = evaluate(tests[n])
+            metrics["roc"] = E.roc_curve(tests[n]).orderBy("order_key")  # one row per distinct score; not collected
+            with ThreadPoolExecutor(max(1, cv_folds)) as ex:
+                aucs = list(ex.map(lambda f: fold_auc(models[n, f], table, f), range(cv_folds)))
+            out[n] = TrainedModel(n, models[n, None], metrics, seconds, *mean_and_std(aucs))
+        return out
+
+    with ThreadPoolExecutor(1 if apart else len(parts)) as ex:
+        models = {n: tm for part in ex.map(fitted, parts) for n, tm in part.items()}
+    return run_of(table.sparkSession, {n: models[n] for n in names}, table)
 
 
 # ---------------------------------------------------------------- scoring
@@ -333,10 +282,9 @@ def score_customers(customers: DataFrame, seg: Segmentation, model: TrainedModel
     z = G.standardize(feats, seg.scaler)
     assigned = G.assign_segments(z, kmeans_centres(seg))
     named = P.segment_name_lookup(assigned, seg.mapping, fallback=True)
-    scored = model.model.transform(named.withColumn("segment", F.col("segment").cast("double")))
-    prob = vector_to_array("probability")[1]
-    will, p4 = P.purchase_decision(prob)
-    return scored.select(
+    rows = model.model.score(named.withColumn("segment", F.col("segment").cast("double")), "_probability")
+    will, p4 = P.purchase_decision(F.col("_probability"))
+    return rows.select(
         *keep,
         F.col("segment").cast("int").alias("segment_id"), "segment_name", "confidence",
         will.alias("will_purchase"), p4.alias("probability"), F.lit(model_label).alias("model_used"),
@@ -380,4 +328,4 @@ def score_requests(requests: DataFrame, seg: Segmentation, models: dict[str, Tra
 
 
 def kmeans_centres(seg: Segmentation) -> list[tuple[int, list[float]]]:
-    return [(i, [float(x) for x in c]) for i, c in enumerate(seg.kmeans.clusterCenters())]
+    return [(i, [float(x) for x in c]) for i, c in enumerate(seg.kmeans.centres)]

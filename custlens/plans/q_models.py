@@ -1,10 +1,9 @@
 """Registered queries: K-Means, classifiers, importances, scoring, model and metric stores
 (A9, A10, E8, E9, F5, G5, G6, H2, H3, H7-H11, H14-H20).
 
-What a fit gives differs by engine, so the keys of fitted models return what SQL can state about
-them: sizes from the exact split, ranges, orders and sums that must hold.  Choices and reshapes
-(E8, E9, G5, G6) run on tables that SQL builds as well.  The fitted values themselves are what the
-keys that end in ``_rows`` return; SQL can't state them."""
+They return what was fitted.  SQL can't state that, so they have no oracle; what must hold of the values
+(sizes, sums, orders, choices) is tested in ``tests/test_fitted.py``.  A key builds only the artifacts
+that it returns (``training``)."""
 
 from __future__ import annotations
 
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 
 from custlens import constants as K
 from custlens.functions.ranking import ordered_prefix_sums
-from custlens.operators import evaluation as E
-from custlens.operators import labels as L
 from custlens.operators import predicates as P
 from custlens.operators import rfm
 from custlens.operators import segments as G
@@ -23,206 +20,118 @@ from custlens.plans.training import training
 from custlens.session import scratch_path
 from custlens.sources import stores
 from custlens.sources import tables as S
-from custlens.sources.feature_store import rfm_features
 
 RFM = rfm.rfm_sql(S.HISTORY_SQL)
-TARGET = L.purchase_target_sql(RFM)
-SPLIT = L.stratified_split_sql(TARGET)
-SIZES = f"""SELECT COUNT(*) FILTER (WHERE NOT is_test) AS train_size, COUNT(*) FILTER (WHERE is_test) AS test_size,
-    COUNT(*) FILTER (WHERE will_purchase = 0) AS target_0, COUNT(*) FILTER (WHERE will_purchase = 1) AS target_1 FROM ({SPLIT})"""
 METRICS = ["accuracy", "precision", "recall", "f1", "auc"]
-NEAR = 1e-6
-
-
-def _values(names):
-    return ", ".join(f"('{n}')" for n in names)
-
-
-def _in_unit(c):
-    return F.col(c).isNotNull() & F.col(c).between(0.0, 1.0)
 
 
 # ---------------------------------------------------------------- segmentation
 
-@register("kmeans_fit", f"""SELECT COUNT(*) AS customers, TRUE AS k_in_range, TRUE AS a_centre_per_cluster,
-    TRUE AS inertia_is_the_sum_of_squares FROM ({RFM})""")
+@register("kmeans_fit")
 def q_kmeans_fit(spark, sf_dir):
-    """H2: every customer assigned to its nearest centre gives the fit's own cost."""
-    r, seg, _ = training(spark, sf_dir)
-    vec, _ = M.segment_matrix(r, seg.scaler)
-    cents = M.kmeans_centres(seg)
-    near = G.assign_segments(vec.drop("features"), cents)
-    return near.agg(F.count(F.lit(1)).alias("customers"), F.sum(F.col("distance") * F.col("distance")).alias("cost")).select(
-        "customers", F.lit(K.K_RANGE[0] <= seg.k <= K.K_RANGE[1]).alias("k_in_range"), F.lit(len(cents) == seg.k).alias("a_centre_per_cluster"),
-        (F.abs(F.col("cost") / seg.inertia - 1) < NEAR).alias("inertia_is_the_sum_of_squares"))
-
-
-@register("k_search", f"""SELECT CAST(k AS INTEGER) AS k, TRUE AS inertia_positive, TRUE AS silhouette_in_range
-    FROM range({K.K_RANGE[0]}, {K.K_RANGE[1] + 1}) t(k)""")
-def q_k_search(spark, sf_dir):
-    return training(spark, sf_dir)[1].search.select("k", (F.col("inertia") > 0).alias("inertia_positive"),
-                                                    F.col("silhouette").between(-1.0, 1.0).alias("silhouette_in_range"))
+    """H2: the centres of the best start for the chosen k, and its cost."""
+    run = training(spark, sf_dir)
+    k = M.best_k(run.search).first()["k"]
+    fit = run.kmeans(k)
+    rows = [(i, *c, fit.inertia) for i, c in enumerate(fit.centres.tolist())]
+    return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{z} double" for z in G.Z) + ", inertia double")
 
 
-_SEARCH = "SELECT n_nationkey AS k, CAST((n_nationkey * 7) % 10 AS DOUBLE) / 10 AS silhouette FROM nation"
+@register("k_search")
+def q_k_search(spark, sf_dir):
+    return training(spark, sf_dir).search
 
 
-@register("best_k", f"SELECT k, silhouette FROM ({_SEARCH}) ORDER BY silhouette DESC, k LIMIT 1")
+@register("best_k")
 def q_best_k(spark, sf_dir):
-    """E8 on a table with ties."""
-    nation = S.scan_table(spark, sf_dir, "nation")
-    return M.best_k(nation.select(F.col("n_nationkey").alias("k"), ((F.col("n_nationkey") * 7) % 10 / 10).alias("silhouette")))
-
-
-@register("best_k_rows")
-def q_best_k_rows(spark, sf_dir):
     """E8 on the fitted search."""
-    return M.best_k(training(spark, sf_dir)[1].search)
+    return M.best_k(training(spark, sf_dir).search)
 
 
-@register("segmentation_run", f"""SELECT COUNT(*) AS customers, COUNT(DISTINCT customer_id) AS distinct_customers, TRUE AS all_named,
-    TRUE AS names_are_ranked, TRUE AS best_k_taken FROM ({RFM})""")
+@register("segmentation_run")
 def q_segmentation_run(spark, sf_dir):
-    _, seg, _ = training(spark, sf_dir)
-    best = M.best_k(seg.search).first()["k"]
-    mapping = {r["segment_name"]: r["rank"] for r in seg.mapping.collect()}  # at most 10 rows
-    ranked = all(K.SEGMENT_NAMES.index(n) == rank for n, rank in mapping.items() if n in K.SEGMENT_NAMES)
-    return seg.named.agg(F.count(F.lit(1)).alias("customers"), F.countDistinct("customer_id").alias("distinct_customers"),
-                         (F.count("segment_name") == F.count(F.lit(1))).alias("all_named")).select(
-        "*", F.lit(ranked).alias("names_are_ranked"), F.lit(best == seg.k).alias("best_k_taken"))
+    return training(spark, sf_dir).seg.named.select("customer_id", "segment", "segment_name")
 
 
 # ---------------------------------------------------------------- classifiers
 
-def _trained_sql(name):
-    return f"""SELECT '{name}' AS model, '{M.ALGORITHMS[name]}' AS algorithm, test_size, TRUE AS metrics_in_range, TRUE AS auc_high
-    FROM ({SIZES})"""
+def _metrics(spark, models):
+    return spark.createDataFrame([M.metrics_row(tm) for tm in models], M.METRICS_SCHEMA)
 
 
 def _trained(name):
-    def q(spark, sf_dir):
-        cls = training(spark, sf_dir)[2]
-        good = F.lit(True)
-        for m in METRICS:
-            good = good & _in_unit(m)
-        return cls.metrics.where(F.col("model") == name).select(
-            "model", "algorithm", F.lit(cls.test_size).cast("long").alias("test_size"), good.alias("metrics_in_range"),
-            (F.col("auc") >= 0.9).alias("auc_high"))
-    return q
-
-
-for _key, _name in [("train_random_forest", "RandomForest"), ("train_boosted_d6", "XGBoost"),
-                    ("train_logistic", "LogisticRegression"), ("train_boosted_d5", "GradientBoosting")]:
-    register(_key, _trained_sql(_name))(_trained(_name))
+    """The model's test metrics and its time; cross-validation has its own key."""
+    return lambda spark, sf_dir: _metrics(spark, [training(spark, sf_dir).model(name)]).drop("cv_auc_mean", "cv_auc_std")
 
 
-@register("cross_validate_auc", f"SELECT model, TRUE AS mean_in_range, TRUE AS std_in_range FROM (VALUES {_values(K.MODEL_NAMES)}) t(model)")
+@register("cross_validate_auc")
 def q_cross_validate_auc(spark, sf_dir):
-    """Every model has a mean AUC above chance and a spread within what five folds allow."""
-    return training(spark, sf_dir)[2].metrics.select(
-        "model", F.coalesce(F.col("cv_auc_mean").between(0.5, 1.0), F.lit(False)).alias("mean_in_range"),
-        F.coalesce(F.col("cv_auc_std").between(0.0, 0.5), F.lit(False)).alias("std_in_range"))
-
-
-def _importance_sql(names):
-    return f"SELECT model, CAST({len(K.CLASSIFIER_FEATURES)} AS BIGINT) AS features, TRUE AS sums_to_one FROM (VALUES {_values(names)}) t(model)"
+    return training(spark, sf_dir).cls.metrics.select("model", "cv_auc_mean", "cv_auc_std")
 
 
-def _importance(names):
+def _importance(linear):
     def q(spark, sf_dir):
-        cls = training(spark, sf_dir)[2]
-        rows = [(n, f, v) for n in names for f, v in M.importance(cls.models[n])]
-        df = spark.createDataFrame(rows, "model string, feature string, importance double")
-        return df.groupBy("model").agg(F.countDistinct("feature").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+        run = training(spark, sf_dir)
+        names = [n for n in run.names if (n == "LogisticRegression") == linear]
+        rows = [(n, f, v) for n in names for f, v in M.importance(run.model(n))]
+        return spark.createDataFrame(rows, "model string, feature string, importance double")
     return q
 
 
-register("tree_importance", _importance_sql(["RandomForest", "XGBoost", "GradientBoosting"]))(_importance(["RandomForest", "XGBoost", "GradientBoosting"]))
-register("linear_importance", _importance_sql(["LogisticRegression"]))(_importance(["LogisticRegression"]))
+register("train_logistic")(_trained("LogisticRegression"))
+register("linear_importance")(_importance(True))
+register("train_random_forest")(_trained("RandomForest"))
+register("train_boosted_d6")(_trained("XGBoost"))
+register("train_boosted_d5")(_trained("GradientBoosting"))
+register("tree_importance")(_importance(False))
 
 
-@register("importance_ranked", f"""SELECT lower(model) AS model, CAST(position AS BIGINT) AS position, TRUE AS in_order
-    FROM (VALUES {_values(K.MODEL_NAMES)}) t(model), range({len(K.CLASSIFIER_FEATURES)}) r(position)""")
+@register("importance_ranked")
 def q_importance_ranked(spark, sf_dir):
-    """F5 for every model by name: positions, and that no later feature weighs more."""
-    cls = training(spark, sf_dir)[2]
-    rows = []
-    for n in K.MODEL_NAMES:
-        ranked = M.importance_ranked(spark, M.choose_model(cls.models, cls.best, n)).collect()  # 8 rows
-        for i, r in enumerate(ranked):
-            rows.append((r["model"], i, i == 0 or ranked[i - 1]["importance"] >= r["importance"]))
-    return spark.createDataFrame(rows, "model string, position long, in_order boolean")
+    """F5 for every model by name."""
+    run, out = training(spark, sf_dir), None
+    for n in run.names:
+        ranked = M.importance_ranked(spark, run.model(n))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
-@register("classification_run", f"SELECT train_size, test_size, CAST({len(K.MODEL_NAMES)} AS BIGINT) AS models, TRUE AS best_is_highest FROM ({SIZES})")
+@register("classification_run")
 def q_classification_run(spark, sf_dir):
-    cls = training(spark, sf_dir)[2]
-    return cls.metrics.agg(F.count(F.lit(1)).alias("models"), (F.max("auc") == F.max(F.when(F.col("model") == cls.best, F.col("auc")))).alias("best_is_highest")).select(
-        F.lit(cls.train_size).cast("long").alias("train_size"), F.lit(cls.test_size).cast("long").alias("test_size"), "models", "best_is_highest")
-
+    return training(spark, sf_dir).cls.metrics
 
-#: Metrics of the four names that SQL builds: two tie for the highest AUC, one precision is null.
-_GIVEN = f"""SELECT m.model, CAST(r.r_regionkey AS DOUBLE) / 10 AS accuracy, CASE WHEN r.r_regionkey = 2 THEN NULL ELSE 0.5 END AS precision,
-    0.25 AS recall, 0.125 AS f1, CASE WHEN r.r_regionkey % 2 = 1 THEN 0.875 ELSE 0.75 END AS auc, r.r_regionkey AS position
-    FROM region r JOIN (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(K.MODEL_NAMES))}) m(i, model) ON m.i = r.r_regionkey"""
 
-
-def _given(spark, sf_dir):
-    names = F.array(*[F.lit(n) for n in K.MODEL_NAMES])
-    key = F.col("r_regionkey")
-    return S.scan_table(spark, sf_dir, "region").where(key < len(K.MODEL_NAMES)).select(
-        F.get(names, key.cast("int")).alias("model"), (key.cast("double") / 10).alias("accuracy"), F.when(key != 2, 0.5).alias("precision"),
-        F.lit(0.25).alias("recall"), F.lit(0.125).alias("f1"), F.when(key % 2 == 1, 0.875).otherwise(0.75).alias("auc"))
-
-
-@register("best_model", f"SELECT model, auc FROM ({_GIVEN}) ORDER BY auc DESC, position LIMIT 1")
+@register("best_model")
 def q_best_model(spark, sf_dir):
-    """E9 with a tie: the earlier name wins."""
-    return M.best_model(_given(spark, sf_dir)).select("model", "auc")
-
-
-@register("model_metric_long", " UNION ALL ".join(f"SELECT model, '{m}' AS metric, COALESCE(CAST({m} AS DOUBLE), 0.0) AS value FROM ({_GIVEN})" for m in METRICS))
-def q_model_metric_long(spark, sf_dir):
-    return _metric_long(_given(spark, sf_dir))
-
-
-@register("best_model_rows")
-def q_best_model_rows(spark, sf_dir):
     """E9 on the fitted models' metrics."""
-    return M.best_model(training(spark, sf_dir)[2].metrics)
+    return M.best_model(training(spark, sf_dir).tested.metrics).drop("cv_auc_mean", "cv_auc_std")
 
 
-@register("model_metric_long_rows")
-def q_model_metric_long_rows(spark, sf_dir):
+@register("model_metric_long")
+def q_model_metric_long(spark, sf_dir):
     """G5 on the fitted models' metrics."""
-    return _metric_long(training(spark, sf_dir)[2].metrics)
-
-
-def _metric_long(m):
+    m = training(spark, sf_dir).tested.metrics
     return m.select("model", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("value"))
                                                  for n in METRICS])).alias("s")).select("model", "s.*")
 
 
-@register("training_run", f"SELECT TRUE AS k_in_range, TRUE AS best_is_a_model, train_size, test_size, target_0, target_1 FROM ({SIZES})")
+@register("training_run")
 def q_training_run(spark, sf_dir):
-    _, seg, cls = training(spark, sf_dir)
+    run = training(spark, sf_dir)
+    seg, cls = run.seg, run.cls
     td = {int(r["will_purchase"]): int(r["customers"]) for r in cls.target_distribution.collect()}  # 2 rows
-    row = (K.K_RANGE[0] <= seg.k <= K.K_RANGE[1], cls.best in K.MODEL_NAMES, cls.train_size, cls.test_size, td.get(0, 0), td.get(1, 0))
-    return spark.createDataFrame([row], "k_in_range boolean, best_is_a_model boolean, train_size long, test_size long, target_0 long, target_1 long")
+    row = (seg.k, round(seg.silhouette, 4), cls.best, cls.train_size, cls.test_size, td.get(0, 0), td.get(1, 0))
+    return spark.createDataFrame([row], "k_optimal int, silhouette_score double, best_model string, train_size long, test_size long, target_0 long, target_1 long")
 
 
 # ---------------------------------------------------------------- scoring
 
-@register("score_customers", f"""SELECT customer_id, TRUE AS segment_known, TRUE AS confidence_in_range, TRUE AS probability_in_range,
-    TRUE AS decision_follows FROM ({RFM})""")
+@register("score_customers")
 def q_score_customers(spark, sf_dir):
     """H19 with the default model, every customer."""
-    r, seg, cls = training(spark, sf_dir)
-    best = M.choose_model(cls.models, cls.best, None)
-    out = M.score_customers(r, seg, best, best.name)
-    return out.select("customer_id", (F.col("segment_name").isNotNull() & F.col("recommendation").isNotNull()).alias("segment_known"),
-                      F.col("confidence").between(0.0, 1.0).alias("confidence_in_range"), _in_unit("probability").alias("probability_in_range"),
-                      ((F.col("will_purchase") == (F.col("probability") > 0.5)) | (F.abs(F.col("probability") - 0.5) < 1e-4)).alias("decision_follows"))
+    run = training(spark, sf_dir)
+    best = M.choose_model(run.tested.models, run.tested.best, None)
+    return M.score_customers(run.features, run.seg, best, best.name)
 
 
 _ASKED = "SELECT customer_id, {f}, CASE WHEN customer_id % 7 = 3 THEN 'No Such Model' ELSE model_name END AS model_name".format(
@@ -239,32 +148,27 @@ _KNOWN = ", ".join(f"'{n.lower()}'" for n in K.MODEL_NAMES)
     FROM q JOIN v USING (customer_id)""")
 def q_score_requests(spark, sf_dir):
     """H19 by requested model: named ones, the default, unknown names and invalid requests."""
-    r, seg, cls = training(spark, sf_dir)
-    asked = P.scoring_requests(r).selectExpr("customer_id", *[f"CASE WHEN customer_id % 11 = {i} THEN 'bad' ELSE {c} END AS {c}" for i, c in enumerate(K.FEATURES)],
+    run = training(spark, sf_dir)
+    asked = P.scoring_requests(run.features).selectExpr("customer_id", *[f"CASE WHEN customer_id % 11 = {i} THEN 'bad' ELSE {c} END AS {c}" for i, c in enumerate(K.FEATURES)],
                                              "CASE WHEN customer_id % 7 = 3 THEN 'No Such Model' ELSE model_name END AS model_name")
-    out = M.score_requests(asked, seg, cls.models, cls.best)
+    out = M.score_requests(asked, run.seg, run.tested.models, run.tested.best)
     names = asked.select("customer_id", P.normalize_model_name("model_name").alias("asked"))
     used = F.lower(F.col("model_used")) == F.col("model_key")
-    return out.join(names, "customer_id").select("customer_id", "asked", "error", F.coalesce(used & _in_unit("probability"), F.lit(False)).alias("scored"))
+    return out.join(names, "customer_id").select("customer_id", "asked", "error", F.coalesce(used & F.col("probability").between(0.0, 1.0), F.lit(False)).alias("scored"))
 
 
-@register("model_inventory", f"""SELECT '{','.join(n.lower() for n in K.MODEL_NAMES)}' AS models_available, TRUE AS best_available,
-    '{','.join(K.CLASSIFIER_FEATURES)}' AS feature_columns, TRUE AS segments_named""")
+@register("model_inventory")
 def q_model_inventory(spark, sf_dir):
-    _, seg, cls = training(spark, sf_dir)
-    names = [r["segment_name"] for r in seg.mapping.orderBy("rank").collect()]  # at most 10 rows
-    row = (",".join(n.lower() for n in cls.models), cls.best in cls.models, ",".join(K.CLASSIFIER_FEATURES), len(names) > 0 and all(names))
-    return spark.createDataFrame([row], "models_available string, best_available boolean, feature_columns string, segments_named boolean")
-
-
-_SCORED = L.scored_customers_sql(RFM)
+    run = training(spark, sf_dir)
+    names = [r["segment_name"] for r in run.seg.mapping.orderBy("rank").collect()]  # at most 10 rows
+    row = (",".join(n.lower() for n in run.tested.models), run.tested.best, ",".join(K.CLASSIFIER_FEATURES), ",".join(names))
+    return spark.createDataFrame([row], "models_available string, best_model string, feature_columns string, segments string")
 
 
-@register("roc_points", f"""SELECT 'Closed form' AS model, ROW_NUMBER() OVER (ORDER BY order_key) - 1 AS i, fpr, tpr FROM ({E.roc_curve_sql(_SCORED)})
-    UNION ALL SELECT 'Random', 0, 0.0, 0.0 UNION ALL SELECT 'Random', 1, 1.0, 1.0""")
+@register("roc_points")
 def q_roc_points(spark, sf_dir):
-    """The curve's points by their place in it, and the diagonal."""
-    return _roc_points(spark, {"Closed form": E.roc_curve(L.scored_customers(rfm_features(spark, sf_dir, "history")))})
+    """Every fitted model's curve by the points' places in it, and the diagonal."""
+    return _roc_points(spark, {n: tm.metrics["roc"] for n, tm in training(spark, sf_dir).tested.models.items()})
 
 
 def _roc_points(spark, curves):
@@ -277,123 +181,24 @@ def _roc_points(spark, curves):
 
 # ---------------------------------------------------------------- stores
 
-@register("metrics_store", f"""SELECT section, model, TRUE AS complete FROM (VALUES ('k_search', 'KMeans'), ('mapping', 'KMeans'), ('distribution', 'KMeans'), ('metadata', 'run')) t(section, model)
-    UNION ALL SELECT s.section, m.model, TRUE FROM (VALUES ('metrics'), ('confusion'), ('roc'), ('importance')) s(section), (VALUES {_values(K.MODEL_NAMES)}) m(model)""")
+@register("metrics_store")
 def q_metrics_store(spark, sf_dir):
-    """The whole results document, written and read back; each section has what it must."""
-    _, seg, cls = training(spark, sf_dir)
-    path = stores.write_metrics(stores.results_document(spark, seg, cls), scratch_path(spark, "results"))
-    back = stores.read_metrics(spark, path)
-    least = {"metrics": 5, "confusion": 4, "roc": 3, "importance": len(K.CLASSIFIER_FEATURES), "k_search": 2 * (K.K_RANGE[1] - K.K_RANGE[0] + 1), "mapping": 1, "distribution": 1, "metadata": 5}
-    need = F.create_map(*[x for k, n in least.items() for x in (F.lit(k), F.lit(n))])
-    return back.groupBy("section", "model").agg(F.count_if(F.col("value").isNotNull() | F.col("text").isNotNull()).alias("n")).select(
-        "section", "model", (F.col("n") >= F.element_at(need, F.col("section"))).alias("complete"))
+    """The whole results document, written and read back."""
+    run = training(spark, sf_dir)
+    return stores.read_metrics(spark, stores.write_metrics(stores.results_document(spark, run.seg, run.cls), scratch_path(spark, "results")))
 
 
-@register("model_store", f"SELECT lower(model) AS model, TRUE AS loaded, TRUE AS one_default FROM (VALUES {_values(K.MODEL_NAMES)}) t(model)")
+@register("model_store")
 def q_model_store(spark, sf_dir):
-    cls = training(spark, sf_dir)[2]
-    paths = stores.save_models({n: tm.model for n, tm in cls.models.items()}, scratch_path(spark, "models"))
-    loaded, default = stores.load_models(paths, cls.best)
-    return spark.createDataFrame([(k, k in loaded, default in paths) for k in paths], "model string, loaded boolean, one_default boolean")
-
-
-# ---------------------------------------------------------------- fitted values
-
-@register("kmeans_fit_rows")
-def q_kmeans_fit_rows(spark, sf_dir):
-    _, seg, _ = training(spark, sf_dir)
-    rows = [(i, *c, seg.inertia) for i, c in M.kmeans_centres(seg)]
-    return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{z} double" for z in G.Z) + ", inertia double")
-
-
-@register("k_search_rows")
-def q_k_search_rows(spark, sf_dir):
-    return training(spark, sf_dir)[1].search
-
-
-@register("segmentation_run_rows")
-def q_segmentation_run_rows(spark, sf_dir):
-    return training(spark, sf_dir)[1].named.select("customer_id", "segment", "segment_name")
-
-
-def _trained_rows(name):
-    return lambda spark, sf_dir: training(spark, sf_dir)[2].metrics.where(F.col("model") == name)
-
-
-for _key, _name in [("train_random_forest", "RandomForest"), ("train_boosted_d6", "XGBoost"),
-                    ("train_logistic", "LogisticRegression"), ("train_boosted_d5", "GradientBoosting")]:
-    register(f"{_key}_rows")(_trained_rows(_name))
-
-
-@register("cross_validate_auc_rows")
-def q_cross_validate_auc_rows(spark, sf_dir):
-    return training(spark, sf_dir)[2].metrics.select("model", "cv_auc_mean", "cv_auc_std")
-
-
-def _importance_rows(trees):
-    def q(spark, sf_dir):
-        cls = training(spark, sf_dir)[2]
-        rows = [(n, f, v) for n, tm in cls.models.items() if trees == hasattr(tm.model.stages[-1], "featureImportances") for f, v in M.importance(tm)]
-        return spark.createDataFrame(rows, "model string, feature string, importance double")
-    return q
-
-
-register("tree_importance_rows")(_importance_rows(True))
-register("linear_importance_rows")(_importance_rows(False))
-
-
-@register("importance_ranked_rows")
-def q_importance_ranked_rows(spark, sf_dir):
-    out = None
-    for tm in training(spark, sf_dir)[2].models.values():
-        ranked = M.importance_ranked(spark, tm)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
-
-
-@register("classification_run_rows")
-def q_classification_run_rows(spark, sf_dir):
-    return training(spark, sf_dir)[2].metrics
-
-
-@register("training_run_rows")
-def q_training_run_rows(spark, sf_dir):
-    _, seg, cls = training(spark, sf_dir)
-    td = {int(r["will_purchase"]): int(r["customers"]) for r in cls.target_distribution.collect()}  # 2 rows
-    row = (seg.k, round(seg.silhouette, 4), cls.best, cls.train_size, cls.test_size, td.get(0, 0), td.get(1, 0))
-    return spark.createDataFrame([row], "k_optimal int, silhouette_score double, best_model string, train_size long, test_size long, target_0 long, target_1 long")
-
-
-@register("score_customers_rows")
-def q_score_customers_rows(spark, sf_dir):
-    r, seg, cls = training(spark, sf_dir)
-    best = M.choose_model(cls.models, cls.best, None)
-    return M.score_customers(r, seg, best, best.name)
-
-
-@register("model_inventory_rows")
-def q_model_inventory_rows(spark, sf_dir):
-    _, seg, cls = training(spark, sf_dir)
-    names = [r["segment_name"] for r in seg.mapping.orderBy("rank").collect()]  # at most 10 rows
-    row = ([n.lower() for n in cls.models], cls.best, K.CLASSIFIER_FEATURES, names)
-    return spark.createDataFrame([row], "models_available array<string>, best_model string, feature_columns array<string>, segments array<string>")
-
-
-@register("roc_points_rows")
-def q_roc_points_rows(spark, sf_dir):
-    return _roc_points(spark, {n: tm.metrics["roc"] for n, tm in training(spark, sf_dir)[2].models.items()})
-
-
-@register("metrics_store_rows")
-def q_metrics_store_rows(spark, sf_dir):
-    _, seg, cls = training(spark, sf_dir)
-    return stores.read_metrics(spark, stores.write_metrics(stores.results_document(spark, seg, cls), scratch_path(spark, "results")))
-
-
-@register("model_store_rows")
-def q_model_store_rows(spark, sf_dir):
-    cls = training(spark, sf_dir)[2]
-    paths = stores.save_models({n: tm.model for n, tm in cls.models.items()}, scratch_path(spark, "models"))
-    loaded, default = stores.load_models(paths, cls.best)
-    return spark.createDataFrame([(k, k in loaded, k == default) for k in paths], "model string, loaded boolean, is_default boolean")
+    """A10: the models saved and loaded; one more whose file is damaged is skipped, and if it is the best
+    one, the first that loads is the default."""
+    run = training(spark, sf_dir)
+    paths = stores.save_models(spark, {n: tm.model for n, tm in run.tested.models.items()}, scratch_path(spark, "models"))
+    first = next(iter(run.tested.models.values()))
+    broken = stores.save_models(spark, {"Damaged": first.model}, scratch_path(spark, "models"))["damaged"]
+    spark.createDataFrame([("{",)], "value string").coalesce(1).write.mode("overwrite").text(f"{broken}/model")
+    paths = {"damaged": broken, **paths}
+    loaded, default = stores.load_models(spark, paths, run.tested.best)
+    _, without = stores.load_models(spark, paths, "Damaged")
+    return spark.createDataFrame([(k, k in loaded, k == default, k == without) for k in paths],
+                                 "model string, loaded boolean, is_default boolean, is_default_without_best boolean")

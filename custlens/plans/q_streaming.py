@@ -15,7 +15,9 @@ from custlens.functions.exact import half_even_ratio_sql
 from custlens.functions.text import ts_text, ts_text_sql
 from custlens.operators import predicates as P
 from custlens.operators import rfm
+from custlens.plans import models as M
 from custlens.plans.registry import register
+from custlens.plans.training import training
 from custlens.sources.feature_store import rfm_features
 from custlens.session import scratch_path
 from custlens.sources import tables as S
@@ -53,20 +55,28 @@ def closed_form_scorer(max_frequency: int):
     return scorer
 
 
+def _run_live(spark, sf_dir, stored, scorer):
+    paths = V.LivePaths(*(scratch_path(spark, n) for n in ("live-history", "live-predictions", "live-stats", "live-latest")))
+    V.run_live_pipeline(V.purchase_stream(spark, V.source_path(sf_dir)), paths, scratch_path(spark, "live-ckpt"), stored, scorer)
+    return paths
+
+
 def live_run(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _LIVE:
             stored = rfm_features(spark, sf_dir, "stored")
             top = stored.agg(F.max("frequency")).first()[0] or 1
-            paths = V.LivePaths(*(scratch_path(spark, n) for n in ("live-history", "live-predictions",
-                                                                   "live-stats", "live-latest")))
-            V.run_live_pipeline(V.purchase_stream(spark, V.source_path(sf_dir)), paths,
-                                scratch_path(spark, "live-ckpt"), stored, closed_form_scorer(top))
-            _LIVE[key] = paths
+            _LIVE[key] = _run_live(spark, sf_dir, stored, closed_form_scorer(top))
         return _LIVE[key]
 
 
+def fitted_scorer(seg, model):
+    """Segment and purchase probability by the fitted models."""
+    keep = ["transaction_id", "event_id", "customer_id", "amount", "transaction_date"]
+    return lambda feats: M.score_customers(feats, seg, model, model.name, keep=keep)
+
+
 #: Every scored purchase, as the batch SQL of the whole stream.
 PREDICTIONS_SQL = f"""SELECT *, {P.recommendation_sql('segment_name')} AS recommendation FROM (
     SELECT transaction_id, event_id, customer_id, amount, transaction_date, segment_id, ([{', '.join(f"'{n}'" for n in SHOWN_SEGMENTS)}])[segment_id + 1] AS segment_name,
@@ -147,3 +157,12 @@ def q_live_stats(spark, sf_dir):
 def q_stream_live_stats(spark, sf_dir):
     st = spark.read.parquet(live_run(spark, sf_dir).stats)
     return _stats_rows(st.orderBy(F.desc("batch_id")).limit(1))
+
+
+@register("stream_score_fitted")
+def q_stream_score_fitted(spark, sf_dir):
+    """S3 with the trained segmentation and the default classifier."""
+    run = training(spark, sf_dir)
+    model = M.choose_model(run.tested.models, run.tested.best, None)
+    paths = _run_live(spark, sf_dir, rfm_features(spark, sf_dir, "stored"), fitted_scorer(run.seg, model))
+    return spark.read.parquet(paths.predictions).drop("batch_id").withColumn("transaction_date", ts_text("transaction_date"))
