@@ -241,10 +241,15 @@ def max_transaction_number_sql(hist_sql: str) -> str:
 
 # ------------------------------------------------------------------ F2 / F3
 
-def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset .. offset+limit-1 in the given total order, plus the total row count."""
+def check_page(limit: int, offset: int) -> None:
     if not 1 <= limit <= 10000 or offset < 0:
         raise ValueError("limit must be in 1..10000 and offset >= 0")
+
+
+def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """Rows offset .. offset+limit-1 in the given total order, plus the total row count.  Of a table without
+    a page index (``sources.pages``): meant for its first pages, as offset + limit rows meet in one task."""
+    check_page(limit, offset)
     total = df.select(F.count(F.lit(1))).scalar()
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
@@ -256,16 +261,23 @@ def page_rfm(rfm: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
 
 def page_transactions(hist: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """newest transactions first (arrival order = time, then id; full tie-break)."""
-    rows = hist.select(
-        "transaction_id", "customer_id",
-        ts_text("transaction_date").alias("transaction_date"),
-        "product_category", "payment_method",
-        F.col("total_amount").cast("double").alias("total_amount"),
-        F.col("transaction_date").alias("_ts"), F.col("total_amount").alias("_amt"),
-    )
-    order = [F.desc_nulls_last("_ts"), F.desc_nulls_last("transaction_id"), F.desc_nulls_last("_amt"),
-             F.asc_nulls_last("product_category"), F.asc_nulls_last("payment_method")]
-    return page(rows, order, limit, offset).drop("_ts", "_amt")
+    return shown_transactions(page(ordered_transactions(hist), newest_first(), limit, offset))
+
+
+def ordered_transactions(hist: DataFrame) -> DataFrame:
+    """What a page shows, and what it is ordered by."""
+    return hist.select("transaction_id", "customer_id", "product_category", "payment_method",
+                       F.col("transaction_date").alias("_ts"), F.col("total_amount").alias("_amt"))
+
+
+def newest_first() -> list:
+    return [F.desc_nulls_last("_ts"), F.desc_nulls_last("transaction_id"), F.desc_nulls_last("_amt"),
+            F.asc_nulls_last("product_category"), F.asc_nulls_last("payment_method")]
+
+
+def shown_transactions(rows: DataFrame) -> DataFrame:
+    return rows.select("transaction_id", "customer_id", ts_text("_ts").alias("transaction_date"), "product_category", "payment_method",
+                       F.col("_amt").cast("double").alias("total_amount"), "total")
 
 
 def page_sql(src_sql: str, order_sql: str, limit: int, offset: int, cols: str = "*") -> str:

@@ -25,7 +25,7 @@ from custlens.operators import evaluation as E
 from custlens.operators import labels as L
 from custlens.operators import predicates as P
 from custlens.operators import segments as G
-from custlens.plans import boosting, kmeans, logistic
+from custlens.plans import boosting, kmeans, logistic, silhouette
 from custlens.plans.blocks import pack
 from custlens.plans.fitted import PipelineClassifier
 
@@ -41,18 +41,21 @@ def standardized(rfm: DataFrame, scaler: dict | None = None) -> tuple[DataFrame,
 
 
 def k_search(z: DataFrame, k_range: tuple[int, int] = K.K_RANGE, starts: int = K.KMEANS_STARTS, seed: int = K.SEED,
-             max_iter: int = 300) -> dict[int, tuple[kmeans.KMeansFit, float]]:
+             max_iter: int = 300) -> dict[int, tuple[kmeans.KMeansFit, dict]]:
     """H2, H3: per k the best of ``starts`` k-means++ runs (lowest within-cluster sum of squares) and
-    its silhouette (squared Euclidean, exact), all in the same passes."""
+    its silhouettes: Euclidean with its error bound, and squared Euclidean (exact); all in the same passes."""
     blocks = pack(z, "customer_id", G.Z, name="kmeans-blocks")
     ks = list(range(k_range[0], k_range[1] + 1))
     fits = kmeans.fit_all(blocks, len(G.Z), ks, [seed + s for s in range(starts)], max_iter)
     best = [kmeans.best_of([f for f in fits if f.k == k]) for k in ks]
-    return {f.k: (f, s) for f, s in zip(best, kmeans.squared_silhouettes(blocks, len(G.Z), best))}
+    squared = kmeans.squared_silhouettes(blocks, len(G.Z), best)
+    plain = silhouette.euclidean(blocks, z, G.Z, [f.centres for f in best])
+    return {f.k: (f, {"silhouette": s, "silhouette_error": e, "silhouette_squared": q}) for f, (s, e), q in zip(best, plain, squared)}
 
 
-def search_table(spark: SparkSession, found: dict[int, tuple[kmeans.KMeansFit, float]]) -> DataFrame:
-    return spark.createDataFrame([(k, f.inertia, s) for k, (f, s) in found.items()], "k int, inertia double, silhouette double")
+def search_table(spark: SparkSession, found: dict[int, tuple[kmeans.KMeansFit, dict]]) -> DataFrame:
+    rows = [(k, f.inertia, s["silhouette"], s["silhouette_error"], s["silhouette_squared"]) for k, (f, s) in found.items()]
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_error double, silhouette_squared double")
 
 
 def best_k(search: DataFrame) -> DataFrame:
@@ -73,12 +76,12 @@ class Segmentation:
     extras: dict = field(default_factory=dict)
 
 
-def segmentation_of(z: DataFrame, scaler: dict, found: dict[int, tuple[kmeans.KMeansFit, float]],
+def segmentation_of(z: DataFrame, scaler: dict, found: dict[int, tuple[kmeans.KMeansFit, dict]],
                     keep: Callable[[DataFrame, str], DataFrame] = materialize) -> Segmentation:
     """H7 after the search: best k -> D19 scores -> E1 names -> labelled customers."""
     search = search_table(z.sparkSession, found)
     kbest = int(best_k(search).first()["k"])
-    fit, sil = found[kbest]
+    fit, sil = found[kbest][0], found[kbest][1]["silhouette"]
     assigned = keep(G.assign_segments(z, [(i, c.tolist()) for i, c in enumerate(fit.centres)]).select("customer_id", *K.FEATURES, "segment"), "segments")
     mapping = keep(G.segment_ranking(G.segment_scores(assigned), kbest), "mapping")
     return Segmentation(kbest, fit, search, mapping, G.name_segments(assigned, mapping), sil, fit.inertia, scaler)

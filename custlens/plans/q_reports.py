@@ -6,7 +6,8 @@ from custlens.operators import affinity as A
 from custlens.operators import reports as R
 from custlens.operators import rfm
 from custlens.plans.registry import register
-from custlens.sources.feature_store import history_table, rfm_features
+from custlens.sources.feature_store import history_table, page_index, rfm_features
+from custlens.sources import pages
 from custlens.sources import tables as S
 
 H = S.HISTORY_SQL
@@ -14,6 +15,7 @@ RFM = rfm.rfm_sql(H)
 RFM_SCALES = {"customer_id": 0, "recency": 0, "frequency": 0, "monetary": 2, "avg_order_value": 2,
               "customer_lifetime_days": 0, "purchase_frequency": 3, "product_diversity": 3}
 PAGE_LIMIT, PAGE_OFFSET = 100, 100
+DEEP_RFM, DEEP_TX = 1_250, 59_950   # offsets deep in the tables of scale 0.01; the second page lies across two ranges
 
 
 def _rfm(spark, sf_dir):
@@ -75,6 +77,17 @@ def q_page_transactions(spark, sf_dir):
     return R.page_transactions(history_table(spark, sf_dir), PAGE_LIMIT, 0)
 
 
+@register("page_rfm_deep", R.page_sql(RFM, "customer_id", PAGE_LIMIT, DEEP_RFM))
+def q_page_rfm_deep(spark, sf_dir):
+    """F2 from the page index: only the ranges that the page overlaps are read."""
+    return pages.page(page_index(spark, sf_dir, "rfm"), PAGE_LIMIT, DEEP_RFM)
+
+
+@register("page_transactions_deep", R.page_transactions_sql(H, PAGE_LIMIT, DEEP_TX))
+def q_page_transactions_deep(spark, sf_dir):
+    return R.shown_transactions(pages.page(page_index(spark, sf_dir, "transactions"), PAGE_LIMIT, DEEP_TX))
+
+
 @register("category_affinity", A.category_affinity_sql(H))
 def q_category_affinity(spark, sf_dir):
     return A.category_affinity(history_table(spark, sf_dir))

@@ -6,12 +6,15 @@ SQL reproduces; K-Means itself (H2, H3, H7) is registered in ``q_models``."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from custlens import constants as K
 from custlens.operators import predicates as P
 from custlens.operators import rfm
 from custlens.operators import segments as G
+from custlens.plans import silhouette
+from custlens.plans.blocks import pack
 from custlens.plans.registry import register
 from custlens.sources.feature_store import given_segments, rfm_features
 from custlens.sources import tables as S
@@ -67,6 +70,14 @@ def q_silhouette(spark, sf_dir):
     return G.silhouette(_assigned(spark, sf_dir)).select(F.round("silhouette", 9).alias("silhouette"))
 
 
+@register("silhouette_euclidean", G.euclidean_silhouette_sql(SEG["assigned"]))
+def q_silhouette_euclidean(spark, sf_dir):
+    """H4 in the plain form, from representatives; exact while there are few enough different customers."""
+    assigned, centres = G.given_segmentation(_rfm(spark, sf_dir), KG)
+    (value, _), = silhouette.euclidean(pack(assigned, "customer_id", Z), assigned, Z, [np.array([c for _, c in centres])])
+    return spark.createDataFrame([(round(value, 9),)], "silhouette double")
+
+
 @register("segment_score", SEG["scores"])
 def q_segment_score(spark, sf_dir):
     return G.segment_scores(_assigned(spark, sf_dir))

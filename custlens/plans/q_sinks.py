@@ -12,7 +12,8 @@ from custlens.functions.text import ts_text, ts_text_sql
 from custlens.operators import rfm
 from custlens.plans.registry import register
 from custlens.sources.feature_store import history_table, rfm_features
-from custlens.session import scratch_path
+from custlens.functions.materialize import materialize
+from custlens.session import delete_at_exit, scratch_path
 from custlens.sources import files
 from custlens.sources import tables as S
 
@@ -81,7 +82,13 @@ def q_layout_by_customer(spark, sf_dir):
     tag = uuid.uuid4().hex[:12]   # runs do not overwrite each other's tables
     history, features = history_table(spark, sf_dir), rfm_features(spark, sf_dir, "history")
     buckets = files.bucket_count(history.count())
-    files.layout_by_customer(features, f"rfm_by_customer_{tag}", scratch_path(spark, "rfm-bucketed"), buckets)
-    files.layout_by_customer(history, f"tx_by_customer_{tag}", scratch_path(spark, "tx-bucketed"), buckets)
-    counts = spark.table(f"tx_by_customer_{tag}").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_transactions"))
-    return spark.table(f"rfm_by_customer_{tag}").join(counts, "customer_id")
+    names = {f"rfm_by_customer_{tag}": features, f"tx_by_customer_{tag}": history}
+    try:
+        for name, df in names.items():
+            files.layout_by_customer(df, name, delete_at_exit(spark, scratch_path(spark, name)), buckets)
+        rfm_by, tx_by = (spark.table(n) for n in names)
+        counts = tx_by.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_transactions"))
+        return materialize(rfm_by.join(counts, "customer_id"), "layout-join")
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

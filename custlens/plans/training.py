@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from custlens import constants as K
 from custlens.operators import evaluation, labels, predicates, rfm, segments
-from custlens.plans import blocks, boosting, fitted, kmeans, logistic
+from custlens.plans import blocks, boosting, fitted, kmeans, logistic, silhouette
 from custlens.plans import models as M
 from custlens.session import ensure_checkpoint_dir
 from custlens.sources import feature_store as FS
@@ -31,7 +31,7 @@ from custlens.sources.artifacts import Artifacts
 
 SETTINGS = {"k_range": K.K_RANGE, "starts": K.KMEANS_STARTS, "seed": K.SEED, "cv_folds": K.CV_FOLDS}
 #: Modules that shape an artifact, beyond those of what it is made from.
-SHAPED_BY = {"features": [rfm], "search": [predicates, segments, blocks, kmeans], "segments": [], "table": [labels],
+SHAPED_BY = {"features": [rfm], "search": [predicates, segments, blocks, kmeans, silhouette], "segments": [], "table": [labels],
              "forest": [fitted], "logistic": [logistic, fitted], "boosted": [boosting, logistic, fitted], "metrics": [evaluation]}
 
 _LOCK = threading.Lock()
@@ -72,15 +72,15 @@ class Run:
         return self.spark.read.parquet(path)
 
     @cached_property
-    def _search(self) -> tuple[dict, dict[int, tuple[kmeans.KMeansFit, float]]]:
+    def _search(self) -> tuple[dict, dict[int, tuple[kmeans.KMeansFit, dict]]]:
         def build(path):
             z, scaler = M.standardized(self.features)
             found = M.k_search(z, tuple(self.settings["k_range"]), self.settings["starts"], self.settings["seed"])
-            fits = [{"k": k, "seed": f.seed, "centres": f.centres.tolist(), "inertia": f.inertia, "iterations": f.iterations, "silhouette": s} for k, (f, s) in found.items()]
+            fits = [{"k": k, "seed": f.seed, "centres": f.centres.tolist(), "inertia": f.inertia, "iterations": f.iterations, "silhouettes": s} for k, (f, s) in found.items()]
             self._write_json({"scaler": scaler, "fits": fits}, path)
 
         v = self._read_json(self.store.get("search", self._key("features", "search"), build))
-        found = {f["k"]: (kmeans.KMeansFit(f["k"], f["seed"], np.array(f["centres"]), f["inertia"], f["iterations"]), f["silhouette"]) for f in v["fits"]}
+        found = {f["k"]: (kmeans.KMeansFit(f["k"], f["seed"], np.array(f["centres"]), f["inertia"], f["iterations"]), f["silhouettes"]) for f in v["fits"]}
         return {c: tuple(x) for c, x in v["scaler"].items()}, found
 
     @cached_property

@@ -79,3 +79,19 @@ def given_segments(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
             hit = (feats, materialize(named, "segments-named"))
             _STORE[key] = hit
         return hit[1]
+
+
+def page_index(spark: SparkSession, sf_dir: str, which: str):
+    """The page index of the stored features (by customer) or transactions (newest first)."""
+    from custlens.operators import reports as R
+    from custlens.sources import pages
+    base = rfm_features(spark, sf_dir, "history") if which == "rfm" else history_table(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "pages", which)
+    with _LOCK:
+        hit = _STORE.get(key)
+        if hit is None or hit[0] is not base:
+            built = pages.build_page_index(base, lambda: [F.col("customer_id")]) if which == "rfm" else \
+                pages.build_page_index(R.ordered_transactions(base), R.newest_first)
+            hit = (base, built)
+            _STORE[key] = hit
+        return hit[1]

@@ -1,13 +1,12 @@
 """Training results and model artifacts.
 
-Metrics are written as JSON lines and read back with an explicit schema; models are Spark ML
-``PipelineModel`` directories, loaded one by one so a damaged artifact is skipped."""
+Metrics are written as JSON lines and read back with an explicit schema; models are folders
+(``plans.fitted``), loaded one by one so a damaged artifact is skipped."""
 
 from __future__ import annotations
 
 import logging
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,27 +66,26 @@ def read_metrics(spark: SparkSession, path: str, ddl: str = DOCUMENT_DDL) -> Dat
     return spark.read.schema(ddl).json(path)
 
 
-def save_models(models: dict[str, PipelineModel], base: str) -> dict[str, str]:
+def save_models(spark: SparkSession, models: dict[str, object], base: str) -> dict[str, str]:
     """A10 (save): one directory per model, keyed by the normalized model name."""
     out = {}
     for name, m in models.items():
         key = name.lower().replace(" ", "")
-        path = f"{base.rstrip('/')}/{key}"
-        m.write().overwrite().save(path)
-        out[key] = path
+        out[key] = f"{base.rstrip('/')}/{key}"
+        m.save(spark, out[key])
     return out
 
 
-def load_models(paths: dict[str, str], best: str | None) -> tuple[dict[str, PipelineModel], str | None]:
+def load_models(spark: SparkSession, paths: dict[str, str], best: str | None) -> tuple[dict[str, object], str | None]:
     """A10 (load): every loadable model; a failing one is skipped with a message.  Default is the
     best model if it loaded, else the first loaded one."""
+    from custlens.plans.fitted import load
     loaded = {}
     for key, path in paths.items():
         try:
-            loaded[key] = PipelineModel.load(path)
+            loaded[key] = load(spark, path)
         except Exception as e:  # one bad artifact must not block the others
             log.warning("skipping model %s: %s", key, e)
     best_key = (best or "").lower().replace(" ", "")
     default = best_key if best_key in loaded else next(iter(loaded), None)
     return loaded, default
-

@@ -7,6 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 
 from custlens.session import scratch_path
+from custlens.plans.fitted import BoostedModel, LogisticModel, PipelineClassifier
 from custlens.sources import files, stores
 from custlens.sources import tables as S
 from custlens.sources.feature_store import rfm_features
@@ -50,12 +51,18 @@ def test_model_store_skips_bad_artifact(spark):
     df = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (0.0, 0.5), (1.0, 4.0)], "label double, x double")
     m = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"),
                          LogisticRegression(maxIter=5)]).fit(df)
-    paths = stores.save_models({"LogisticRegression": m}, scratch_path(spark, "models"))
+    given = {"LogisticRegression": LogisticModel(["x"], [1.0], [2.0], [0.5], -0.25), "Other": PipelineClassifier(m, ["x"]),
+             "Boosted": BoostedModel(["x"], [[0.7, 2.0]], 0.1, [{"feature": [0, -1, -1], "cut": [1, 0, 0], "value": [0.0, -0.5, 0.5]}], [1.0])}
+    paths = stores.save_models(spark, given, scratch_path(spark, "models"))
     paths["randomforest"] = scratch_path(spark, "missing")
-    loaded, default = stores.load_models(paths, "RandomForest")
-    assert set(loaded) == {"logisticregression"} and default == "logisticregression"
-    loaded, default = stores.load_models(paths, "Logistic Regression")
-    assert default == "logisticregression"
+    loaded, default = stores.load_models(spark, paths, "RandomForest")
+    assert set(loaded) == {"logisticregression", "other", "boosted"} and default == "logisticregression"
+    loaded, default = stores.load_models(spark, paths, "Boosted")
+    assert default == "boosted"
+    for name, m in given.items():
+        scored = [r["score"] for r in m.score(df).orderBy("x").collect()]
+        assert [r["score"] for r in loaded[name.lower()].score(df).orderBy("x").collect()] == scored and scored == sorted(scored)
+
 
 
 def test_metrics_round_trip(spark):
@@ -71,7 +78,21 @@ def test_csv_keeps_microseconds_breaks_and_quotes(spark):
     schema = T.StructType([T.StructField("t", T.TimestampType()), T.StructField("s", T.StringType())])
     data = [(dt.datetime(2024, 1, 2, 3, 4, 5, 678901), 'a "quoted", text\nof two lines'), (dt.datetime(2024, 1, 2), ""), (None, None), (dt.datetime(1999, 12, 31, 23, 59, 59, 1), "back\\slash\\")]
     path = files.write_csv(spark.createDataFrame(data, schema), scratch_path(spark, "csv"))
-    assert sorted(map(tuple, files.scan_csv(spark, path, schema).collect()), key=repr) == sorted(data, key=repr)
+    assert sorted(map(tuple, files.scan_csv(spark, path, schema, line_breaks=True).collect()), key=repr) == sorted(data, key=repr)
+    with pytest.raises(Exception):   # not read as other rows
+        files.scan_csv(spark, path, schema).collect()
+
+
+def test_a_large_csv_file_is_split(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(20_000).select("id", F.repeat(F.lit("x"), 40).alias("s"))
+    path = files.write_csv(df.coalesce(1), scratch_path(spark, "csv"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(200_000))
+    try:
+        back = files.scan_csv(spark, path, df.schema)
+        assert back.rdd.getNumPartitions() > 3 and back.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_signature_sees_a_leaf_file(spark, tmp_path):
