@@ -25,9 +25,12 @@ RFM_COLUMNS = [
 ]
 
 
-def customer_aggregates(hist: DataFrame) -> DataFrame:
+def customer_aggregates(hist: DataFrame, in_place: bool = False) -> DataFrame:
     """Per-customer raw aggregates; the null customer key is kept here (it still counts
-    towards the global latest date) and dropped by the feature step."""
+    towards the global latest date) and dropped by the feature step.
+
+    ``in_place``: ``hist`` is laid out by customer (A6).  Two distinct counts would expand the rows and
+    lose that, so the categories (a bounded set) are collected instead, and nothing is exchanged."""
     cols = hist.columns
     aggs = [
         F.countDistinct("transaction_id").alias("frequency"),
@@ -38,7 +41,9 @@ def customer_aggregates(hist: DataFrame) -> DataFrame:
     ]
     # two exact distinct counts: Spark expands each row once per distinct group and aggregates
     # with fixed-width hash maps (a per-group collect_set buffer was 40% slower)
-    if "product_category" in cols:
+    if "product_category" in cols and in_place:
+        aggs.append(F.size(F.collect_set("product_category")).cast("long").alias("unique_categories"))
+    elif "product_category" in cols:
         aggs.append(F.countDistinct("product_category").alias("unique_categories"))
     else:
         aggs.append(F.lit(0).cast("long").alias("unique_categories"))
@@ -81,9 +86,9 @@ def purchase_frequency_col(freq: str, lifetime: str) -> F.Column:
              .otherwise(half_even_ratio(f"{freq} * 30", lifetime, 3)))
 
 
-def rfm_table(hist: DataFrame, n_categories: int = K.N_CATEGORIES, checkpoint: bool = True) -> DataFrame:
+def rfm_table(hist: DataFrame, n_categories: int = K.N_CATEGORIES, checkpoint: bool = True, in_place: bool = False) -> DataFrame:
     """The full feature row per customer."""
-    return features_from_aggregates(customer_aggregates(hist), n_categories, checkpoint)
+    return features_from_aggregates(customer_aggregates(hist, in_place), n_categories, checkpoint)
 
 
 def recency_only(hist: DataFrame) -> DataFrame:

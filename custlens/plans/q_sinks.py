@@ -3,17 +3,16 @@ layout (A2-A6).  Everything is written under the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from custlens.functions.text import ts_text, ts_text_sql
+from custlens.operators import affinity as A
 from custlens.operators import rfm
 from custlens.plans.registry import register
 from custlens.sources.feature_store import history_table, rfm_features
 from custlens.functions.materialize import materialize
-from custlens.session import delete_at_exit, scratch_path
+from custlens.session import scratch_path
 from custlens.sources import files
 from custlens.sources import tables as S
 
@@ -79,16 +78,20 @@ def q_migrate_csv(spark, sf_dir):
     JOIN (SELECT customer_id, COUNT(*) AS n_transactions FROM ({H}) GROUP BY customer_id) t USING (customer_id)""")
 def q_layout_by_customer(spark, sf_dir):
     """Both tables laid out by customer and joined on it: neither side is shuffled."""
-    tag = uuid.uuid4().hex[:12]   # runs do not overwrite each other's tables
-    history, features = history_table(spark, sf_dir), rfm_features(spark, sf_dir, "history")
-    buckets = files.bucket_count(history.count())
-    names = {f"rfm_by_customer_{tag}": features, f"tx_by_customer_{tag}": history}
-    try:
-        for name, df in names.items():
-            files.layout_by_customer(df, name, delete_at_exit(spark, scratch_path(spark, name)), buckets)
-        rfm_by, tx_by = (spark.table(n) for n in names)
-        counts = tx_by.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_transactions"))
-        return materialize(rfm_by.join(counts, "customer_id"), "layout-join")
-    finally:
-        for name in names:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    with files.customer_layout(spark, {"rfm": rfm_features(spark, sf_dir, "history"), "tx": history_table(spark, sf_dir)}) as t:
+        counts = t["tx"].groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_transactions"))
+        return materialize(t["rfm"].join(counts, "customer_id"), "layout-join")
+
+
+@register("rfm_from_layout", RFM)
+def q_rfm_from_layout(spark, sf_dir):
+    """D8 from the history laid out by customer: no row is moved to its customer."""
+    with files.customer_layout(spark, {"tx": history_table(spark, sf_dir)}) as t:
+        return materialize(rfm.rfm_table(t["tx"], in_place=True), "layout-rfm")
+
+
+@register("affinity_from_layout", A.category_affinity_sql(H))
+def q_affinity_from_layout(spark, sf_dir):
+    """C1 from the history laid out by customer."""
+    with files.customer_layout(spark, {"tx": history_table(spark, sf_dir)}) as t:
+        return materialize(A.category_affinity(t["tx"]), "layout-affinity")

@@ -5,13 +5,12 @@
   sum, latest time) in update mode; each micro-batch's changed rows are written to a
   batch-keyed folder, so a replayed batch overwrites itself (idempotent), and the current
   state is the latest row per customer.
-* S3-S6 ``run_live_pipeline``: ``applyInPandasWithState`` keeps each customer's live purchase
-  count and amount in Spark's state store and emits every purchase with its running totals
-  (purchases of one customer in arrival order); a ``foreachBatch`` sink then appends the
-  purchases to the history (S4), scores each purchase of a known customer with its stored
-  features updated by the running totals (S3), appends the predictions to the log (S5) and
-  rewrites the live statistics over the latest 200 predictions (S6 / D20).  Every write is keyed
-  by batch id.
+* S3-S6 ``run_live_pipeline``: a stateful processor keeps each customer's stored features (the query's
+  initial state, read once) and running live totals in the state store and emits every purchase with
+  them (purchases of one customer in arrival order), so a micro-batch reads no feature table; a
+  ``foreachBatch`` sink then appends the purchases to the history (S4), scores those of known
+  customers (S3), appends the predictions to the log (S5) and rewrites the live statistics over
+  the latest 200 predictions (S6 / D20).  Every write is keyed by batch id.
 
 State survives restarts through the checkpoint folder (under ``spark.checkpoint.dir``).  The
 pandas step sees one customer's purchases of one micro-batch at a time; batches are bounded
@@ -24,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from custlens import constants as K
 from custlens.functions.exact import half_even_ratio
@@ -131,31 +131,61 @@ class LivePaths:
     latest: str  # batch-keyed snapshots of the newest 200 predictions (the live log)
 
 
-RUNNING_SCHEMA = ("transaction_id string, customer_id long, transaction_date timestamp, amount double, "
-                  "status string, event_id long, cents long, live_n long, live_cents long")
+#: Stored features that live scoring takes as they are.
+STORED = ["avg_order_value", "purchase_frequency", "product_diversity", "customer_lifetime_days"]
+RUNNING_SCHEMA = ("transaction_id string, customer_id long, transaction_date timestamp, amount double, status string, event_id long, cents long, "
+                  "known boolean, frequency long, monetary_cents long, avg_order_value double, purchase_frequency double, product_diversity double, "
+                  "customer_lifetime_days double, live_n long, live_cents long")
 RUNNING_COLS = [c.split()[0] for c in RUNNING_SCHEMA.split(", ")]
+STATE_SCHEMA = ("known boolean, frequency long, monetary_cents long, avg_order_value double, purchase_frequency double, product_diversity double, "
+                "customer_lifetime_days double, live_n long, live_cents long")
+STATE_COLS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _running_totals(key, pdfs, state):
-    """One customer's purchases of one micro-batch, in arrival order, with running totals that
-    continue from the customer's state."""
-    import numpy as np
+class CustomerState(StatefulProcessor):
+    """A customer's stored features and running live totals, kept in the state store.
+
+    The features come in once, as the query's initial state; a customer without them is unknown."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("customer", STATE_SCHEMA)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.state.update((True, *(_plain(initialState[c].iloc[-1]) for c in STATE_COLS[1:-2]), 0, 0))
+
+    def handleInputRows(self, key, rows, timerValues):
+        """The purchases of one micro-batch in arrival order, with what is known and the running totals."""
+        import numpy as np
+        import pandas as pd
+        held = self.state.get() if self.state.exists() else (False, *[None] * (len(STATE_COLS) - 3), 0, 0)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("event_id", kind="mergesort")
+        for c, v in zip(STATE_COLS[:-2], held):
+            pdf[c] = pd.Series([v] * len(pdf), index=pdf.index, dtype="boolean" if c == "known" else "Int64" if c in ("frequency", "monetary_cents") else "Float64")
+        pdf["live_n"] = held[-2] + np.arange(1, len(pdf) + 1, dtype="int64")
+        pdf["live_cents"] = held[-1] + pdf["cents"].fillna(0).astype("int64").cumsum()
+        self.state.update((*held[:-2], int(pdf["live_n"].iloc[-1]), int(pdf["live_cents"].iloc[-1])))
+        yield pdf[RUNNING_COLS]
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(v):
+    """A NumPy value as Python's, missing ones as None."""
     import pandas as pd
-    n0, c0 = state.get if state.exists else (0, 0)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("event_id", kind="mergesort")
-    pdf["live_n"] = n0 + np.arange(1, len(pdf) + 1, dtype="int64")
-    pdf["live_cents"] = c0 + pdf["cents"].fillna(0).astype("int64").cumsum()
-    state.update((int(pdf["live_n"].iloc[-1]), int(pdf["live_cents"].iloc[-1])))
-    yield pdf[RUNNING_COLS]
+    return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
 
 
-def running_live_totals(stream: DataFrame) -> DataFrame:
-    """Every live purchase with its customer's running purchase count and amount (cents)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def live_features(stream: DataFrame, rfm_stored: DataFrame) -> DataFrame:
+    """Every live purchase with its customer's stored features and running purchase count and amount
+    (cents).  The stored features are read once, when the query first starts; after that a batch touches
+    its own customers' state only."""
     s = stream.withColumn("cents", (F.col("total_amount") * 100).cast("long")).drop("total_amount")
+    stored = rfm_stored.select("customer_id", F.col("frequency").cast("long").alias("frequency"),
+                               (F.col("monetary").cast("decimal(18,2)") * 100).cast("long").alias("monetary_cents"), *[F.col(c).cast("double").alias(c) for c in STORED])
     return (s.groupBy("customer_id")
-             .applyInPandasWithState(_running_totals, RUNNING_SCHEMA, "n long, cents long", "append",
-                                     GroupStateTimeout.NoTimeout)
+             .transformWithStateInPandas(CustomerState(), RUNNING_SCHEMA, "Append", "None", initialState=stored.groupBy("customer_id"))
              .withColumn("total_amount", (F.col("cents") / 100).cast("decimal(18,2)")))
 
 
@@ -192,16 +222,14 @@ def live_stats(latest: DataFrame) -> DataFrame:
         F.coalesce(ds["segment_distribution"], empty).alias("segment_distribution"))
 
 
-def score_live_batch(batch: DataFrame, rfm_stored: DataFrame, scorer) -> DataFrame:
+def score_live_batch(batch: DataFrame, scorer) -> DataFrame:
     """S3: each purchase of a known customer, scored with frequency and monetary including every
-    live purchase up to it (running totals from the state) and recency 0."""
-    known = batch.join(rfm_stored, "customer_id")  # unknown customers are kept in history, not scored
-    feats = known.select(
+    live purchase up to it and recency 0; all of it comes with the batch, from the state."""
+    feats = batch.where("known").select(   # unknown customers are kept in history, not scored
         "transaction_id", "event_id", "customer_id", "amount", "transaction_date",
         F.lit(0.0).alias("recency"),
         (F.col("frequency") + F.col("live_n")).alias("frequency"),
-        (F.col("monetary").cast("decimal(18,2)") + (F.col("live_cents") / 100).cast("decimal(18,2)"))
-        .cast("double").alias("monetary"),
+        ((F.col("monetary_cents") + F.col("live_cents")) / 100).cast("decimal(18,2)").cast("double").alias("monetary"),
         "avg_order_value", "purchase_frequency", "product_diversity", "customer_lifetime_days")
     return scorer(P.default_features_live(feats))
 
@@ -216,7 +244,7 @@ def run_live_pipeline(stream: DataFrame, paths: LivePaths, ckpt: str, rfm_stored
              .write.mode("overwrite").parquet(f"{paths.history}/batch_id={batch_id}")
         # S3: scored purchases appended to the prediction log
         scored_path = f"{paths.predictions}/batch_id={batch_id}"
-        score_live_batch(batch, rfm_stored, scorer).write.mode("overwrite").parquet(scored_path)
+        score_live_batch(batch, scorer).write.mode("overwrite").parquet(scored_path)
         # The live log after this batch = last 200 of (the log after the previous batch +
         # this batch's predictions): each batch reads at most 200 old rows, not the whole log
         prev = f"{paths.latest}/snapshot={batch_id - 1}"
@@ -233,7 +261,12 @@ def run_live_pipeline(stream: DataFrame, paths: LivePaths, ckpt: str, rfm_stored
             .write.mode("overwrite").parquet(f"{paths.stats}/batch_id={batch_id}")
         batch.unpersist()
 
-    _run(running_live_totals(stream).writeStream.outputMode("append").foreachBatch(per_batch), ckpt)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        _run(live_features(stream, rfm_stored).writeStream.outputMode("append").foreachBatch(per_batch), ckpt)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return paths
 
 

@@ -52,3 +52,18 @@ def test_quantiles_neither_join_nor_shuffle_values_by_group(spark):
 def test_rfm_no_global_window(spark):
     p = plan(rfm.rfm_table(S.history(spark, SF_SMALL), checkpoint=False))
     assert "Window" not in p and "CartesianProduct" not in p
+
+
+def test_layout_needs_no_exchange_on_the_customer(spark):
+    from custlens.sources.feature_store import history_table
+    from custlens.sources.files import customer_layout
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with customer_layout(spark, {"tx": history_table(spark, SF_SMALL)}) as t:
+            assert "Exchange" not in plan(rfm.customer_aggregates(t["tx"], in_place=True))
+            tables = [x.name for x in spark.catalog.listTables()]
+            assert any(n.startswith("tx_by_customer_") for n in tables)
+        assert not any(x.name.startswith("tx_by_customer_") for x in spark.catalog.listTables())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -66,3 +66,30 @@ def test_live_pipeline_running_counts(spark, event_dir):
     last = spark.read.parquet(f"{paths.latest}/snapshot={stats['batch_id']}").select("event_id").toPandas()
     full = V.latest_predictions(spark.read.parquet(paths.predictions)).select("event_id").toPandas()
     assert sorted(last["event_id"]) == sorted(full["event_id"])
+
+
+def test_features_come_from_the_state_after_a_restart(spark, event_dir):
+    """The second run gets no stored features at all: what it scores with is in the state."""
+    import re
+    stored = rfm.rfm_table(S.transactions(spark, SF_SMALL))
+    source, ckpt = scratch_path(spark, "events-growing"), scratch_path(spark, "live-ckpt")
+    paths = V.LivePaths(*(scratch_path(spark, n) for n in ("h", "p", "s", "l")))
+    plans = []
+
+    def scorer(feats):
+        plans.append(feats._jdf.queryExecution().executedPlan().toString())
+        return feats.select("transaction_id", "event_id", "customer_id", "transaction_date", "frequency", "monetary", "avg_order_value",
+                            F.lit(None).cast("string").alias("segment_name"), F.lit(True).alias("will_purchase"), F.lit(0.5).alias("probability"))
+
+    for i, features in [(0, stored), (1, stored.limit(0)), (2, stored.limit(0))]:
+        spark.read.parquet(f"{event_dir}/part{i}").coalesce(1).write.mode("append").parquet(source)
+        V.run_live_pipeline(V.purchase_stream(spark, f"{source}/*.parquet"), paths, ckpt, features, scorer)
+    assert not any(re.search("Join|FileScan", p) for p in plans)
+    ev = S.scan_table(spark, SF_SMALL, "events").where("event_type = 'purchase'")
+    got = spark.read.parquet(paths.predictions)
+    assert got.select("batch_id").distinct().count() == 3
+    last = got.groupBy("customer_id").agg(F.max("frequency").alias("frequency"), F.max("monetary").alias("monetary"), F.max("avg_order_value").alias("avg"))
+    live = ev.groupBy(F.col("user_id").alias("customer_id")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
+    want = stored.join(live, "customer_id").select("customer_id", (F.col("frequency") + F.col("n")).alias("frequency"),
+                                                   (F.col("monetary").cast("decimal(18,2)") + F.col("v")).cast("double").alias("monetary"), F.col("avg_order_value").alias("avg"))
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
