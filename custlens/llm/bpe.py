@@ -7,6 +7,9 @@ name non-empty ranks) gives the next rank by find-first-set.  Entries whose pair
 meanwhile are skipped when popped.  A merge costs a constant number of bitmap and heap steps, so
 a pre-token of n bytes takes O(n log n) however long it is.
 
+Distinct pre-tokens of a slice of texts that are not cached are merged together in one such queue
+(``BatchQueue``), whose buckets are arrays of positions; only long ones have a queue of their own.
+
 Texts are cut at places where the pattern always has a boundary (before a space that a
 non-space follows, and around a lone line break); each cut unit's ids are cached, with a bound
 on the cache.  Cutting there and caching change no id: a test compares with tiktoken.
@@ -23,14 +26,19 @@ import hashlib
 from array import array
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custlens.llm.textscan import gathered
 from custlens.llm.units import CACHE_UNITS, Recent, UnitEncoder, splitter
 
 LEAF_BITS = 8        # a bitmap leaf covers 2 ** LEAF_BITS ranks
 LEAF_MASK = (1 << LEAF_BITS) - 1
+LONG_UNIT = 60       # characters; longer units' pre-tokens have a queue of their own
+QUEUE_PIECES = 400_000
+SLICE_BYTES = 16 << 20
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -38,6 +46,116 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines()) if t}
 
 
+class BatchQueue:
+    """The same queue over many pre-tokens at once: one linked list with a barrier after each, and
+    buckets that hold positions of all of them.
+
+    The next rank's positions are merged together, of each pre-token the leftmost one (further ones
+    wait again: a merge may make a lower rank beside it), so every pre-token sees its merges in the order
+    of (rank, position), as alone."""
+
+    def __init__(self, ranks: dict[bytes, int], pair: list[list[int]]):
+        self.first = np.array([[ranks.get(bytes((x,)), -1) for x in range(256)]], dtype=np.int64)[0]
+        self.pair = np.array(pair, dtype=np.int64)
+        self.size = max(ranks.values(), default=-1) + 1
+        # (left token, right token) -> token, for every way to cut a token into two tokens
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    keys.append(left * self.size + right)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
+        self.keys, self.values = np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int64)[order]
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of every pre-token (not empty), as little-endian unsigned 32-bit integers."""
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        end = np.cumsum(size)
+        n = len(data)
+        piece = np.repeat(np.arange(len(pieces)), size)
+        token = self.first[data]
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[end - 1] = -1                # barriers
+        prv[end - size] = -1
+        alive = np.ones(n, dtype=bool)
+        at = np.full(n, -1)
+        inner = np.flatnonzero(nxt >= 0)
+        at[inner] = self.pair[data[inner], data[inner + 1]]
+        bucket: dict[int, list[np.ndarray]] = {}
+        leaves = [0] * ((self.size >> LEAF_BITS) + 1)
+        root = 0
+
+        def push(places, ranks):
+            nonlocal root
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            begins = [0, *cuts.tolist()]
+            for rank, lo, hi in zip(ranks[begins].tolist(), begins, [*begins[1:], len(ranks)]):
+                if rank in bucket:
+                    bucket[rank].append(places[lo:hi])
+                else:
+                    bucket[rank] = [places[lo:hi]]
+                    leaf = rank >> LEAF_BITS
+                    leaves[leaf] |= 1 << (rank & LEAF_MASK)
+                    root |= 1 << leaf
+
+        some = np.flatnonzero(at >= 0)
+        if len(some):
+            push(some, at[some])
+        while root:
+            leaf = (root & -root).bit_length() - 1
+            bits = leaves[leaf]
+            low = bits & -bits
+            rank = (leaf << LEAF_BITS) + low.bit_length() - 1
+            waiting = bucket.pop(rank)
+            leaves[leaf] = bits = bits ^ low
+            if not bits:
+                root &= root - 1
+            i = waiting[0] if len(waiting) == 1 else np.unique(np.concatenate(waiting))
+            i = i[at[i] == rank]         # others are stale
+            if not len(i):
+                continue
+            if len(i) > 1:
+                again = piece[i[1:]] == piece[i[:-1]]
+                if again.any():
+                    later = np.concatenate(([False], again))
+                    push(i[later], at[i[later]])
+                    i = i[~later]
+            j = nxt[i]
+            after = nxt[j]
+            token[i] = rank
+            nxt[i] = after
+            alive[j] = False
+            at[j] = -1
+            more = after >= 0
+            prv[after[more]] = i[more]
+            new = np.full(len(i), -1)
+            new[more] = self._rank(token[i[more]], token[after[more]])
+            at[i] = new
+            before = prv[i]
+            has = before >= 0
+            left = before[has]
+            new_left = self._rank(token[left], token[i[has]])
+            at[left] = new_left
+            places, ranks = np.concatenate((i, left)), np.concatenate((new, new_left))
+            ok = ranks >= 0
+            if ok.any():
+                push(places[ok], ranks[ok])
+        ids = token[alive].astype("<u4").tobytes()
+        stop = 4 * np.cumsum(np.bincount(piece[alive], minlength=len(pieces)))
+        stop = stop.tolist()
+        return [ids[a:b] for a, b in zip([0, *stop], stop)]
+
+
 class BytePairCodec(UnitEncoder):
     """Encoder and decoder for a rank file, whose pattern splits the text first."""
 
@@ -50,6 +168,39 @@ class BytePairCodec(UnitEncoder):
         self.pair = [[ranks.get(bytes((x, y)), -1) for y in range(256)] for x in range(256)]
         self.split = splitter(pattern)
         self._piece = Recent(self._encode_piece, cache_units // 2)
+        self.queue = BatchQueue(ranks, self.pair)
+
+    def prepare(self, texts: list[str]) -> None:
+        """Fill the caches with the units of ``texts``, their new pre-tokens merged in one queue; long
+        units, and what the caches do not hold, are encoded one by one when they are met."""
+        units, known, old = set(), self._spaced, self._spaced.old
+        for text in texts:
+            units.update(text.replace("\n", " ").split(" "))
+        split, whole, cached, cached_old = self.split, self.ranks.get, self._piece, self._piece.old
+        new_units, ids, waiting = [], {}, []
+        for u in units:
+            if u in known or u in old or len(u) > LONG_UNIT:
+                continue
+            pieces = split(" " + u)
+            new_units.append((u, pieces))
+            for p in pieces:
+                if p not in ids:
+                    known_ids = cached.get(p) or cached_old.get(p)
+                    if known_ids is None:
+                        raw = p.encode()
+                        rank = whole(raw)
+                        if rank is None:
+                            waiting.append((p, raw))
+                        else:
+                            known_ids = rank.to_bytes(4, "little")
+                    ids[p] = known_ids
+        for lo in range(0, len(waiting), QUEUE_PIECES):
+            part = waiting[lo:lo + QUEUE_PIECES]
+            for (p, _), merged in zip(part, self.queue.merge([raw for _, raw in part])):
+                ids[p] = merged
+                cached.put(p, merged)
+        for u, pieces in new_units:
+            known.put(u, b"".join([ids[p] for p in pieces]))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -157,10 +308,12 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bo
     def run(batches):
         c = codec(raw.value, pattern)
         sha = hashlib.sha256
-        for b in batches:
+        for b in gathered(batches, "text", SLICE_BYTES):
             n, ids_sha, back_sha, kept = [], [], [], []
-            for text in b.column("text"):
-                ids = c.encode(text.as_py() or "")
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            c.prepare(texts)
+            for text in texts:
+                ids = c.encode(text)
                 n.append(len(ids) // 4)
                 ids_sha.append(sha(ids).hexdigest())
                 back_sha.append(sha(c.decode(ids)).hexdigest())
@@ -171,7 +324,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bo
             if keep_ids:
                 cols.append(pa.array(kept, pa.binary()))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield from pa.Table.from_arrays(cols, names=names).combine_chunks().to_batches()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)

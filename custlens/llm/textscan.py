@@ -113,3 +113,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             hi = max(lo + 1, int(np.searchsorted(size, base + most_bytes, "right")))
             yield b.slice(lo, hi - lo)
             lo = hi
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.Table]:
+    """Batches put together until they have about ``most_bytes`` of text, and cut where they have more."""
+    held, size = [], 0
+    for b in slices(batches, column, most_bytes):
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -38,12 +38,15 @@ class Recent(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= _LONGEST_KEY:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+            self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
 
 class UnitEncoder:
     """Encodes whole texts; a subclass has ``encode_unit(str) -> bytes`` (ids as little-endian

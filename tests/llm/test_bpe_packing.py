@@ -104,3 +104,23 @@ def test_packing_covers_every_id_once(spark, block):
 
 def test_packing_of_nothing(spark):
     assert pack_documents(frame(spark, []), VOCABULARY, P.PATTERN).count() == 0
+
+
+def test_one_queue_for_many_pre_tokens_equals_one_each():
+    import random
+
+    import public_tokenizers
+    from custlens.llm.bpe import BytePairCodec, read_ranks
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        c = BytePairCodec(read_ranks(f.read()), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    pieces = [bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for alphabet in (b"a", b"ab", b" the", b"thernoing ", bytes(range(256))) for _ in range(300)]
+    pieces += [" überraschungen".encode(), "日本語".encode(), b"aaaaaaa" * 8, b"\xff\xfe"] + pieces[:40]
+    want = [b"".join(i.to_bytes(4, "little") for i in c.merge(p)) for p in pieces]
+    assert c.queue.merge(pieces) == want
+    assert c.queue.merge([]) == [] and c.queue.merge([b"a"]) == [c.merge(b"a")[0].to_bytes(4, "little")]
+    texts = ["one two  three\nfour\n\n five", "", " ", "x" * 300_000, "the thing in the thing", "\t tab\x0bs"]
+    plain = BytePairCodec(c.ranks, public_tokenizers.PATTERN)
+    c.prepare(texts)
+    for t in texts:
+        assert c.encode(t) == plain.encode(t) and c.decode(c.encode(t)) == t.encode()
