@@ -1,5 +1,7 @@
 """What must hold of the fitted values that the model keys return, on a small training run."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +58,7 @@ def test_another_session_reads_the_artifacts(spark, run, monkeypatch):
 
 
 def test_an_ended_builder_leaves_its_rounds(spark, run, monkeypatch):
-    folder, seen = run.store.folder("test-progress", "x"), []
+    folder, seen = run.store.folder("test-progress", uuid.uuid4().hex), []
     blocks = M._blocks(run.table)
     specs = [B.Spec(3, True), B.Spec(2, False, 1)]
     monkeypatch.setattr(B, "CUT_EVERY", 2)
@@ -77,13 +79,14 @@ def test_an_ended_builder_leaves_its_rounds(spark, run, monkeypatch):
 
 
 def test_a_stale_lease_is_free(spark, run):
-    folder = run.store.folder("leased", 1)
+    key = uuid.uuid4().hex   # the shared folder may outlive a session
+    folder = run.store.folder("leased", key)
     run.store._write(f"{folder}/lease", "gone")
     fs, p = run.store._fs(f"{folder}/lease")
     fs.setTimes(p, 1000, -1)
-    path = run.store.get("leased", 1, lambda p: run.store._write(f"{p}/part", "whole"))
+    path = run.store.get("leased", key, lambda p: run.store._write(f"{p}/part", "whole"))
     assert run.store._text(f"{path}/part") == "whole" and not fs.exists(p)
-    assert run.store.get("leased", 1, lambda p: pytest.fail("built again")) == path
+    assert run.store.get("leased", key, lambda p: pytest.fail("built again")) == path
 
 
 def test_choices_read_the_fitted_run(rows, run):
