@@ -13,10 +13,17 @@ is a link if the Jaccard similarity of their shingle sets is at least ``SIMILARI
 are the connected components of links.
 
 Within a bucket (documents with an equal band) the member with the smallest key leads: it is
-verified against every member that is not yet in its class.  Then it leaves the bucket, and the
-next ones lead (more each round), until all that are left belong to one class.  So a bucket of
-near copies takes one round and as many pairs as members, no pair that could join two classes is
-left out, and there is no cap on a bucket.  Equal texts are one node from the start.
+verified against every other member.  So a bucket of near copies takes as many pairs as members.
+What is left in buckets that still hold two classes or more goes by an exact prefix filter: the
+shingles of those documents are put in one order, rare ones first (by the number of these documents
+that hold them), and two documents of similarity ``SIMILARITY`` share one among the first
+``n - ceil(SIMILARITY * n) + 1`` of each.  Their first shared one, at place i of n and j of m, leaves
+min(n - i, m - j) that they can have in common, which must reach SIMILARITY / (1 + SIMILARITY) of
+n + m.  So documents that share only a frequent passage, and copies with too many words of their
+own, never meet.  Per shingle the members with the fewest rare shingles before it lead (more each
+round), members that no other one's size can match leave, and so do all of a bucket that belongs to
+one class.  No pair of an open bucket that could join two classes is left out, and there is no cap.
+Equal texts are one node from the start.
 
 Verification streams: members come sorted behind their leader, at most ``FOLLOWERS`` behind each
 copy of it, and a task holds one leader's shingles and one batch.
@@ -45,7 +52,8 @@ BANDS = 36
 ROWS = 7
 REGISTERS = BANDS * ROWS
 FOLLOWERS = 64
-LEADERS_GROWTH = 4   # leaders of an open bucket: 1, 4, 16, ... by round
+LEADERS_GROWTH = 4   # leaders of a shingle's bucket: 1, 4, 16, ... by round
+SLACK = 1e-6         # for rounding, on the side of more candidates
 SLICE_BYTES = 4 << 20
 
 
@@ -169,35 +177,74 @@ def components(edges: DataFrame) -> DataFrame:
     return members.unionByName(members.select(F.col("class").alias("node"), "class").distinct())
 
 
+def _shingle_lists(batches):
+    for b in slices(batches, "text", SLICE_BYTES):
+        d, g, _ = shingles(scan(b.column("text")))
+        cut = np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(cut), pa.array(g.view(np.int64)))], names=["node", "shingles"])
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(key, node, place, size): the shingles of each text by which a link must meet another text.
+
+    ``place`` is the shingle's position among the text's ``size`` shingles in the common order; those
+    that no other text has come first and can't meet any, so they are left out."""
+    lists = stored(texts.mapInArrow(_shingle_lists, "node bigint, shingles array<bigint>"), "near-shingles")
+    rows = lists.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    frequent = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    behind = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")))
+    rows = rows.join(frequent, "key").withColumn("behind", behind).where(F.col("behind") >= F.ceil(SIMILARITY * F.col("size") - SLACK))
+    return rows.select("key", "node", (F.col("size") - F.col("behind")).alias("place"), "size")
+
+
+def _with_classes(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return members.withColumn("class", F.col("node"))
+    return members.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
+def _joined(found: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """The classes after the links among ``pairs``: the classes so far are stars, new links join them."""
+    new = stored(_verify(pairs, texts), "near-links")
+    if new.isEmpty():
+        return found
+    if found is not None:
+        new = new.unionByName(found.select(F.col("node").alias("a"), F.col("class").alias("b")))
+    return stored(components(new), "near-classes", narrow=True)
+
+
 def classes(docs: DataFrame) -> DataFrame | None:
     """(node, class) of every text that is linked with another one; ``docs`` has ``node`` and
     ``text``; None if no text is."""
     keys = stored(docs.mapInArrow(_bands, "node bigint, keys array<bigint>"), "near-bands")
     members = keys.select(F.explode("keys").alias("key"), "node").distinct()
-    shared = keys.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    buckets = stored(members.join(shared, "key"), "near-buckets")
-    nodes = buckets.select("node").distinct()
-    texts = docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    shared = keys.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("hi")).where("leader != hi")
+    buckets = stored(members.join(shared.select("key", "leader"), "key"), "near-buckets")
+    texts = docs.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts, "near-texts")
-    found = links = None
+    found = _joined(None, buckets.where("node != leader").select("leader", "node").distinct(), texts)
+
+    at = stored(_with_classes(buckets.select("key", "node"), found), "near-members", narrow=True)
+    open_ = at.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
+    members = prefixes(texts.join(at.join(open_, "key", "left_semi").select("node").distinct(), "node", "left_semi"))
+    least_common = lambda n, m: SIMILARITY / (1 + SIMILARITY) * (n + m) - SLACK
     leaders = 1
     while True:
-        at = buckets.select("key", "node", F.col("node").alias("class"))
-        if found is not None:
-            at = buckets.join(found, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
-        open_ = at.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-        left = stored(at.join(open_, "key"), "near-open", narrow=True)
+        at = stored(_with_classes(members, found), "near-members", narrow=True)
+        open_ = at.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("size").alias("least")).where("lo != hi").select("key", "least")
+        left = at.join(open_, "key").where(F.col("size") - F.col("place") >= least_common(F.col("size"), F.col("least"))).drop("least")
+        left = stored(left, "near-open", narrow=True)
         if left.isEmpty():
             return found
-        lead = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("turn") <= leaders)
-        lead = stored(lead.select("key", F.col("node").alias("leader"), F.col("class").alias("leader_class")), "near-leaders", narrow=True)
-        pairs = left.join(lead, "key").where("node > leader and class != leader_class").select("leader", "node").distinct()
-        new = stored(_verify(pairs, texts), "near-links")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            found = stored(components(links), "near-classes", narrow=True)
-        last = lead.groupBy("key").agg(F.max("leader").alias("last"))
-        buckets = left.join(last, "key").where("node > last").select("key", "node")
+        lead = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("place", "node"))).where(F.col("turn") <= leaders)
+        lead = lead.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "class", "place", "size")])
+        lead = stored(lead, "near-leaders", narrow=True)
+        behind = F.struct("place", "node") > F.struct("lead_place", "lead_node")
+        common = F.least(F.col("size") - F.col("place"), F.col("lead_size") - F.col("lead_place"))
+        pairs = left.join(lead, "key").where(behind & (F.col("class") != F.col("lead_class")) & (common >= least_common(F.col("size"), F.col("lead_size"))))
+        found = _joined(found, pairs.select(F.col("lead_node").alias("leader"), "node").distinct(), texts)
+        last = lead.groupBy("key").agg(F.max(F.struct("lead_place", "lead_node")).alias("last"))
+        members = left.join(last, "key").where(F.struct("place", "node") > F.col("last")).select("key", "node", "place", "size")
         leaders *= LEADERS_GROWTH
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from custlens.llm.probminhash import band_keys, components, keep_one, near_classes, shingles, signatures
+from custlens.llm.probminhash import band_keys, components, keep_one, near_classes, prefixes, shingles, signatures
 from custlens.llm.textscan import scan
 from tests.llm.common import clashing, frame, got, odd_documents, sentence
 
@@ -95,6 +95,44 @@ def test_components_of_a_long_chain(spark):
     assert out == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 100}
 
 
+def many_edits(n=60):
+    """Copies of one text with more and more edits: some are links, many are none, and they fill the same buckets."""
+    rng = random.Random(11)
+    base = sentence(rng, 150).split()
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(i % 6):
+            words[rng.randrange(150)] = rng.choice(["edit", "other", f"own{i}"])
+        rows.append((i, " ".join(words), "en", "s", 0))
+    return rows
+
+
+def test_copies_with_many_edits(spark):
+    rows = many_edits()
+    assert 3 < len({c for _, c in brute(rows)}) < 40
+    assert got(near_classes(frame(spark, rows)), "doc_id", "class_id") == brute(rows)
+
+
+def test_prefixes_hold_a_shingle_of_every_link(spark):
+    rows = many_edits()
+    texts = sorted({r[1] for r in rows})
+    sets = [shingle_set(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    held = {i: {} for i in range(len(texts))}
+    for r in prefixes(df).collect():
+        assert r.size == len(sets[r.node]) and 0 <= r.place <= r.size - 0.8 * r.size
+        held[r.node][r.key] = r.place
+    links = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                links += 1
+                k = min(held[i].keys() & held[j].keys(), key=lambda k: held[i][k])
+                assert len(a & b) <= min(len(a) - held[i][k], len(b) - held[j][k])
+    assert links > 20
+
+
 def test_no_documents(spark):
     assert near_classes(frame(spark, [])).count() == 0
     assert keep_one(frame(spark, [])).count() == 0
