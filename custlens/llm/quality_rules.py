@@ -3,9 +3,12 @@
 Each document has counts (below) and four shares derived from them.  Per (lang, source) a
 mergeable quantile sketch (KLL) of each share is built over all documents that pass the base
 rule; the groups' sketches are merged into one per language and one for everything.  A share's
-threshold is its median plus ``SPREADS`` times its median's distance to the lower decile, and
-never less than the median plus the share's least step; a group of fewer than ``LEAST_ROWS``
-documents uses its language's thresholds, a language of fewer those of everything.  The
+limit in a sketch is its median plus ``SPREADS`` times the shorter of the median's distances to the
+lower and the upper decile (so neither a low tail nor a tenth of junk widens it), at least the median
+plus the share's least step where that spread is narrower, and at most half way from the median to 1,
+so that a share can always reject.  Limits are blended by size: a group of n documents
+counts n / (n + ``BLEND``) and its language the rest, a language likewise with everything, so no
+limit jumps when a row is added.  The
 documents are then joined with their group's thresholds: a document is kept if it passes the
 base rule and none of its shares exceeds its threshold.
 
@@ -31,7 +34,7 @@ SPACES = r"[ \t\n\x0B\f\r]+"
 #: Share and the least step of its threshold above the median.
 SHARES = {"symbol_share": 0.05, "shout_share": 0.2, "dup_line_share": 0.4, "repeat_share": 0.3}
 SPREADS = 8.0
-LEAST_ROWS = 100
+BLEND = 100
 SKETCH_K = 400
 MIN_WORDS = 50
 MOST_REPEATED = 0.5
@@ -100,17 +103,22 @@ def thresholds(counted: DataFrame, counts: str) -> DataFrame:
 
     def limits(n: str) -> Column:
         def one(k: str, step: float) -> Column:
-            q = F.kll_sketch_get_quantile_double(F.col(k), F.array(F.lit(0.1), F.lit(0.5)))
-            low, mid = q[0], q[1]
-            return (mid + F.greatest(F.lit(step), SPREADS * (mid - low))).alias(k)
+            q = F.kll_sketch_get_quantile_double(F.col(k), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+            low, mid, high = q[0], q[1], q[2]
+            wide = mid + F.greatest(F.lit(step), SPREADS * F.least(mid - low, high - mid))
+            return F.least(wide, (1 + mid) / 2).alias(k)
         return F.when(F.col(n) > 0, F.struct(*[one(k, step) for k, step in SHARES.items()]))
 
+    def blended(n: str, own: Column, wider: Column) -> Column:
+        w = F.col(n) / (F.col(n) + BLEND)
+        return F.struct(*[F.coalesce(w * own[k] + (1 - w) * wider[k], own[k], wider[k]).alias(k) for k in SHARES])
+
     own = rolled.select("lang", "source", "n", limits("n").alias("own"))
     languages = languages.select(F.col("lang").alias("_lang"), F.col("n").alias("lang_n"), limits("n").alias("by_lang"))
     general = everything.select(limits("n").alias("all")).scalar()
-    joined = own.join(languages, F.col("lang").eqNullSafe(F.col("_lang")))
-    best = F.when(F.col("n") >= LEAST_ROWS, F.col("own")).when(F.col("lang_n") >= LEAST_ROWS, F.col("by_lang")).otherwise(general)
-    return joined.select("lang", "source", best.alias("limits"))
+    joined = own.join(languages, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("all", general)
+    joined = joined.withColumn("by_lang", blended("lang_n", F.col("by_lang"), F.col("all")))
+    return joined.select("lang", "source", blended("n", F.col("own"), F.col("by_lang")).alias("limits"))
 
 
 def judge(counted: DataFrame, counts: str, kept: str) -> DataFrame:
