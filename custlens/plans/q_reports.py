@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from custlens.operators import affinity as A
+from custlens.operators import affinity_bitmaps as AB
 from custlens.operators import reports as R
 from custlens.operators import rfm
 from custlens.plans.registry import register
@@ -90,19 +91,19 @@ def q_page_transactions_deep(spark, sf_dir):
 
 @register("category_affinity", A.category_affinity_sql(H))
 def q_category_affinity(spark, sf_dir):
-    return A.category_affinity(history_table(spark, sf_dir))
+    return AB.category_affinity(history_table(spark, sf_dir))
 
 
 @register("affinity_top20", A.affinity_top_sql(H))
 def q_affinity_top20(spark, sf_dir):
-    return A.affinity_top(history_table(spark, sf_dir))
+    return AB.affinity_top(history_table(spark, sf_dir))
 
 
 @register("category_axis", A.category_axis_sql(H))
 def q_category_axis(spark, sf_dir):
-    return A.category_axis(A.affinity_top(history_table(spark, sf_dir)))
+    return A.category_axis(AB.affinity_top(history_table(spark, sf_dir)))
 
 
 @register("affinity_matrix", A.affinity_matrix_sql(H))
 def q_affinity_matrix(spark, sf_dir):
-    return A.affinity_matrix(A.affinity_top(history_table(spark, sf_dir)))
+    return A.affinity_matrix(AB.affinity_top(history_table(spark, sf_dir)))
