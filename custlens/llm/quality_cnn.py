@@ -7,15 +7,17 @@ document's chunks are combined by their mean, maximum and minimum, which with th
 go through a small hidden layer into one probability.
 
 The network is fitted on the driver, on at most ``TRAIN_PER_LABEL`` labelled documents of each
-label, of at most ``TRAIN_MOST_BYTES`` bytes each (both parameters); labels are learned only from
+label, of at most ``TRAIN_BYTES`` bytes together (both parameters).  Long documents are learned from
+whole; a text that no longer fits what is left of the bytes gives its turn to the next one, among the
+first ``TRAIN_CANDIDATES`` times as many by the hash of their ids.  Labels are learned only from
 documents whose crc32(doc_id as text) modulo 4 is not ``HELD_OUT``.  The fitted network is a few
 thousand numbers and travels in the task closure.  Scoring is one pass over the texts where they
 are read, in tiles of bounded size, without a shuffle.
 
 Defined cases: a null text counts as empty; an empty text has zeros for every pooled response
 and gets a score like any other; repeated rows give repeated results; a label or id that is null
-is not learned from; without labelled documents of both kinds every score is the share of label
-1 (1.0 if there are no labels); other columns are ignored by ``score_documents`` and passed on by
+is not learned from, nor is a text of more than ``TRAIN_BYTES``; without labelled documents of both kinds
+every score is the share of label 1 (1.0 if there are no labels); other columns are ignored by ``score_documents`` and passed on by
 ``keep_good``; an empty table gives an empty result.
 """
 
@@ -37,7 +39,8 @@ from custlens.llm.textscan import slices
 SPAN, STEP, BLOCK, FILTERS, HIDDEN = 8, 2, 128, 32, 24
 TILE_BLOCKS = 512
 TRAIN_PER_LABEL = 1200
-TRAIN_MOST_BYTES = 32_000
+TRAIN_BYTES = 8 << 20
+TRAIN_CANDIDATES = 4
 EPOCHS, BATCH, RATE = 14, 32, 0.004
 GOOD_WEIGHT = 0.7
 HELD_OUT = 2
@@ -110,7 +113,7 @@ def _tile(laid: Laid, lo: int, hi: int) -> np.ndarray:
 
 def pool_blocks(net: Network, laid: Laid, keep: bool = False):
     """Largest response of each filter in each block (``_NONE`` where it has no window), and
-    with ``keep`` the windows and the places of the maxima."""
+    with ``keep`` the places of the maxima, tile by tile."""
     n, per = int(laid.first[-1]), BLOCK // STEP
     pooled = np.empty((n, FILTERS), dtype=np.float32)
     kept = []
@@ -122,7 +125,7 @@ def pool_blocks(net: Network, laid: Laid, keep: bool = False):
         y[part] = np.where(np.arange(per)[None, :, None] < laid.valid[lo:hi][part, None, None], y[part], _NONE)
         if keep:
             at = y.argmax(axis=1)
-            kept.append((x, at))
+            kept.append(at)
             pooled[lo:hi] = np.take_along_axis(y, at[:, None, :], axis=1)[:, 0]
         else:
             pooled[lo:hi] = y.max(axis=1)
@@ -178,7 +181,8 @@ def _gradients(net: Network, laid: Laid, y: np.ndarray, w: np.ndarray) -> list[n
     np.add.at(d_block, two, np.where(second, d_live, 0))
     d_filters = np.zeros_like(net.filters)
     per, lo = BLOCK // STEP, 0
-    for x, at in kept:
+    for at in kept:   # a tile's windows are made again rather than held: a batch may have very long texts
+        x = _tile(laid, lo, lo + len(at))
         rows = np.arange(len(at))[:, None] * per + at
         g = d_block[lo:lo + len(at)]
         for f in range(FILTERS):
@@ -214,22 +218,39 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, most_bytes: int = TRAIN_MOST_BYTES) -> DataFrame:
-    """(text, label) of at most ``per_label`` documents a label: those whose ids hash lowest."""
+def fitting(sizes: list[tuple[int, int]], most: int, most_bytes: int) -> list[int]:
+    """Ids of ``(id, bytes)``, in the given order, that fit what the ones before them left."""
+    out, left = [], most_bytes
+    for i, size in sizes:
+        if len(out) < most and size <= left:
+            out.append(i)
+            left -= size
+    return out
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(text, label) of at most ``per_label`` documents and ``most_bytes`` bytes a label, by the hash of their ids."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = None
+    top = None
     for label in (0, 1):   # a bounded number of ids: two top lists
-        top = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        chosen = top if chosen is None else chosen.unionByName(top)
-    ids = spark.createDataFrame(chosen.collect(), "doc_id bigint, label int")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+        mine = known.where(F.col("label") == label).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(TRAIN_CANDIDATES * per_label)
+        top = mine if top is None else top.unionByName(mine)
+    candidates = spark.createDataFrame(top.collect(), "doc_id bigint, label int, turn bigint")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # a row per candidate: the least text of an id that has several is the one learned from
+    sizes = texts.join(F.broadcast(candidates), "doc_id").groupBy("label", "turn", "doc_id").agg(F.octet_length(F.min("text")).alias("size")).collect()
+    chosen = []
+    for label in (0, 1):
+        mine = sorted((r["turn"], r["doc_id"], r["size"]) for r in sizes if r["label"] == label)
+        chosen += [(i, label) for i in fitting([(i, size) for _, i, size in mine], per_label, most_bytes)]
+    ids = spark.createDataFrame(chosen, "doc_id bigint, label int")
     rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return rows.select("doc_id", F.encode("text", "UTF-8").alias("text"), "label")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, most_bytes: int = TRAIN_MOST_BYTES) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, most_bytes: int = TRAIN_BYTES) -> Network:
     rows = sorted(training_rows(docs, labels, per_label, most_bytes).collect(), key=lambda r: r["doc_id"])
     return fit([bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], dtype=np.float64))
 

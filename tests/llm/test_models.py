@@ -68,6 +68,29 @@ def test_classifier_cases(spark):
     assert Q.score_documents(frame(spark, []), labels).count() == 0
 
 
+def test_learns_from_long_documents_whole(spark):
+    """Every document of label 0 is long: it is learned from, whole, as far as the bytes go."""
+    rows = [(i, f"## {i} $$ " * 9000 if i % 2 else f"Document {i} says something plain. " * 20, "en", "s", 0) for i in range(60)]
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(60)], "doc_id bigint, quality int")
+    docs = frame(spark, rows + [(1, None, "en", "s", 0)])   # an id with two texts: its least one counts
+    texts = {r[0]: r[1].encode() for r in rows} | {1: b""}
+    able = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != Q.HELD_OUT]
+    got = {r.doc_id: bytes(r.text) for r in Q.training_rows(docs, labels).collect()}
+    assert got == {i: texts[i] for i in able}
+    few = {r.doc_id: bytes(r.text) for r in Q.training_rows(docs, labels, most_bytes=250_000).collect()}
+    assert all(few[i] == texts[i] for i in few)
+    long = [i for i in few if i % 2 and len(few[i]) > 32_000]
+    assert len(long) == 250_000 // min(len(texts[i]) for i in able if len(texts[i]) > 32_000)
+    assert {i for i in few if i % 2 == 0} == {i for i in able if i % 2 == 0}   # the other label has bytes of its own
+    scores = {r.doc_id: r.score for r in Q.score_documents(docs, labels).collect() if r.doc_id != 1}
+    assert min(scores[i] for i in scores if i % 2 == 0) > max(scores[i] for i in scores if i % 2)
+
+
+def test_what_no_longer_fits_gives_its_turn_to_the_next():
+    assert Q.fitting([(1, 5), (2, 9), (3, 4), (4, 1), (5, 0)], 3, 10) == [1, 3, 4]
+    assert Q.fitting([(1, 11), (2, 12)], 3, 10) == [] and Q.fitting([], 3, 10) == []
+
+
 def test_language_model_base_and_gain(spark):
     rows = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
     out = {r.doc_id: r for r in G.op7(spark, SF).collect()}
