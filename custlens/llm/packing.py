@@ -5,7 +5,9 @@ routed to context-size tiers (the shortest window that holds them) and every tie
 a window takes a rest, its gap takes the longest shorter pieces that fit whole, and when none
 fits, the front of the shortest longer piece.  So every window is exactly full, whatever its
 tier; only the last one of a task's documents can be padded.  Windows of one tier are grouped
-into steps of equal token volume; what is left of the tiers at the end is grouped by volume.
+into steps of equal token volume; a step's windows are held until it is full (at most one step a
+tier), and what is left of the tiers at the end goes to as few steps as hold it, the longest windows
+first, each to the step with the least volume.
 
 The work is one pass over the documents where they are read: no shuffle.  A task packs blocks
 of ``BLOCK_TOKENS`` ids, so its memory is bounded by a block and the longest document; what does
@@ -23,6 +25,7 @@ import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heappush, heapreplace
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -134,6 +137,20 @@ class TierPacker:
         return out
 
 
+def balanced(windows: list[tuple], volume: int) -> list[list[tuple]]:
+    """Windows (length first) in as few steps of at most ``volume`` as lengths that divide each other
+    and ``volume`` allow, the steps' volumes as equal as can be."""
+    n = -(-sum(w[0] for w in windows) // volume)
+    steps = [(0, i, []) for i in range(n)]   # a heap of (volume, number, windows)
+    for w in sorted(windows, key=lambda w: -w[0]):
+        if steps[0][0] and steps[0][0] + w[0] > volume:   # lengths that do not divide the volume
+            heappush(steps, (0, len(steps), []))
+        filled, i, step = steps[0]
+        step.append(w)
+        heapreplace(steps, (filled + w[0], i, step))
+    return [step for _, _, step in sorted(steps, key=lambda s: s[1]) if step]
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = END_ID, tiers=TIERS, step_tokens: int = STEP_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece: whose ids, where in the document, in which sequence and at what offset.
 
@@ -148,27 +165,27 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: i
         base = TaskContext.get().partitionId() << 33
         sequences = 0
         steps = 0
-        open_step: dict[int, list[int]] = {}   # tier: step number, ids in it
+        held: dict[int, list] = {}   # tier: the windows of its open step
         out: list[list] = [[] for _ in range(9)]
 
-        def step_of(tier: int, n: int) -> int:
+        def close(windows: list) -> None:
             nonlocal steps
-            now = open_step.get(tier)
-            if now is None or now[1] + n > step_tokens:
-                now = open_step[tier] = [steps, 0]
-                steps += 1
-            now[1] += n
-            return base + now[0]
-
-        def place(tier: int, pieces: list, step: int) -> None:
+            for tier, sequence, pieces in windows:
+                at = 0
+                for doc, start, ids, total in pieces:
+                    n = len(ids) // 4
+                    for col, v in zip(out, (doc, start, n, zlib.crc32(ids), total, sequence, at, tier, base + steps)):
+                        col.append(v)
+                    at += n
+            steps += 1
+
+        def place(tier: int, pieces: list) -> None:
             nonlocal sequences
-            at = 0
-            for doc, start, ids, total in pieces:
-                n = len(ids) // 4
-                for col, v in zip(out, (doc, start, n, zlib.crc32(ids), total, base + sequences, at, tier, step)):
-                    col.append(v)
-                at += n
+            step = held.setdefault(tier, [])
+            step.append((tier, base + sequences, pieces))
             sequences += 1
+            if (len(step) + 1) * tier > step_tokens:
+                close(held.pop(tier))
 
         def rows() -> pa.RecordBatch:
             types = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
@@ -183,17 +200,19 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: i
                 ids = encode(text.as_py() or "") + end
                 block += len(ids) // 4
                 for tier, pieces in packer.add(doc, ids):
-                    place(tier, pieces, step_of(tier, tier))
+                    place(tier, pieces)
                 if block >= block_tokens:
                     for tier, pieces in packer.pack():
-                        place(tier, pieces, step_of(tier, tier))
+                        place(tier, pieces)
                     block = 0
                     yield rows()
         for tier, pieces in packer.pack():
-            place(tier, pieces, step_of(tier, tier))
+            place(tier, pieces)
         left = packer.rest()
         if left:
-            place(packer.window, left, step_of(packer.window, packer.window))
+            place(packer.window, left)
+        for windows in balanced([w for step in held.values() for w in step], step_tokens):
+            close(windows)
         yield rows()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

@@ -100,6 +100,43 @@ def test_packing_covers_every_id_once(spark, block):
         steps[own[0].step_id] += own[0].tier
     assert open_windows <= 1
     assert max(steps.values()) <= 4096
+    assert len(steps) == -(-sum(steps.values()) // 4096)   # no more steps than the volume calls for
+    part = [v for v in steps.values() if v < 4096]
+    assert not part or max(part) - min(part) <= max(TIERS)
+
+
+def test_what_is_left_of_the_tiers_goes_to_few_equal_steps():
+    import random
+
+    from custlens.llm.packing import balanced
+    rng = random.Random(4)
+    for _ in range(200):
+        windows = [(rng.choice(TIERS), i) for i in range(rng.randint(0, 60))]
+        steps = balanced(windows, 4096)
+        assert sorted(w for s in steps for w in s) == sorted(windows)
+        volumes = [sum(w[0] for w in s) for s in steps]
+        assert len(steps) == -(-sum(volumes) // 4096) and max(volumes, default=0) <= 4096
+        assert max(volumes, default=0) - min(volumes, default=0) <= max(TIERS)
+    odd = balanced([(700, i) for i in range(7)], 1000)   # lengths that do not divide the volume
+    assert [len(s) for s in odd] == [1] * 7
+    assert balanced([(2048, 0)], 1000) == [[(2048, 0)]]   # a window longer than a step is a step
+
+
+def test_packing_of_repeated_ids_and_clashing_columns(spark):
+    """Rows that share an id are documents of their own; other columns do not matter."""
+    from tests.llm.common import clashing
+    rows, other = odd_documents(), Tokenizer.from_file(VOCABULARY)
+    other.encode_special_tokens = True
+    plain = pack_documents(frame(spark, rows).coalesce(1), VOCABULARY, P.PATTERN)
+    out = pack_documents(clashing(frame(spark, rows).coalesce(1)), VOCABULARY, P.PATTERN)
+    want = defaultdict(int)
+    for r in rows:
+        want[r[0]] += len(other.encode(r[1] or "", add_special_tokens=False).ids) + 1
+    found = defaultdict(int)
+    for r in out.collect():
+        found[r.doc_id] += r.length
+    assert found == want and plain.columns == out.columns
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
 
 
 def test_packing_of_nothing(spark):
