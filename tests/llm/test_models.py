@@ -130,6 +130,44 @@ def test_language_model_is_a_distribution():
     assert abs((10 ** (after - before)).sum() - 1) < 1e-4
 
 
+def test_language_model_gradients_by_differences():
+    """Of all weights, over streams whose documents end, begin and break off inside the window."""
+    v, net = tiny_model()
+    rng = np.random.default_rng(9)
+    for name, p in zip(vars(net), net.parts()):
+        setattr(net, name, p.astype(np.float64) + rng.normal(0, 0.1, p.shape))
+    e = G.END_TYPE
+    window = np.array([[3, 7, G.HEAD + 2, 4, e, 5, 3, 3, e, 9], [1, e, e, 2, 8, 7, G.HEAD + 1, e, -1, -1], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]])
+    members = G._members(v)
+    place = G._places(members)
+    flat, first = [], [0]
+    for row in window:
+        for t in row[row >= 0]:
+            flat.append(t)
+            if t == e:
+                first.append(len(flat))
+        if first[-1] != len(flat):
+            first.append(len(flat))
+
+    def loss():
+        return -G.network_log10(net, v, np.array(flat), np.array(first)).sum() * np.log(10) / len(flat)
+
+    state = np.zeros((len(window), G.STATE))
+    grads, read, last, _ = G._window(net, v, members, place, window, np.full(len(window), e), state)
+    assert len(read) == len(flat) and list(last) == [9, e, 9]
+    for p, g in zip(net.parts(), grads):
+        values, grad = p.reshape(-1), g.reshape(-1)
+        assert np.abs(grad).max() > 1e-4
+        for i in [*np.argsort(-np.abs(grad))[:6], *rng.choice(np.flatnonzero(grad), 6)]:
+            old, step = values[i], 1e-4
+            values[i] = old + step
+            up = loss()
+            values[i] = old - step
+            down = loss()
+            values[i] = old
+            assert abs((up - down) / (2 * step) - grad[i]) < 1e-3 * abs(grad[i]) + 1e-6
+
+
 def test_state_is_carried_across_windows(monkeypatch):
     v, net = tiny_model()
     rng = np.random.default_rng(5)
