@@ -57,8 +57,13 @@ class TokenizerUnits(UnitEncoder):
         self.split = splitter(pattern)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]   # bytes that are their own symbol
         self.symbols = dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+        self.space = " ".translate(self.symbols)
+        self.whole_words = r"| ?\p{L}+|" in pattern   # a word and the space before it are one match
 
     def encode_unit(self, unit: str) -> bytes:
+        word = unit[1:] if unit.startswith(" ") else unit
+        if self.whole_words and word.isascii() and word.isalpha():   # one pre-token, whose letters are their own symbols
+            return array("I", [t.id for t in self.tokenize(self.space + word if word is not unit else word)]).tobytes()
         ids = array("I")
         for piece in self.split(unit):
             ids.extend([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))])
