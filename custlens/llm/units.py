@@ -16,6 +16,7 @@ CACHE_UNITS = 350_000   # of two generations each; about 200 bytes a unit
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _OTHER_WHITE = "\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # neither space nor \\n
 _IRREGULAR = re.compile(f"[ \\n][ \\n]|[{_OTHER_WHITE}]|\\A[ \\n]|[ \\n]\\Z")
+_IRREGULAR_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
 _SPACE_THEN_INK = re.compile(f" (?=[^{WHITE}])")
 _LONGEST_KEY = 64
 
@@ -26,6 +27,13 @@ def splitter(pattern: str):
     return regex.compile(spelled).findall
 
 
+def irregular(text: str) -> bool:
+    """Whether white space other than single spaces and line breaks between ink occurs."""
+    if not text.isascii():
+        return _IRREGULAR.search(text) is not None
+    return text.startswith((" ", "\n")) or text.endswith((" ", "\n")) or any(s in text for s in _IRREGULAR_ASCII)
+
+
 class Recent(dict):
     """A bounded cache of two generations: the older one is dropped when the newer is full."""
 
@@ -63,7 +71,7 @@ class UnitEncoder:
         if not text:
             return b""
         spaced = self._spaced.__getitem__
-        if _IRREGULAR.search(text):
+        if irregular(text):
             first, *rest = _SPACE_THEN_INK.split(text)
             return self._plain[first] + b"".join(map(spaced, rest))
         out = []

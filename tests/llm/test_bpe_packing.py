@@ -139,6 +139,16 @@ def test_packing_of_repeated_ids_and_clashing_columns(spark):
     assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
 
 
+def test_irregular_white_space_is_told_alike_with_and_without_other_characters():
+    from custlens.llm import units
+    rng = random.Random(12)
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab \n\t\x0b\x0c\r\x1c\x1f" if rng.random() < 0.3 else "abc d\ne") for _ in range(rng.randint(0, 9)))
+        assert units.irregular(t) == (units._IRREGULAR.search(t) is not None), repr(t)
+        u = t + "é"   # the same text before a letter beyond ASCII
+        assert units.irregular(u) == (units._IRREGULAR.search(u) is not None)
+
+
 def test_packing_of_nothing(spark):
     assert pack_documents(frame(spark, []), VOCABULARY, P.PATTERN).count() == 0
 
