@@ -250,3 +250,17 @@ def test_boosting_learns_and_one_class_is_constant(points):
     assert min(r["score"] for r in m.score(ones).collect()) > 0.99
     logit, = fit_all(blocks, ["a", "b"], [None])
     assert min(r["score"] for r in logit.score(ones).collect()) > 0.99
+
+
+def test_boosting_sends_the_driver_a_few_numbers_a_node(points, monkeypatch):
+    """Only class counts are summed up on the driver; histograms meet in the tasks."""
+    _, _, _, df = points
+    sent, reduced = [], B.reduced
+
+    def seen(*a, **k):
+        sent.append(reduced(*a, **k))
+        return sent[-1]
+    monkeypatch.setattr(B, "reduced", seen)
+    blocks = pack(df, "customer_id", ["a", "b"], ["label", "fold"])
+    B.fit_all(blocks, df, ["a", "b"], [B.Spec(2, True), B.Spec(2, False, 0)], 2, 0.1)
+    assert sum(len(v) for v in sent) == 4
