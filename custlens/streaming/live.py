@@ -6,14 +6,14 @@
   batch-keyed folder, so a replayed batch overwrites itself (idempotent), and the current
   state is the latest row per customer.
 * S3-S6 ``run_live_pipeline``: a stateful processor keeps each customer's stored features (the query's
-  initial state, read once) and running live totals in the state store and emits every purchase with
-  them (purchases of one customer in arrival order), so a micro-batch reads no feature table; a
+  initial state, read once) and running live totals in the state store, a bucket of customers per state, and
+  emits every purchase with them (purchases of one customer in arrival order), so a micro-batch reads no feature table; a
   ``foreachBatch`` sink then appends the purchases to the history (S4), scores those of known
   customers (S3), appends the predictions to the log (S5) and rewrites the live statistics over
   the latest 200 predictions (S6 / D20).  Every write is keyed by batch id.
 
 State survives restarts through the checkpoint folder (under ``spark.checkpoint.dir``).  The
-pandas step sees one customer's purchases of one micro-batch at a time; batches are bounded
+pandas step sees one bucket's purchases of one micro-batch at a time; batches are bounded
 by ``maxFilesPerTrigger``.
 """
 
@@ -133,60 +133,91 @@ class LivePaths:
 
 #: Stored features that live scoring takes as they are.
 STORED = ["avg_order_value", "purchase_frequency", "product_diversity", "customer_lifetime_days"]
-RUNNING_SCHEMA = ("transaction_id string, customer_id long, transaction_date timestamp, amount double, status string, event_id long, cents long, "
-                  "known boolean, frequency long, monetary_cents long, avg_order_value double, purchase_frequency double, product_diversity double, "
-                  "customer_lifetime_days double, live_n long, live_cents long")
+#: Customers are dealt over this many states, whose rows a task handles together.  Part of a checkpoint's layout.
+BUCKETS = 512
+_KEY = ["cid", "nameless"]   # the customer's id without nulls, and whether it was null
+_KEPT = ("known boolean, frequency long, monetary_cents long, avg_order_value double, purchase_frequency double, product_diversity double, "
+         "customer_lifetime_days double, live_n long, live_cents long")
+STATE_COLS = [c.split()[0] for c in _KEPT.split(", ")]
+RUNNING_SCHEMA = f"transaction_id string, cid long, nameless boolean, transaction_date timestamp, amount double, status string, event_id long, cents long, {_KEPT}"
 RUNNING_COLS = [c.split()[0] for c in RUNNING_SCHEMA.split(", ")]
-STATE_SCHEMA = ("known boolean, frequency long, monetary_cents long, avg_order_value double, purchase_frequency double, product_diversity double, "
-                "customer_lifetime_days double, live_n long, live_cents long")
-STATE_COLS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class CustomerState(StatefulProcessor):
-    """A customer's stored features and running live totals, kept in the state store.
+    """The stored features and running live totals of a bucket's customers, kept in the state store as one
+    Arrow table: a micro-batch costs a few calls per bucket, whatever the number of customers.
 
     The features come in once, as the query's initial state; a customer without them is unknown."""
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("customer", STATE_SCHEMA)
+        self.state = handle.getValueState("customers", "customers binary")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.state.update((True, *(_plain(initialState[c].iloc[-1]) for c in STATE_COLS[1:-2]), 0, 0))
+        import pandas as pd
+        rows = initialState.assign(known=True, live_n=0, live_cents=0)
+        self._keep(pd.concat([self._held(), _typed(rows)], ignore_index=True).drop_duplicates(_KEY, keep="last"))
 
     def handleInputRows(self, key, rows, timerValues):
-        """The purchases of one micro-batch in arrival order, with what is known and the running totals."""
-        import numpy as np
+        """The purchases of one micro-batch, each customer's in arrival order, with what is known and the running totals."""
         import pandas as pd
-        held = self.state.get() if self.state.exists() else (False, *[None] * (len(STATE_COLS) - 3), 0, 0)
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("event_id", kind="mergesort")
-        for c, v in zip(STATE_COLS[:-2], held):
-            pdf[c] = pd.Series([v] * len(pdf), index=pdf.index, dtype="boolean" if c == "known" else "Int64" if c in ("frequency", "monetary_cents") else "Float64")
-        pdf["live_n"] = held[-2] + np.arange(1, len(pdf) + 1, dtype="int64")
-        pdf["live_cents"] = held[-1] + pdf["cents"].fillna(0).astype("int64").cumsum()
-        self.state.update((*held[:-2], int(pdf["live_n"].iloc[-1]), int(pdf["live_cents"].iloc[-1])))
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("event_id", kind="mergesort", ignore_index=True)
+        held = self._held()
+        pdf = pdf.merge(held, on=_KEY, how="left")   # held has a customer once; the order stays
+        by = pdf.assign(cents=pdf["cents"].fillna(0).astype("int64")).groupby(_KEY, sort=False)
+        pdf["known"] = pdf["known"].fillna(False)
+        pdf["live_n"] = pdf["live_n"].fillna(0) + by.cumcount() + 1
+        pdf["live_cents"] = pdf["live_cents"].fillna(0) + by["cents"].cumsum()
+        now = _typed(pdf.drop_duplicates(_KEY, keep="last"))
+        self._keep(pd.concat([held, now], ignore_index=True).drop_duplicates(_KEY, keep="last"))
         yield pdf[RUNNING_COLS]
 
+    def _held(self):
+        import pyarrow as pa
+        if not self.state.exists():
+            return _typed(None)
+        return _typed(pa.ipc.open_stream(bytes(self.state.get()[0])).read_all().to_pandas(types_mapper=_nullable().get))
+
+    def _keep(self, pdf) -> None:
+        import pyarrow as pa
+        table, out = pa.Table.from_pandas(pdf, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        self.state.update((out.getvalue().to_pybytes(),))
+
     def close(self) -> None:
         pass
 
 
-def _plain(v):
-    """A NumPy value as Python's, missing ones as None."""
+def _nullable() -> dict:
+    import pandas as pd
+    import pyarrow as pa
+    return {pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype(), pa.float64(): pd.Float64Dtype()}
+
+
+def _typed(pdf):
+    """The state's columns, with types that hold nulls; the key as it comes with the purchases."""
     import pandas as pd
-    return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
+    kinds = {"cid": "int64", "nameless": "bool", **{c: {"long": "Int64", "double": "Float64", "boolean": "boolean"}[t] for c, t in (f.split() for f in _KEPT.split(", "))}}
+    return (pd.DataFrame(columns=list(kinds)) if pdf is None else pdf[list(kinds)]).astype(kinds)
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    c = F.col("customer_id")
+    return df.select(F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("bucket"), F.coalesce(c, F.lit(0)).cast("long").alias("cid"), c.isNull().alias("nameless"),
+                     *[x for x in df.columns if x != "customer_id"]).groupBy("bucket")
 
 
 def live_features(stream: DataFrame, rfm_stored: DataFrame) -> DataFrame:
     """Every live purchase with its customer's stored features and running purchase count and amount
     (cents).  The stored features are read once, when the query first starts; after that a batch touches
-    its own customers' state only."""
+    its own customers' buckets only."""
     s = stream.withColumn("cents", (F.col("total_amount") * 100).cast("long")).drop("total_amount")
     stored = rfm_stored.select("customer_id", F.col("frequency").cast("long").alias("frequency"),
                                (F.col("monetary").cast("decimal(18,2)") * 100).cast("long").alias("monetary_cents"), *[F.col(c).cast("double").alias(c) for c in STORED])
-    return (s.groupBy("customer_id")
-             .transformWithStateInPandas(CustomerState(), RUNNING_SCHEMA, "Append", "None", initialState=stored.groupBy("customer_id"))
-             .withColumn("total_amount", (F.col("cents") / 100).cast("decimal(18,2)")))
+    running = _bucketed(s).transformWithStateInPandas(CustomerState(), RUNNING_SCHEMA, "Append", "None", initialState=_bucketed(stored))
+    return running.select("transaction_id", F.when(~F.col("nameless"), F.col("cid")).alias("customer_id"), *[c for c in RUNNING_COLS[1:] if c not in _KEY],
+                          (F.col("cents") / 100).cast("decimal(18,2)").alias("total_amount"))
 
 
 def latest_predictions(log: DataFrame, n: int = K.LIVE_LOG_CAP) -> DataFrame:

@@ -93,3 +93,33 @@ def test_features_come_from_the_state_after_a_restart(spark, event_dir):
     want = stored.join(live, "customer_id").select("customer_id", (F.col("frequency") + F.col("n")).alias("frequency"),
                                                    (F.col("monetary").cast("decimal(18,2)") + F.col("v")).cast("double").alias("monetary"), F.col("avg_order_value").alias("avg"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_state_is_handled_by_bucket(spark, event_dir, monkeypatch):
+    """A bucket's customers share their calls; nulls of the key and purchases of unknown customers are kept apart."""
+    stored = rfm.rfm_table(S.transactions(spark, SF_SMALL)).where("customer_id % 3 > 0")
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(V.CustomerState):
+        def handleInitialState(self, key, initialState, timerValues):
+            calls.add(1)
+            super().handleInitialState(key, initialState, timerValues)
+    monkeypatch.setattr(V, "CustomerState", Counted)
+    monkeypatch.setattr(V, "BUCKETS", 4, raising=False)
+    stream = _stream(spark, event_dir).withColumn("customer_id", F.expr("CASE WHEN customer_id % 5 = 0 THEN NULL ELSE customer_id END"))
+    paths = V.LivePaths(*(scratch_path(spark, n) for n in ("h", "p", "s", "l")))
+
+    def scorer(feats):
+        return feats.select("transaction_id", "event_id", "customer_id", "transaction_date", "frequency", F.lit(None).cast("string").alias("segment_name"),
+                            F.lit(True).alias("will_purchase"), F.lit(0.5).alias("probability"))
+    V.run_live_pipeline(stream, paths, scratch_path(spark, "live-ckpt"), stored, scorer)
+    assert 0 < calls.value <= 12 < stored.count()
+    ev = S.scan_table(spark, SF_SMALL, "events").where("event_type = 'purchase'").toPandas().sort_values(["ts", "event_id"])
+    ev["n"] = ev.groupby("user_id").cumcount() + 1
+    base = stored.toPandas().set_index("customer_id")["frequency"]
+    known = ev[ev["user_id"].isin(base.index) & (ev["user_id"] % 5 != 0)].set_index("event_id")
+    got = spark.read.parquet(paths.predictions).toPandas().set_index("event_id")["frequency"].sort_index()
+    want = (known["n"] + known["user_id"].map(base)).sort_index()
+    assert list(got.index) == list(want.index) and (got.values == want.values).all()
+    hist = spark.read.parquet(paths.history)
+    assert hist.count() == len(ev) and hist.where("customer_id IS NULL").count() == (ev["user_id"] % 5 == 0).sum()
