@@ -264,3 +264,28 @@ def test_boosting_sends_the_driver_a_few_numbers_a_node(points, monkeypatch):
     blocks = pack(df, "customer_id", ["a", "b"], ["label", "fold"])
     B.fit_all(blocks, df, ["a", "b"], [B.Spec(2, True), B.Spec(2, False, 0)], 2, 0.1)
     assert sum(len(v) for v in sent) == 4
+
+
+def test_silhouette_distances_hold_no_third_axis():
+    import tracemalloc
+    from custlens.plans import silhouette as S
+    rng = np.random.default_rng(1)
+    x, reps = rng.normal(size=(64, 7)), rng.normal(size=(2000, 7))
+    tracemalloc.start()
+    d = S._distance(x, reps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * d.nbytes
+    assert np.allclose(d, [np.linalg.norm(reps - r, axis=1) for r in x])
+
+
+def test_sums_of_clusters_are_those_of_the_nearest_centres():
+    rng = np.random.default_rng(2)
+    x, centres = rng.normal(size=(500, 3)), rng.normal(size=(4, 3))
+    centres[3] = centres[1]   # a centre that comes twice: the first one has the rows
+    d = ((x[:, None] - centres) ** 2).sum(axis=2)
+    near = d.argmin(axis=1)
+    v = KM._cluster_sums([centres])(None, x, None)
+    assert list(v[:4]) == [(near == i).sum() for i in range(4)] and v[3] == 0
+    assert np.allclose(v[4:16].reshape(4, 3), [x[near == i].sum(axis=0) for i in range(4)])
+    assert v[16] == pytest.approx(d.min(axis=1).sum())
