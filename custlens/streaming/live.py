@@ -13,8 +13,8 @@
   the latest 200 predictions (S6 / D20).  Every write is keyed by batch id.
 
 State survives restarts through the checkpoint folder (under ``spark.checkpoint.dir``).  The
-pandas step sees one bucket's purchases of one micro-batch at a time; batches are bounded
-by ``maxFilesPerTrigger``.
+pandas step sees one bucket's purchases of one micro-batch at a time; batches are bounded by the
+bytes of their files (at least one file), so that many small files do not make as many batches.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from custlens.operators import predicates as P
 from custlens.sources import tables as S
 from custlens.sources.files import path_exists
 
+BATCH_BYTES = 64 << 20   # of event files in a micro-batch
 
 
 def source_path(sf_dir: str, name: str = "events") -> str:
@@ -40,10 +41,11 @@ def source_path(sf_dir: str, name: str = "events") -> str:
     return base[:-2] + "[" + base[-2] + "]" + base[-1]
 
 
-def purchase_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """Purchases as a stream of live rows (event_id kept as the arrival tie-break)."""
-    ev = (spark.readStream.schema(S.EVENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
-               .where(F.col("event_type") == "purchase"))
+def purchase_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Purchases as a stream of live rows (event_id kept as the arrival tie-break), ``BATCH_BYTES`` of files
+    at a time, or ``max_files``."""
+    bound = ("maxBytesPerTrigger", BATCH_BYTES) if max_files is None else ("maxFilesPerTrigger", max_files)
+    ev = spark.readStream.schema(S.EVENT_SCHEMA).option(*bound).parquet(path).where(F.col("event_type") == "purchase")
     return S.to_live_schema(ev).withColumn("event_id", F.regexp_extract("transaction_id", r"(\d+)", 1).cast("long"))
 
 
@@ -133,8 +135,9 @@ class LivePaths:
 
 #: Stored features that live scoring takes as they are.
 STORED = ["avg_order_value", "purchase_frequency", "product_diversity", "customer_lifetime_days"]
-#: Customers are dealt over this many states, whose rows a task handles together.  Part of a checkpoint's layout.
-BUCKETS = 512
+#: Customers are dealt over at least this many states, whose rows a task handles together, and over more when
+#: these would hold more than ``BUCKET_CUSTOMERS``.  The number is kept with the checkpoint.
+BUCKETS, BUCKET_CUSTOMERS = 48, 100_000
 _KEY = ["cid", "nameless"]   # the customer's id without nulls, and whether it was null
 _KEPT = ("known boolean, frequency long, monetary_cents long, avg_order_value double, purchase_frequency double, product_diversity double, "
          "customer_lifetime_days double, live_n long, live_cents long")
@@ -202,20 +205,29 @@ def _typed(pdf):
     return (pd.DataFrame(columns=list(kinds)) if pdf is None else pdf[list(kinds)]).astype(kinds)
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
+def bucket_count(spark: SparkSession, ckpt: str, rfm_stored: DataFrame) -> int:
+    """The number of states: by the stored customers when the query first starts, as the checkpoint has it afterwards."""
+    path = f"{ckpt}/buckets"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        n = max(BUCKETS, rfm_stored.count() // BUCKET_CUSTOMERS)
+        spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first()["buckets"]
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     c = F.col("customer_id")
-    return df.select(F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("bucket"), F.coalesce(c, F.lit(0)).cast("long").alias("cid"), c.isNull().alias("nameless"),
+    return df.select(F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket"), F.coalesce(c, F.lit(0)).cast("long").alias("cid"), c.isNull().alias("nameless"),
                      *[x for x in df.columns if x != "customer_id"]).groupBy("bucket")
 
 
-def live_features(stream: DataFrame, rfm_stored: DataFrame) -> DataFrame:
+def live_features(stream: DataFrame, rfm_stored: DataFrame, buckets: int) -> DataFrame:
     """Every live purchase with its customer's stored features and running purchase count and amount
     (cents).  The stored features are read once, when the query first starts; after that a batch touches
     its own customers' buckets only."""
     s = stream.withColumn("cents", (F.col("total_amount") * 100).cast("long")).drop("total_amount")
     stored = rfm_stored.select("customer_id", F.col("frequency").cast("long").alias("frequency"),
                                (F.col("monetary").cast("decimal(18,2)") * 100).cast("long").alias("monetary_cents"), *[F.col(c).cast("double").alias(c) for c in STORED])
-    running = _bucketed(s).transformWithStateInPandas(CustomerState(), RUNNING_SCHEMA, "Append", "None", initialState=_bucketed(stored))
+    running = _bucketed(s, buckets).transformWithStateInPandas(CustomerState(), RUNNING_SCHEMA, "Append", "None", initialState=_bucketed(stored, buckets))
     return running.select("transaction_id", F.when(~F.col("nameless"), F.col("cid")).alias("customer_id"), *[c for c in RUNNING_COLS[1:] if c not in _KEY],
                           (F.col("cents") / 100).cast("decimal(18,2)").alias("total_amount"))
 
@@ -295,7 +307,8 @@ def run_live_pipeline(stream: DataFrame, paths: LivePaths, ckpt: str, rfm_stored
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     try:
-        _run(live_features(stream, rfm_stored).writeStream.outputMode("append").foreachBatch(per_batch), ckpt)
+        buckets = bucket_count(spark, ckpt, rfm_stored)
+        _run(live_features(stream, rfm_stored, buckets).writeStream.outputMode("append").foreachBatch(per_batch), ckpt)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return paths

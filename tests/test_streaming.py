@@ -123,3 +123,26 @@ def test_state_is_handled_by_bucket(spark, event_dir, monkeypatch):
     assert list(got.index) == list(want.index) and (got.values == want.values).all()
     hist = spark.read.parquet(paths.history)
     assert hist.count() == len(ev) and hist.where("customer_id IS NULL").count() == (ev["user_id"] % 5 == 0).sum()
+
+
+def test_small_files_share_a_micro_batch(spark, event_dir):
+    """Files are read by their bytes, so that the number of batches does not grow with the number of files."""
+    stored = rfm.rfm_table(S.transactions(spark, SF_SMALL))
+    paths = V.LivePaths(*(scratch_path(spark, n) for n in ("h", "p", "s", "l")))
+
+    def scorer(feats):
+        return feats.select("transaction_id", "event_id", "customer_id", "transaction_date", F.lit(None).cast("string").alias("segment_name"),
+                            F.lit(True).alias("will_purchase"), F.lit(0.5).alias("probability"))
+    V.run_live_pipeline(V.purchase_stream(spark, f"{event_dir}/part*/*.parquet"), paths, scratch_path(spark, "live-ckpt"), stored, scorer)
+    hist = spark.read.parquet(paths.history)
+    assert hist.select("batch_id").distinct().count() == 1
+    assert hist.count() == S.scan_table(spark, SF_SMALL, "events").where("event_type = 'purchase'").count()
+
+
+def test_number_of_states_grows_with_customers_and_stays_with_the_checkpoint(spark, monkeypatch):
+    stored, ckpt = spark.range(100).withColumnRenamed("id", "customer_id"), scratch_path(spark, "live-ckpt")
+    monkeypatch.setattr(V, "BUCKET_CUSTOMERS", 2)
+    monkeypatch.setattr(V, "BUCKETS", 4)
+    assert V.bucket_count(spark, ckpt, stored) == 50
+    assert V.bucket_count(spark, ckpt, stored.limit(0)) == 50
+    assert V.bucket_count(spark, scratch_path(spark, "live-ckpt"), stored.limit(0)) == 4
