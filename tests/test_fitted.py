@@ -289,3 +289,50 @@ def test_sums_of_clusters_are_those_of_the_nearest_centres():
     assert list(v[:4]) == [(near == i).sum() for i in range(4)] and v[3] == 0
     assert np.allclose(v[4:16].reshape(4, 3), [x[near == i].sum(axis=0) for i in range(4)])
     assert v[16] == pytest.approx(d.min(axis=1).sum())
+
+
+def test_boosting_makes_few_jobs_and_leaves_no_margins(spark, points, monkeypatch):
+    """A pass is one job without a planned query, and written margins go when nobody reads them any more."""
+    from custlens.sources.files import path_exists
+    _, _, _, df = points
+    monkeypatch.setattr(B, "CUT_EVERY", 1)
+    monkeypatch.setattr("custlens.plans.blocks.BLOCK_ROWS", 60)
+    blocks = pack(df, "customer_id", ["a", "b"], ["label", "fold"])
+    written, note = [], B.delete_at_exit
+    monkeypatch.setattr(B, "delete_at_exit", lambda s, path: written.append(path) or note(s, path))
+    sc = spark.sparkContext
+    sc.setJobGroup("boosting-test", "boosting")
+    try:
+        B.fit_all(blocks, df, ["a", "b"], [B.Spec(2, True), B.Spec(2, False, 0)], 3, 0.1)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("boosting-test"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 24   # 6 passes, 2 checkpoints of 2 jobs, bins, class counts
+    assert len(written) == 2 and not any(path_exists(spark, w) for w in written)
+
+
+def test_leaves_are_those_of_a_walk():
+    from custlens.plans.fitted import leaf_of
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 256, (300, 4)).astype(np.uint8)
+    feature, cut = np.where(rng.random(31) < 0.3, -1, rng.integers(0, 4, 31)), rng.integers(0, 255, 31)
+    feature[15:] = -1
+
+    def walk(row):
+        at = 0
+        while feature[at] >= 0:
+            at = 2 * at + 1 + (row[feature[at]] > cut[at])
+        return at
+    assert leaf_of(bins, feature, cut, 4).tolist() == [walk(r) for r in bins]
+
+
+def test_second_order_sums_carry_no_row_counts():
+    trees = [B._Tree(2), B._Tree(2)]
+    sums, sizes = B._histograms([B.Spec(2, True), B.Spec(2, False, 1)], trees, 0, [3, 2])
+    rng = np.random.default_rng(4)
+    bins, extra = np.stack([rng.integers(0, 3, 50), rng.integers(0, 2, 50)], axis=1).astype(np.uint8), np.stack([rng.integers(0, 2, 50), rng.integers(0, 3, 50)]).astype(float)
+    second, first = sums(bins, extra, np.zeros((2, 50)))
+    assert sizes == [(0, 1), (1, 1)] and len(second) == 2 * 5 and len(first) == 3 * 5
+    keep = extra[1] != 1
+    assert np.allclose(second[:3], np.bincount(bins[:, 0], 0.5 - extra[0], 3)) and np.allclose(second[3:6], np.bincount(bins[:, 0], minlength=3) * 0.25)
+    assert np.allclose(first[6:9], np.bincount(bins[keep, 0], minlength=3)) and np.allclose(first[9:11], np.bincount(bins[keep, 1], (0.5 - extra[0])[keep], 2))
