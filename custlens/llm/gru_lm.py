@@ -45,6 +45,7 @@ FAN = 32                    # networks summed by a task
 CHUNK_FLOATS = 1 << 16      # of a network's change in a row
 SCORE_STEPS = 64
 SLICE_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20     # of text whose words a task takes apart at a time
 BUCKET_BYTES = 16 << 20   # of text for each bucket of hashes
 CLASSES = HEAD_CLASSES + SHAPES + 1
 END_CLASS = CLASSES - 1
@@ -104,15 +105,23 @@ def _merged(h: np.ndarray, n: np.ndarray, *others: np.ndarray):
     return h[first], np.add.reduceat(n, first) if len(first) else n, *[o[order][first] for o in others]
 
 
+def counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of a batch's texts in order, their counts and shapes."""
+    found = []
+    for piece in slices([b], "text", PIECE_BYTES):
+        words = lowered(piece.column("text"))
+        h = words.hashes()
+        found.append(_merged(h, np.ones(len(h), dtype=np.int64), shapes(words)))
+    return _merged(*[np.concatenate(x) for x in zip(*found)])
+
+
 def count_words(docs: DataFrame, buckets: int) -> DataFrame:
     """Word counts of ``docs``' texts: a row per hash bucket with packed (hash, count, shape)."""
     types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def local(batches):
         for b in slices(batches, "text", SLICE_BYTES):
-            words = lowered(b.column("text"))
-            h = words.hashes()
-            h, n, shape = _merged(h, np.ones(len(h), dtype=np.int64), shapes(words))
+            h, n, shape = counted(b)
             yield from _blobs(_COUNTS, types, (h % np.uint64(buckets)).astype(np.int64), [h, n, shape]).to_batches()
 
     def merge(key, t):
@@ -398,9 +407,11 @@ def token_types(docs: DataFrame, vocabulary_of) -> DataFrame:
     def local(batches):
         v = vocabulary_of.value
         for b in slices(batches, "text", SLICE_BYTES):
-            words = lowered(b.column("text"))
-            types = np.insert(v.types(words.hashes(), shapes(words)), words.first[1:], END_TYPE).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([types.tobytes()], pa.binary())], names=["types"])
+            types = []
+            for piece in slices([b], "text", PIECE_BYTES):
+                words = lowered(piece.column("text"))
+                types.append(np.insert(v.types(words.hashes(), shapes(words)), words.first[1:], END_TYPE).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(types)], pa.binary())], names=["types"])
 
     return docs.select("text").mapInArrow(local, "types binary")
 
@@ -491,7 +502,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def ask(key, t):
         v = model.value[1]
-        h = np.unique(lowered(t.column("text")).hashes())
+        h = np.unique(np.concatenate([np.unique(lowered(piece.column("text")).hashes()) for piece in slices(t.to_batches(), "text", PIECE_BYTES)]))
         h = h[~np.isin(h, v.head)]
         return _blobs(_ASKED, asked_types, (h % np.uint64(buckets)).astype(np.int64), [h], [key[0].as_py()])
 
@@ -507,13 +518,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     out_types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     out_schema = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+    out_names = [x.split()[0] for x in out_schema.split(", ")]
 
     def score(_, t, a):
+        known, n = _merged(_joined(a.column("h"), np.uint64), _joined(a.column("n"), np.int64))
+        done = [scored(piece, known, n) for piece in slices(t.to_batches(), "text", PIECE_BYTES)]
+        return pa.concat_tables(done) if done else pa.schema(list(zip(out_names, out_types))).empty_table()
+
+    def scored(t, known, n):
         net, v = model.value
         words = lowered(t.column("text"))
         h, shape = words.hashes(), shapes(words)
         types = v.types(h, shape)
-        known, n = _merged(_joined(a.column("h"), np.uint64), _joined(a.column("n"), np.int64))
         count = np.zeros(len(h), dtype=np.int64)
         head = types < HEAD
         count[head] = v.head_count[types[head]]
@@ -530,11 +546,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
             s = shape[rest]
             inside = np.log10((count[rest] + 1) / (v.shape_tokens[s] + v.shape_words[s] + 1.0))
             first = words.first + np.arange(docs_here + 1)
-            scored = network_log10(net, v, np.insert(types, words.first[1:], END_TYPE), first) + np.bincount(doc[rest], inside, docs_here)
+            by_model = network_log10(net, v, np.insert(types, words.first[1:], END_TYPE), first) + np.bincount(doc[rest], inside, docs_here)
         else:
-            scored = base
-        columns = [t.column("doc_id"), words.n_words + 1, n_known, base, scored]
-        return pa.Table.from_arrays([c if i == 0 else pa.array(c, k) for i, (c, k) in enumerate(zip(columns, out_types))], names=[x.split()[0] for x in out_schema.split(", ")])
+            by_model = base
+        columns = [t.column("doc_id"), words.n_words + 1, n_known, base, by_model]
+        return pa.Table.from_arrays([c if i == 0 else pa.array(c, k) for i, (c, k) in enumerate(zip(columns, out_types))], names=out_names)
 
     asked = keyed.applyInArrow(ask, _ASKED)
     answers = counts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, _ANSWERS)

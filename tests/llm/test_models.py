@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from custlens.llm import gru_lm as G
@@ -213,3 +214,23 @@ def test_network_learns_from_long_documents_alone(spark):
     rows = [(i, "one two three four five six seven eight " * 1000, "", "", 0) for i in range(40)]   # 40 kB each
     out = G.score_documents(frame(spark, rows)).collect()
     assert sum(r.score for r in out) > 0.2 * sum(r.base_score for r in out)   # a word tells the next one
+
+
+def test_counting_holds_a_piece_of_a_slice(monkeypatch):
+    import tracemalloc
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"W{i}" for i in rng.integers(0, 2000, 1000)) for _ in range(800)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    h, n, shape = G.counted(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(G, "PIECE_BYTES", 1 << 30)
+    for one, whole in zip((h, n, shape), G.counted(batch)):
+        assert (one == whole).all()
+    assert n.sum() == 800_000 and len(h) == len({w for t in texts for w in t.lower().split()})
+    tracemalloc.start()
+    G.counted(batch)
+    whole_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < whole_peak / 2
