@@ -25,6 +25,7 @@ import base64
 import hashlib
 from array import array
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlens.llm.textscan import gathered
-from custlens.llm.units import CACHE_UNITS, Recent, UnitEncoder, splitter
+from custlens.llm.units import CACHE_UNITS, Recent, UnitEncoder, cut, splitter, unmarked, whole_words
 
 LEAF_BITS = 8        # a bitmap leaf covers 2 ** LEAF_BITS ranks
 LEAF_MASK = (1 << LEAF_BITS) - 1
@@ -55,8 +56,8 @@ class BatchQueue:
     of (rank, position), as alone."""
 
     def __init__(self, ranks: dict[bytes, int], pair: list[list[int]]):
-        self.first = np.array([[ranks.get(bytes((x,)), -1) for x in range(256)]], dtype=np.int64)[0]
-        self.pair = np.array(pair, dtype=np.int64)
+        self.first = np.array([ranks.get(bytes((x,)), -1) for x in range(256)], dtype=np.int32)
+        self.pair = np.array(pair, dtype=np.int32)
         self.size = max(ranks.values(), default=-1) + 1
         # (left token, right token) -> token, for every way to cut a token into two tokens
         keys, values = [], []
@@ -67,10 +68,10 @@ class BatchQueue:
                     keys.append(left * self.size + right)
                     values.append(rank)
         order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-        self.keys, self.values = np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int64)[order]
+        self.keys, self.values = np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int32)[order]
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
@@ -80,13 +81,13 @@ class BatchQueue:
         size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         end = np.cumsum(size)
         n = len(data)
-        piece = np.repeat(np.arange(len(pieces)), size)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         token = self.first[data]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)   # of at most QUEUE_PIECES short pieces
         nxt[end - 1] = -1                # barriers
         prv[end - size] = -1
         alive = np.ones(n, dtype=bool)
-        at = np.full(n, -1)
+        at = np.full(n, -1, dtype=np.int32)
         inner = np.flatnonzero(nxt >= 0)
         at[inner] = self.pair[data[inner], data[inner + 1]]
         bucket: dict[int, list[np.ndarray]] = {}
@@ -138,7 +139,7 @@ class BatchQueue:
             at[j] = -1
             more = after >= 0
             prv[after[more]] = i[more]
-            new = np.full(len(i), -1)
+            new = np.full(len(i), -1, dtype=np.int32)
             new[more] = self._rank(token[i[more]], token[after[more]])
             at[i] = new
             before = prv[i]
@@ -167,40 +168,76 @@ class BytePairCodec(UnitEncoder):
             self.tokens[rank] = token
         self.pair = [[ranks.get(bytes((x, y)), -1) for y in range(256)] for x in range(256)]
         self.split = splitter(pattern)
+        self.whole_words = whole_words(pattern)
         self._piece = Recent(self._encode_piece, cache_units // 2)
         self.queue = BatchQueue(ranks, self.pair)
 
     def prepare(self, texts: list[str]) -> None:
-        """Fill the caches with the units of ``texts``, their new pre-tokens merged in one queue; long
-        units, and what the caches do not hold, are encoded one by one when they are met."""
-        units, known, old = set(), self._spaced, self._spaced.old
-        for text in texts:
-            units.update(text.replace("\n", " ").split(" "))
-        split, whole, cached, cached_old = self.split, self.ranks.get, self._piece, self._piece.old
-        new_units, ids, waiting = [], {}, []
-        for u in units:
-            if u in known or u in old or len(u) > LONG_UNIT:
+        """Fill the caches with the units of ``texts``."""
+        self.encode_units(list({u for text in texts if text for u in cut(text)}))
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """As from the caches, whose new units' pre-tokens are merged in one queue; long units are encoded one by one."""
+        split, whole, known, cached = self.split, self.ranks.get, self._units, self._piece
+        out, new = [], []
+        for i, u in enumerate(units):
+            ids = known.get(u)
+            if ids is None:
+                ids = known.old.get(u)
+                if ids is None:
+                    new.append(i)
+                else:
+                    known.put(u, ids)
+            out.append(ids)
+        ids: dict[str, bytes | None] = {}   # of new units' pre-tokens
+        waiting, raws, several, counts, flat = [], [], [], [], []
+        for i in new:
+            u = units[i]
+            if len(u) > LONG_UNIT:
+                out[i] = known[u]
+                continue
+            if self.whole_words and u.isascii() and u.isalpha():   # one pre-token, that no other unit has
+                raw = b" " + u.encode()
+                rank = whole(raw)
+                if rank is None:
+                    waiting.append(i)
+                    raws.append(raw)
+                else:
+                    out[i] = rank.to_bytes(4, "little")
                 continue
-            pieces = split(" " + u)
-            new_units.append((u, pieces))
+            pieces = split(unmarked(u))
+            several.append(i)
+            counts.append(len(pieces))
+            flat += pieces
             for p in pieces:
                 if p not in ids:
-                    known_ids = cached.get(p) or cached_old.get(p)
-                    if known_ids is None:
-                        raw = p.encode()
-                        rank = whole(raw)
-                        if rank is None:
-                            waiting.append((p, raw))
-                        else:
-                            known_ids = rank.to_bytes(4, "little")
-                    ids[p] = known_ids
+                    ids[p] = cached.get(p) or cached.old.get(p)
+        alone, asked = len(waiting), []
+        for p, found in ids.items():
+            if found is None:
+                raw = p.encode()
+                rank = whole(raw)
+                if rank is None:
+                    asked.append(p)
+                    raws.append(raw)
+                else:
+                    ids[p] = rank.to_bytes(4, "little")
+        waiting += asked
         for lo in range(0, len(waiting), QUEUE_PIECES):
-            part = waiting[lo:lo + QUEUE_PIECES]
-            for (p, _), merged in zip(part, self.queue.merge([raw for _, raw in part])):
-                ids[p] = merged
-                cached.put(p, merged)
-        for u, pieces in new_units:
-            known.put(u, b"".join([ids[p] for p in pieces]))
+            for at, merged in enumerate(self.queue.merge(raws[lo:lo + QUEUE_PIECES]), lo):
+                if at < alone:
+                    out[waiting[at]] = merged
+                else:
+                    ids[waiting[at]] = merged
+                    cached.put(waiting[at], merged)
+        at = 0
+        for i, n in zip(several, counts):
+            out[i] = ids[flat[at]] if n == 1 else b"".join([ids[p] for p in flat[at:at + n]])
+            at += n
+        for i in new:
+            if len(units[i]) <= LONG_UNIT:
+                known.put(units[i], out[i])
+        return out
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -310,11 +347,10 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bo
         sha = hashlib.sha256
         for b in gathered(batches, "text", SLICE_BYTES):
             n, ids_sha, back_sha, kept = [], [], [], []
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            c.prepare(texts)
-            for text in texts:
-                ids = c.encode(text)
-                n.append(len(ids) // 4)
+            all_ids, first = c.encode_all(b.column("text").to_pylist())
+            for lo, hi in pairwise(first.tolist()):
+                ids = all_ids[lo:hi].tobytes()
+                n.append(hi - lo)
                 ids_sha.append(sha(ids).hexdigest())
                 back_sha.append(sha(c.decode(ids)).hexdigest())
                 if keep_ids:

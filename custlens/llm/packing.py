@@ -26,19 +26,24 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heappush, heapreplace
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custlens.llm.units import UnitEncoder, splitter
+from custlens.llm.textscan import slices
+from custlens.llm.units import LONGEST_KEY, Recent, UnitEncoder, splitter, unmarked, whole_words
 
 WINDOW = 2048
 TIERS = (128, 256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
 BLOCK_TOKENS = 1 << 20
 END_ID = 1
+SLICE_BYTES = 8 << 20
+END_MARKS = ".,;:!?)"
+PIECES = 50_000   # pre-tokens whose ids are kept, of two generations each
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, tier int, step_id bigint")
@@ -58,16 +63,41 @@ class TokenizerUnits(UnitEncoder):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]   # bytes that are their own symbol
         self.symbols = dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
         self.space = " ".translate(self.symbols)
-        self.whole_words = r"| ?\p{L}+|" in pattern   # a word and the space before it are one match
+        self.whole_words = whole_words(pattern)
+        self._piece = Recent(self._encode_piece, PIECES)
+
+    def _encode_piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]).tobytes()
 
     def encode_unit(self, unit: str) -> bytes:
         word = unit[1:] if unit.startswith(" ") else unit
         if self.whole_words and word.isascii() and word.isalpha():   # one pre-token, whose letters are their own symbols
             return array("I", [t.id for t in self.tokenize(self.space + word if word is not unit else word)]).tobytes()
-        ids = array("I")
-        for piece in self.split(unit):
-            ids.extend([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))])
-        return ids.tobytes()
+        pieces, cached = self.split(unit), self._piece
+        if len(pieces) == 1:   # kept as a unit
+            return self._encode_piece(unit)
+        return b"".join([cached[p] for p in pieces])
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        known, cached, tokenize, space, out = self._units, self._piece, self.tokenize, self.space, []
+        for u in units:
+            ids = known.get(u)
+            if ids is None:
+                ids = known.old.get(u)
+                if ids is None:
+                    word = u[:-1] if u[-1] in END_MARKS else u   # a mark after a letter is a match of its own
+                    if self.whole_words and word.isascii() and word.isalpha():   # as in encode_unit
+                        ids = known.get(word) if word is not u else None
+                        if ids is None:
+                            ids = array("I", [t.id for t in tokenize(space + word)]).tobytes()
+                        if word is not u:
+                            ids += cached[u[-1]]
+                    else:
+                        ids = self.encode_unit(unmarked(u))
+                if len(u) <= LONGEST_KEY:
+                    known.put(u, ids)
+            out.append(ids)
+        return out
 
 
 _ENCODERS: dict[str, TokenizerUnits] = {}
@@ -166,7 +196,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: i
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        encode, packer = encoder(raw.value, pattern).encode, TierPacker(tiers)
+        encode_all, packer = encoder(raw.value, pattern).encode_all, TierPacker(tiers)
         base = TaskContext.get().partitionId() << 33
         sequences = 0
         steps = 0
@@ -200,10 +230,11 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: i
             return batch
 
         block = 0
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = encode(text.as_py() or "") + end
-                block += len(ids) // 4
+        for b in slices(batches, "text", SLICE_BYTES):
+            all_ids, first = encode_all(b.column("text").to_pylist())
+            for doc, (lo, hi) in zip(b.column("doc_id").to_pylist(), pairwise(first.tolist())):
+                ids = all_ids[lo:hi].tobytes() + end
+                block += hi - lo + 1
                 for tier, pieces in packer.add(doc, ids):
                     place(tier, pieces)
                 if block >= block_tokens:

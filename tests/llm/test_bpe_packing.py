@@ -171,3 +171,23 @@ def test_one_queue_for_many_pre_tokens_equals_one_each():
     c.prepare(texts)
     for t in texts:
         assert c.encode(t) == plain.encode(t) and c.decode(c.encode(t)) == t.encode()
+
+
+@pytest.mark.parametrize("cache", [50, 100_000])
+def test_texts_are_encoded_together_as_alone_and_look_a_unit_up_once(cache, monkeypatch):
+    from custlens.llm.bpe import BytePairCodec, read_ranks
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        c = BytePairCodec(read_ranks(f.read()), P.PATTERN, cache)
+    own, other = TokenizerUnits(open(VOCABULARY, "rb").read(), P.PATTERN), Tokenizer.from_file(VOCABULARY)
+    other.encode_special_tokens = True
+    texts = HARD + random_texts(500) + ["", None, "first\nfirst first", "\tfirst first", "\nfirst", " first", "x" * 70 + " " + "x" * 70, "word, word (word) wörter, wörter\nword,"]
+    for encoder in (c, own, c):   # the second time from the caches
+        ids, first = encoder.encode_all(texts)
+        assert len(first) == len(texts) + 1
+        for text, lo, hi in zip(texts, first, first[1:]):
+            assert ids[lo:hi].tolist() == other.encode(text or "", add_special_tokens=False).ids == list(array("I", encoder.encode(text))), text
+    assert [len(x) for x in own.encode_all([])] == [0, 1]
+    seen = []
+    monkeypatch.setattr(c, "encode_units", lambda units: seen.append(units) or [b"\1\0\0\0"] * len(units))
+    assert len(c.encode_all(["a b a b a", "b a\na"] * 50)[0]) == 400
+    assert sorted(map(sorted, seen)) == [["\ta", "\tb", "\na", "a", "b"]]
