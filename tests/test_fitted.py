@@ -78,6 +78,23 @@ def test_an_ended_builder_leaves_its_rounds(spark, run, monkeypatch):
         assert np.allclose([t["value"] for t in a.trees][-1], [t["value"] for t in b.trees][-1])
 
 
+def test_folds_are_fitted_only_for_cross_validation(spark, run, monkeypatch):
+    asked, fit = [], M.fit_group
+    monkeypatch.setattr(M, "fit_group", lambda group, table, folds, *a, **k: asked.append((group, folds)) or fit(group, table, folds, *a, **k))
+    monkeypatch.setattr(M, "ROUNDS", 2)
+    alone = Run(spark, SF_SMALL, SETTINGS)
+    assert alone.model("XGBoost").cv_mean is None and asked == [("boosted", [None])]
+    assert alone.cross_validated("XGBoost").cv_mean > 0.5 and asked[1:] == [("boosted", [0, 1])]
+    first = {name: alone.model(name).model.trees for name in M.BOOSTED}
+    monkeypatch.setattr(M, "ROUNDS", 3)
+    together = Run(spark, SF_SMALL, SETTINGS)   # asked for at once, they share their passes
+    assert together.cross_validated("XGBoost").cv_mean > 0.5 and asked[2:] == [("boosted", [None, 0, 1])]
+    together.cross_validated("GradientBoosting")
+    assert len(asked) == 3
+    for name in M.BOOSTED:   # the same trees in either company
+        assert together.model(name).model.trees[:2] == first[name]
+
+
 def test_a_stale_lease_is_free(spark, run):
     key = uuid.uuid4().hex   # the shared folder may outlive a session
     folder = run.store.folder("leased", key)
