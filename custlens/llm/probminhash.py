@@ -54,7 +54,7 @@ REGISTERS = BANDS * ROWS
 FOLLOWERS = 64
 LEADERS_GROWTH = 4   # leaders of a shingle's bucket: 1, 4, 16, ... by round
 SLACK = 1e-6         # for rounding, on the side of more candidates
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20   # 44 MB of memory on top of a worker (4 MB: 86)
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
