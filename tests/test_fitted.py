@@ -82,12 +82,13 @@ def test_folds_are_fitted_only_for_cross_validation(spark, run, monkeypatch):
     asked, fit = [], M.fit_group
     monkeypatch.setattr(M, "fit_group", lambda group, table, folds, *a, **k: asked.append((group, folds)) or fit(group, table, folds, *a, **k))
     monkeypatch.setattr(M, "ROUNDS", 2)
-    alone = Run(spark, SF_SMALL, SETTINGS)
+    own = {**SETTINGS, "of": uuid.uuid4().hex}   # artifacts that no other test has built
+    alone = Run(spark, SF_SMALL, own)
     assert alone.model("XGBoost").cv_mean is None and asked == [("boosted", [None])]
     assert alone.cross_validated("XGBoost").cv_mean > 0.5 and asked[1:] == [("boosted", [0, 1])]
     first = {name: alone.model(name).model.trees for name in M.BOOSTED}
     monkeypatch.setattr(M, "ROUNDS", 3)
-    together = Run(spark, SF_SMALL, SETTINGS)   # asked for at once, they share their passes
+    together = Run(spark, SF_SMALL, own)   # asked for at once, they share their passes
     assert together.cross_validated("XGBoost").cv_mean > 0.5 and asked[2:] == [("boosted", [None, 0, 1])]
     together.cross_validated("GradientBoosting")
     assert len(asked) == 3
