@@ -18,6 +18,8 @@ from custlens.llm.quality_rules import filter_documents
 from custlens.llm.substring import remove_repeats
 from custlens.llm.tables import importable, stored, table
 
+PACKING_UNITS = 50_000   # fewer than in op6: an executor still holds memory of the stages before
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -42,7 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of at most 2048 ids."""
     importable(spark)
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, cache_units=PACKING_UNITS)
 
 
 STAGES = [

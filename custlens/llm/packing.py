@@ -33,15 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custlens.llm.textscan import slices
-from custlens.llm.units import LONGEST_KEY, Recent, UnitEncoder, splitter, unmarked, whole_words
+from custlens.llm.textscan import give_back, slices
+from custlens.llm.units import CACHE_UNITS, LONGEST_KEY, Recent, UnitEncoder, splitter, unmarked, whole_words
 
 WINDOW = 2048
 TIERS = (128, 256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
 BLOCK_TOKENS = 1 << 20
 END_ID = 1
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20   # of text encoded at a time
 END_MARKS = ".,;:!?)"
 PIECES = 50_000   # pre-tokens whose ids are kept, of two generations each
 
@@ -53,8 +53,8 @@ class TokenizerUnits(UnitEncoder):
     """Ids by the tokenizers library: its pre-tokens (the split pattern, mapped to byte symbols)
     through the BPE model of the file."""
 
-    def __init__(self, raw: bytes, pattern: str):
-        super().__init__()
+    def __init__(self, raw: bytes, pattern: str, cache_units: int = CACHE_UNITS):
+        super().__init__(cache_units)
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.tokenizer.encode_special_tokens = True
@@ -103,11 +103,11 @@ class TokenizerUnits(UnitEncoder):
 _ENCODERS: dict[str, TokenizerUnits] = {}
 
 
-def encoder(raw: bytes, pattern: str) -> TokenizerUnits:
+def encoder(raw: bytes, pattern: str, cache_units: int = CACHE_UNITS) -> TokenizerUnits:
     """The encoder of a tokenizer file, built once per Python worker."""
-    key = f"{zlib.crc32(raw)}{pattern}"
+    key = f"{zlib.crc32(raw)} {cache_units} {pattern}"
     if key not in _ENCODERS:
-        _ENCODERS[key] = TokenizerUnits(raw, pattern)
+        _ENCODERS[key] = TokenizerUnits(raw, pattern, cache_units)
     return _ENCODERS[key]
 
 
@@ -186,8 +186,9 @@ def balanced(windows: list[tuple], volume: int) -> list[list[tuple]]:
     return [step for _, _, step in sorted(steps, key=lambda s: s[1]) if step]
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = END_ID, tiers=TIERS, step_tokens: int = STEP_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = END_ID, tiers=TIERS, step_tokens: int = STEP_TOKENS, block_tokens: int = BLOCK_TOKENS, cache_units: int = CACHE_UNITS) -> DataFrame:
     """One row per piece: whose ids, where in the document, in which sequence and at what offset.
+    ``cache_units``: units whose ids a worker keeps, for speed only.
 
     The tokenizer's file is read on the driver and broadcast (its size is that of a vocabulary).
     """
@@ -196,7 +197,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: i
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        encode_all, packer = encoder(raw.value, pattern).encode_all, TierPacker(tiers)
+        give_back()
+        encode_all, packer = encoder(raw.value, pattern, cache_units).encode_all, TierPacker(tiers)
         base = TaskContext.get().partitionId() << 33
         sequences = 0
         steps = 0
@@ -242,6 +244,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: i
                         place(tier, pieces)
                     block = 0
                     yield rows()
+                    give_back()
         for tier, pieces in packer.pack():
             place(tier, pieces)
         left = packer.rest()

@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from custlens.llm.tables import importable, set_aside, table
-from custlens.llm.textscan import GRAM, Words, grams, scan, slices
+from custlens.llm.textscan import GRAM, Words, give_back, grams, scan, slices
 
 WINDOW = 20
 ANCHOR = 8
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 SLICE_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20   # of text whose words a task takes apart at a time
 BUCKET_BYTES = 16 << 20
 _LAST_ID = np.int64(2**63 - 1)
 
@@ -70,6 +71,10 @@ class Entries:
     def take(self, at) -> Entries:
         return Entries(self.h[at], self.h2[at], self.id[at], self.tie[at], self.pos[at])
 
+    @staticmethod
+    def joined(parts: list[Entries]) -> Entries:
+        return Entries(*[np.concatenate([getattr(e, x) for e in parts]) for x in ("h", "h2", "id", "tie", "pos")])
+
     def ordered(self) -> tuple[Entries, np.ndarray]:
         """By hash, then place; and where a new hash begins."""
         e = self.take(np.lexsort((self.pos, self.tie, self.id, self.h2, self.h)))
@@ -189,6 +194,11 @@ def _anchor_entries(words: Words, ids, ties) -> Entries:
     return Entries(h[at], np.zeros(len(at), dtype=np.uint32), ids[d], ties[d], pos[at].astype(np.uint32))
 
 
+def anchors_of(b: pa.RecordBatch) -> Entries:
+    """Anchors of a batch, whose words are taken apart piece by piece."""
+    return Entries.joined([_anchor_entries(*_docs(piece)) for piece in slices([b], "_text", PIECE_BYTES)])
+
+
 def _marked(words: Words, ids, ties, replies: pa.Table) -> np.ndarray:
     """Word indexes (in the whole table) of the places sent back to these documents."""
     id_, tie, pos = _unplaned(replies.column("id"), np.int64), _unplaned(replies.column("tie"), np.uint32), _unplaned(replies.column("pos"), np.uint32)
@@ -264,10 +274,12 @@ def mark_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     def anchors(batches):
         for b in slices(batches, "_text", SLICE_BYTES):
-            for t in _spread(_anchor_entries(*_docs(b)), hash_buckets, False):
+            for t in _spread(anchors_of(b), hash_buckets, False):
                 yield from t.to_batches()
+            give_back()
 
     def windows(_, d, r):
+        give_back()
         found = []
         if d.num_rows and r.num_rows:
             words, ids, ties = _docs(d)
@@ -278,6 +290,7 @@ def mark_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     kept_names = [f.name for f in rows.schema if f.name not in ("_text", "_id", "_tie", "_bucket")]
 
     def cut(_, d, r):
+        give_back()
         words, ids, ties = _docs(d)
         gone = _covered(words, _marked(words, ids, ties, r))
         texts, removed = _keep(words, gone)

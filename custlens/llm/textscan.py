@@ -7,6 +7,7 @@ times powers of a random odd base, mixed at the end.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,6 +116,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             lo = hi
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc has it
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system.  A worker serves one stage after the other; what it would keep adds to what the next needs."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.Table]:
     """Batches put together until they have about ``most_bytes`` of text, and cut where they have more."""
     held, size = [], 0

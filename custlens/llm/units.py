@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import re
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import regex
@@ -106,8 +107,7 @@ class UnitEncoder:
                 gc.enable()
 
     def _encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        number = defaultdict()
-        number.default_factory = number.__len__   # of a unit: in the order of their first places
+        number = defaultdict(count().__next__)   # of a unit: in the order of their first places; holds no reference to itself
         codes, words = [np.zeros(0, dtype=np.int32)], [0]
         for text in texts:
             units = cut(text) if text else ()

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 import zlib
@@ -191,3 +192,22 @@ def test_texts_are_encoded_together_as_alone_and_look_a_unit_up_once(cache, monk
     monkeypatch.setattr(c, "encode_units", lambda units: seen.append(units) or [b"\1\0\0\0"] * len(units))
     assert len(c.encode_all(["a b a b a", "b a\na"] * 50)[0]) == 400
     assert sorted(map(sorted, seen)) == [["\ta", "\tb", "\na", "a", "b"]]
+
+
+def test_what_a_slice_needed_is_freed_without_a_search_for_cycles(ranks):
+    texts = [f"word{i} other{i}" for i in range(300)]
+    for encoder in (BytePairCodec(ranks, P.PATTERN), TokenizerUnits(open(VOCABULARY, "rb").read(), P.PATTERN)):
+        encoder.encode_all(texts)
+        gc.collect()
+        gc.disable()
+        try:
+            encoder.encode_all(texts)
+            assert gc.collect() == 0
+        finally:
+            gc.enable()
+
+
+def test_units_kept_by_a_worker_change_no_piece(spark):
+    rows = odd_documents()
+    few = pack_documents(frame(spark, rows).coalesce(1), VOCABULARY, P.PATTERN, cache_units=3)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, pack_documents(frame(spark, rows).coalesce(1), VOCABULARY, P.PATTERN).collect()))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pyarrow as pa
+
 from custlens.llm import substring as S
 from custlens.llm.substring import mark_repeats, op8, remove_repeats
 from tests.llm.common import clashing, folder, frame, got, odd_documents, sentence
@@ -53,3 +55,25 @@ def test_removal_keeps_documents_and_columns(spark):
 def test_no_documents(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
     assert mark_repeats(frame(spark, [(1, None, "", "", 0)]), digest=True).first()._n_words == 0
+
+
+def test_anchors_are_taken_apart_a_piece_at_a_time(monkeypatch):
+    most = 0
+
+    def watched(words, ids, ties, f=S._anchor_entries):
+        nonlocal most
+        most = max(most, len(ids))
+        return f(words, ids, ties)
+
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 40)) for i in range(30)]
+    whole = pa.RecordBatch.from_pydict({"_id": [r[0] for r in rows], "_tie": [r[0] for r in rows], "_text": [r[1] for r in rows]})
+    monkeypatch.setattr(S, "_anchor_entries", watched)
+    monkeypatch.setattr(S, "PIECE_BYTES", 300)
+    few = S.anchors_of(whole)
+    assert 0 < most < 30
+    monkeypatch.setattr(S, "PIECE_BYTES", 1 << 20)
+    all_at_once = S.anchors_of(whole)
+    assert most == 30 and len(few.h)
+    for name in ("h", "h2", "id", "tie", "pos"):
+        assert getattr(few, name).tolist() == getattr(all_at_once, name).tolist()
