@@ -208,6 +208,6 @@ def test_what_a_slice_needed_is_freed_without_a_search_for_cycles(ranks):
 
 
 def test_units_kept_by_a_worker_change_no_piece(spark):
-    rows = odd_documents()
-    few = pack_documents(frame(spark, rows).coalesce(1), VOCABULARY, P.PATTERN, cache_units=3)
-    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, pack_documents(frame(spark, rows).coalesce(1), VOCABULARY, P.PATTERN).collect()))
+    docs = frame(spark, odd_documents()).coalesce(1)
+    few, many = [pack_documents(docs, VOCABULARY, P.PATTERN, cache_units=n).collect() for n in (3, 350_000)]
+    assert sorted(few, key=repr) == sorted(many, key=repr)
