@@ -75,6 +75,51 @@ def test_euclidean_silhouette(spark, monkeypatch):
         assert all(abs(s - w) < 0.05 for (s, _), w in zip(got, want))   # much nearer than the bound
 
 
+def test_euclidean_silhouette_compares_all_pairs_of_many_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.8, (1600, 2)) for c in ((0, 0), (3, 1), (1, 4))])   # 4800 different rows
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "customer_id long, a double, b double")
+    models = [np.array([[0, 0], [3, 1], [1, 4.0]]), np.array([[0, 0], [2, 3.0]])]
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    want = []
+    for m in models:
+        label = ((x[:, None] - m) ** 2).sum(axis=2).argmin(axis=1)
+        n = np.bincount(label)
+        sums = np.stack([d[:, label == c].sum(axis=1) for c in range(len(m))], axis=1)
+        a, mean = sums[np.arange(len(x)), label] / (n[label] - 1), sums / n
+        mean[np.arange(len(x)), label] = np.inf
+        b = mean.min(axis=1)
+        want.append(((b - a) / np.maximum(a, b)).mean())
+    got = S.euclidean(pack(df, "customer_id", ["a", "b"]), df, ["a", "b"], models)
+    assert got == [(pytest.approx(w, abs=1e-12), 0.0) for w in want]
+
+
+def test_euclidean_silhouette_in_chunks_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr("custlens.plans.blocks.BLOCK_ROWS", 30)
+    monkeypatch.setattr(S, "PIECE_ROWS", 20)
+    monkeypatch.setattr(S, "CHUNK_BLOCKS", 2)   # several passes
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.6, (60, 2)) for c in ((0, 0), (3, 1))] + [[[2.0, 2.0]] * 40, [[40.0, 40.0]]])
+    df = spark.createDataFrame([(i // 2, float(a), float(b)) for i, (a, b) in enumerate(x)], "customer_id long, a double, b double")
+    models = [np.array([[0, 0], [3, 1], [40, 40.0]]), np.array([[1, 1.0]]), np.array([[0, 0], [3, 1], [999, 999.0]])]
+    got = S.euclidean(pack(df, "customer_id", ["a", "b"]), df, ["a", "b"], models)
+    assert got == [(pytest.approx(_exact(x, m), abs=1e-12), 0.0) for m in models]
+
+
+def test_distances_of_near_rows_are_exact():
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.normal(size=(300, 7)), 50 + 1e-7 * rng.normal(size=(300, 7))))
+    y = np.concatenate((x[::2], x[:300] + 1e-9))
+    models = [x[[0, 1, 300]], x[[5]]]
+    sums = np.zeros((len(x), 4))
+    S._add_distances(sums, x, y, models)
+    want = np.sqrt(((x[:, None] - y) ** 2).sum(axis=2)) @ S._members(y, models)
+    assert np.allclose(sums, want, rtol=1e-12, atol=0)
+    alone = np.zeros((300, 4))
+    S._add_distances(alone, x[300:], x[300:], models)   # all distances are tiny
+    assert np.allclose(alone, np.sqrt(((x[300:, None] - x[300:]) ** 2).sum(axis=2)) @ S._members(x[300:], models), rtol=1e-12, atol=0)
+
+
 def test_page_checks():
     for limit, offset in [(0, 0), (10_001, 0), (1, -1)]:
         with pytest.raises(ValueError):
