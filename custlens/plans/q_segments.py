@@ -72,7 +72,7 @@ def q_silhouette(spark, sf_dir):
 
 @register("silhouette_euclidean", G.euclidean_silhouette_sql(SEG["assigned"]))
 def q_silhouette_euclidean(spark, sf_dir):
-    """H4 in the plain form, from representatives; exact while there are few enough different customers."""
+    """H4 in the plain form, from all pairs of customers."""
     assigned, centres = G.given_segmentation(_rfm(spark, sf_dir), KG)
     (value, _), = silhouette.euclidean(pack(assigned, "customer_id", Z), assigned, Z, [np.array([c for _, c in centres])])
     return spark.createDataFrame([(round(value, 9),)], "silhouette double")
